@@ -44,8 +44,16 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.round(F.coalesce(value, F.lit(0.0)), SCORE_DIGITS)
 
 
+def tagged(c: Column, name: str, dim: int) -> Column:
+    """The column with its vector length noted in the schema."""
+    return c.alias(name, metadata={"dim": dim})
+
+
 def dimension(df: DataFrame, vector: str) -> int:
-    """Length of the first non-null vector (one row read), 0 when there is none."""
+    """Vector length: from the schema where noted, else from the first non-null row (0 for none)."""
+    noted = df.schema[vector].metadata.get("dim")
+    if noted is not None:
+        return noted
     row = df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).first()
     return row["d"] if row else 0
 
@@ -65,7 +73,7 @@ def sum_vectors(df: DataFrame, keys: list[str], vector: str, dim: int,
     names = {f"_d{i}" for i in range(dim)}
     kept = [c for c in summed.columns if c not in names]
     total = F.array(*[F.col(f"_d{i}") for i in range(dim)]) if dim else F.array().cast("array<double>")
-    return summed.select(*kept, total.alias("vector_sum"))
+    return summed.select(*kept, tagged(total, "vector_sum", dim))
 
 
 def divide(vector: Column | str, by: Column) -> Column:

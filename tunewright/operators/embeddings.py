@@ -45,7 +45,8 @@ def pca_embedding(songs: DataFrame, features: list[str] = fixed.AUDIO_FEATURES,
                   components: int = fixed.MAX_COMPONENTS, model: PipelineModel | None = None) -> DataFrame:
     model = model or fit_pca(songs, features, components)
     keep = [c for c in ("song_id", "song_ord", "artist_id") if c in songs.columns]
-    return model.transform(songs).select(*keep, vector_to_array("_pca").alias("embedding"))
+    projected = vectors.tagged(vector_to_array("_pca"), "embedding", model.stages[-1].getK())
+    return model.transform(songs).select(*keep, projected)
 
 
 def explained_variance(model: PipelineModel) -> float:
@@ -57,7 +58,7 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str, count: s
     amount = F.lit(1) if weight is None else weight
     dim = vectors.dimension(df, vector)
     sums = vectors.sum_vectors(df, keys, vector, dim, weight, (F.sum(amount).alias(count),))
-    return sums.select(*keys, vectors.divide("vector_sum", F.col(count)).alias(out), count)
+    return sums.select(*keys, vectors.tagged(vectors.divide("vector_sum", F.col(count)), out, dim), count)
 
 
 def artist_embedding(song_vectors: DataFrame) -> DataFrame:
@@ -82,8 +83,8 @@ def user_embedding(interactions: DataFrame, song_vectors: DataFrame,
     dim = vectors.dimension(song_vectors, "embedding")
     sums = vectors.sum_vectors(pairs, ["user_id"], "embedding", dim, F.col("likes"),
                                (F.sum("likes").alias("n_liked"),))
-    means = sums.select("user_id", vectors.divide("vector_sum", F.col("n_liked")).alias("embedding"),
-                        "n_liked")
+    means = sums.select(
+        "user_id", vectors.tagged(vectors.divide("vector_sum", F.col("n_liked")), "embedding", dim), "n_liked")
     if artist_vectors is None:
         return means
     blend = F.zip_with(
@@ -91,7 +92,7 @@ def user_embedding(interactions: DataFrame, song_vectors: DataFrame,
         lambda b, s: F.lit(fixed.BEHAVIOUR_WEIGHT) * b + F.lit(fixed.SURVEY_WEIGHT) * s)
     few = (F.col("n_liked") < fixed.BLEND_BELOW) & (F.size("artist_vector") == F.size("embedding"))
     return means.join(artist_vectors.select("user_id", "artist_vector"), "user_id", "left").select(
-        "user_id", F.when(few, blend).otherwise(F.col("embedding")).alias("embedding"), "n_liked")
+        "user_id", vectors.tagged(F.when(few, blend).otherwise(F.col("embedding")), "embedding", dim), "n_liked")
 
 
 def user_artist_vector(interactions: DataFrame, songs: DataFrame, artist_vectors: DataFrame) -> DataFrame:
@@ -107,7 +108,8 @@ def user_artist_vector(interactions: DataFrame, songs: DataFrame, artist_vectors
     dim = vectors.dimension(artist_vectors, "embedding")
     sums = vectors.sum_vectors(named, ["user_id"], "embedding", dim, F.col("likes"),
                                (F.sum("likes").alias("n_liked"),))
-    return sums.select("user_id", vectors.divide("vector_sum", F.col("n_liked")).alias("artist_vector"))
+    mean = vectors.divide("vector_sum", F.col("n_liked"))
+    return sums.select("user_id", vectors.tagged(mean, "artist_vector", dim))
 
 
 def liked_direction(interactions: DataFrame, song_vectors: DataFrame) -> DataFrame:

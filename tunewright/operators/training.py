@@ -8,7 +8,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunewright.functions import fixed, ordering, scalars, vectors
+from tunewright import session
+from tunewright.functions import fixed, ordering, scalars
 from tunewright.operators import embeddings
 
 
@@ -121,6 +122,8 @@ def train_ranker(train: DataFrame, trees: int = fixed.TREES, validation_share: f
     weighted = split.join(F.broadcast(class_weights(train)), "label").select(
         *fixed.FEATURES, F.col("label").cast("double").alias("label"), "weight",
         F.col("is_test").alias("held_out"))
+    # Boosting reads its input many times.
+    weighted = session.settle(weighted, "boosting-rows")
     booster = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", validationIndicatorCol="held_out",
         maxIter=trees, stepSize=fixed.LEARNING_RATE, maxDepth=fixed.TREE_DEPTH, seed=seed,

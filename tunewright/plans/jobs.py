@@ -51,7 +51,7 @@ def rank_users(songs: DataFrame, users: DataFrame, as_of: Column, interactions:
                **artist_inputs) -> DataFrame:
     """Candidate pool, features and ranked list for every user."""
     if user_vectors is None:
-        user_vectors = embeddings.user_embedding(interactions, song_vectors)
+        user_vectors = session.settle(embeddings.user_embedding(interactions, song_vectors), "user-vectors")
     pool = candidates.candidate_pool(songs, users, as_of, user_vectors, song_vectors, **artist_inputs)
     features = ranking.rank_features(pool, songs, as_of, interactions, song_vectors, user_vectors, **artist_inputs)
     return ranking.rank(features, model, top_n)
@@ -67,7 +67,7 @@ def recommend(songs: DataFrame, users: DataFrame, as_of: Column, interactions: D
     other users by the candidate pool. Equal intents are searched once.
     ``responses(user_id, response)`` are the explanation answers, if any.
     """
-    user_vectors = embeddings.user_embedding(interactions, song_vectors)
+    user_vectors = session.settle(embeddings.user_embedding(interactions, song_vectors), "user-vectors")
     wanted = users.select("user_id").join(intents, "user_id", "left").withColumn(
         "intent", F.trim(F.coalesce("intent", F.lit(""))))
     asks = (F.col("intent") != "") & F.lit(index is not None)

@@ -12,8 +12,11 @@ from tunewright.sources import interactions as log
 
 
 def stream_interactions(rated: DataFrame, path: str, checkpoint: str, at: Column | None = None) -> StreamingQuery:
-    """Append arriving ``user_id, song_id, label`` rows to Parquet, each exactly once."""
-    rows = log.interaction_rows(rated, at)
+    """Append arriving ``user_id, song_id, label`` rows to Parquet, each exactly once.
+
+    Rows of one micro-batch share a timestamp.
+    """
+    rows = log.interaction_rows(rated, F.current_timestamp() if at is None else at)
     return (
         rows.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
