@@ -66,9 +66,10 @@ def parse_release(c: Column | str) -> Column:
 
 def freshness(released: Column | str, as_of: Column) -> Column:
     """exp(-0.01 * whole days since release), 1.0 for future dates, 0.0 for none."""
-    seconds = F.unix_micros(as_of) - F.unix_micros(col(released).cast("timestamp"))
-    days = F.greatest(F.lit(0.0), F.floor(seconds / F.lit(86_400_000_000.0)).cast("double"))
-    return F.coalesce(F.exp(F.lit(-fixed.FRESHNESS_DECAY) * days), F.lit(0.0))
+    day = col(released).cast("timestamp")
+    micros = F.unix_micros(as_of) - F.unix_micros(day)
+    days = F.greatest(F.lit(0.0), F.floor(micros / F.lit(86_400_000_000.0)).cast("double"))
+    return F.when(day.isNotNull(), F.exp(F.lit(-fixed.FRESHNESS_DECAY) * days)).otherwise(0.0)
 
 
 def energy_band(c: Column | str) -> Column:

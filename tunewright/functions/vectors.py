@@ -59,21 +59,21 @@ def dimension(df: DataFrame, vector: str) -> int:
 
 
 def sum_vectors(df: DataFrame, keys: list[str], vector: str, dim: int,
-                weight: Column | None = None, extra: tuple[Column, ...] = ()) -> DataFrame:
-    """Element-wise (weighted) sum per key as ``vector_sum``, with extra aggregates.
+                weight: str | None = None, **extra: str) -> DataFrame:
+    """Element-wise sum per key as ``vector_sum``, weighted by a column when one is named.
 
-    One scalar sum per dimension keeps this a code-generated hash aggregate
-    with map-side partial sums, so a hot key sends one row per map task.
+    ``extra`` maps output names to further SQL aggregates. One scalar sum per
+    dimension keeps this a code-generated hash aggregate with map-side partial
+    sums, so a hot key sends one row per map task.
     """
-    parts = []
-    for i in range(dim):
-        value = F.get(F.col(vector), F.lit(i))
-        parts.append(F.sum(value if weight is None else value * weight).alias(f"_d{i}"))
-    summed = df.groupBy(*keys).agg(*parts, *extra)
-    names = {f"_d{i}" for i in range(dim)}
-    kept = [c for c in summed.columns if c not in names]
-    total = F.array(*[F.col(f"_d{i}") for i in range(dim)]) if dim else F.array().cast("array<double>")
-    return summed.select(*kept, tagged(total, "vector_sum", dim))
+    times = f" * `{weight}`" if weight else ""
+    sums = ", ".join(f"sum(get(`{vector}`, {i}){times})" for i in range(dim))
+    total = f"array({sums})" if dim else "cast(array() as array<double>)"
+    named = ", ".join([f"`{k}`" for k in keys] + [f"{sql} AS `{name}`" for name, sql in extra.items()])
+    by = ", ".join(f"`{k}`" for k in keys)
+    summed = df.sparkSession.sql(
+        f"SELECT {named}, {total} AS vector_sum FROM {{rows}} GROUP BY {by}", rows=df)
+    return summed.withMetadata("vector_sum", {"dim": dim})
 
 
 def divide(vector: Column | str, by: Column) -> Column:

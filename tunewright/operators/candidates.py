@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tunewright.functions import fixed
 from tunewright.operators import similarity
 
+_SECOND_LIST = 1 << 60
+
 
 def _days(count: int) -> Column:
     return F.make_dt_interval(F.lit(count))
@@ -63,14 +65,18 @@ def similar_artist_songs(songs: DataFrame, top_artists: DataFrame,
     of each artist, so artists are cut before the join.
     """
     offered = _leading(songs.select("artist_id", "song_id", "song_ord"), "artist_id", limit)
-    return _leading_per_user(top_artists.select("user_id", "artist_id").join(offered, "artist_id"), limit)
+    asked = top_artists.select("user_id", "artist_id").repartition("user_id")
+    return _leading_per_user(asked.join(offered, "artist_id"), limit)
 
 
 def known_artist_songs(songs: DataFrame, users: DataFrame, limit: int = fixed.POOL_SIZE) -> DataFrame:
     """Songs any of whose artists the user knows, the first ``limit`` in catalog order."""
     credits = songs.select(F.explode("artists").alias("artist"), "song_id", "song_ord")
     offered = _leading(credits, "artist", limit)
-    return _leading_per_user(known_artists(users).join(offered, "artist"), limit)
+    # Placing the few (user, artist) rows by user first spares an exchange of the
+    # many matches whenever the offered songs are broadcast.
+    asked = known_artists(users).repartition("user_id")
+    return _leading_per_user(asked.join(offered, "artist"), limit)
 
 
 def ordered_union(first: DataFrame, second: DataFrame, limit: int = fixed.POOL_SIZE) -> DataFrame:
@@ -79,14 +85,15 @@ def ordered_union(first: DataFrame, second: DataFrame, limit: int = fixed.POOL_S
     Both lists carry ``pos``. One exchange by user serves the de-duplication and
     the numbering; a user has at most the two list lengths.
     """
+    pos = F.col("pos").cast("long")
+    # One number orders both lists, which keeps the de-duplication a hash aggregate.
     both = (
-        first.select("user_id", "song_id", F.lit(0).alias("src"), F.col("pos").cast("long").alias("pos"))
-        .unionByName(second.select("user_id", "song_id", F.lit(1).alias("src"),
-                                   F.col("pos").cast("long").alias("pos")))
+        first.select("user_id", "song_id", pos.alias("place"))
+        .unionByName(second.select("user_id", "song_id", (pos + F.lit(_SECOND_LIST)).alias("place")))
         .repartition("user_id")
     )
-    placed = both.groupBy("user_id", "song_id").agg(F.min(F.struct("src", "pos")).alias("place"))
-    order = Window.partitionBy("user_id").orderBy("place.src", "place.pos")
+    placed = both.groupBy("user_id", "song_id").agg(F.min("place").alias("place"))
+    order = Window.partitionBy("user_id").orderBy("place")
     numbered = placed.withColumn("cand_pos", F.row_number().over(order))
     return numbered.where(F.col("cand_pos") <= limit).select("user_id", "song_id", "cand_pos")
 

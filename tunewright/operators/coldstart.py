@@ -149,7 +149,7 @@ def artist_cap_pick(pool: DataFrame, quotas: DataFrame, max_quota: int, strict:
         free = best.join(state.select("user_id", "used"), "user_id").where(
             ~F.arrays_overlap("row.artists", "used")).select("user_id", "row")
         head = free.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= prefix + 1)
-        heads = head.groupBy("user_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+        heads = head.groupBy("user_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
         stepped = state.join(heads, "user_id", "left").select(
             "user_id", "quota",
             (F.coalesce(F.size("rows"), F.lit(0)) > prefix).alias("_more"),
@@ -258,7 +258,7 @@ def _taste_lists(scored: DataFrame, segments: DataFrame, limit: int, diverse: bo
     heads = prefix.withColumn("_n", F.row_number().over(in_taste)).where(F.col("_n") <= limit + 1)
     return (
         heads.groupBy(*taste)
-        .agg(F.array_sort(F.collect_list("row")).alias("rows"), F.max("_edge").alias("_edge"))
+        .agg(F.sort_array(F.collect_list("row")).alias("rows"), F.max("_edge").alias("_edge"))
         .select(*taste, F.slice("rows", 1, limit).alias("rows"),
                 ((F.size("rows") > limit) | F.col("_edge").isNotNull()).alias("more"))
     )
@@ -285,14 +285,16 @@ def _artist_lists(lean: DataFrame, limit: int) -> DataFrame:
         F.collect_list(F.when(F.col("cut"), F.col("edge"))).alias("edges"))
 
 
-def _familiar_rows(songs: Column) -> Column:
-    """Turn listed songs into scored rows for the user at hand."""
+def _familiar_rows(songs: Column | str) -> Column:
+    """Songs listed under one known artist as scored rows, with that artist's ``tier``.
+
+    A song with a better matching second artist is also listed there; its better
+    copy ranks first and decides, because both copies block each other.
+    """
     def score(s):
-        place = F.when(s["gk"] > 0, s["gk"])
-        genre = F.coalesce(F.try_element_at(F.col("gv"), place), F.lit(0.0))
-        match = scalars.name_match(s["artists"], "favorite_artists", "recent_artists")
+        genre = F.coalesce(F.get(F.col("weights"), s["gk"]), F.lit(0.0))
         return F.struct(
-            (-scalars.familiar_score(match, genre, s["pop"])).alias("neg"),
+            (-scalars.familiar_score(F.col("tier"), genre, s["pop"])).alias("neg"),
             s["song_ord"].alias("song_ord"), s["song_id"].alias("song_id"), s["artists"].alias("artists"))
     return F.transform(songs, score)
 
@@ -312,6 +314,8 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
         F.coalesce("recent_artists", names).alias("recent_artists"),
         "exploration_weight", "mood_targets", "genre_vector", *_taste(),
     ).withColumn("known", F.array_union("favorite_artists", "recent_artists"))
+    # The walk over the lists is the costly part: spread users however they are stored.
+    asked = asked.repartition("user_id")
     tastes = asked.select("te", "tv", "gv").distinct()
     segments = _segments(tastes, vocabulary)
     scored = _taste_scored(lean, segments)
@@ -319,12 +323,16 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
     plain = _taste_lists(scored, segments, list_rows, False).select(
         "te", "tv", "gv", F.col("rows").alias("plain_rows"), F.col("more").alias("plain_more"))
 
-    named = asked.select("user_id", F.explode("known").alias("artist")).join(
-        _artist_lists(lean, list_rows), "artist")
-    # A song listed under two artists appears twice; its first copy blocks the second.
-    listed = named.groupBy("user_id").agg(
-        F.flatten(F.collect_list("rows")).alias("fam_songs"),
-        F.flatten(F.collect_list("edges")).alias("fam_edges"))
+    named = asked.select(
+        "user_id", "favorite_artists", F.concat(F.array(F.lit(0.0)), "gv").alias("weights"),
+        F.explode("known").alias("artist"),
+    ).withColumn("tier", F.when(F.array_contains("favorite_artists", F.col("artist")), fixed.FAVOURITE_MATCH)
+                 .otherwise(fixed.RECENT_MATCH))
+    listed = named.join(_artist_lists(lean, list_rows), "artist").select(
+        "user_id", _familiar_rows("rows").alias("rows"), _familiar_rows("edges").alias("edges"),
+    ).groupBy("user_id").agg(
+        F.sort_array(F.flatten(F.collect_list("rows"))).alias("fam_rows"),
+        F.array_min(F.flatten(F.collect_list("edges"))).alias("edge"))
     slots = slot_counts(asked, top_n)
 
     none = _no_picks(kind)
@@ -333,10 +341,8 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
         .join(diverse, ["te", "tv", "gv"], "left").join(plain, ["te", "tv", "gv"], "left")
     )
     familiar = start.select(
-        "user_id", "known", "discovery_slots", "familiar_slots", "rows", "more", "plain_rows", "plain_more",
-        F.array_min(_familiar_rows(F.col("fam_edges"))).alias("edge"),
-        _greedy(F.array_sort(F.coalesce(_familiar_rows(F.col("fam_songs")), none)),
-                F.col("familiar_slots"), none, names)["picks"].alias("fam"),
+        "user_id", "known", "discovery_slots", "familiar_slots", "rows", "more", "plain_rows", "plain_more", "edge",
+        _greedy(F.coalesce("fam_rows", none), F.col("familiar_slots"), none, names)["picks"].alias("fam"),
     )
     last = F.try_element_at("fam", F.lit(-1))
     # A cut list cannot matter when all picks rank at or before its last kept row.

@@ -54,10 +54,9 @@ def explained_variance(model: PipelineModel) -> float:
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str, count: str,
-                 weight: Column | None = None) -> DataFrame:
-    amount = F.lit(1) if weight is None else weight
+                 weight: str | None = None) -> DataFrame:
     dim = vectors.dimension(df, vector)
-    sums = vectors.sum_vectors(df, keys, vector, dim, weight, (F.sum(amount).alias(count),))
+    sums = vectors.sum_vectors(df, keys, vector, dim, weight, **{count: f"sum({weight or 1})"})
     return sums.select(*keys, vectors.tagged(vectors.divide("vector_sum", F.col(count)), out, dim), count)
 
 
@@ -81,8 +80,7 @@ def user_embedding(interactions: DataFrame, song_vectors: DataFrame,
     """
     pairs = liked_counts(interactions).join(song_vectors.select("song_id", "embedding"), "song_id")
     dim = vectors.dimension(song_vectors, "embedding")
-    sums = vectors.sum_vectors(pairs, ["user_id"], "embedding", dim, F.col("likes"),
-                               (F.sum("likes").alias("n_liked"),))
+    sums = vectors.sum_vectors(pairs, ["user_id"], "embedding", dim, "likes", n_liked="sum(likes)")
     means = sums.select(
         "user_id", vectors.tagged(vectors.divide("vector_sum", F.col("n_liked")), "embedding", dim), "n_liked")
     if artist_vectors is None:
@@ -106,8 +104,7 @@ def user_artist_vector(interactions: DataFrame, songs: DataFrame, artist_vectors
     )
     named = by_artist.join(artist_vectors.select("artist_id", "embedding"), "artist_id")
     dim = vectors.dimension(artist_vectors, "embedding")
-    sums = vectors.sum_vectors(named, ["user_id"], "embedding", dim, F.col("likes"),
-                               (F.sum("likes").alias("n_liked"),))
+    sums = vectors.sum_vectors(named, ["user_id"], "embedding", dim, "likes", n_liked="sum(likes)")
     mean = vectors.divide("vector_sum", F.col("n_liked"))
     return sums.select("user_id", vectors.tagged(mean, "artist_vector", dim))
 
@@ -121,8 +118,7 @@ def liked_direction(interactions: DataFrame, song_vectors: DataFrame) -> DataFra
     directions = song_vectors.select("song_id", vectors.unit("embedding").alias("direction"))
     pairs = liked_counts(interactions).join(directions, "song_id")
     dim = vectors.dimension(song_vectors, "embedding")
-    sums = vectors.sum_vectors(pairs, ["user_id"], "direction", dim, F.col("likes"),
-                               (F.sum("likes").alias("n_directions"),))
+    sums = vectors.sum_vectors(pairs, ["user_id"], "direction", dim, "likes", n_directions="sum(likes)")
     return sums.withColumnRenamed("vector_sum", "liked_sum")
 
 
@@ -181,7 +177,6 @@ def group_cosine_mean(song_vectors: DataFrame, group: str = "artist_id") -> Data
     """Row means of the pairwise cosine matrix within each group, from one vector sum per group."""
     directions = song_vectors.select("song_id", group, vectors.unit("embedding").alias("direction"))
     dim = vectors.dimension(song_vectors, "embedding")
-    sums = vectors.sum_vectors(directions, [group], "direction", dim, None,
-                               (F.count(F.lit(1)).alias("n_directions"),))
+    sums = vectors.sum_vectors(directions, [group], "direction", dim, n_directions="count(1)")
     joined = directions.join(sums.withColumnRenamed("vector_sum", "liked_sum"), group)
     return joined.select("song_id", group, mean_cosine().alias("mean_cosine"))

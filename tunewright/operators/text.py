@@ -10,8 +10,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunewright import session
 from tunewright.functions import fixed
 from tunewright.operators import similarity
+from tunewright.sources import tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -107,10 +109,15 @@ def postings(documents: DataFrame, vocab: DataFrame, key: str = "song_id") -> Da
     return rows.join(F.broadcast(vocab.select("term_id", "term")), "term_id").select("term", key, "weight")
 
 
-def build_text_index(docs: DataFrame, key: str = "song_id", max_terms: int = fixed.MAX_TERMS) -> dict:
-    vocab = vocabulary(docs, key, max_terms)
-    documents = weighted_documents(docs, vocab, key)
-    return {"vocabulary": vocab, "documents": documents, "postings": postings(documents, vocab, key)}
+def build_text_index(docs: DataFrame, path: str | None = None, key: str = "song_id",
+                     max_terms: int = fixed.MAX_TERMS) -> dict[str, DataFrame]:
+    """Vocabulary, weighted documents and postings, each written before the next one reads it."""
+    spark = docs.sparkSession
+    path = path or session.shared_path(spark, "text-index")
+    vocab = tables.write_through(vocabulary(docs, key, max_terms), f"{path}/vocabulary")
+    documents = tables.write_through(weighted_documents(docs, vocab, key), f"{path}/documents")
+    tables.write_postings(postings(documents, vocab, key), f"{path}/postings", key)
+    return tables.read_text_index(spark, path)
 
 
 def query_vectors(queries: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def write_embeddings(spark, sf):
     "SELECT id AS song_id, term, weight FROM doc_w", "doc_w"), doubles=("weight",))
 def write_text_index(spark, sf):
     path = session.shared_path(spark, "text-index")
-    tables.write_text_index(path, **text.build_text_index(b.documents(spark, sf)))
+    text.build_text_index(b.documents(spark, sf), path)
     return tables.read_text_index(spark, path)["postings"].select("song_id", "term", "weight")
 
 

@@ -37,12 +37,8 @@ def describe_songs(songs: DataFrame) -> DataFrame:
 
 def build_text_index(songs: DataFrame, path: str | None = None,
                      max_terms: int = fixed.MAX_TERMS) -> dict[str, DataFrame]:
-    """Text index over song descriptions, written when a path is given."""
-    index = text.build_text_index(describe_songs(songs), "song_id", max_terms)
-    if path is not None:
-        tables.write_text_index(path, **index)
-        index = tables.read_text_index(songs.sparkSession, path)
-    return index
+    """Text index over song descriptions, written under ``path``."""
+    return text.build_text_index(describe_songs(songs), path, "song_id", max_terms)
 
 
 def rank_users(songs: DataFrame, users: DataFrame, as_of: Column, interactions: DataFrame,

@@ -329,7 +329,8 @@ def rank_features(spark, sf):
     return pool_features(spark, sf)
 
 
-@query("feature_matrix")
+@query("feature_matrix", check("SELECT user_id, song_id, unnest(range(0, 6)) AS pos, unnest([" + ", ".join(FEATURES)
+                              + "]) AS x FROM pool_features", "pool_features"), doubles=("x",), wholes=("pos",))
 def feature_matrix(spark, sf):
     from pyspark.ml.functions import vector_to_array
     return ranking.feature_matrix(pool_features(spark, sf)).select(

@@ -30,21 +30,20 @@ def read_vectors(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     return read_if_present(spark, f"{path}/{name}")
 
 
-def write_text_index(path: str, vocabulary: DataFrame, documents: DataFrame,
-                     postings: DataFrame) -> None:
-    """Vocabulary, weighted documents and postings.
+def write_through(table: DataFrame, path: str) -> DataFrame:
+    """Write a table and go on from the written copy."""
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
-    Postings are laid out by (term, document) ranges: a term lookup skips files
-    by their min/max, and a term found in a third of all documents still spans
-    many files.
+
+def write_postings(postings: DataFrame, path: str, key: str = "song_id") -> None:
+    """Postings laid out by (term, document) ranges.
+
+    A term lookup skips files by their min/max, and a term found in a third of
+    all documents still spans many files.
     """
-    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    documents.write.mode("overwrite").parquet(f"{path}/documents")
-    (
-        postings.repartitionByRange("term", "song_id")
-        .sortWithinPartitions("term", "song_id")
-        .write.mode("overwrite").parquet(f"{path}/postings")
-    )
+    placed = postings.repartitionByRange("term", key).sortWithinPartitions("term", key)
+    placed.write.mode("overwrite").parquet(path)
 
 
 def read_text_index(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:

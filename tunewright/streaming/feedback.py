@@ -52,8 +52,7 @@ def stream_user_embedding(interactions: DataFrame, song_vectors: DataFrame, stat
 
     def add(batch: DataFrame, number: int) -> None:
         pairs = embeddings.liked_counts(batch).join(song_vectors.select("song_id", "embedding"), "song_id")
-        sums = vectors.sum_vectors(pairs, ["user_id"], "embedding", dim, F.col("likes"),
-                                   (F.sum("likes").alias("n_liked"),))
+        sums = vectors.sum_vectors(pairs, ["user_id"], "embedding", dim, "likes", n_liked="sum(likes)")
         sums.write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     return (
@@ -66,7 +65,7 @@ def read_user_embedding(spark: SparkSession, state: str) -> DataFrame:
     """User vectors as the mean over all batches; equal to the batch result without a blend."""
     rows = spark.read.option("basePath", state).parquet(f"{state}/batch=*")
     dim = vectors.dimension(rows, "vector_sum")
-    sums = vectors.sum_vectors(rows, ["user_id"], "vector_sum", dim, None, (F.sum("n_liked").alias("n_liked"),))
+    sums = vectors.sum_vectors(rows, ["user_id"], "vector_sum", dim, n_liked="sum(n_liked)")
     return sums.select("user_id", vectors.divide("vector_sum", F.col("n_liked")).alias("embedding"), "n_liked")
 
 
@@ -74,7 +73,7 @@ def compact_user_embedding(spark: SparkSession, state: str, target: str) -> None
     """Fold all batches of a state folder into one batch of a new folder."""
     rows = spark.read.option("basePath", state).parquet(f"{state}/batch=*")
     dim = vectors.dimension(rows, "vector_sum")
-    vectors.sum_vectors(rows, ["user_id"], "vector_sum", dim, None, (F.sum("n_liked").alias("n_liked"),)) \
+    vectors.sum_vectors(rows, ["user_id"], "vector_sum", dim, n_liked="sum(n_liked)") \
         .write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
