@@ -162,7 +162,7 @@ def test_group_split_keeps_users_whole(spark):
 def test_top_artists_and_search(spark):
     songs = spark.createDataFrame([(1, "Red Sky", "Ann; Bob", 0.5, 1), (2, "Blue", "Bob", 0.9, 2), (3, "Infrared", ";Cy", 0.1, 3)],
                                   "song_id int, title string, artist_name string, popularity double, song_ord int").withColumn(
-        "genre", F.lit("")).withColumn("artists", F.transform(F.split("artist_name", ";"), F.trim))
+        "genre", F.lit("")).withColumn("artists", F.transform(F.split("artist_name", ";"), lambda x: F.trim(x)))
     assert [r["artist"] for r in artists.top_artists(songs, 2).collect()] == ["Ann", "Bob"]
     assert [r["song_id"] for r in artists.song_search(songs, "rEd").collect()] == [1, 3]
     chosen = spark.createDataFrame([(1,)], "song_id int")

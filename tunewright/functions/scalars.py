@@ -50,7 +50,7 @@ def round_once(c: Column, digits: int) -> Column:
 
 def split_artists(c: Column | str) -> Column:
     """Distinct trimmed names of a ``;`` list."""
-    return F.array_distinct(F.transform(F.split(F.coalesce(col(c), F.lit("")), ";"), F.trim))
+    return F.array_distinct(F.transform(F.split(F.coalesce(col(c), F.lit("")), ";"), lambda name: F.trim(name)))
 
 
 def primary_artist(c: Column | str) -> Column:
