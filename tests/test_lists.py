@@ -168,3 +168,26 @@ def test_top_artists_and_search(spark):
     chosen = spark.createDataFrame([(1,)], "song_id int")
     assert [r["song_id"] for r in artists.song_search(songs, "red", chosen).collect()] == [3]
     assert artists.song_search(songs, "  ").count() == 0
+
+
+def test_search_of_many_texts_equals_single_searches(spark):
+    songs = spark.createDataFrame([(i, f"Tune {i * 37 % 50}", f"Ann {i % 7};Bob", i) for i in range(80)],
+                                  "song_id int, title string, artist_name string, song_ord int").withColumn("genre", F.lit(""))
+    texts = {1: "E 1", 2: "ann 3", 3: "none", 4: " ", 5: "bob", 6: "BOB"}
+    queries = spark.createDataFrame(list(texts.items()), "query_id int, text string")
+    chosen = spark.createDataFrame([(5, 0), (5, 1), (2, 3)], "query_id int, song_id int")
+    for blocks in ({}, {"item_rows": 16}):
+        got = artists.song_search_many(songs, queries, chosen, 5, **blocks).orderBy("query_id", "pos").collect()
+        for q, t in texts.items():
+            want = artists.song_search(songs, t, chosen.where(F.col("query_id") == q), 5).collect()
+            assert [r["song_id"] for r in got if r["query_id"] == q] == [r["song_id"] for r in want]
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    data = {"a": rng.integers(0, 9, 501).astype(float), "b": rng.random(640), "c": np.array([3.0])}
+    rows = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs], "k string, v double")
+    for r in ordering.quantiles(rows, "k", "v", [0.25, 0.5, 0.9], 8).collect():
+        assert [r["q_0"], r["q_1"], r["q_2"]] == pytest.approx(list(np.quantile(data[r["k"]], [0.25, 0.5, 0.9])))

@@ -78,3 +78,41 @@ def running_totals(df: DataFrame, value: str, amounts: list[str], buckets: int =
         joined = joined.withColumn(f"{a}_upto", F.col(f"_in_{a}") + F.col(f"_before_{a}"))
     drop = ["_bucket", *[f"_in_{a}" for a in amounts], *[f"_before_{a}" for a in amounts]]
     return joined.drop(*drop)
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float], buckets: int = 64) -> DataFrame:
+    """Exact, linearly interpolated quantiles ``q_0, q_1, ...`` of ``value`` per key.
+
+    For few keys with very many rows each: rows are counted per distinct value,
+    and positions come from bucket totals, never from one sort of a whole key.
+    """
+    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_rows"))
+    at = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(key).agg(F.percentile_approx(value, at, 1000).alias("_cuts"))
+    # One row of at most `buckets` numbers per key.
+    marked = counts.join(F.broadcast(cuts), key).withColumn(
+        "_bucket", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col(value)))).drop("_cuts")
+    by_key = Window.partitionBy(key)
+    earlier = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = marked.groupBy(key, "_bucket").agg(F.sum("_rows").alias("_size"))
+    offsets = sizes.select(
+        key, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_size").over(by_key).alias("_total"))
+    upto = Window.partitionBy(key, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (
+        marked.withColumn("_upto", F.sum("_rows").over(upto)).join(offsets, [key, "_bucket"])
+        .withColumn("_last", F.col("_before") + F.col("_upto") - 1)
+        .withColumn("_first", F.col("_last") - F.col("_rows") + 1)
+    )
+    aggregates = []
+    for i, share in enumerate(shares):
+        place = F.lit(float(share)) * (F.col("_total") - 1)
+        for side, position in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            here = (F.col("_first") <= position) & (position <= F.col("_last"))
+            aggregates.append(F.max(F.when(here, F.col(value))).alias(f"_{side}{i}"))
+        aggregates.append(F.max(place - F.floor(place)).alias(f"_part{i}"))
+    ends = placed.groupBy(key).agg(*aggregates)
+    return ends.select(key, *[
+        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).alias(f"q_{i}")
+        for i in range(len(shares))
+    ])

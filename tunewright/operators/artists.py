@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunewright.functions import fixed
+from tunewright.operators import similarity
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def top_artists(songs: DataFrame, limit: int = fixed.TOP_ARTISTS) -> DataFrame:
@@ -35,28 +43,37 @@ def song_search(songs: DataFrame, query: str, selected: DataFrame | None = None,
     return found.orderBy("song_ord").limit(limit).select("song_id", "title", "artist_name", "genre", "song_ord")
 
 
-def song_search_words(songs: DataFrame, queries: DataFrame, selected: DataFrame | None = None,
-                      limit: int = fixed.SONG_MATCHES) -> DataFrame:
-    """Many one-word searches at once, matched on whole words of title and artists.
+def substring_scores(queries: pa.Table, items: pa.Table):
+    """1.0 where the title or the artists hold the query text, one query at a time."""
+    titles, names = items.column("title"), items.column("names")
+    for text in queries.column("text").to_pylist():
+        hit = pc.or_(pc.match_substring(titles, text), pc.match_substring(names, text))
+        yield hit.combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False)[None, :]
+
+
+def song_search_many(songs: DataFrame, queries: DataFrame, selected: DataFrame | None = None,
+                     limit: int = fixed.SONG_MATCHES, **blocks) -> DataFrame:
+    """``song_search`` for many queries: ``query_id, song_id, title, pos``.
 
-    ``queries`` has ``query_id, word``. Each word keeps its first songs before
-    the queries are joined, so a common word never meets each query in full.
-    With ``selected(query_id, song_id)`` a word keeps enough rows for the
-    longest list of exclusions.
+    Equal texts are searched once, block against block, keeping the first songs
+    of each. With ``selected(query_id, song_id)`` a text keeps enough further
+    songs for the longest list of exclusions.
     """
-    words = F.array_distinct(F.concat(
-        F.split(F.lower("title"), r"\s+"), F.split(F.lower("artist_name"), r"[\s;]+")))
-    credits = songs.select(F.explode(words).alias("word"), "song_id", "title", "song_ord")
+    asked = queries.select("query_id", F.lower("text").alias("text")).where(F.trim("text") != "")
     spare = 0
     if selected is not None:
-        row = selected.groupBy("query_id").agg(F.count_distinct("song_id").alias("n")).agg(
-            F.max("n").alias("most")).first()
-        spare = row["most"] or 0
-    first = Window.partitionBy("word").orderBy("song_ord")
-    heads = credits.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit + spare).drop("_n")
-    found = queries.select("query_id", F.lower(F.trim("word")).alias("word")).join(heads, "word")
+        counts = selected.groupBy("query_id").agg(F.count_distinct("song_id").alias("n"))
+        spare = counts.agg(F.max("n").alias("most")).first()["most"] or 0
+    texts = asked.select(F.col("text").alias("query_id"), "text").distinct()
+    offered = songs.select(
+        F.col("song_id").alias("item_id"), F.col("song_ord").alias("item_ord"),
+        F.lower(F.coalesce("title", F.lit(""))).alias("title"),
+        F.lower(F.coalesce("artist_name", F.lit(""))).alias("names"))
+    hits = similarity.paired_topk(texts, offered, substring_scores, limit + spare, **blocks).where("score > 0")
+    found = asked.join(hits.select(F.col("query_id").alias("text"), F.col("item_id").alias("song_id"),
+                                   F.col("item_ord").alias("song_ord")), "text")
     if selected is not None:
         found = found.join(selected.select("query_id", "song_id"), ["query_id", "song_id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy("song_ord")
-    return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select(
-        "query_id", "song_id", "title", "pos")
+    first = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+    return first.join(songs.select("song_id", "title"), "song_id").select("query_id", "song_id", "title", "pos")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tunewright import session
 from tunewright.functions import fixed, scalars, vectors
 
-LIST_ROWS = 128
+LIST_ROWS = 64
+ARTIST_ROWS = 16
 
 _PICK = "struct<neg:double,song_ord:bigint,song_id:{id},artists:array<string>>"
 
@@ -328,11 +329,22 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
         F.explode("known").alias("artist"),
     ).withColumn("tier", F.when(F.array_contains("favorite_artists", F.col("artist")), fixed.FAVOURITE_MATCH)
                  .otherwise(fixed.RECENT_MATCH))
-    listed = named.join(_artist_lists(lean, list_rows), "artist").select(
-        "user_id", _familiar_rows("rows").alias("rows"), _familiar_rows("edges").alias("edges"),
+    # Per known artist only the best rows travel on. The edge is the rank from
+    # which rows of that artist may be missing.
+    depth = min(list_rows, ARTIST_ROWS)
+    place = lambda r: F.struct(r["neg"].alias("neg"), r["song_ord"].alias("song_ord"))
+    scored_lists = named.join(_artist_lists(lean, depth), "artist").select(
+        "user_id", "artist", F.sort_array(_familiar_rows("rows")).alias("rows"),
+        F.array_min(F.transform(_familiar_rows("edges"), place)).alias("genre_edge"))
+    kept = F.slice("rows", 1, depth)
+    cut_edge = F.when(F.size("rows") > depth, place(F.col("rows")[depth - 1]))
+    edge = F.least(F.col("genre_edge"), cut_edge)
+    listed = scored_lists.select(
+        "user_id", kept.alias("rows"),
+        F.when(edge.isNotNull(), F.struct(edge.alias("place"), F.col("artist").alias("artist"))).alias("edge"),
     ).groupBy("user_id").agg(
         F.sort_array(F.flatten(F.collect_list("rows"))).alias("fam_rows"),
-        F.array_min(F.flatten(F.collect_list("edges"))).alias("edge"))
+        F.collect_list("edge").alias("edges"))
     slots = slot_counts(asked, top_n)
 
     none = _no_picks(kind)
@@ -341,15 +353,17 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
         .join(diverse, ["te", "tv", "gv"], "left").join(plain, ["te", "tv", "gv"], "left")
     )
     familiar = start.select(
-        "user_id", "known", "discovery_slots", "familiar_slots", "rows", "more", "plain_rows", "plain_more", "edge",
+        "user_id", "known", "discovery_slots", "familiar_slots", "rows", "more", "plain_rows", "plain_more",
+        F.coalesce("edges", F.array().cast("array<struct<place:struct<neg:double,song_ord:bigint>,artist:string>>")).alias("edges"),
         _greedy(F.coalesce("fam_rows", none), F.col("familiar_slots"), none, names)["picks"].alias("fam"),
     )
+    # Rows missing behind an edge change nothing when their artist was taken at
+    # or before it, or when all places were filled by then.
     last = F.try_element_at("fam", F.lit(-1))
-    # A cut list cannot matter when all picks rank at or before its last kept row.
-    fam_open = F.col("edge").isNotNull() & (
-        (F.size("fam") < F.col("familiar_slots"))
-        | ((F.size("fam") > 0) & (F.struct(last["neg"], last["song_ord"])
-                                  > F.struct(F.col("edge")["neg"], F.col("edge")["song_ord"]))))
+    filled = (F.size("fam") == F.col("familiar_slots"))
+    fam_open = F.exists("edges", lambda e: ~F.exists(
+        "fam", lambda p: (place(p) <= e["place"]) & F.array_contains(p["artists"], e["artist"])
+    ) & ~(filled & ((F.size("fam") == 0) | F.coalesce(place(last) <= e["place"], F.lit(False)))))
     unknown = lambda rows: F.filter(
         F.coalesce(rows, none), lambda r: ~F.arrays_overlap(r["artists"], F.col("known")))
     discovery = familiar.withColumn("fam_open", fam_open).withColumn(

@@ -34,16 +34,20 @@ def ngrams_1_2(tokens: Column | str) -> Column:
     return F.concat(t, F.zip_with(leading, following, lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def term_counts(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
-    """``key, term, tf``.
+def _terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, term``, one row per occurrence.
 
     Texts are exchanged once by key; counting and every later step per document
     then need no further exchange, and one exchange of the text is smaller than
     one of its (document, term) rows.
     """
     tokens = docs.repartition(F.col(key)).select(key, tokenize(text).alias("tokens"))
-    terms = tokens.select(key, F.explode(ngrams_1_2("tokens")).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tokens.select(key, F.explode(ngrams_1_2("tokens")).alias("term"))
+
+
+def term_counts(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
+    """``key, term, tf``."""
+    return _terms(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_count(docs: DataFrame) -> Column:
@@ -84,17 +88,17 @@ def tfidf_weights(counts: DataFrame, vocab: DataFrame, key: str = "song_id") ->
 def weighted_documents(docs: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:
     """One row per document with parallel ``terms`` and ``weights`` arrays.
 
-    Built after the exchange by key in ``term_counts``, so the grouping is
-    local. A document has at most as many entries as the vocabulary. Documents
-    without any known term keep a row with empty arrays.
+    Terms are replaced by their numbers before they are counted, and all steps
+    after the one exchange by key are local. A document has at most as many
+    entries as the vocabulary; one without any known term has no row.
     """
-    counts = term_counts(docs, key)
-    raw = counts.join(F.broadcast(vocab.select("term", "term_id", "idf")), "term", "left").withColumn(
-        "raw", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
-    entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "raw"))
+    numbers = F.broadcast(vocab.select("term", "term_id", "idf"))
+    known = _terms(docs, key).join(numbers, "term")
+    counts = known.groupBy(key, "term_id", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    raw = counts.withColumn("raw", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
     gathered = raw.groupBy(key).agg(
-        F.array_sort(F.collect_list(entry)).alias("entries"),
-        F.sqrt(F.coalesce(F.sum(F.col("raw") * F.col("raw")), F.lit(0.0))).alias("length"))
+        F.sort_array(F.collect_list(F.struct("term_id", "raw"))).alias("entries"),
+        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
     return gathered.select(
         key,
         F.col("entries.term_id").alias("terms"),

@@ -58,16 +58,13 @@ def feature_profile(features: DataFrame, columns: list[str] = fixed.FEATURES) ->
     long = features.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("e")).select("e.feature", "e.value")
-    # Exact quartiles: percentile counts distinct values map-side.
-    quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = long.groupBy("feature").agg(
         F.count("value").alias("n_rows"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), quartiles.alias("_q"), F.max("value").alias("max"))
-    return stats.select(
-        "feature", "n_rows", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"),
-        F.round("min", 3).alias("min"), F.round(F.col("_q")[0], 3).alias("q25"),
-        F.round(F.col("_q")[1], 3).alias("q50"), F.round(F.col("_q")[2], 3).alias("q75"),
-        F.round("max", 3).alias("max"))
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    quartiles = ordering.quantiles(long, "feature", "value", [0.25, 0.5, 0.75])
+    named = stats.join(quartiles, "feature").withColumnsRenamed({"q_0": "q25", "q_1": "q50", "q_2": "q75"})
+    numbers = ["mean", "std", "min", "q25", "q50", "q75", "max"]
+    return named.select("feature", "n_rows", *[F.round(c, 3).alias(c) for c in numbers])
 
 
 def group_split(rows: DataFrame, test_share: float = fixed.TEST_SHARE, seed: int = fixed.SEED) -> DataFrame:
