@@ -89,8 +89,7 @@ def quantiles(df: DataFrame, key: str, value: str, shares: list[float], buckets:
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_rows"))
     at = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(key).agg(F.percentile_approx(value, at, 1000).alias("_cuts"))
-    # One row of at most `buckets` numbers per key.
-    marked = counts.join(F.broadcast(cuts), key).withColumn(
+    marked = counts.join(cuts, key).withColumn(
         "_bucket", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col(value)))).drop("_cuts")
     by_key = Window.partitionBy(key)
     earlier = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -210,6 +210,7 @@ def _lean(songs: DataFrame, vocabulary: list[str]) -> DataFrame:
         "song_id", F.col("song_ord").cast("long").alias("song_ord"),
         F.array_sort(F.array_distinct("artists")).alias("artists"),
         scalars.genre_key("genre", vocabulary).alias("gk"),
+        *([F.col("artist_id")] if "artist_id" in songs.columns else []),
         "mood_energy", "mood_valence", F.col("popularity_norm").alias("pop"))
 
 
@@ -301,10 +302,14 @@ def _familiar_rows(songs: Column | str) -> Column:
 
 
 def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.FINAL_ROWS,
-                         vocabulary: list[str] = fixed.GENRES, list_rows: int = LIST_ROWS) -> DataFrame:
+                         vocabulary: list[str] = fixed.GENRES, list_rows: int = LIST_ROWS,
+                         user_artist_vectors: DataFrame | None = None,
+                         artist_vectors: DataFrame | None = None) -> DataFrame:
     """``user_id, song_id, song_ord, score, familiar, rank`` with ``top_n`` rows per user.
 
-    ``songs`` must be unique by ``song_id``.
+    ``songs`` must be unique by ``song_id``. Users with an artist vector have
+    their familiar songs scored by its cosine, which no shared list can hold,
+    and are solved on their full pools.
     """
     lean = _lean(songs, vocabulary)
     kind = _pick_type(lean)
@@ -317,6 +322,10 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
     ).withColumn("known", F.array_union("favorite_artists", "recent_artists"))
     # The walk over the lists is the costly part: spread users however they are stored.
     asked = asked.repartition("user_id")
+    by_vector = user_artist_vectors is not None and artist_vectors is not None
+    everyone = asked
+    if by_vector:
+        asked = everyone.join(user_artist_vectors.select("user_id"), "user_id", "left_anti")
     tastes = asked.select("te", "tv", "gv").distinct()
     segments = _segments(tastes, vocabulary)
     scored = _taste_scored(lean, segments)
@@ -391,26 +400,37 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
     result = place("fam", True).unionByName(place("disc", False)).withColumn(
         "rank", F.row_number().over(order)).drop("pos")
     open_users = first.where("unsure").select("user_id")
+    if by_vector:
+        holders = everyone.join(user_artist_vectors.select("user_id"), "user_id", "left_semi").select("user_id")
+        open_users = session.settle(open_users.unionByName(holders), "open-users")
     if open_users.isEmpty():
         return result
-    slow = asked.join(open_users, "user_id", "left_semi")
+    slow = everyone.join(open_users, "user_id", "left_semi")
+    familiar_pool = _familiar_pool(lean, slow, user_artist_vectors, artist_vectors if by_vector else None)
     return result.unionByName(
-        slot_reservation(_familiar_pool(lean, slow), _discovery_pool(lean, slow, vocabulary), slow, top_n, list_rows)
+        slot_reservation(familiar_pool, _discovery_pool(lean, slow, vocabulary), slow, top_n, list_rows)
         .select(*result.columns))
 
 
-def _familiar_pool(lean: DataFrame, users: DataFrame) -> DataFrame:
-    """Full familiar pool of a few users; songs with two known artists appear once."""
-    reduced = Window.partitionBy("artists", "gk").orderBy(F.desc("pop"), "song_ord")
+def _familiar_pool(lean: DataFrame, users: DataFrame, user_artist_vectors: DataFrame | None = None,
+                   artist_vectors: DataFrame | None = None) -> DataFrame:
+    """Full familiar pool of a few users; songs with two known artists appear once.
+
+    Songs equal in artists, genre and (where vectors count) artist id differ in
+    popularity alone, so the best of them stands for all.
+    """
+    same = ["artists", "gk"] + ([] if artist_vectors is None else ["artist_id"])
+    reduced = Window.partitionBy(*same).orderBy(F.desc("pop"), "song_ord")
     best = lean.withColumn("_n", F.row_number().over(reduced)).where(F.col("_n") == 1)
-    credits = best.select("*", F.explode("artists").alias("artist"))
+    credits = best.select("song_id", F.explode("artists").alias("artist"))
     pairs = users.select("user_id", F.explode("known").alias("artist")).join(credits, "artist").select(
         "user_id", "song_id").distinct()
+    named = best if "artist_id" in best.columns else best.withColumn("artist_id", F.lit(""))
+    matched = artist_similarity_cold(pairs, named, users, user_artist_vectors, artist_vectors)
     genre = F.coalesce(F.try_element_at("gv", F.when(F.col("gk") > 0, F.col("gk"))), F.lit(0.0))
-    match = scalars.name_match("artists", "favorite_artists", "recent_artists")
-    return pairs.join(best, "song_id").join(users, "user_id").select(
+    return matched.join(best, "song_id").join(users.select("user_id", "gv"), "user_id").select(
         "user_id", "song_id", "song_ord", "artists",
-        scalars.familiar_score(match, genre, F.col("pop")).alias("score"))
+        scalars.familiar_score(F.col("artist_similarity"), genre, F.col("pop")).alias("score"))
 
 
 def _discovery_pool(lean: DataFrame, users: DataFrame, vocabulary: list[str]) -> DataFrame:

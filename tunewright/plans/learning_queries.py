@@ -61,7 +61,7 @@ _DESCRIBE = " UNION ALL ".join(f"""
 
 @query("feature_profile", check(_DESCRIBE, "training"), doubles=("mean", "std", "min", "q25", "q50", "q75", "max"))
 def feature_profile(spark, sf):
-    return training.feature_profile(training_rows(spark, sf))
+    return training.feature_profile(session.settle(training_rows(spark, sf), "training-rows"))
 
 
 _SPLIT = f"""(SELECT *, user_id IN (SELECT user_id FROM (SELECT user_id, row_number() OVER (

@@ -221,6 +221,22 @@ part("near_users_songs", "SELECT n.* FROM near_songs n SEMI JOIN users u ON u.us
 pool("pool", "near_users_songs", "known_songs")
 
 
+part("near_artists", """
+  SELECT user_id, artist_id, similarity, rank FROM (SELECT user_id, artist_id, similarity,
+      row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, artist_id) AS rank
+    FROM (SELECT t.user_id, a.artist_id, round(list_cosine_similarity(t.artist_vector, a.embedding), 9) AS similarity
+      FROM brand_taste t CROSS JOIN brand_vec a)) WHERE rank <= 10""", "brand_taste", "brand_vec")
+part("near_artist_songs", """
+  SELECT user_id, song_id, pos FROM (SELECT n.user_id, f.song_id,
+      row_number() OVER (PARTITION BY n.user_id ORDER BY f.song_ord) AS pos
+    FROM near_artists n JOIN fresh f USING (artist_id)) WHERE pos <= 200""", "near_artists", "fresh")
+part("artist_part", """
+  SELECT user_id, song_id, pos FROM near_artist_songs
+  UNION ALL SELECT k.user_id, k.song_id, k.pos FROM known_songs k ANTI JOIN brand_taste t ON t.user_id = k.user_id""",
+     "near_artist_songs", "known_songs", "brand_taste")
+pool("artist_pool", "near_users_songs", "artist_part")
+
+
 def features(name: str, source: str, with_artist: bool = False) -> None:
     artist = "coalesce(round(list_cosine_similarity(t.artist_vector, a.embedding), 9), 0.0)" if with_artist else "0.0::DOUBLE"
     joins = "LEFT JOIN brand_taste t USING (user_id) LEFT JOIN brand_vec a ON a.artist_id = s.artist_id" if with_artist else ""
@@ -251,6 +267,9 @@ def ranked(name: str, source: str) -> None:
 features("pool_features", "pool")
 ranked("pool_ranked", "pool_features")
 
+features("artist_pool_features", "artist_pool", True)
+ranked("artist_pool_ranked", "artist_pool_features")
+
 part("descriptions", """
   SELECT song_id, song_ord, title, string_split(artist_name, ';')[1] AS artist,
     '"' || title || '" by ' || string_split(artist_name, ';')[1] || CASE WHEN genre <> '' THEN ' — ' || genre ELSE '' END

@@ -107,20 +107,13 @@ def similar_songs_topk(spark, sf):
     return similarity.similar_songs_topk(user_vectors(spark, sf), offered, 100).drop("item_ord")
 
 
-_NEAR_ARTISTS = """
-  SELECT user_id, artist_id, similarity, rank FROM (SELECT user_id, artist_id, similarity,
-      row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, artist_id) AS rank
-    FROM (SELECT t.user_id, a.artist_id, round(list_cosine_similarity(t.artist_vector, a.embedding), 9) AS similarity
-      FROM brand_taste t CROSS JOIN brand_vec a)) WHERE rank <= 10"""
-
-
 def brands(spark, sf):
     """(artist vectors, user artist vectors) under the catalog's artist ids."""
     by_brand = embeddings.artist_embedding(brand_vectors(spark, sf))
     return by_brand, embeddings.user_artist_vector(b.interactions(spark, sf), b.songs(spark, sf), by_brand)
 
 
-@query("similar_artists_topk", check(_NEAR_ARTISTS, "brand_taste", "brand_vec"), doubles=("similarity",))
+@query("similar_artists_topk", check("SELECT * FROM near_artists", "near_artists"), doubles=("similarity",))
 def similar_artists_topk(spark, sf):
     by_brand, wanted = brands(spark, sf)
     return similarity.similar_artists_topk(wanted, by_brand, fixed.SIMILAR_ARTISTS)
@@ -233,11 +226,7 @@ def fresh_songs(spark, sf):
     return candidates.fresh_songs(b.songs(spark, sf), b.as_of()).select("song_id", "release_date")
 
 
-@query("similar_artist_songs", check("""
-  SELECT user_id, song_id, pos FROM (SELECT n.user_id, f.song_id,
-      row_number() OVER (PARTITION BY n.user_id ORDER BY f.song_ord) AS pos
-    FROM near_artists n JOIN fresh f USING (artist_id)) WHERE pos <= 200""".replace(
-        "near_artists", f"({_NEAR_ARTISTS})"), "fresh", "brand_taste", "brand_vec"))
+@query("similar_artist_songs", check("SELECT user_id, song_id, pos FROM near_artist_songs", "near_artist_songs"))
 def similar_artist_songs(spark, sf):
     by_brand, wanted = brands(spark, sf)
     near = similarity.similar_artists_topk(wanted, by_brand, fixed.SIMILAR_ARTISTS)
@@ -350,6 +339,15 @@ def rank(spark, sf):
                            b.song_vectors(spark, sf))
 
 
+@query("rank_with_artist_vectors", check(
+    "SELECT user_id, song_id, cand_pos, score, rank, " + ", ".join(FEATURES) + " FROM artist_pool_ranked", "artist_pool_ranked"),
+    doubles=("score", *FEATURES))
+def rank_with_artist_vectors(spark, sf):
+    by_brand, wanted = brands(spark, sf)
+    return jobs.rank_users(b.songs(spark, sf), users(spark, sf), b.as_of(), b.interactions(spark, sf),
+                           b.song_vectors(spark, sf), artist_vectors=by_brand, user_artist_vectors=wanted)
+
+
 @query("rank_with_fallback", check("SELECT user_id, count(*) AS n_ranked, max(score) AS best FROM pool_ranked GROUP BY user_id",
                                    "pool_ranked"), doubles=("best",))
 def rank_with_fallback(spark, sf):
