@@ -116,3 +116,9 @@ def test_validation_reasons(spark):
     good, bad = profiles.validate_profiles(rows).orderBy("user_id").collect()
     assert good["valid"] and not bad["valid"]
     assert len(bad["problems"]) == 5
+
+
+@pytest.mark.parametrize("raw", ["\tAnn;Bob\n", "  Ann  ;　Bob", "Ann\r;Bob\x0b"])
+def test_strip_and_artists(spark, raw):
+    assert one(spark, scalars.split_artists("c"), c=("string", raw)) == [x.strip() for x in raw.split(";")] == ["Ann", "Bob"]
+    assert one(spark, scalars.primary_artist("c"), c=("string", raw)) == "Ann"

@@ -17,6 +17,12 @@ MOODS = {
     "Intense": (0.85, 0.25),
 }
 
+# Characters removed from both ends of a text, as Python's strip() does.
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Survey options.
 PURPOSES = ["study", "workout", "relax", "commute", "explore"]
 EXPLORATION = {"familiar": 0.1, "mixed": 0.5, "discover": 0.9}

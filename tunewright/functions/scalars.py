@@ -14,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: Column | str) -> Column:
+    """Text without whitespace of any kind at its ends (``trim`` alone removes only blanks)."""
+    return F.trim(col(c), F.lit(fixed.WHITESPACE))
+
+
 def number_or_null(c: Column | str) -> Column:
     """Double value of a numeric text, null for anything else."""
     c = col(c).cast("string")
@@ -50,16 +55,16 @@ def round_once(c: Column, digits: int) -> Column:
 
 def split_artists(c: Column | str) -> Column:
     """Distinct trimmed names of a ``;`` list."""
-    return F.array_distinct(F.transform(F.split(F.coalesce(col(c), F.lit("")), ";"), lambda name: F.trim(name)))
+    return F.array_distinct(F.transform(F.split(F.coalesce(col(c), F.lit("")), ";"), lambda name: strip(name)))
 
 
 def primary_artist(c: Column | str) -> Column:
-    return F.trim(F.split_part(F.trim(col(c)), F.lit(";"), F.lit(1)))
+    return strip(F.split_part(strip(col(c)), F.lit(";"), F.lit(1)))
 
 
 def parse_release(c: Column | str) -> Column:
     """Midnight of a ``YYYY-MM-DD`` text (padding optional), else null."""
-    text = F.trim(col(c))
+    text = strip(col(c))
     shape = text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")
     return F.when(shape, F.try_to_timestamp(text, F.lit("yyyy-M-d")))
 
@@ -120,7 +125,7 @@ def use_case_tags(energy="energy", tempo="tempo_bpm", valence="valence",
 
 def release_era(c: Column | str) -> Column:
     """Decade such as ``1990s`` from the leading year, empty when there is none."""
-    head = F.trim(F.left(col(c), F.lit(4)))
+    head = strip(F.left(col(c), F.lit(4)))
     year = F.when(head.rlike(r"^[+-]?[0-9]+$"), head.try_cast("int"))
     decade = F.floor(year / F.lit(10)) * F.lit(10)
     return F.coalesce(F.concat(decade.cast("string"), F.lit("s")), F.lit(""))
@@ -131,11 +136,11 @@ def song_description() -> Column:
     def tail(c: Column, lead: str) -> Column:
         return F.when(c != "", F.concat(F.lit(lead), c)).otherwise("")
 
-    title = F.coalesce(F.trim("title"), F.lit("Unknown"))
+    title = F.coalesce(strip("title"), F.lit("Unknown"))
     artist = F.coalesce(primary_artist("artist_name"), F.lit("Unknown"))
-    genre = F.coalesce(F.trim("genre"), F.lit(""))
-    mood = F.coalesce(F.trim("mood"), F.lit(""))
-    era = release_era(F.trim(F.coalesce(F.col("release_date"), F.lit(""))))
+    genre = F.coalesce(strip("genre"), F.lit(""))
+    mood = F.coalesce(strip("mood"), F.lit(""))
+    era = release_era(strip(F.coalesce(F.col("release_date"), F.lit(""))))
     tempo = F.format_string("%.0f", round_half_even("tempo_bpm", 0))
     valence = F.format_string("%.2f", round_half_even("valence", 2))
     lyrics = F.when(F.col("instrumentalness") >= 0.5, " instrumental no lyrics").otherwise("")
@@ -157,7 +162,7 @@ def genre_multi_hot(genres: Column | str, vocabulary=fixed.GENRES) -> Column:
 def genre_key(genre: Column | str, vocabulary=fixed.GENRES) -> Column:
     """Position of the lower-cased genre in the vocabulary (1-based), 0 when outside."""
     words = F.array(*[F.lit(g) for g in vocabulary])
-    name = F.lower(F.trim(F.coalesce(col(genre), F.lit(""))))
+    name = F.lower(strip(F.coalesce(col(genre), F.lit(""))))
     return F.array_position(words, name).cast("int")
 
 
@@ -224,7 +229,7 @@ def weighted_score(weights: dict[str, float], genre: str | None = None, mood: st
     for name, weight in weights.items():
         total = total + F.lit(float(weight)) * F.coalesce(F.col(name).cast("double"), F.lit(0.0))
     if genre is not None:
-        total = total + F.when(F.lower(F.trim("genre")) == genre.lower(), float(genre_weight)).otherwise(0.0)
+        total = total + F.when(F.lower(strip("genre")) == genre.lower(), float(genre_weight)).otherwise(0.0)
     if mood is not None:
-        total = total + F.when(F.lower(F.trim("mood")) == mood.lower(), float(mood_weight)).otherwise(0.0)
+        total = total + F.when(F.lower(strip("mood")) == mood.lower(), float(mood_weight)).otherwise(0.0)
     return total

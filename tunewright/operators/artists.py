@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunewright.functions import fixed
+from tunewright.functions import fixed, scalars
 from tunewright.operators import similarity
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,7 +28,7 @@ def top_artists(songs: DataFrame, limit: int = fixed.TOP_ARTISTS) -> DataFrame:
 
 def distinct_artist_ids(songs: DataFrame) -> DataFrame:
     """Non-blank artist ids, once each; sorted by whoever lists them."""
-    ids = songs.select("artist_id").where(F.trim(F.col("artist_id").cast("string")) != "").distinct()
+    ids = songs.select("artist_id").where(scalars.strip(F.col("artist_id").cast("string")) != "").distinct()
     return ids.orderBy("artist_id")
 
 
@@ -59,7 +59,7 @@ def song_search_many(songs: DataFrame, queries: DataFrame, selected: DataFrame |
     of each. With ``selected(query_id, song_id)`` a text keeps enough further
     songs for the longest list of exclusions.
     """
-    asked = queries.select("query_id", F.lower("text").alias("text")).where(F.trim("text") != "")
+    asked = queries.select("query_id", F.lower("text").alias("text")).where(scalars.strip("text") != "")
     spare = 0
     if selected is not None:
         counts = selected.groupBy("query_id").agg(F.count_distinct("song_id").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunewright.functions import fixed, vectors
+from tunewright.functions import fixed, scalars, vectors
 from tunewright.sources.interactions import liked
 
 
@@ -62,7 +62,7 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str, count: s
 
 def artist_embedding(song_vectors: DataFrame) -> DataFrame:
     """Mean song vector per non-blank ``artist_id``."""
-    named = song_vectors.where(F.trim(F.col("artist_id").cast("string")) != "")
+    named = song_vectors.where(scalars.strip(F.col("artist_id").cast("string")) != "")
     return mean_vectors(named, ["artist_id"], "embedding", "embedding", "n_songs")
 
 

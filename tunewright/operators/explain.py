@@ -70,7 +70,7 @@ def parse_explanations(responses: DataFrame, key: str = "user_id", response: str
 
 def explanation_gate(intent: Column | str, searched: Column | str) -> Column:
     """Explanations are asked for only when a non-blank intent was answered by text search."""
-    text = F.trim(F.coalesce(scalars.col(intent), F.lit("")))
+    text = scalars.strip(F.coalesce(scalars.col(intent), F.lit("")))
     return (text != "") & F.coalesce(scalars.col(searched), F.lit(False))
 
 

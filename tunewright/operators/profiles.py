@@ -57,7 +57,7 @@ def build_profile(answers: DataFrame, vocabulary: list[str] = fixed.GENRES,
 
 def validate_profiles(answers: DataFrame) -> DataFrame:
     """Adds ``problems``, the list of unmet survey rules, and ``valid``."""
-    name = F.trim(F.coalesce("name", F.lit("")))
+    name = scalars.strip(F.coalesce("name", F.lit("")))
 
     def count(c: str) -> Column:
         return F.coalesce(F.size(c), F.lit(0))

@@ -30,7 +30,7 @@ def describe_songs(songs: DataFrame) -> DataFrame:
     """``song_id, title, artist, text`` for every song with an id."""
     return catalog.drop_blank_ids(songs).select(
         "song_id", "song_ord",
-        F.coalesce(F.trim("title"), F.lit("Unknown")).alias("title"),
+        F.coalesce(scalars.strip("title"), F.lit("Unknown")).alias("title"),
         F.coalesce(scalars.primary_artist("artist_name"), F.lit("Unknown")).alias("artist"),
         scalars.song_description().alias("text"))
 
@@ -65,7 +65,7 @@ def recommend(songs: DataFrame, users: DataFrame, as_of: Column, interactions: D
     """
     user_vectors = session.settle(embeddings.user_embedding(interactions, song_vectors), "user-vectors")
     wanted = users.select("user_id").join(intents, "user_id", "left").withColumn(
-        "intent", F.trim(F.coalesce("intent", F.lit(""))))
+        "intent", scalars.strip(F.coalesce("intent", F.lit(""))))
     asks = (F.col("intent") != "") & F.lit(index is not None)
     quiet = users.join(wanted.where(~asks).select("user_id"), "user_id", "left_semi")
     found = candidates.candidate_pool(songs, quiet, as_of, user_vectors, song_vectors)

@@ -93,14 +93,14 @@ def catalog_latest(songs: DataFrame) -> DataFrame:
 
 
 def drop_blank_ids(df: DataFrame, key: str = "song_id") -> DataFrame:
-    return df.where(F.trim(F.col(key).cast("string")) != "")
+    return df.where(scalars.strip(F.col(key).cast("string")) != "")
 
 
 def catalog_meta(songs: DataFrame) -> DataFrame:
     """``song_id, title, artist`` with trimmed text and the first artist only."""
     return catalog_latest(drop_blank_ids(songs).select(
         "song_id",
-        F.coalesce(F.trim("title"), F.lit("Unknown")).alias("title"),
+        F.coalesce(scalars.strip("title"), F.lit("Unknown")).alias("title"),
         F.coalesce(scalars.primary_artist("artist_name"), F.lit("Unknown")).alias("artist"),
         "song_ord",
     )).drop("song_ord")
@@ -109,13 +109,13 @@ def catalog_meta(songs: DataFrame) -> DataFrame:
 def catalog_genre_map(songs: DataFrame) -> DataFrame:
     """``song_id, genre``; an absent genre becomes ``unknown``, a blank one stays blank."""
     return catalog_latest(drop_blank_ids(songs).select(
-        "song_id", F.trim(F.coalesce("genre", F.lit("unknown"))).alias("genre"), "song_ord",
+        "song_id", scalars.strip(F.coalesce("genre", F.lit("unknown"))).alias("genre"), "song_ord",
     )).drop("song_ord")
 
 
 def standard_id(c) -> F.Column:
     """Ids compared without case or surrounding blanks."""
-    return F.lower(F.trim(scalars.col(c).cast("string")))
+    return F.lower(scalars.strip(scalars.col(c).cast("string")))
 
 
 def merge_sources(songs: DataFrame, interactions: DataFrame) -> DataFrame:

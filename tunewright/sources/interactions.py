@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunewright.functions import scalars
+
 SCHEMA = "user_id string, song_id string, label string, play_count string, timestamp string"
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -18,8 +20,8 @@ def scan_interactions(spark: SparkSession, path: str) -> DataFrame:
 
 def type_interactions(rows: DataFrame) -> DataFrame:
     return rows.select(
-        F.trim("user_id").alias("user_id"),
-        F.trim("song_id").alias("song_id"),
+        scalars.strip("user_id").alias("user_id"),
+        scalars.strip("song_id").alias("song_id"),
         F.col("label").try_cast("int").alias("label"),
         F.col("play_count").try_cast("int").alias("play_count"),
         F.try_to_timestamp("timestamp", F.lit(STAMP)).alias("ts"),
