@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunewright.llm import line_dedup, packing, personal_data, quality_rules, simhash
+from tunewright.llm import (
+    html_text, line_dedup, metric_tree, ngram_quality, packing, personal_data, prefix_bpe, quality_rules, simhash, warc,
+)
 from tunewright.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +88,58 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_prefix_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return prefix_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), hexed(prefix_bpe.ids_text(F.col("ids"))).alias("ids_sha256"),
+        hexed(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query("op3_warc", """
+WITH digests AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), firsts AS (
+  SELECT payload_digest, min(page_id) AS first FROM digests WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN coalesce(f.first, d.page_id) = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to, TRUE AS verified
+FROM digests d LEFT JOIN firsts f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), spark).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+@query("op1_metric_tree_search", """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return metric_tree.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op5_kneser_ney_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return ngram_quality.quality_by_perplexity(docs, trusted)
