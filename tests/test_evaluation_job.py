@@ -14,13 +14,13 @@ K = 3
 
 def test_evaluate_all_users(spark):
     rng = np.random.default_rng(9)
-    n = 14
+    n = 70  # more candidates than a ranked list holds
     vectors = rng.normal(size=(n, 4))
     popularity = [i % 5 / 4 for i in range(n)]
     artists = [f"a{i % 4}" for i in range(n)]
     start = datetime.datetime(2024, 1, 1)
     log = [(u, int(rng.integers(0, n)), int(rng.random() < 0.6), start + datetime.timedelta(hours=int(rng.integers(0, 500))), i)
-           for i, u in enumerate(rng.integers(0, 5, 90).tolist())]
+           for i, u in enumerate(rng.integers(0, 5, 400).tolist())]
     users = [(u, [f"a{u % 4}"], []) for u in range(6)]
 
     spark_log = spark.createDataFrame(log, "user_id bigint, song_id bigint, label int, ts timestamp, log_ord bigint")
@@ -50,18 +50,22 @@ def test_evaluate_all_users(spark):
             pool = sorted(range(n), key=lambda s: (-content[s], s))
         pool += [s for s in range(n) if artists[s] in favourites and s not in pool]
         score = {s: 0.35 * content[s] + 0.25 * together[s] + 0.1 * fresh + 0.1 * popularity[s] for s in pool}
-        order = sorted(pool, key=lambda s: (-score[s], pool.index(s)))
+        order = sorted(pool, key=lambda s: (-score[s], pool.index(s)))[:50]
         wins = {r[1] for r in later if r[2]}
         labels = [int(s in wins) for s in order]
         gain = lambda xs: sum(x / math.log2(i + 2) for i, x in enumerate(xs[:K]))
-        ideal = gain(sorted(labels, reverse=True))
+        ideal = gain([1] * len(wins))
         top = order[:K]
         known = [popularity[s] for s in top if popularity[s] > 0]
         seen[u] = (
-            sum(labels[:K]) / len(labels[:K]), sum(labels[:K]) / sum(labels) if sum(labels) else 0.0,
+            sum(labels[:K]) / len(labels[:K]), sum(labels[:K]) / len(wins) if wins else 0.0,
             gain(labels) / ideal if ideal else 0.0, len({artists[s] for s in top}) / len(top),
             sum(-math.log(p) for p in known) / len(known) if known else None)
+    means = got.pop(None)
     assert set(got) == set(seen) and len(seen) >= 4
+    # Every user has a later like and more than K songs, so all enter the averages.
+    wanted = np.mean(np.array(list(seen.values()), dtype=float), axis=0)
+    assert [means[c] for c in ("precision", "recall", "ndcg", "diversity", "novelty")] == pytest.approx(wanted.tolist(), abs=1e-7)
     for u, want in seen.items():
         r = got[u]
         assert [r["precision"], r["recall"], r["ndcg"], r["diversity"], r["novelty"]] == pytest.approx(list(want), abs=1e-7)

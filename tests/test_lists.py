@@ -98,7 +98,7 @@ def test_prompt(spark):
                                    "user_id int, rank int, song_id int, title string, artist string, score double")
     asked = spark.createDataFrame([(1, "calm 100%", "No listening history yet.")], "user_id int, intent string, summary string")
     text = explain.explanation_prompt(listed, asked, 2).first()["prompt"]
-    assert 'User\'s request: "calm 100%"' in text and "These 2 songs" in text
+    assert 'A listener searched for: "calm 100%"' in text and "these 2 songs" in text
     assert '[{"rank":1,"song_id":"7","title":"A \\"q\\"","artist":"a","ml_score":0.1235},{"rank":2,' in text
 
 

@@ -108,3 +108,22 @@ def test_vector_sum_without_rows(spark):
     rows = spark.createDataFrame([], "k int, v array<double>")
     assert vectors.sum_vectors(rows, ["k"], "v", vectors.dimension(rows, "v"), n="count(1)").count() == 0
     assert rows.select(F.lit(1)).count() == 0
+
+
+def test_no_item_is_copied_more_often_than_the_bounds_need():
+    assert similarity.block_plan(1_000_000, 100_000_000, 2_000) == (16, 6_104)
+    # Small sides: enough tasks, but no tiny blocks; the cheaper side is split.
+    queries, items = similarity.block_plan(150, 100_000, 64)
+    assert queries == 1 and 64 <= items < 128
+    assert similarity.block_plan(10, 10, 64) == (1, 1) and similarity.block_plan(0, 0, 8) == (1, 1)
+    queries, items = similarity.block_plan(1_000_000, 5_000, 512)
+    assert queries * items >= 512 and items <= 2
+
+
+def test_rows_of_equal_scores_keep_the_first_items():
+    scores = np.zeros((3, 1_000))
+    scores[1, [900, 5, 7]] = [2.0, 1.0, 1.0]
+    scores[2] = -1.0
+    rows, cols, rank = similarity.best_per_row(scores, 4)
+    assert cols.reshape(3, 4).tolist() == [[0, 1, 2, 3], [900, 5, 7, 0], [0, 1, 2, 3]]
+    assert rank.reshape(3, 4).tolist() == [[1, 2, 3, 4]] * 3

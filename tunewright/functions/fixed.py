@@ -79,7 +79,6 @@ SUMMARY_GENRES = 3
 # Ranker training.
 TREES = 200
 LEARNING_RATE = 0.05
-TREE_DEPTH = 5
+PATIENCE = 20
 SEED = 42
 TEST_SHARE = 0.2
-EARLY_STOP_TOLERANCE = 0.001

@@ -72,11 +72,11 @@ def liked_counts(interactions: DataFrame) -> DataFrame:
 
 
 def user_embedding(interactions: DataFrame, song_vectors: DataFrame,
-                   artist_vectors: DataFrame | None = None) -> DataFrame:
+                   artist_vectors: DataFrame | None = None, blend_below: int = fixed.BLEND_BELOW) -> DataFrame:
     """Mean vector of liked songs, repeats counted; users without one get no row.
 
-    With ``artist_vectors(user_id, artist_vector)``, users with fewer than five
-    likes are blended 0.7 / 0.3 with a vector of the same length.
+    With ``artist_vectors(user_id, artist_vector)``, users with fewer than
+    ``blend_below`` likes are blended 0.7 / 0.3 with a vector of the same length.
     """
     pairs = liked_counts(interactions).join(song_vectors.select("song_id", "embedding"), "song_id")
     dim = vectors.dimension(song_vectors, "embedding")
@@ -88,7 +88,7 @@ def user_embedding(interactions: DataFrame, song_vectors: DataFrame,
     blend = F.zip_with(
         "embedding", "artist_vector",
         lambda b, s: F.lit(fixed.BEHAVIOUR_WEIGHT) * b + F.lit(fixed.SURVEY_WEIGHT) * s)
-    few = (F.col("n_liked") < fixed.BLEND_BELOW) & (F.size("artist_vector") == F.size("embedding"))
+    few = (F.col("n_liked") < blend_below) & (F.size("artist_vector") == F.size("embedding"))
     return means.join(artist_vectors.select("user_id", "artist_vector"), "user_id", "left").select(
         "user_id", vectors.tagged(F.when(few, blend).otherwise(F.col("embedding")), "embedding", dim), "n_liked")
 

@@ -23,8 +23,11 @@ def dcg_discount(position: Column | str) -> Column:
     return F.lit(1.0) / F.log2(place + F.lit(1))
 
 
-def _dcg(top: DataFrame, out: str) -> DataFrame:
-    return top.groupBy("user_id").agg(F.sum(F.col("label") * dcg_discount("rn")).alias(out))
+def best_gain(positives: Column, k: int) -> Column:
+    """Discounted gain of a list that starts with ``positives`` hits, as far as k."""
+    places = F.sequence(F.lit(1), F.greatest(F.least(positives, F.lit(k)), F.lit(1)).cast("int"))
+    total = F.aggregate(places, F.lit(0.0), lambda gain, place: gain + dcg_discount(place))
+    return F.when(positives > 0, total).otherwise(0.0)
 
 
 def user_totals(scored: DataFrame) -> DataFrame:
@@ -32,20 +35,25 @@ def user_totals(scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_positive"))
 
 
-def user_metrics(scored: DataFrame, k: int = fixed.FINAL_ROWS) -> DataFrame:
+def user_metrics(scored: DataFrame, k: int = fixed.FINAL_ROWS, positives: DataFrame | None = None) -> DataFrame:
     """Precision, recall and NDCG at k for every user.
 
-    ``scored`` has ``user_id, label, score, row_ord``. Precision divides by the
-    rows found when there are fewer than k; recall and NDCG are 0.0 for users
-    without a positive.
+    ``scored`` has ``user_id, label, score, row_ord`` with labels 0 and 1.
+    ``positives(user_id, n_positive)`` counts the positives of users whose rows
+    are not all in ``scored``; without it they are counted there. Precision
+    divides by the rows found when there are fewer than k; recall and NDCG are
+    0.0 for users without a positive.
     """
     top = per_user_topk(scored, k)
-    ideal = per_user_topk(scored, k, [F.desc("label")])
     found = top.groupBy("user_id").agg(
         F.avg(F.col("label").cast("double")).alias("precision"),
         F.sum("label").alias("hits"),
         F.sum(F.col("label") * dcg_discount("rn")).alias("dcg"))
-    joined = user_totals(scored).join(found, "user_id").join(_dcg(ideal, "idcg"), "user_id")
+    totals = user_totals(scored)
+    if positives is not None:
+        totals = totals.drop("n_positive").join(positives.select("user_id", "n_positive"), "user_id", "left").withColumn(
+            "n_positive", F.coalesce("n_positive", F.lit(0)))
+    joined = totals.join(found, "user_id").withColumn("idcg", best_gain(F.col("n_positive"), k))
     positive = F.col("n_positive") > 0
     return joined.select(
         "user_id", "n_rows", "n_positive", "precision",
@@ -66,6 +74,15 @@ def macro_average(metrics: DataFrame, k: int = fixed.FINAL_ROWS) -> DataFrame:
         F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"))
 
 
+def mean_row(metrics: DataFrame, k: int = fixed.FINAL_ROWS) -> DataFrame:
+    """One row without user: rows and positives of eligible users added up, every other column averaged."""
+    eligible = metrics.where((F.col("n_rows") >= k) & (F.col("n_positive") > 0))
+    counts = ("n_rows", "n_positive")
+    means = [c for c in metrics.columns if c not in ("user_id", *counts)]
+    row = eligible.agg(*[F.sum(c).alias(c) for c in counts], *[F.avg(c).alias(c) for c in means])
+    return row.withColumn("user_id", F.lit(None).cast(metrics.schema["user_id"].dataType)).select(*metrics.columns)
+
+
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve over all rows; null when one class is missing.
 

@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunewright import session
 from tunewright.functions import vectors
 from tunewright.functions.vectors import SCORE_DIGITS
 
@@ -27,18 +28,43 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 QUERY_ROWS = 65_536
 ITEM_ROWS = 16_384
 SCORE_CELLS = 4_000_000
+LEAST_ROWS = 256
 
 
-def block_count(rows: int, bound: int, spread: int = 1) -> int:
-    """Blocks of at most about ``bound`` rows, more when that keeps ``spread`` tasks busy."""
-    return max(1, math.ceil(rows / bound), min(spread, math.ceil(rows / 512)))
+def block_plan(n_queries: int, n_items: int, spread: int = 1, query_rows: int = QUERY_ROWS,
+               item_rows: int = ITEM_ROWS) -> tuple[int, int]:
+    """(query blocks, item blocks): as few as the bounds allow, then more until ``spread`` tasks are busy.
+
+    A query is shipped once per item block and an item once per query block, so
+    each step splits the side that adds fewer shipped rows, and no block below
+    ``LEAST_ROWS`` rows. A product that is large enough already is left alone.
+    """
+    query_blocks = max(1, math.ceil(n_queries / query_rows))
+    item_blocks = max(1, math.ceil(n_items / item_rows))
+    while query_blocks * item_blocks < spread:
+        more_queries = n_queries // (2 * query_blocks) >= LEAST_ROWS
+        more_items = n_items // (2 * item_blocks) >= LEAST_ROWS
+        if not more_queries and not more_items:
+            break
+        if more_queries and (not more_items or n_items * query_blocks <= n_queries * item_blocks):
+            query_blocks *= 2
+        else:
+            item_blocks *= 2
+    return query_blocks, item_blocks
 
 
 def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, rank) of the k highest cells per row; ties go to the lower column."""
+    """(row, column, rank) of the k highest cells per row; ties go to the lower column.
+
+    Of the cells at a row's lowest kept score only the first few are taken, so
+    a row of equal scores (no hit at all) is never sorted as a whole.
+    """
     k = min(k, scores.shape[1])
-    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    rows, cols = np.nonzero(scores >= least[:, None])
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    above = scores > least
+    equal = scores == least
+    wanted = k - above.sum(axis=1, keepdims=True)
+    rows, cols = np.nonzero(above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= wanted)))
     order = np.lexsort((cols, -scores[rows, cols], rows))
     rows, cols = rows[order], cols[order]
     first = np.searchsorted(rows, np.arange(scores.shape[0]))
@@ -57,10 +83,10 @@ def paired_topk(queries: DataFrame, items: DataFrame, scorer: Callable, k: int,
     ``item_ord`` order.
     """
     spark = queries.sparkSession
-    n_items = items.select("item_id").count()
-    n_queries = queries.select("query_id").count()
-    item_blocks = block_count(n_items, item_rows)
-    query_blocks = block_count(n_queries, query_rows, spark.sparkContext.defaultParallelism)
+    # Both sides are computed once; counting a written table reads file footers only.
+    queries, items = session.settle(queries, "topk-queries"), session.settle(items, "topk-items")
+    query_blocks, item_blocks = block_plan(
+        queries.count(), items.count(), spark.sparkContext.defaultParallelism, query_rows, item_rows)
 
     def side(df: DataFrame, key: str, own: str, blocks: int, other: str, copies: int) -> DataFrame:
         placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))

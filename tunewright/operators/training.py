@@ -13,6 +13,10 @@ from tunewright.functions import fixed, ordering, scalars
 from tunewright.operators import embeddings
 
 
+# This library's choice: Spark grows trees to a depth, not to a number of leaves.
+TREE_DEPTH = 5
+
+
 def known_songs_only(interactions: DataFrame, song_vectors: DataFrame, songs: DataFrame) -> DataFrame:
     """Rows whose song has both a vector and a catalog row."""
     return interactions.join(song_vectors.select("song_id"), "song_id", "left_semi").join(
@@ -107,12 +111,30 @@ def class_weights(rows: DataFrame) -> DataFrame:
     return counts.select("label", (total / (F.lit(2.0) * F.col("n"))).alias("weight"))
 
 
+def rounds_kept(losses: list[float], patience: int = fixed.PATIENCE) -> tuple[int, bool]:
+    """(best round, whether boosting ends) for the held-out loss after each round.
+
+    Boosting ends once ``patience`` rounds in a row brought no new minimum; the
+    round of the last minimum is kept. Shorter plateaus do not end it.
+    """
+    best = 0
+    for at, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = at
+        elif at - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def train_ranker(train: DataFrame, trees: int = fixed.TREES, validation_share: float = fixed.TEST_SHARE,
-                 seed: int = fixed.SEED) -> PipelineModel:
+                 seed: int = fixed.SEED, patience: int = fixed.PATIENCE) -> PipelineModel:
     """Gradient-boosted trees on balanced classes.
 
     Early stopping watches users held out of the training rows, so the test
-    users stay unseen.
+    users stay unseen. The loss is read off after every round of a run; the
+    first rounds of a longer run are those of a shorter one, so runs double in
+    length until the patience is used up, and the best number of trees is
+    fitted at the end.
     """
     split = group_split(train, validation_share, seed + 1)
     # One row per class: the broadcast is bounded.
@@ -121,12 +143,24 @@ def train_ranker(train: DataFrame, trees: int = fixed.TREES, validation_share: f
         F.col("is_test").alias("held_out"))
     # Boosting reads its input many times.
     weighted = session.settle(weighted, "boosting-rows")
-    booster = GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", validationIndicatorCol="held_out",
-        maxIter=trees, stepSize=fixed.LEARNING_RATE, maxDepth=fixed.TREE_DEPTH, seed=seed,
-        validationTol=fixed.EARLY_STOP_TOLERANCE, checkpointInterval=10)
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=fixed.FEATURES, outputCol="features"), booster]).fit(weighted)
+    columns = VectorAssembler(inputCols=fixed.FEATURES, outputCol="features")
+    held_out = columns.transform(weighted.where("held_out"))
+
+    def fitted(rounds: int) -> PipelineModel:
+        booster = GBTClassifier(
+            featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds,
+            stepSize=fixed.LEARNING_RATE, maxDepth=TREE_DEPTH, seed=seed, checkpointInterval=10)
+        return Pipeline(stages=[columns, booster]).fit(weighted.where("NOT held_out"))
+
+    if held_out.limit(1).count() == 0:
+        return fitted(trees)
+    rounds = min(trees, 2 * patience)
+    while True:
+        model = fitted(rounds)
+        best, ended = rounds_kept(model.stages[-1].evaluateEachIteration(held_out), patience)
+        if ended or rounds == trees:
+            return model if best == rounds else fitted(best)
+        rounds = min(trees, 2 * rounds)
 
 
 def feature_importance(model: PipelineModel) -> DataFrame:

@@ -80,8 +80,12 @@ def scan_interactions(spark, sf):
     doubles=("te", "tv", "exploration_weight"))
 def scan_profiles(spark, sf):
     path = session.shared_path(spark, "profiles-json")
-    stored.append_profiles(users(spark, sf).withColumn("user_id", F.col("user_id").cast("string")), path)
-    return stored.read_profile_lines(spark, path).select(
+    rows = users(spark, sf).withColumn("user_id", F.col("user_id").cast("string"))
+    # One indented array per file, 64 profiles or so in each.
+    files = rows.groupBy(F.floor(F.xxhash64("user_id") / F.lit(2.0 ** 57)).alias("file")).agg(
+        F.to_json(F.collect_list(F.struct(*rows.columns)), {"pretty": "true"}).alias("value"))
+    files.write.partitionBy("file").text(path)
+    return stored.scan_profiles(spark, path).select(
         "user_id", "name", F.array_join("favorite_artists", ",").alias("favourites"),
         F.array_join("favorite_genres", ",").alias("genres"), F.col("mood_targets.target_energy").alias("te"),
         F.col("mood_targets.target_valence").alias("tv"), "exploration_weight", "purpose")

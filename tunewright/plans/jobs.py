@@ -56,43 +56,53 @@ def rank_users(songs: DataFrame, users: DataFrame, as_of: Column, interactions:
 def recommend(songs: DataFrame, users: DataFrame, as_of: Column, interactions: DataFrame,
               song_vectors: DataFrame, intents: DataFrame, index: dict[str, DataFrame] | None,
               model: PipelineModel | None = None, responses: DataFrame | None = None,
-              k: int = fixed.FINAL_ROWS) -> DataFrame:
+              k: int = fixed.FINAL_ROWS, artist_vectors: DataFrame | None = None,
+              user_artist_vectors: DataFrame | None = None, blend_below: int = fixed.BLEND_BELOW) -> DataFrame:
     """Final lists for all users: ``user_id, rank, song_id, title, artist, score, explanation``.
 
     ``intents(user_id, intent)`` with text are answered by text search, all
-    other users by the candidate pool. Equal intents are searched once.
-    ``responses(user_id, response)`` are the explanation answers, if any.
+    other users by the candidate pool, as are users whose search finds nothing.
+    Equal intents are searched once. ``responses(user_id, response)`` are the
+    explanation answers, if any; only users answered by search get theirs.
+    ``artist_vectors`` and ``user_artist_vectors`` choose candidates by artist,
+    enter the features, and are blended into the vectors of users with fewer
+    than ``blend_below`` likes.
     """
-    user_vectors = session.settle(embeddings.user_embedding(interactions, song_vectors), "user-vectors")
+    built = embeddings.user_embedding(interactions, song_vectors, user_artist_vectors, blend_below)
+    user_vectors = session.settle(built, "user-vectors")
+    artists = {"artist_vectors": artist_vectors, "user_artist_vectors": user_artist_vectors}
+    artists = artists if artist_vectors is not None and user_artist_vectors is not None else {}
     wanted = users.select("user_id").join(intents, "user_id", "left").withColumn(
         "intent", scalars.strip(F.coalesce("intent", F.lit(""))))
-    asks = (F.col("intent") != "") & F.lit(index is not None)
-    quiet = users.join(wanted.where(~asks).select("user_id"), "user_id", "left_semi")
-    found = candidates.candidate_pool(songs, quiet, as_of, user_vectors, song_vectors)
-    if index is not None:
-        asking = wanted.where(asks)
+    searched = None
+    quiet = users
+    # An index without documents finds nothing.
+    if index is not None and not index["documents"].isEmpty():
+        asking = wanted.where(F.col("intent") != "")
         distinct = asking.select(F.col("intent").alias("query_id"), F.col("intent").alias("text")).distinct()
         hits = text.text_search(distinct, index["vocabulary"], index["documents"], songs)
-        by_text = asking.join(hits, F.col("intent") == F.col("query_id")).select(
-            "user_id", "song_id", F.col("pos").alias("cand_pos"))
-        found = found.unionByName(by_text)
-    features = ranking.rank_features(found, songs, as_of, interactions, song_vectors, user_vectors)
+        searched = session.settle(asking.join(hits, F.col("intent") == F.col("query_id")).select(
+            "user_id", "song_id", F.col("pos").alias("cand_pos")), "searched")
+        quiet = users.join(searched.select("user_id").distinct(), "user_id", "left_anti")
+    found = candidates.candidate_pool(songs, quiet, as_of, user_vectors, song_vectors, **artists)
+    if searched is not None:
+        found = found.unionByName(searched)
+    features = ranking.rank_features(found, songs, as_of, interactions, song_vectors, user_vectors, **artists)
     top = explain.final_topk(ranking.rank(features, model), k)
     listed = explain.ranked_join_meta(top, catalog.catalog_meta(songs))
     explanations = None
-    if responses is not None:
-        gate = explain.explanation_gate("intent", F.lit(index is not None))
-        allowed = wanted.where(gate).select("user_id")
-        explanations = explain.parse_explanations(responses.join(allowed, "user_id", "left_semi"))
+    if responses is not None and searched is not None:
+        answered = responses.join(searched.select("user_id").distinct(), "user_id", "left_semi")
+        explanations = explain.parse_explanations(answered)
     return explain.ranked_join_explanations(listed, explanations).select(
         "user_id", "rank", "song_id", "title", "artist", "score", "explanation")
 
 
 def request_prompts(listed: DataFrame, interactions: DataFrame, songs: DataFrame, users: DataFrame,
-                    intents: DataFrame, k: int = fixed.FINAL_ROWS) -> DataFrame:
-    """Explanation requests for the users whose intent was searched."""
+                    intents: DataFrame, index: dict[str, DataFrame] | None, k: int = fixed.FINAL_ROWS) -> DataFrame:
+    """Explanation requests for the users whose intent was searched; none without an index."""
     summaries = history.history_summary(interactions, catalog.catalog_genre_map(songs), users)
-    asked = intents.where(explain.explanation_gate("intent", F.lit(True)))
+    asked = intents.where(explain.explanation_gate("intent", F.lit(index is not None)))
     requests = asked.join(summaries, "user_id").select("user_id", "intent", "summary")
     return explain.explanation_prompt(listed, requests, k)
 
@@ -119,18 +129,26 @@ def train_and_evaluate(interactions: DataFrame, songs: DataFrame, song_vectors:
 
 def evaluate_all_users(interactions: DataFrame, songs: DataFrame, song_vectors: DataFrame,
                        users: DataFrame, as_of: Column, k: int = fixed.FINAL_ROWS) -> DataFrame:
-    """Rank from each user's earlier half and judge against likes in the later half."""
-    parts = evaluation.temporal_split(interactions)
+    """Rank from each user's earlier half and judge against all likes in the later half.
+
+    One row per user, and one with a null ``user_id`` that holds the means over
+    the users with a later like and at least k ranked songs.
+    """
+    parts = session.settle(evaluation.temporal_split(interactions), "time-halves")
     train, later = parts.where(F.col("part") == "train"), parts.where(F.col("part") == "eval")
     active = users.join(train.select("user_id").distinct(), "user_id", "left_semi")
-    ranked = rank_users(songs, active, as_of, train, song_vectors)
-    wins = log.liked(later).select("user_id", "song_id").distinct().withColumn("label", F.lit(1))
-    judged = ranked.join(wins, ["user_id", "song_id"], "left").withColumn(
+    ranked = session.settle(rank_users(songs, active, as_of, train, song_vectors).select(
+        "user_id", "song_id", "score", "rank", "popularity"), "ranked")
+    wins = session.settle(log.liked(later).select("user_id", "song_id").distinct(), "later-likes")
+    # A list is bounded; the likes it is judged against are not: they are counted apart.
+    judged = ranked.join(wins.withColumn("label", F.lit(1)), ["user_id", "song_id"], "left").withColumn(
         "label", F.coalesce("label", F.lit(0))).withColumn("row_ord", F.col("rank"))
-    metrics = evaluation.user_metrics(judged.select("user_id", "label", "score", "row_ord"), k)
-    listed = judged.join(songs.select("song_id", "artist_id"), "song_id")
-    return metrics.join(evaluation.diversity_at_k(listed, k), "user_id", "left").join(
-        evaluation.novelty_at_k(listed, k), "user_id", "left")
+    totals = wins.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_positive"))
+    metrics = evaluation.user_metrics(judged.select("user_id", "label", "score", "row_ord"), k, totals)
+    listed = ranked.join(songs.select("song_id", "artist_id"), "song_id")
+    each = session.settle(metrics.join(evaluation.diversity_at_k(listed, k), "user_id", "left").join(
+        evaluation.novelty_at_k(listed, k), "user_id", "left"), "evaluation")
+    return each.unionByName(evaluation.mean_row(each, k))
 
 
 def onboard_users(answers: DataFrame, songs: DataFrame, picks: DataFrame, song_vectors: DataFrame,

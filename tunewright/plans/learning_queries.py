@@ -230,7 +230,11 @@ def temporal_split(spark, sf):
     return evaluation.temporal_split(b.interactions(spark, sf)).select("user_id", "log_ord", "part")
 
 
-@query("evaluate_all_users")
+@query("evaluate_all_users", check("""
+  SELECT * FROM half_metrics
+  UNION ALL SELECT NULL, CAST(sum(n_rows) AS BIGINT), CAST(sum(n_positive) AS BIGINT), avg(precision), avg(recall), avg(ndcg),
+    avg(diversity), avg(novelty) FROM half_metrics WHERE n_rows >= 10 AND n_positive > 0""", "half_metrics"),
+    doubles=("precision", "recall", "ndcg", "diversity", "novelty"))
 def evaluate_all_users(spark, sf):
     return jobs.evaluate_all_users(b.interactions(spark, sf), b.songs(spark, sf), b.song_vectors(spark, sf),
                                    users(spark, sf), b.as_of())

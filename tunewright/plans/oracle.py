@@ -196,12 +196,19 @@ part("fresh", "SELECT s.* FROM songs s, (SELECT CASE " + " ".join(
     f"WHEN within_{w} >= {fixed.MIN_FRESH} THEN {w}" for w in fixed.FRESH_WINDOWS)
     + f" END AS days FROM windows) WHERE days IS NULL OR released >= {AS_OF} - to_days(CAST(days AS INTEGER))", "songs", "windows")
 
-part("near_songs", """
-  SELECT * FROM (SELECT user_id, song_id, similarity,
-      row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, song_ord) AS pos
-    FROM (SELECT u.user_id, f.song_id, f.song_ord, round(list_cosine_similarity(u.embedding, v.embedding), 9) AS similarity
-      FROM user_vec u CROSS JOIN fresh f JOIN vec v ON v.song_id = f.song_id)) WHERE pos <= 100""",
-     "user_vec", "fresh", "vec")
+
+def near(name: str, user_vec: str) -> None:
+    """The 100 fresh songs nearest to each user vector, and those of users with a profile."""
+    part(name, f"""
+      SELECT * FROM (SELECT user_id, song_id, similarity,
+          row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, song_ord) AS pos
+        FROM (SELECT u.user_id, f.song_id, f.song_ord, round(list_cosine_similarity(u.embedding, v.embedding), 9) AS similarity
+          FROM {user_vec} u CROSS JOIN fresh f JOIN vec v ON v.song_id = f.song_id)) WHERE pos <= 100""",
+         user_vec, "fresh", "vec")
+    part(f"{name}_of_users", f"SELECT n.* FROM {name} n SEMI JOIN users u ON u.user_id = n.user_id", name, "users")
+
+
+near("near_songs", "user_vec")
 part("known_songs", """
   SELECT * FROM (SELECT user_id, song_id, row_number() OVER (PARTITION BY user_id ORDER BY song_ord) AS pos
     FROM users JOIN fresh ON list_has_any(known, artists)) WHERE pos <= 200""", "users", "fresh")
@@ -217,8 +224,7 @@ def pool(name: str, first: str, second: str) -> None:
       WHERE cand_pos <= 200""", first, second)
 
 
-part("near_users_songs", "SELECT n.* FROM near_songs n SEMI JOIN users u ON u.user_id = n.user_id", "near_songs", "users")
-pool("pool", "near_users_songs", "known_songs")
+pool("pool", "near_songs_of_users", "known_songs")
 
 
 part("near_artists", """
@@ -234,16 +240,16 @@ part("artist_part", """
   SELECT user_id, song_id, pos FROM near_artist_songs
   UNION ALL SELECT k.user_id, k.song_id, k.pos FROM known_songs k ANTI JOIN brand_taste t ON t.user_id = k.user_id""",
      "near_artist_songs", "known_songs", "brand_taste")
-pool("artist_pool", "near_users_songs", "artist_part")
+pool("artist_pool", "near_songs_of_users", "artist_part")
 
 
-def features(name: str, source: str, with_artist: bool = False) -> None:
+def features(name: str, source: str, with_artist: bool = False, liked: str = "liked", user_vec: str = "user_vec") -> None:
     artist = "coalesce(round(list_cosine_similarity(t.artist_vector, a.embedding), 9), 0.0)" if with_artist else "0.0::DOUBLE"
     joins = "LEFT JOIN brand_taste t USING (user_id) LEFT JOIN brand_vec a ON a.artist_id = s.artist_id" if with_artist else ""
     part(f"{name}_collab", f"""
       SELECT p.user_id, p.song_id, avg(list_cosine_similarity(v.embedding, w.embedding)) AS c
-      FROM {source} p JOIN vec v ON v.song_id = p.song_id JOIN liked l ON l.user_id = p.user_id
-      JOIN vec w ON w.song_id = l.song_id GROUP BY ALL""", source, "vec", "liked")
+      FROM {source} p JOIN vec v ON v.song_id = p.song_id JOIN {liked} l ON l.user_id = p.user_id
+      JOIN vec w ON w.song_id = l.song_id GROUP BY ALL""", source, "vec", liked)
     part(name, f"""
       SELECT p.user_id, p.song_id, p.cand_pos,
         coalesce(round(list_cosine_similarity(u.embedding, v.embedding), 9), 0.0) AS content_similarity,
@@ -251,9 +257,9 @@ def features(name: str, source: str, with_artist: bool = False) -> None:
         exp(-0.01::DOUBLE * greatest(0.0::DOUBLE, floor(date_diff('second', s.released, {AS_OF}) / 86400.0::DOUBLE))) AS freshness,
         s.popularity_norm AS popularity, coalesce(round(c.c, 9), 0.0) AS collaborative_score,
         CAST(row_number() OVER (PARTITION BY p.user_id, s.artist_id ORDER BY p.cand_pos) - 1 AS DOUBLE) AS diversity_penalty
-      FROM {source} p JOIN songs s USING (song_id) LEFT JOIN user_vec u USING (user_id)
+      FROM {source} p JOIN songs s USING (song_id) LEFT JOIN {user_vec} u USING (user_id)
       LEFT JOIN vec v ON v.song_id = p.song_id LEFT JOIN {name}_collab c ON c.user_id = p.user_id AND c.song_id = p.song_id
-      {joins}""", source, "songs", "user_vec", "vec", f"{name}_collab", *(("brand_taste", "brand_vec") if with_artist else ()))
+      {joins}""", source, "songs", user_vec, "vec", f"{name}_collab", *(("brand_taste", "brand_vec") if with_artist else ()))
 
 
 def ranked(name: str, source: str) -> None:
@@ -344,6 +350,51 @@ part("mixed_pool", """
 features("mixed_features", "mixed_pool")
 ranked("mixed_ranked", "mixed_features")
 
+# User vectors with the artist vector blended in below a number of likes, and lists made from them.
+MANY_LIKES = 26
+part("blend_vec_long", f"""
+  SELECT user_id, n_liked, m.pos, CASE WHEN n_liked < {MANY_LIKES} AND t.x IS NOT NULL
+    THEN 0.7::DOUBLE * m.x + 0.3::DOUBLE * t.x ELSE m.x END AS x
+  FROM user_vec_long m LEFT JOIN brand_taste_long t USING (user_id, pos)""", "user_vec_long", "brand_taste_long")
+part("blend_vec", "SELECT user_id, list(x ORDER BY pos) AS embedding FROM blend_vec_long GROUP BY user_id", "blend_vec_long")
+near("blend_near_songs", "blend_vec")
+pool("blend_pool", "blend_near_songs_of_users", "artist_part")
+part("blend_mixed_pool", """
+  SELECT user_id, song_id, cand_pos FROM blend_pool JOIN user_intents USING (user_id) WHERE intent = ''
+  UNION ALL SELECT user_id, song_id, pos AS cand_pos FROM user_intents JOIN song_hits ON query_id = intent""",
+     "blend_pool", "user_intents", "song_hits")
+features("blend_mixed_features", "blend_mixed_pool", True, user_vec="blend_vec")
+ranked("blend_mixed_ranked", "blend_mixed_features")
+
+# Lists made from the earlier half of each user's log, judged by the likes of the later half.
+part("halves", "SELECT *, ntile(2) OVER (PARTITION BY user_id ORDER BY ts, log_ord) AS half FROM log", "log")
+part("half_liked", "SELECT user_id, song_id, log_ord FROM halves WHERE half = 1 AND label = 1", "halves")
+part("half_vec", """
+  SELECT user_id, list(x ORDER BY pos) AS embedding FROM (
+    SELECT user_id, pos, avg(x) AS x FROM half_liked JOIN vec_long USING (song_id) GROUP BY ALL) GROUP BY user_id""",
+     "half_liked", "vec_long")
+near("half_near_songs", "half_vec")
+part("half_known_songs", "SELECT k.* FROM known_songs k SEMI JOIN halves h ON h.user_id = k.user_id", "known_songs", "halves")
+pool("half_pool", "half_near_songs_of_users", "half_known_songs")
+features("half_features", "half_pool", liked="half_liked", user_vec="half_vec")
+ranked("half_ranked", "half_features")
+part("later_likes", "SELECT DISTINCT user_id, song_id FROM halves WHERE half = 2 AND label = 1", "halves")
+part("half_metrics", """
+  SELECT user_id, n_rows, n_positive, precision,
+    CASE WHEN n_positive > 0 THEN hits / n_positive::DOUBLE ELSE 0.0 END AS recall,
+    CASE WHEN n_positive > 0 THEN dcg / list_sum(list_transform(range(1, least(n_positive, 10) + 1), lambda i: 1 / log2(i + 1)))
+      ELSE 0.0 END AS ndcg, diversity, novelty
+  FROM (SELECT r.user_id, count(*) AS n_rows, coalesce(any_value(t.n), 0) AS n_positive,
+      avg(CASE WHEN w.song_id IS NULL THEN 0 ELSE 1 END) FILTER (rank <= 10) AS precision,
+      count(w.song_id) FILTER (rank <= 10) AS hits,
+      sum(CASE WHEN w.song_id IS NULL THEN 0.0::DOUBLE ELSE 1 / log2(rank + 1) END) FILTER (rank <= 10) AS dcg,
+      count(DISTINCT artist_id) FILTER (rank <= 10) / count(*) FILTER (rank <= 10) AS diversity,
+      avg(-ln(popularity)) FILTER (rank <= 10 AND popularity > 0) AS novelty
+    FROM half_ranked r JOIN (SELECT song_id, artist_id FROM songs) s USING (song_id)
+    LEFT JOIN later_likes w ON w.user_id = r.user_id AND w.song_id = r.song_id
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM later_likes GROUP BY user_id) t ON t.user_id = r.user_id
+    GROUP BY r.user_id)""", "half_ranked", "songs", "later_likes")
+
 part("genres_by_song", "SELECT song_id, genre FROM songs", "songs")
 part("history", """
   SELECT user_id, likes, skips,

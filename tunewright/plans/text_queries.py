@@ -8,9 +8,9 @@ from tunewright import session
 from tunewright.operators import explain, history, text
 from tunewright.plans import jobs
 from tunewright.plans.catalog_queries import users
-from tunewright.plans.oracle import check
+from tunewright.plans.oracle import MANY_LIKES, check
 from tunewright.plans.register import query
-from tunewright.plans.vector_queries import rank
+from tunewright.plans.vector_queries import brands, rank
 from tunewright.sources import bindings as b
 from tunewright.sources import catalog
 
@@ -159,22 +159,22 @@ def user_intents(spark, sf):
 
 
 def responses(spark, sf):
-    """Answers of the explanation service, made from conversation turns."""
+    """Answers of the explanation service, made from whole conversation turns; every fifth one is cut off."""
     turns = b.table(spark, sf, "conversations").where("role = 'assistant'")
     item = lambda song, words: F.struct(
         song.cast("string").alias("song_id"), words.alias("explanation"))
     good = F.to_json(F.struct(F.array(
-        item(F.col("conv_id"), F.substring("text", 1, 40)), item(F.col("turn"), F.substring("text", 1, 20)),
-        item(F.col("conv_id"), F.substring("text", 2, 30))).alias("explanations")))
+        item(F.col("conv_id"), F.col("text")), item(F.col("turn"), F.concat(F.lit("In turn: "), "text")),
+        item(F.col("conv_id"), F.concat("text", F.lit(" (again)")))).alias("explanations")))
     return turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("user_id"),
-        F.when(F.col("conv_id") % 5 == 0, F.substring(good, 1, 30)).otherwise(good).alias("response"))
+        F.when(F.col("conv_id") % 5 == 0, F.left(good, F.lit(30))).otherwise(good).alias("response"))
 
 
 @query("parse_explanations", """
   WITH turns AS (SELECT * FROM conversations WHERE role = 'assistant' AND conv_id % 5 <> 0),
-  items AS (SELECT conv_id || '-' || turn AS user_id, CAST(conv_id AS VARCHAR) AS song_id, substring(text, 2, 30) AS explanation FROM turns
-    UNION ALL SELECT conv_id || '-' || turn, CAST(turn AS VARCHAR), substring(text, 1, 20) FROM turns WHERE turn <> conv_id)
+  items AS (SELECT conv_id || '-' || turn AS user_id, CAST(conv_id AS VARCHAR) AS song_id, text || ' (again)' AS explanation FROM turns
+    UNION ALL SELECT conv_id || '-' || turn, CAST(turn AS VARCHAR), 'In turn: ' || text FROM turns WHERE turn <> conv_id)
   SELECT * FROM items""")
 def parse_explanations(spark, sf):
     return explain.parse_explanations(responses(spark, sf))
@@ -200,9 +200,9 @@ def _index(spark, sf):
     return jobs.build_text_index(b.songs(spark, sf), session.shared_path(spark, "text-index"))
 
 
-def _recommend(spark, sf):
+def _recommend(spark, sf, index, **more):
     return jobs.recommend(b.songs(spark, sf), users(spark, sf), b.as_of(), b.interactions(spark, sf),
-                          b.song_vectors(spark, sf), user_intents(spark, sf), _index(spark, sf))
+                          b.song_vectors(spark, sf), user_intents(spark, sf), index, **more)
 
 
 _FINAL = """SELECT user_id, rank, song_id, title, first_artist AS artist, score, '' AS explanation
@@ -211,25 +211,62 @@ _FINAL = """SELECT user_id, rank, song_id, title, first_artist AS artist, score,
 
 @query("recommend", check(_FINAL, "mixed_ranked", "songs"), doubles=("score",))
 def recommend(spark, sf):
-    return _recommend(spark, sf)
-
-
-_PROMPT_SQL = "'" + explain.PROMPT.replace("'", "''") + "'"
-
-
-@query("explanation_prompt", check(f"""
-  SELECT user_id, replace(replace(replace(replace({_PROMPT_SQL}, '%s songs were', '10 songs were'),
-    '): ' || chr(10) || '%s', '?'), 'request: "%s"', 'request: "' || intent || '"'),
-    'history: %s', 'history: ' || coalesce(summary, 'No listening history yet.')) AS head, songs
-  FROM (SELECT user_id, list({{'rank': rank, 'song_id': CAST(song_id AS VARCHAR), 'title': title, 'artist': first_artist,
-      'ml_score': CAST(printf('%.4f', score) AS DOUBLE)}} ORDER BY rank)::JSON::VARCHAR AS songs
+    return _recommend(spark, sf, _index(spark, sf))
+
+
+# Users whose number ends in 0 or 3 get an answer that explains their first two songs; the gate lets only searched ones through.
+@query("recommend_with_answers", check("""
+  SELECT user_id, rank, song_id, title, first_artist AS artist, score,
+    CASE WHEN intent <> '' AND user_id % 10 IN (0, 3) AND rank <= 2 THEN 'Because of ' || title ELSE '' END AS explanation
+  FROM mixed_ranked JOIN songs USING (song_id) JOIN user_intents USING (user_id) WHERE rank <= 10""",
+    "mixed_ranked", "songs", "user_intents"), doubles=("score",))
+def recommend_with_answers(spark, sf):
+    index = _index(spark, sf)
+    listed = session.settle(_recommend(spark, sf, index), "listed")
+    item = F.struct(F.col("song_id").cast("string").alias("song_id"),
+                    F.concat(F.lit("Because of "), "title").alias("explanation"))
+    answers = listed.where((F.col("user_id") % 10).isin(0, 3) & (F.col("rank") <= 2)).groupBy("user_id").agg(
+        F.to_json(F.struct(F.collect_list(item).alias("explanations"))).alias("response"))
+    return _recommend(spark, sf, index, responses=answers)
+
+
+# Artist vectors of every user with a like: they choose candidates, enter the features and are blended into few likes.
+@query("recommend_with_artist_vectors", check("""
+  SELECT user_id, rank, song_id, title, first_artist AS artist, score, '' AS explanation
+  FROM blend_mixed_ranked JOIN songs USING (song_id) WHERE rank <= 10""", "blend_mixed_ranked", "songs"), doubles=("score",))
+def recommend_with_artist_vectors(spark, sf):
+    by_brand, wanted = brands(spark, sf)
+    return _recommend(spark, sf, _index(spark, sf), artist_vectors=by_brand, user_artist_vectors=wanted,
+                      blend_below=MANY_LIKES)
+
+
+@query("recommend_without_hits", check("""
+  SELECT user_id, rank, song_id, title, first_artist AS artist, score, '' AS explanation
+  FROM pool_ranked JOIN songs USING (song_id) WHERE rank <= 10""", "pool_ranked", "songs"), doubles=("score",))
+def recommend_without_hits(spark, sf):
+    """An index without documents finds nothing: all users are answered by the candidate pool, without explanations."""
+    empty = {name: table.limit(0) for name, table in _index(spark, sf).items()}
+    answers = user_intents(spark, sf).select("user_id", F.lit('{"explanations": [{"song_id": "1"}]}').alias("response"))
+    return _recommend(spark, sf, empty, responses=answers)
+
+
+@query("explanation_prompt", check("""
+  SELECT user_id, 'A listener searched for: "' || intent || '"' || chr(10)
+    || 'What the log says about this listener: ' || coalesce(summary, 'No listening history yet.') || chr(10) || chr(10)
+    || 'From the catalog these 10 songs were chosen, best first:' || chr(10) || chr(10) || chr(10)
+    || 'Write one plain sentence per song, at most twenty words, on how it answers the search. '
+    || 'Take every fact from the list.' || chr(10) || chr(10)
+    || 'The answer is JSON and nothing else:' || chr(10)
+    || '{"explanations": [{"song_id": "...", "explanation": "..."}]}' AS head, songs
+  FROM (SELECT user_id, list({'rank': rank, 'song_id': CAST(song_id AS VARCHAR), 'title': title, 'artist': first_artist,
+      'ml_score': CAST(printf('%.4f', score) AS DOUBLE)} ORDER BY rank)::JSON::VARCHAR AS songs
     FROM mixed_ranked JOIN songs USING (song_id) WHERE rank <= 10 GROUP BY user_id)
-  JOIN user_intents USING (user_id) LEFT JOIN history USING (user_id) WHERE intent <> ''"""
-    .replace("'): ' || chr(10) || '%s', '?'", "chr(10) || '%s' || chr(10) || chr(10), chr(10) || chr(10) || chr(10)"),
+  JOIN user_intents USING (user_id) LEFT JOIN history USING (user_id) WHERE intent <> ''""",
     "mixed_ranked", "songs", "user_intents", "history"))
 def explanation_prompt(spark, sf):
     """The request split back into its JSON list and the rest of the text."""
-    prompts = jobs.request_prompts(_recommend(spark, sf), b.interactions(spark, sf), b.songs(spark, sf),
-                                   users(spark, sf), user_intents(spark, sf))
+    index = _index(spark, sf)
+    prompts = jobs.request_prompts(_recommend(spark, sf, index), b.interactions(spark, sf), b.songs(spark, sf),
+                                   users(spark, sf), user_intents(spark, sf), index)
     listed = F.regexp_extract("prompt", r"(?m)^(\[\{.*\}\])$", 1)
     return prompts.select("user_id", F.replace("prompt", listed, F.lit("")).alias("head"), listed.alias("songs"))

@@ -10,7 +10,7 @@ from tunewright.functions import fixed, scalars, vectors
 from tunewright.operators import candidates, embeddings, explain, ranking, similarity
 from tunewright.plans import jobs
 from tunewright.plans.catalog_queries import brand_vectors, users
-from tunewright.plans.oracle import AS_OF, check
+from tunewright.plans.oracle import AS_OF, MANY_LIKES, check
 from tunewright.plans.register import query
 from tunewright.sources import bindings as b
 from tunewright.sources import catalog
@@ -48,15 +48,13 @@ def user_embedding(spark, sf):
     return _long(built, "user_id", "embedding", "n_liked")
 
 
-@query("user_embedding_blend", check("""
-  SELECT user_id, n AS n_liked, m.pos, CASE WHEN n < 5 AND t.x IS NOT NULL
+@query("user_embedding_blend", check(f"""
+  SELECT user_id, n_liked, m.pos, CASE WHEN n_liked < {MANY_LIKES} AND t.x IS NOT NULL
     THEN 0.7::DOUBLE * m.x + 0.3::DOUBLE * t.x ELSE m.x END AS x
-  FROM (SELECT user_id, pos, avg(x) AS x, count(*) AS n FROM log JOIN vec_long USING (song_id)
-        WHERE label = 1 AND ts < TIMESTAMP '2024-01-05' GROUP BY ALL) m
-  LEFT JOIN taste_long t USING (user_id, pos)""", "log", "vec_long", "taste_long"), doubles=("x",), wholes=("pos",))
+  FROM user_vec_long m LEFT JOIN taste_long t USING (user_id, pos)""", "user_vec_long", "taste_long"),
+    doubles=("x",), wholes=("pos",))
 def user_embedding_blend(spark, sf):
-    early = b.interactions(spark, sf).where(F.col("ts") < F.lit("2024-01-05").cast("timestamp"))
-    built = embeddings.user_embedding(early, b.song_vectors(spark, sf), taste(spark, sf))
+    built = embeddings.user_embedding(b.interactions(spark, sf), b.song_vectors(spark, sf), taste(spark, sf), MANY_LIKES)
     return _long(built, "user_id", "embedding", "n_liked")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +28,7 @@ def type_interactions(rows: DataFrame) -> DataFrame:
 
 def interaction_rows(rated: DataFrame, at: Column | None = None) -> DataFrame:
     """Log rows for a batch of ``user_id, song_id, label``; one timestamp for the batch."""
-    when = F.lit(datetime.datetime.now().replace(microsecond=0)) if at is None else at
+    when = F.current_timestamp() if at is None else at
     return rated.select(
         "user_id",
         "song_id",

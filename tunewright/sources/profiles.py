@@ -16,7 +16,7 @@ SCHEMA = """
 
 
 def scan_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles from a folder of JSON files, one indented object or one line each."""
+    """Profiles from a folder of JSON files, one object or one array of objects each, indented or not."""
     return spark.read.schema(SCHEMA).json(path, multiLine=True)
 
 
