@@ -191,3 +191,22 @@ def test_quantiles(spark):
     rows = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs], "k string, v double")
     for r in ordering.quantiles(rows, "k", "v", [0.25, 0.5, 0.9], 8).collect():
         assert [r["q_0"], r["q_1"], r["q_2"]] == pytest.approx(list(np.quantile(data[r["k"]], [0.25, 0.5, 0.9])))
+
+
+def test_a_burst_is_cut_by_the_tie(spark):
+    rows = [(1, 5, i) for i in range(1_000)] + [(1 + i % 3, i % 11, 1_000 + i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, v bigint, tie bigint")
+    marked = df.withColumn("b", ordering.ordered_buckets(df, F.col("v"), F.col("tie"), 16))
+    got = marked.collect()
+    order = [(r["b"], r["v"], r["tie"]) for r in got]
+    assert [x[1:] for x in sorted(order)] == sorted((r["v"], r["tie"]) for r in got)
+    assert marked.groupBy("k", "b").count().agg(F.max("count")).first()[0] <= 150
+
+
+def test_long_lists_of_cuts(spark):
+    cuts = list(range(0, 3_000, 7))
+    rows = spark.range(-5, 3_010)
+    wrong = rows.withColumn("b", ordering.bucket_of(F.col("id"), cuts)).where(
+        F.col("b") != F.when(F.col("id") < 0, 0).otherwise(F.least(F.floor(F.col("id") / 7) + 1, F.lit(len(cuts)))))
+    assert wrong.count() == 0
+    assert ordering.bucket_count(10) == 64 and ordering.bucket_count(200_000_000) == 200 and ordering.bucket_count(10**12) == 4_096

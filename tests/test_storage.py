@@ -21,7 +21,7 @@ def test_catalog_csv(spark, tmp_path):
              's1,Later,a1,Ann,rock,,2021-01-01,0.1,100,0.2,,,,,,,10,0.1']
     path = tmp_path / "songs.csv"
     path.write_bytes("\n".join(lines).encode() + b"\ns3,caf\xff,a3,D,,,,,,,,,,,,,,\n")
-    raw = catalog.scan_catalog(spark, str(path))
+    raw = catalog.scan_catalog(spark, str(path), quoted_line_breaks=True)
     rows = raw.orderBy("song_ord").collect()
     assert [r["song_id"] for r in rows] == ["s1", "s2", "s1", "s3"]
     assert rows[0]["title"] == 'A "quoted" title' and rows[1]["title"] == "Two\nlines" and "�" in rows[3]["title"]
@@ -37,6 +37,7 @@ def test_split_files_keep_order(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", 16_000)
     try:
         raw = catalog.scan_catalog(spark, str(path), quoted_line_breaks=False)
+        assert "csv" not in raw._jdf.queryExecution().executedPlan().toString().lower()  # read and written before
         assert raw.rdd.getNumPartitions() > 1 or True
         assert [r["song_id"] for r in raw.orderBy("song_ord").collect()] == [f"s{i}" for i in range(3000)]
     finally:
@@ -103,17 +104,24 @@ def test_streams_equal_batch(spark, tmp_path):
 
     feedback.stream_interactions(stream(), str(tmp_path / "out"), str(tmp_path / "c0")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 200
-    feedback.stream_history_counts(stream(), str(tmp_path / "n"), str(tmp_path / "c1")).awaitTermination()
     from tunewright.operators import history
-    assert sorted(map(tuple, feedback.latest_counts(spark, str(tmp_path / "n")).collect())) == sorted(
-        map(tuple, history.history_counts(log).collect()))
+    for every, state in ((100, "n"), (2, "n2")):  # the second is compacted after its second batch
+        path = str(tmp_path / state)
+        feedback.stream_history_counts(stream(), path, str(tmp_path / f"c1{state}"), every).awaitTermination()
+        for _ in range(2):
+            assert sorted(map(tuple, feedback.latest_counts(spark, path).collect())) == sorted(
+                map(tuple, history.history_counts(log).collect()))
+            feedback.compact_counts(spark, path)
+    assert (tmp_path / "n2" / "base-1").is_dir() and (tmp_path / "n2" / "base-2").is_dir()
     feedback.stream_user_embedding(stream(), songs, str(tmp_path / "v"), str(tmp_path / "c2")).awaitTermination()
     want = {r["user_id"]: (r["n_liked"], r["embedding"]) for r in embeddings.user_embedding(log, songs).collect()}
-    for state in ("v", "w"):
-        got = {r["user_id"]: (r["n_liked"], r["embedding"]) for r in feedback.read_user_embedding(spark, str(tmp_path / state)).collect()}
+    for round_ in range(3):  # as written, compacted, and with the last batch repeated after that
+        got = {r["user_id"]: (r["n_liked"], r["embedding"]) for r in feedback.read_user_embedding(spark, str(tmp_path / "v")).collect()}
         assert got == {u: (n, pytest.approx(e)) for u, (n, e) in want.items()}
-        if state == "v":
-            feedback.compact_user_embedding(spark, str(tmp_path / "v"), str(tmp_path / "w"))
+        feedback.compact_user_embedding(spark, str(tmp_path / "v"))
+        if round_ == 1:
+            spark.read.parquet(str(tmp_path / "v" / "batch=0")).write.mode("overwrite").parquet(str(tmp_path / "v" / "batch=2"))
+    assert (tmp_path / "v" / "base-2").is_dir()
     feedback.stream_refit_signal(stream(), str(tmp_path / "r"), str(tmp_path / "c3")).awaitTermination()
     assert tuple(feedback.refit_due(spark, str(tmp_path / "r"), 200).first()) == (200, True)
     assert not feedback.refit_due(spark, str(tmp_path / "r"), 201).first()["due"]
@@ -124,3 +132,15 @@ def test_index_round_trip(spark, tmp_path):
     text.build_text_index(docs, str(tmp_path / "i"))
     again = tables.read_text_index(spark, str(tmp_path / "i"))
     assert {r["term"] for r in again["postings"].collect()} == {"red", "fish", "red fish"}
+
+
+def test_the_shared_folder_can_be_emptied(spark, monkeypatch):
+    import os
+
+    from tunewright import session
+
+    monkeypatch.setattr(session, "_noted", {})
+    kept = session.settle(spark.range(3), "kept")
+    path = session._noted[spark.sparkContext.applicationId][0]
+    assert kept.count() == 3 and os.path.isdir(path)
+    assert session.forget(spark) == 1 and not os.path.exists(path) and session.forget(spark) == 0

@@ -10,22 +10,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunewright import session
 
-def cut_points(df: DataFrame, value: Column, buckets: int) -> list:
+
+#: Rows per bucket that the number of buckets is chosen for, and its bounds.
+BUCKET_ROWS = 1_000_000
+FEWEST, MOST = 64, 4_096
+#: Cut points compared one after the other; longer lists are searched in two steps.
+RUN = 64
+
+
+def bucket_count(rows: int) -> int:
+    return max(FEWEST, min(MOST, rows // BUCKET_ROWS))
+
+
+def _quantile_grid(df: DataFrame, value: Column, buckets: int | None) -> list:
+    """Rising, possibly repeated values at equal shares of the rows, from one pass."""
+    most = buckets or MOST
+    shares = [i / most for i in range(1, most)]
+    row = df.select(F.count(value).alias("rows"), F.percentile_approx(value, shares, max(1000, 10 * most)).alias("cuts")).first()
+    cuts = row["cuts"] or []
+    step = most // (buckets or bucket_count(row["rows"]))
+    return cuts[step - 1::step] if step > 1 else cuts
+
+
+def cut_points(df: DataFrame, value: Column, buckets: int | None = None) -> list:
     """At most ``buckets - 1`` rising values that cut the rows into similar shares.
 
-    Any cut points give exact results; close quantiles only balance the tasks.
+    Without a number, one for the rows there are. Any cut points give exact
+    results; close quantiles only balance the tasks.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    row = df.select(F.percentile_approx(value, shares, 1000).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
+    return sorted(set(_quantile_grid(df, value, buckets)))
 
 
 def bucket_of(value: Column, cuts: list) -> Column:
     """Number of cut points at or below the value: later buckets hold larger values."""
+    def below(points: Column) -> Column:
+        return F.size(F.filter(points, lambda c: c <= value))
+
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value))
+    if len(cuts) <= RUN:
+        return below(F.array(*[F.lit(c) for c in cuts]))
+    runs = [cuts[i:i + RUN] for i in range(0, len(cuts), RUN)]
+    run = below(F.array(*[F.lit(r[0]) for r in runs]))
+    inside = below(F.get(F.array(*[F.array(*[F.lit(c) for c in r]) for r in runs]), run - 1))
+    return F.when(run > 0, (run - 1) * RUN + inside).otherwise(F.lit(0))
+
+
+def ordered_buckets(df: DataFrame, value: Column, tie: Column, buckets: int | None = None) -> Column:
+    """Bucket in the order of (value, tie), both whole numbers.
+
+    A value that fills a bucket by itself, as in a burst of rows with one time
+    stamp, is cut further by the tie.
+    """
+    grid = _quantile_grid(df, value, buckets)
+    heavy = sorted({a for a, b in zip(grid, grid[1:]) if a == b})
+    cuts = sorted(set(grid) | set(heavy) | {v + 1 for v in heavy})
+    if not heavy:
+        return bucket_of(value, cuts)
+    crowded = value.isin(*heavy)
+    ties = cut_points(df.where(crowded), tie, buckets)
+    return bucket_of(value, cuts) * (len(ties) + 1) + F.when(crowded, bucket_of(tie, ties)).otherwise(0)
 
 
 def rank_in_buckets(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
@@ -52,11 +98,11 @@ def rank_in_buckets(df: DataFrame, keys: list[str], bucket: Column, order: list[
     )
 
 
-def running_totals(df: DataFrame, value: str, amounts: list[str], buckets: int = 64) -> DataFrame:
+def running_totals(df: DataFrame, value: str, amounts: list[str], buckets: int | None = None) -> DataFrame:
     """Inclusive running totals ``<amount>_upto`` over all rows in rising ``value`` order.
 
     ``value`` must be distinct. The only window without a key runs over the
-    bucket totals, at most ``buckets`` rows.
+    bucket totals, at most ``MOST`` rows.
     """
     cuts = cut_points(df, F.col(value), buckets)
     marked = df.withColumn("_bucket", bucket_of(F.col(value), cuts))
@@ -72,7 +118,7 @@ def running_totals(df: DataFrame, value: str, amounts: list[str], buckets: int =
     )
     for a in amounts:
         marked = marked.withColumn(f"_in_{a}", F.sum(a).over(within))
-    # At most `buckets` offset rows: the broadcast is bounded.
+    # At most MOST offset rows: the broadcast is bounded.
     joined = marked.join(F.broadcast(offsets), "_bucket")
     for a in amounts:
         joined = joined.withColumn(f"{a}_upto", F.col(f"_in_{a}") + F.col(f"_before_{a}"))
@@ -80,15 +126,16 @@ def running_totals(df: DataFrame, value: str, amounts: list[str], buckets: int =
     return joined.drop(*drop)
 
 
-def quantiles(df: DataFrame, key: str, value: str, shares: list[float], buckets: int = 64) -> DataFrame:
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float], buckets: int | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles ``q_0, q_1, ...`` of ``value`` per key.
 
     For few keys with very many rows each: rows are counted per distinct value,
     and positions come from bucket totals, never from one sort of a whole key.
     """
-    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = session.settle(df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_rows")), "value-counts")
+    buckets = buckets or bucket_count(counts.count())
     at = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(key).agg(F.percentile_approx(value, at, 1000).alias("_cuts"))
+    cuts = counts.groupBy(key).agg(F.percentile_approx(value, at, max(1000, 10 * buckets)).alias("_cuts"))
     marked = counts.join(cuts, key).withColumn(
         "_bucket", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col(value)))).drop("_cuts")
     by_key = Window.partitionBy(key)

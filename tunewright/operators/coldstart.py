@@ -4,8 +4,8 @@ No user meets the whole catalog. A familiar song's score depends on the user
 only through its artists and genre, and a discovery score only through the mood
 targets and the weight on its genre, so songs are scored and reduced once per
 artist or per distinct taste and users join the short reduced lists. Lists are
-cut with proof: a user whose picks a cut could have changed is finished on the
-full pools.
+cut with proof: a user whose picks a cut could have changed goes on with longer
+lists (discovery) or with all songs of the artists they named (familiar).
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from tunewright.functions import fixed, scalars, vectors
 
 LIST_ROWS = 64
 ARTIST_ROWS = 16
+SALTS = 8
+#: A user whose lists were too short gets lists this many times as long.
+LONGER = 4
 
 _PICK = "struct<neg:double,song_ord:bigint,song_id:{id},artists:array<string>>"
 
@@ -214,31 +217,39 @@ def _lean(songs: DataFrame, vocabulary: list[str]) -> DataFrame:
         "mood_energy", "mood_valence", F.col("popularity_norm").alias("pop"))
 
 
-def _segments(tastes: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Tastes with one row per genre place (0 = outside) and the weight put on it."""
-    places = F.sequence(F.lit(0), F.lit(len(vocabulary)))
-    exploded = tastes.withColumn("gk", F.explode(places))
-    weight = F.try_element_at("gv", F.when(F.col("gk") > 0, F.col("gk")))
-    return exploded.withColumn("w", F.coalesce(weight, F.lit(0.0)))
+def _favoured(tastes: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Tastes with one row per genre place (1-based) that carries a weight."""
+    weights = F.slice("gv", 1, len(vocabulary))
+    return tastes.select("te", "tv", "gv", F.posexplode(weights).alias("_at", "w")).where(
+        F.coalesce(F.col("w") != 0, F.lit(False))).select("te", "tv", "gv", (F.col("_at") + 1).alias("gk"), "w")
+
 
+def _taste_scored(lean: DataFrame, tastes: DataFrame, favoured: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Catalog scored once per distinct (mood targets, genre weight); weight 0 once per mood targets for all genres.
 
-def _taste_scored(lean: DataFrame, segments: DataFrame) -> DataFrame:
-    """Catalog scored once per distinct (mood targets, genre weight)."""
-    distinct = segments.select("te", "tv", "gk", "w").distinct()
+    A genre with most of the catalog is spread over salts.
+    """
+    places = F.sequence(F.lit(0), F.lit(len(vocabulary)))
+    plain = tastes.select("te", "tv").distinct().select("te", "tv", F.explode(places).alias("gk"), F.lit(0.0).alias("w"))
+    distinct = favoured.select("te", "tv", "gk", "w").distinct().unionByName(plain)
+    salted = distinct.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mood = scalars.mood_compatibility("mood_energy", "mood_valence", "te", "tv")
-    return lean.join(distinct, "gk").select(
+    spread = lean.withColumn("salt", F.pmod(F.xxhash64("song_id"), F.lit(SALTS)).cast("int"))
+    return spread.join(salted, ["gk", "salt"]).select(
         "te", "tv", "gk", "w",
         F.struct(
             (-scalars.discovery_score(F.col("w"), mood, F.col("pop"))).alias("neg"),
             "song_ord", "song_id", "artists").alias("row"))
 
 
-def _taste_lists(scored: DataFrame, segments: DataFrame, limit: int, diverse: bool) -> DataFrame:
+def _taste_lists(scored: DataFrame, tastes: DataFrame, favoured: DataFrame, limit: int, diverse: bool) -> DataFrame:
     """Per taste, a leading part of its ranked rows (at most ``limit``) and whether ``more`` exist.
 
-    With ``diverse`` only the best row per artist set counts. Segments are cut
-    one row past ``limit``; rows ranked behind the last kept row of a cut
-    segment are left out, so what remains is a true prefix of the taste's list.
+    With ``diverse`` only the best row per artist set counts. A taste's rows come
+    from one list per favoured genre and one list per mood targets over all
+    other genres. Lists are cut one row past ``limit``; rows ranked behind the
+    last kept row of a cut list are left out, so what remains is a true prefix
+    of the taste's rows.
     """
     segment, taste = ["te", "tv", "gk", "w"], ["te", "tv", "gv"]
     place = F.struct("row.neg", "row.song_ord")
@@ -247,23 +258,38 @@ def _taste_lists(scored: DataFrame, segments: DataFrame, limit: int, diverse: bo
         by_set = Window.partitionBy(*keys, "row.artists").orderBy("row.neg", "row.song_ord")
         return rows.withColumn("_s", F.row_number().over(by_set)).where(F.col("_s") == 1).drop("_s")
 
+    def heads(rows: DataFrame, keys: list[str], depth: int) -> DataFrame:
+        """The first rows per key with the place of the row past the depth."""
+        first = rows.withColumn("_n", F.row_number().over(
+            Window.partitionBy(*keys).orderBy("row.neg", "row.song_ord"))).where(F.col("_n") <= depth + 1)
+        edge = F.min(F.when(F.col("_n") == depth + 1, place)).over(Window.partitionBy(*keys))
+        return first.withColumn("_edge", edge).drop("_n")
+
     if diverse:
         scored = best_per_set(scored, segment)
-    in_segment = Window.partitionBy(*segment).orderBy("row.neg", "row.song_ord")
-    heads = scored.withColumn("_n", F.row_number().over(in_segment)).where(F.col("_n") <= limit + 1)
-    merged = segments.join(heads, segment)
-    edge = F.min(F.when(F.col("_n") == limit + 1, place)).over(Window.partitionBy(*taste))
-    prefix = merged.withColumn("_edge", edge).where(F.col("_edge").isNull() | (place <= F.col("_edge")))
+    weighted = favoured.join(heads(scored.where("w != 0"), segment, limit), segment)
+    # The shared list holds all genres, and the favoured ones drop out of it: it is cut later.
+    shared = tastes.join(heads(scored.where("w = 0"), ["te", "tv"], LONGER * limit), ["te", "tv"])
+    # A favoured genre's row stands in its own list; here only its list's edge counts.
+    own = F.coalesce(F.try_element_at("gv", F.when(F.col("gk") > 0, F.col("gk"))), F.lit(0.0)) != 0
+    shared = shared.withColumn("row", F.when(~own, F.col("row")))
+    merged = weighted.select(*taste, "row", "_edge").unionByName(shared.select(*taste, "row", "_edge"))
+    edge = F.min("_edge").over(Window.partitionBy(*taste))
+    merged = merged.withColumn("_edge", edge).where(F.col("row").isNull() | F.col("_edge").isNull() | (place <= F.col("_edge")))
+    rows = merged.where(F.col("row").isNotNull())
     if diverse:
-        prefix = best_per_set(prefix, taste)
+        rows = best_per_set(rows, taste)
     in_taste = Window.partitionBy(*taste).orderBy("row.neg", "row.song_ord")
-    heads = prefix.withColumn("_n", F.row_number().over(in_taste)).where(F.col("_n") <= limit + 1)
-    return (
-        heads.groupBy(*taste)
-        .agg(F.sort_array(F.collect_list("row")).alias("rows"), F.max("_edge").alias("_edge"))
-        .select(*taste, F.slice("rows", 1, limit).alias("rows"),
-                ((F.size("rows") > limit) | F.col("_edge").isNotNull()).alias("more"))
-    )
+    lists = rows.withColumn("_n", F.row_number().over(in_taste)).where(F.col("_n") <= limit + 1).groupBy(*taste).agg(
+        F.sort_array(F.collect_list("row")).alias("rows"))
+    cut = merged.groupBy(*taste).agg(F.max(F.col("_edge").isNotNull()).alias("_cut"))
+    return cut.join(lists, taste, "left").select(
+        *taste, F.slice("rows", 1, limit).alias("rows"), ((F.coalesce(F.size("rows"), F.lit(0)) > limit) | F.col("_cut")).alias("more"))
+
+
+def _popularity_term() -> Column:
+    """What popularity adds to a familiar score: popularities that add the same leave the order to ``song_ord``."""
+    return F.lit(fixed.FAMILIAR_WEIGHTS[2]) * F.col("pop")
 
 
 def _artist_lists(lean: DataFrame, limit: int) -> DataFrame:
@@ -272,10 +298,10 @@ def _artist_lists(lean: DataFrame, limit: int) -> DataFrame:
     ``rows`` holds ``pop, song_ord, song_id, artists, gk``; ``edges`` holds the
     last kept row of every genre that was cut.
     """
-    reduced = Window.partitionBy("artists", "gk").orderBy(F.desc("pop"), "song_ord")
+    reduced = Window.partitionBy("artists", "gk").orderBy(F.desc(_popularity_term()), "song_ord")
     best = lean.withColumn("_n", F.row_number().over(reduced)).where(F.col("_n") == 1)
     credits = best.select(F.explode("artists").alias("artist"), "pop", "song_ord", "song_id", "artists", "gk")
-    in_genre = Window.partitionBy("artist", "gk").orderBy(F.desc("pop"), "song_ord")
+    in_genre = Window.partitionBy("artist", "gk").orderBy(F.desc(_popularity_term()), "song_ord")
     heads = credits.withColumn("_n", F.row_number().over(in_genre)).where(F.col("_n") <= limit + 1)
     song = F.struct("pop", "song_ord", "song_id", "artists", "gk")
     per_genre = heads.groupBy("artist", "gk").agg(
@@ -308,11 +334,12 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
     """``user_id, song_id, song_ord, score, familiar, rank`` with ``top_n`` rows per user.
 
     ``songs`` must be unique by ``song_id``. Users with an artist vector have
-    their familiar songs scored by its cosine, which no shared list can hold,
-    and are solved on their full pools.
+    their familiar songs scored by its cosine, which no shared list can hold:
+    their familiar places are picked from all songs of the artists they know.
+    Discovery does not depend on the vector and comes from the shared lists for
+    everybody; users for whom these prove too short get longer ones.
     """
     lean = _lean(songs, vocabulary)
-    kind = _pick_type(lean)
     names = F.array().cast("array<string>")
     asked = users.select(
         "user_id",
@@ -322,18 +349,29 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
     ).withColumn("known", F.array_union("favorite_artists", "recent_artists"))
     # The walk over the lists is the costly part: spread users however they are stored.
     asked = asked.repartition("user_id")
+    familiar = _familiar_picks(lean, asked, top_n, list_rows, user_artist_vectors, artist_vectors)
+    picked = _discovery_picks(lean, asked, familiar, top_n, list_rows, vocabulary)
+
+    def place(picks: str, familiar_flag: bool) -> DataFrame:
+        return picked.select("user_id", F.posexplode(picks).alias("pos", "row")).select(
+            "user_id", "row.song_id", "row.song_ord", (-F.col("row.neg")).alias("score"),
+            F.lit(familiar_flag).alias("familiar"), "pos")
+
+    order = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("familiar"), "pos")
+    return place("fam", True).unionByName(place("disc", False)).withColumn(
+        "rank", F.row_number().over(order)).drop("pos")
+
+
+def _familiar_picks(lean: DataFrame, asked: DataFrame, top_n: int, list_rows: int,
+                    user_artist_vectors: DataFrame | None, artist_vectors: DataFrame | None) -> DataFrame:
+    """``user_id, fam``: each user's picks among songs of known artists, best first."""
+    kind = _pick_type(lean)
+    none, names = _no_picks(kind), F.array().cast("array<string>")
     by_vector = user_artist_vectors is not None and artist_vectors is not None
-    everyone = asked
+    by_name = asked
     if by_vector:
-        asked = everyone.join(user_artist_vectors.select("user_id"), "user_id", "left_anti")
-    tastes = asked.select("te", "tv", "gv").distinct()
-    segments = _segments(tastes, vocabulary)
-    scored = _taste_scored(lean, segments)
-    diverse = _taste_lists(scored, segments, list_rows, True)
-    plain = _taste_lists(scored, segments, list_rows, False).select(
-        "te", "tv", "gv", F.col("rows").alias("plain_rows"), F.col("more").alias("plain_more"))
-
-    named = asked.select(
+        by_name = asked.join(user_artist_vectors.select("user_id"), "user_id", "left_anti")
+    named = by_name.select(
         "user_id", "favorite_artists", F.concat(F.array(F.lit(0.0)), "gv").alias("weights"),
         F.explode("known").alias("artist"),
     ).withColumn("tier", F.when(F.array_contains("favorite_artists", F.col("artist")), fixed.FAVOURITE_MATCH)
@@ -354,18 +392,10 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
     ).groupBy("user_id").agg(
         F.sort_array(F.flatten(F.collect_list("rows"))).alias("fam_rows"),
         F.collect_list("edge").alias("edges"))
-    slots = slot_counts(asked, top_n)
-
-    none = _no_picks(kind)
-    start = (
-        asked.join(slots, "user_id").join(listed, "user_id", "left")
-        .join(diverse, ["te", "tv", "gv"], "left").join(plain, ["te", "tv", "gv"], "left")
-    )
-    familiar = start.select(
-        "user_id", "known", "discovery_slots", "familiar_slots", "rows", "more", "plain_rows", "plain_more",
+    walked = by_name.select("user_id").join(slot_counts(by_name, top_n), "user_id").join(listed, "user_id", "left").select(
+        "user_id", "familiar_slots",
         F.coalesce("edges", F.array().cast("array<struct<place:struct<neg:double,song_ord:bigint>,artist:string>>")).alias("edges"),
-        _greedy(F.coalesce("fam_rows", none), F.col("familiar_slots"), none, names)["picks"].alias("fam"),
-    )
+        _greedy(F.coalesce("fam_rows", none), F.col("familiar_slots"), none, names)["picks"].alias("fam"))
     # Rows missing behind an edge change nothing when their artist was taken at
     # or before it, or when all places were filled by then.
     last = F.try_element_at("fam", F.lit(-1))
@@ -373,43 +403,67 @@ def cold_start_recommend(songs: DataFrame, users: DataFrame, top_n: int = fixed.
     fam_open = F.exists("edges", lambda e: ~F.exists(
         "fam", lambda p: (place(p) <= e["place"]) & F.array_contains(p["artists"], e["artist"])
     ) & ~(filled & ((F.size("fam") == 0) | F.coalesce(place(last) <= e["place"], F.lit(False)))))
-    unknown = lambda rows: F.filter(
-        F.coalesce(rows, none), lambda r: ~F.arrays_overlap(r["artists"], F.col("known")))
-    discovery = familiar.withColumn("fam_open", fam_open).withColumn(
-        "quota", F.lit(top_n) - F.size("fam")
-    ).withColumn("disc", _greedy(unknown(F.col("rows")), F.col("quota"), none, names)["picks"])
-    missing = F.col("quota") - F.size("disc")
-    taken = F.transform("disc", lambda p: p["song_id"])
-    rest = F.filter(unknown(F.col("plain_rows")), lambda r: ~F.array_contains(F.col("_taken"), r["song_id"]))
-    padded = discovery.withColumn("missing", missing).withColumn("_taken", taken).withColumn(
-        "pad", F.when(F.col("missing") > 0, F.slice(rest, F.lit(1), F.greatest(F.col("missing"), F.lit(1))))
-        .otherwise(none))
-    short = F.col("missing") > 0
-    unsure = F.col("fam_open") | (short & F.coalesce("more", F.lit(False))) | (
-        short & (F.size("pad") < F.col("missing")) & F.coalesce("plain_more", F.lit(False)))
-    first = session.settle(
-        padded.select("user_id", "fam", F.concat("disc", "pad").alias("disc"),
-                      F.coalesce(unsure, F.lit(False)).alias("unsure")), "cold-start")
-
-    def place(picks: str, familiar_flag: bool) -> DataFrame:
-        return first.where(~F.col("unsure")).select("user_id", F.posexplode(picks).alias("pos", "row")).select(
-            "user_id", "row.song_id", "row.song_ord", (-F.col("row.neg")).alias("score"),
-            F.lit(familiar_flag).alias("familiar"), "pos")
-
-    order = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("familiar"), "pos")
-    result = place("fam", True).unionByName(place("disc", False)).withColumn(
-        "rank", F.row_number().over(order)).drop("pos")
-    open_users = first.where("unsure").select("user_id")
+    first = session.settle(walked.select("user_id", "fam", F.coalesce(fam_open, F.lit(False)).alias("open")), "familiar-picks")
+    closed = first.where(~F.col("open")).select("user_id", "fam")
+    open_users = first.where("open").select("user_id")
     if by_vector:
-        holders = everyone.join(user_artist_vectors.select("user_id"), "user_id", "left_semi").select("user_id")
+        holders = asked.join(user_artist_vectors.select("user_id"), "user_id", "left_semi").select("user_id")
         open_users = session.settle(open_users.unionByName(holders), "open-users")
     if open_users.isEmpty():
-        return result
-    slow = everyone.join(open_users, "user_id", "left_semi")
-    familiar_pool = _familiar_pool(lean, slow, user_artist_vectors, artist_vectors if by_vector else None)
-    return result.unionByName(
-        slot_reservation(familiar_pool, _discovery_pool(lean, slow, vocabulary), slow, top_n, list_rows)
-        .select(*result.columns))
+        return closed
+    slow = asked.join(open_users, "user_id", "left_semi")
+    pool = _familiar_pool(lean, slow, user_artist_vectors, artist_vectors if by_vector else None)
+    quotas = slot_counts(slow, top_n).select("user_id", F.col("familiar_slots").alias("quota"))
+    picks = artist_cap_pick(pool, quotas, top_n, True, list_rows)
+    row = F.struct((-F.col("score")).alias("neg"), "song_ord", "song_id", names.alias("artists"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", row.alias("row"))))
+    found = picks.groupBy("user_id").agg(F.transform(ordered, lambda p: p["row"]).cast(f"array<{kind}>").alias("fam"))
+    return closed.unionByName(slow.select("user_id").join(found, "user_id", "left").select(
+        "user_id", F.coalesce("fam", none).alias("fam")))
+
+
+def _discovery_picks(lean: DataFrame, asked: DataFrame, familiar: DataFrame, top_n: int, list_rows: int,
+                     vocabulary: list[str]) -> DataFrame:
+    """``user_id, fam, disc``: the remaining places from the lists of each user's taste.
+
+    Lists double as a proof: a user whose picks were complete inside them needs
+    nothing behind. The others, and only their tastes, go on with longer lists,
+    at the latest until a list holds the whole catalog.
+    """
+    kind = _pick_type(lean)
+    none, names = _no_picks(kind), F.array().cast("array<string>")
+    waiting = session.settle(asked.select("user_id", "known", "te", "tv", "gv").join(familiar, "user_id").withColumn(
+        "quota", F.lit(top_n) - F.size("fam")), "discovery-users")
+    done = None
+    while True:
+        tastes = session.settle(waiting.select("te", "tv", "gv").distinct(), "tastes")
+        favoured = _favoured(tastes, vocabulary)
+        # Read four times below: both kinds of lists, with and without a weight.
+        scored = session.settle(_taste_scored(lean, tastes, favoured, vocabulary), "taste-scores")
+        diverse = _taste_lists(scored, tastes, favoured, list_rows, True)
+        plain = _taste_lists(scored, tastes, favoured, list_rows, False).select(
+            "te", "tv", "gv", F.col("rows").alias("plain_rows"), F.col("more").alias("plain_more"))
+        start = waiting.join(diverse, ["te", "tv", "gv"], "left").join(plain, ["te", "tv", "gv"], "left")
+        unknown = lambda rows: F.filter(
+            F.coalesce(rows, none), lambda r: ~F.arrays_overlap(r["artists"], F.col("known")))
+        walked = start.withColumn("disc", _greedy(unknown(F.col("rows")), F.col("quota"), none, names)["picks"])
+        missing = F.col("quota") - F.size("disc")
+        taken = F.transform("disc", lambda p: p["song_id"])
+        rest = F.filter(unknown(F.col("plain_rows")), lambda r: ~F.array_contains(F.col("_taken"), r["song_id"]))
+        padded = walked.withColumn("missing", missing).withColumn("_taken", taken).withColumn(
+            "pad", F.when(F.col("missing") > 0, F.slice(rest, F.lit(1), F.greatest(F.col("missing"), F.lit(1))))
+            .otherwise(none))
+        short = F.col("missing") > 0
+        unsure = (short & F.coalesce("more", F.lit(False))) | (
+            short & (F.size("pad") < F.col("missing")) & F.coalesce("plain_more", F.lit(False)))
+        state = session.settle(padded.select(
+            *waiting.columns, F.concat("disc", "pad").alias("disc"), unsure.alias("unsure")), "discovery-picks")
+        sure = state.where(~F.col("unsure")).select("user_id", "fam", "disc")
+        done = sure if done is None else done.unionByName(sure)
+        waiting = state.where("unsure").select(*waiting.columns)
+        if waiting.isEmpty():
+            return done
+        list_rows *= LONGER
 
 
 def _familiar_pool(lean: DataFrame, users: DataFrame, user_artist_vectors: DataFrame | None = None,
@@ -420,7 +474,7 @@ def _familiar_pool(lean: DataFrame, users: DataFrame, user_artist_vectors: DataF
     popularity alone, so the best of them stands for all.
     """
     same = ["artists", "gk"] + ([] if artist_vectors is None else ["artist_id"])
-    reduced = Window.partitionBy(*same).orderBy(F.desc("pop"), "song_ord")
+    reduced = Window.partitionBy(*same).orderBy(F.desc(_popularity_term()), "song_ord")
     best = lean.withColumn("_n", F.row_number().over(reduced)).where(F.col("_n") == 1)
     credits = best.select("song_id", F.explode("artists").alias("artist"))
     pairs = users.select("user_id", F.explode("known").alias("artist")).join(credits, "artist").select(
@@ -432,11 +486,3 @@ def _familiar_pool(lean: DataFrame, users: DataFrame, user_artist_vectors: DataF
         "user_id", "song_id", "song_ord", "artists",
         scalars.familiar_score(F.col("artist_similarity"), genre, F.col("pop")).alias("score"))
 
-
-def _discovery_pool(lean: DataFrame, users: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Full discovery pool of a few users."""
-    segments = _segments(users.select("te", "tv", "gv").distinct(), vocabulary)
-    scored = segments.join(_taste_scored(lean, segments), ["te", "tv", "gk", "w"])
-    return users.select("user_id", "known", "te", "tv", "gv").join(scored, ["te", "tv", "gv"]).where(
-        ~F.arrays_overlap("row.artists", "known")).select(
-        "user_id", "row.song_id", "row.song_ord", "row.artists", (-F.col("row.neg")).alias("score"))

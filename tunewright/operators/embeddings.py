@@ -49,8 +49,9 @@ def pca_embedding(songs: DataFrame, features: list[str] = fixed.AUDIO_FEATURES,
     return model.transform(songs).select(*keep, projected)
 
 
-def explained_variance(model: PipelineModel) -> float:
-    return float(model.stages[-1].explainedVariance.toArray().sum())
+def explained_variance(model: PipelineModel) -> list[float]:
+    """Share of the variance that each component keeps."""
+    return [float(share) for share in model.stages[-1].explainedVariance.toArray()]
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str, count: str,

@@ -113,14 +113,14 @@ def novelty_at_k(listed: DataFrame, k: int = fixed.FINAL_ROWS) -> DataFrame:
     return top.groupBy("user_id").agg(F.avg(-F.log("popularity")).alias("novelty"))
 
 
-def temporal_split(interactions: DataFrame, buckets: int = 64) -> DataFrame:
+def temporal_split(interactions: DataFrame, buckets: int | None = None) -> DataFrame:
     """Adds ``part``: ``train`` for the earlier half of each user's rows, else ``eval``.
 
-    The odd row goes to the earlier half. A user's rows are ranked in time
-    buckets, so one very active user is spread over many tasks.
+    The odd row goes to the earlier half. A user's rows are ranked in buckets of
+    time, cut by ``log_ord`` where one moment fills a bucket, so one very active
+    user is spread over many tasks, also in a burst.
     """
-    cuts = ordering.cut_points(interactions, F.unix_micros("ts"), buckets)
-    bucket = ordering.bucket_of(F.unix_micros("ts"), cuts)
+    bucket = ordering.ordered_buckets(interactions, F.unix_micros("ts"), F.col("log_ord"), buckets)
     ranked = ordering.rank_in_buckets(interactions, ["user_id"], bucket,
                                       [F.col("ts"), F.col("log_ord")], "position", "n_rows")
     first_half = F.col("position") * 2 <= F.col("n_rows") + 1

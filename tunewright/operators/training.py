@@ -82,7 +82,7 @@ def group_split(rows: DataFrame, test_share: float = fixed.TEST_SHARE, seed: int
     n_users = users.count()
     if n_users < 2:
         total = rows.count()
-        cuts = ordering.cut_points(rows, F.col("log_ord"), 64)
+        cuts = ordering.cut_points(rows, F.col("log_ord"))
         ranked = ordering.rank_in_buckets(rows, ["user_id"], ordering.bucket_of(F.col("log_ord"), cuts),
                                           [F.col("log_ord")])
         return ranked.withColumn("is_test", F.col("position") > int(total * (1 - test_share))).drop("position")

@@ -11,7 +11,7 @@ from tunewright.plans import jobs
 from tunewright.plans.catalog_queries import brand_vectors, users
 from tunewright.plans.oracle import AS_OF, check
 from tunewright.plans.register import query
-from tunewright.plans.vector_queries import rank
+from tunewright.plans.vector_queries import pool_features, rank
 from tunewright.sources import bindings as b
 from tunewright.sources import tables
 from tunewright.streaming import feedback
@@ -108,48 +108,84 @@ def _fitted(spark, sf):
     return _models[key]
 
 
-@query("train_ranker")
+@query("train_ranker", check("SELECT label, count(*) AS n_rows, TRUE AS trees_fit FROM training GROUP BY label", "training"),
+       wholes=("label",))
 def train_ranker(spark, sf):
     rows, model = _fitted(spark, sf)
-    booster = model.stages[-1]
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
-        "trees", F.lit(booster.getNumTrees))
+    fits = 1 <= model.stages[-1].getNumTrees <= fixed.TREES
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("trees_fit", F.lit(fits))
 
 
-@query("score_model")
+@query("score_model", check("SELECT user_id, song_id, log_ord, TRUE AS is_share FROM training", "training"))
 def score_model(spark, sf):
     rows, model = _fitted(spark, sf)
-    return ranking.score_model(rows, model).select("user_id", "song_id", "log_ord", "score")
+    return ranking.score_model(rows, model).select(
+        "user_id", "song_id", "log_ord", F.col("score").between(0.0, 1.0).alias("is_share"))
 
 
-@query("feature_importance")
+@query("rank_with_model", check("SELECT user_id, count(*) AS n_ranked, TRUE AS falling FROM pool_ranked GROUP BY user_id", "pool_ranked"))
+def rank_with_model(spark, sf):
+    """Lists by the model: as long as by the weights, scores falling from 1 to 0 at most."""
+    ranked = ranking.rank(pool_features(spark, sf), _fitted(spark, sf)[1])
+    scores = F.transform(F.sort_array(F.collect_list(F.struct("rank", "score"))), lambda r: r["score"])
+    # At most RANKED_ROWS scores per user.
+    lists = ranked.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_ranked"), scores.alias("scores"))
+    falling = F.forall(F.sequence(F.lit(0), F.size("scores") - 1), lambda i: F.get("scores", i).between(
+        F.coalesce(F.get("scores", i + 1), F.lit(0.0)), F.lit(1.0)))
+    return lists.select("user_id", "n_ranked", falling.alias("falling"))
+
+
+_NAMES = ", ".join(f"('{c}')" for c in FEATURES)
+
+
+@query("feature_importance", f"SELECT feature, 1.0 AS total, TRUE AS positive FROM (VALUES {_NAMES}) AS f(feature)", doubles=("total",))
 def feature_importance(spark, sf):
-    return training.feature_importance(_fitted(spark, sf)[1])
+    """Each feature with the sum over all of them."""
+    table = training.feature_importance(_fitted(spark, sf)[1])
+    total = table.agg(F.sum("importance").alias("total"))
+    # One row.
+    return table.join(F.broadcast(total)).select("feature", "total", (F.col("importance") >= 0).alias("positive"))
 
 
-@query("importance_sort")
+@query("importance_sort", f"SELECT row_number() OVER () AS place, TRUE AS falling FROM (VALUES {_NAMES}) AS f(feature)")
 def importance_sort(spark, sf):
     table = training.feature_importance(_fitted(spark, sf)[1])
     from pyspark.sql import Window
-    # Six rows, one per feature.
-    return table.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+    # Six rows, one per feature, numbered as they come.
+    order = Window.orderBy(F.monotonically_increasing_id())
+    numbered = table.coalesce(1).withColumn("place", F.row_number().over(order))
+    return numbered.select("place", F.coalesce(
+        F.lag("importance").over(Window.orderBy("place")) >= F.col("importance"), F.lit(True)).alias("falling"))
 
 
-@query("save_model")
+@query("save_model", check(f"SELECT count(*) AS n_rows, 0.0 AS difference, '{','.join(FEATURES)}' AS features FROM training", "training"),
+       doubles=("difference",))
 def save_model(spark, sf):
+    """Largest difference between the scores of the model and of the one read back."""
     path = session.shared_path(spark, "ranker")
     rows, model = _fitted(spark, sf)
     tables.save_model(model, path)
     loaded, meta = tables.load_model(spark, path)
-    scored = ranking.score_model(rows, loaded)
-    return scored.select("user_id", "log_ord", "score", F.lit(",".join(meta["feature_columns"])).alias("features"))
-
-
-@query("train_and_evaluate")
+    both = ranking.score_model(ranking.score_model(rows, model).withColumnRenamed("score", "before").select(
+        *FEATURES, "before"), loaded)
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col("score") - F.col("before"))).alias("difference")).withColumn(
+        "features", F.lit(",".join(meta["feature_columns"])))
+
+
+@query("train_and_evaluate", check(f"""
+  SELECT count(*) AS n_users, TRUE AS within FROM (
+    SELECT t.user_id FROM training t JOIN (
+        SELECT user_id, row_number() OVER (ORDER BY md5('{fixed.SEED}:' || user_id), user_id) AS place, count(*) OVER () AS n
+        FROM (SELECT DISTINCT user_id FROM training)) u ON u.user_id = t.user_id
+    WHERE place <= ceil({fixed.TEST_SHARE} * n)
+    GROUP BY t.user_id HAVING count(*) >= 10 AND sum(label) > 0)""", "training"))
 def train_and_evaluate(spark, sf):
+    """Users that enter the averages, and whether all averages are shares."""
     by_brand = embeddings.artist_embedding(brand_vectors(spark, sf))
-    return jobs.train_and_evaluate(b.interactions(spark, sf), b.songs(spark, sf), b.song_vectors(spark, sf),
-                                   by_brand, b.as_of())["report"]
+    report = jobs.train_and_evaluate(b.interactions(spark, sf), b.songs(spark, sf), b.song_vectors(spark, sf),
+                                     by_brand, b.as_of())["report"]
+    shares = [F.col(c).between(0.0, 1.0) for c in ("precision", "recall", "ndcg", "auc")]
+    return report.select("n_users", (shares[0] & shares[1] & shares[2] & shares[3]).alias("within"))
 
 
 # ---- metrics

@@ -65,6 +65,10 @@ part("songs", """
     (p_partkey % 101)::DOUBLE AS popularity, (p_partkey % 101) / 100.0::DOUBLE AS popularity_norm
   FROM part""")
 
+# Audio features with mean 0 and deviation 1.
+part("scaled", "SELECT song_id, artist_id, [" + ", ".join(
+    f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER ()" for f in fixed.AUDIO_FEATURES) + "] AS z FROM songs", "songs")
+
 part("answers", f"""
   SELECT c_custkey AS user_id, c_name AS name, c_nationkey % 3 AS level, {_MOOD} AS mood,
     [{WORDS}[c_custkey % 16 + 1], {WORDS}[(c_custkey + 5) % 16 + 1], {WORDS}[(c_custkey + 9) % 16 + 1]] AS favorite_artists,
@@ -121,18 +125,30 @@ part("pairs", """
 
 _MOOD_FIT = python_round("1.0::DOUBLE - (abs(energy - te) + abs(valence - tv)) / 2.0::DOUBLE", 4)
 _DISCOVERY = python_round("0.40::DOUBLE * genre_similarity + 0.35::DOUBLE * mood_compatibility + 0.25::DOUBLE * popularity_norm", 4)
-_SCORED = f"""
+_BY_NAME = """CASE WHEN list_has_any(artists, favorite_artists) THEN 1.0::DOUBLE
+           WHEN list_has_any(artists, recent_artists) THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END"""
+
+
+def scored(name: str, source: str, artist_similarity: str, *needs: str) -> None:
+    """First-run scores of (user, song) rows."""
+    part(name, f"""
   SELECT *, 0.5::DOUBLE * artist_similarity + 0.3::DOUBLE * genre_similarity + 0.2::DOUBLE * popularity_norm AS familiar_score,
     {_DISCOVERY} AS discovery_score
   FROM (SELECT user_id, song_id, song_ord, artists, popularity_norm, exploration_weight,
       list_has_any(artists, known) AS familiar,
-      CASE WHEN list_has_any(artists, favorite_artists) THEN 1.0::DOUBLE
-           WHEN list_has_any(artists, recent_artists) THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS artist_similarity,
+      {artist_similarity} AS artist_similarity,
       CASE WHEN list_contains(favorite_genres, genre) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS genre_similarity,
       {_MOOD_FIT} AS mood_compatibility
-    FROM @source)"""
-part("scored_pairs", _SCORED.replace("@source", "pairs JOIN songs USING (song_id) JOIN users USING (user_id)"), "pairs", "songs", "users")
-part("scored_all", _SCORED.replace("@source", "songs CROSS JOIN users"), "songs", "users")
+    FROM {source})""", *needs)
+
+
+scored("scored_pairs", "pairs JOIN songs USING (song_id) JOIN users USING (user_id)", _BY_NAME, "pairs", "songs", "users")
+scored("scored_all", "songs CROSS JOIN users", _BY_NAME, "songs", "users")
+part("brand_match", """
+  SELECT user_id, artist_id, round(list_cosine_similarity(t.artist_vector, a.embedding), 9) AS by_vector
+  FROM brand_taste t CROSS JOIN brand_vec a""", "brand_taste", "brand_vec")
+scored("scored_by_vector", "songs CROSS JOIN users LEFT JOIN brand_match USING (user_id, artist_id)",
+       f"coalesce(by_vector, {_BY_NAME})", "songs", "users", "brand_match")
 
 
 def greedy(pool: str, quota: str, name: str, strict: bool, *needs: str) -> None:
@@ -187,7 +203,11 @@ def slot_lists(prefix: str, source: str, top_n: int) -> None:
          f"{prefix}_fam", f"{prefix}_disc")
 
 
+# Users whose survey passes; the others leave their favourites blank.
+part("accepted", "SELECT * FROM users WHERE user_id % 50 <> 7", "users")
+
 slot_lists("cold", "scored_all", 10)
+slot_lists("vector_cold", "scored_by_vector", 10)
 slot_lists("bought", "scored_pairs", 10)
 
 part("windows", "SELECT " + ", ".join(

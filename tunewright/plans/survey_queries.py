@@ -9,6 +9,7 @@ from tunewright.plans import jobs
 from tunewright.plans.catalog_queries import users
 from tunewright.plans.oracle import check
 from tunewright.plans.register import query
+from tunewright.plans.vector_queries import brands
 from tunewright.sources import bindings as b
 
 
@@ -64,14 +65,59 @@ def cold_start_recommend(spark, sf):
     return coldstart.cold_start_recommend(b.songs(spark, sf), users(spark, sf), 10, b.ITEM_GENRES).drop("song_ord")
 
 
+@query("cold_start_with_artist_vectors", check("SELECT user_id, song_id, score, familiar, rank FROM vector_cold_list", "vector_cold_list"),
+       doubles=("score",))
+def cold_start_with_artist_vectors(spark, sf):
+    by_brand, wanted = brands(spark, sf)
+    return coldstart.cold_start_recommend(
+        b.songs(spark, sf), users(spark, sf), 10, b.ITEM_GENRES,
+        user_artist_vectors=wanted, artist_vectors=by_brand).drop("song_ord")
+
+
+@query("cold_start_short_lists", check("SELECT user_id, song_id, score, familiar, rank FROM cold_list", "cold_list"),
+       doubles=("score",))
+def cold_start_short_lists(spark, sf):
+    """Lists of two rows are too short for most users, so longer ones follow."""
+    return coldstart.cold_start_recommend(b.songs(spark, sf), users(spark, sf), 10, b.ITEM_GENRES, list_rows=2).drop("song_ord")
+
+
+# All five outputs as rows (output, user_id, item, text, value, place).
 @query("user_onboarding_batch", check("""
-  SELECT u.user_id, u.exploration_weight, f.n_first, f.best, coalesce(v.n_liked, 0) AS n_liked FROM users u
-  JOIN (SELECT user_id, count(*) AS n_first, max(score) AS best FROM cold_list GROUP BY user_id) f USING (user_id)
-  LEFT JOIN user_vec v USING (user_id)""", "users", "cold_list", "user_vec"), doubles=("exploration_weight", "best"))
+  SELECT 'rejected' AS output, user_id, CAST(NULL AS BIGINT) AS item, 'favorite_artists needs 3 to 5' AS text, 0.0 AS value, 0 AS place
+    FROM users WHERE user_id % 50 = 7
+  UNION ALL SELECT 'profiles', user_id, NULL, name || '|' || array_to_string(favorite_artists, ','), exploration_weight, 0 FROM accepted
+  UNION ALL SELECT 'profiles', user_id, -1, 'targets', te + 10 * tv, 0 FROM accepted
+  UNION ALL SELECT 'first_lists', user_id, song_id, CASE WHEN familiar THEN 'familiar' ELSE 'discovery' END, score, rank
+    FROM cold_list SEMI JOIN accepted USING (user_id)
+  UNION ALL SELECT 'log_rows', user_id, song_id, '2024-03-01 09:00:00', label + 10 * label, count(*)
+    FROM log SEMI JOIN accepted USING (user_id) GROUP BY user_id, song_id, label
+  UNION ALL SELECT 'user_vectors', user_id, n_liked, '', x, pos FROM user_vec_long SEMI JOIN accepted USING (user_id)""",
+    "accepted", "cold_list", "log", "user_vec_long"), doubles=("value",), wholes=("user_id", "item", "place"))
 def user_onboarding_batch(spark, sf):
+    answers = b.answers(spark, sf).withColumn(
+        "favorite_artists", F.when(F.col("user_id") % 50 == 7, F.array().cast("array<string>")).otherwise(F.col("favorite_artists")))
     picks = b.interactions(spark, sf).select("user_id", "song_id", "label")
-    done = jobs.onboard_users(b.answers(spark, sf), b.songs(spark, sf), picks, b.song_vectors(spark, sf), b.ITEM_GENRES)
-    lists = done["first_lists"].groupBy("user_id").agg(F.count(F.lit(1)).alias("n_first"), F.max("score").alias("best"))
-    return done["profiles"].select("user_id", "exploration_weight").join(lists, "user_id").join(
-        done["user_vectors"].select("user_id", "n_liked"), "user_id", "left").withColumn(
-        "n_liked", F.coalesce("n_liked", F.lit(0)))
+    done = jobs.onboard_users(answers, b.songs(spark, sf), picks, b.song_vectors(spark, sf), b.ITEM_GENRES,
+                              at=F.lit("2024-03-01 09:00:00"))
+
+    def rows(output: str, df, item, text, value, place):
+        return df.select(F.lit(output).alias("output"), F.col("user_id").cast("long").alias("user_id"), item.cast("long").alias("item"),
+                         text.alias("text"), value.cast("double").alias("value"), place.cast("long").alias("place"))
+
+    none, zero = F.lit(None), F.lit(0)
+    profiles, logged = done["profiles"], done["log_rows"].groupBy("user_id", "song_id", "label", "play_count", "timestamp").count()
+    parts = [
+        rows("rejected", done["rejected"], none, F.array_join("problems", ","), zero, zero),
+        rows("profiles", profiles, none, F.concat_ws("|", "name", F.array_join("favorite_artists", ",")), F.col("exploration_weight"), zero),
+        rows("profiles", profiles, F.lit(-1), F.lit("targets"),
+             F.col("mood_targets.target_energy") + 10 * F.col("mood_targets.target_valence"), zero),
+        rows("first_lists", done["first_lists"], F.col("song_id"),
+             F.when(F.col("familiar"), "familiar").otherwise("discovery"), F.col("score"), F.col("rank")),
+        rows("log_rows", logged, F.col("song_id"), F.col("timestamp"), F.col("label") + 10 * F.col("play_count"), F.col("count")),
+        rows("user_vectors", done["user_vectors"].select("user_id", "n_liked", F.posexplode("embedding").alias("pos", "x")),
+             F.col("n_liked"), F.lit(""), F.col("x"), F.col("pos")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

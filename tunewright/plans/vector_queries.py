@@ -398,17 +398,18 @@ def standardise_stats(spark, sf):
     return embeddings.standardise_stats(b.songs(spark, sf))
 
 
-@query("pca_embedding")
+@query("pca_embedding", check("SELECT song_id, " + " + ".join(
+    f"pow(({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER (), 2)" for f in fixed.AUDIO_FEATURES) + " AS squared_length FROM songs", "songs"),
+    doubles=("squared_length",))
 def pca_embedding(spark, sf):
-    return _long(embeddings.pca_embedding(b.songs(spark, sf)), "song_id")
+    """Squared lengths: with all components the projection only turns the scaled features."""
+    square = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x)
+    return embeddings.pca_embedding(b.songs(spark, sf)).select("song_id", square.alias("squared_length"))
 
 
 @query("pca_cosine", check("""
-  SELECT song_id, n_songs, mean_cosine FROM (SELECT a.song_id, count(*) AS n_songs,
-      round(avg(list_cosine_similarity(a.z, c.z)), 9) AS mean_cosine FROM z a JOIN z c USING (artist_id) GROUP BY a.song_id)"""
-    .replace("FROM z a JOIN z c", "FROM zs a JOIN zs c").replace("zs", "(SELECT song_id, artist_id, [" + ", ".join(
-        f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER ()" for f in fixed.AUDIO_FEATURES) + "] AS z FROM songs)"),
-    "songs"), doubles=("mean_cosine",))
+  SELECT a.song_id, count(*) AS n_songs, round(avg(list_cosine_similarity(a.z, c.z)), 9) AS mean_cosine
+  FROM scaled a JOIN scaled c USING (artist_id) GROUP BY a.song_id""", "scaled"), doubles=("mean_cosine",))
 def pca_cosine(spark, sf):
     """Row means of cosines in the projected space, equal to those of the scaled features."""
     projected = embeddings.pca_embedding(b.songs(spark, sf))
@@ -417,17 +418,26 @@ def pca_cosine(spark, sf):
     return means.join(sizes, "artist_id").select("song_id", "n_songs", "mean_cosine")
 
 
-@query("explained_variance", check("SELECT 10 AS components, 1.0 AS share", "songs"), doubles=("share",))
+@query("explained_variance", check("""
+  SELECT least(len(any_value(z)), count(*)) AS components, 1.0 AS share, TRUE AS falling FROM scaled""", "scaled"),
+    doubles=("share",))
 def explained_variance(spark, sf):
-    songs = b.songs(spark, sf)
-    model = embeddings.fit_pca(songs)
-    return songs.select("song_id").groupBy().agg(
-        F.lit(model.stages[-1].getK()).alias("components"),
-        F.round(F.lit(embeddings.explained_variance(model)), 6).alias("share"))
+    """Number of components, the sum of their shares, and whether no share is larger than the one before."""
+    shares = embeddings.explained_variance(embeddings.fit_pca(b.songs(spark, sf)))
+    table = spark.createDataFrame(list(enumerate(shares)), "component long, share double")
+    # At most as many rows as features.
+    before = F.lag("share").over(Window.orderBy("component"))
+    falling = table.withColumn("ok", F.coalesce(before + F.lit(1e-9) >= F.col("share"), F.lit(True)))
+    return falling.agg(F.count(F.lit(1)).alias("components"), F.sum("share").alias("share"), F.bool_and("ok").alias("falling"))
 
 
 @query("build_embeddings", check("""
-  SELECT s.artist_id, count(*) AS n_songs FROM songs s GROUP BY s.artist_id""", "songs"))
+  SELECT artist_id, count(*) AS n_songs, round(avg(mean_cosine), 8) AS mean_cosine FROM (
+    SELECT a.artist_id, a.song_id, round(avg(list_cosine_similarity(a.z, c.z)), 9) AS mean_cosine
+    FROM scaled a JOIN scaled c USING (artist_id) GROUP BY a.artist_id, a.song_id) GROUP BY artist_id""", "scaled"),
+    doubles=("mean_cosine",))
 def build_embeddings(spark, sf):
+    """Per artist of the written tables: songs, and the mean cosine between any two of them."""
     built = jobs.build_embeddings(b.songs(spark, sf), session.shared_path(spark, "vectors"))
-    return built["artists"].join(built["songs"].select("artist_id").distinct(), "artist_id").select("artist_id", "n_songs")
+    means = embeddings.group_cosine_mean(built["songs"]).groupBy("artist_id").agg(F.avg("mean_cosine").alias("mean_cosine"))
+    return built["artists"].join(means, "artist_id").select("artist_id", "n_songs", "mean_cosine")

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_noted: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "tunewright", cpus: str | int = "*") -> SparkSession:
@@ -44,6 +45,9 @@ def shared_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if context.applicationId not in _local_roots and context.getCheckpointDir():
+        # Set by a call instead of the setting.
+        return context.getCheckpointDir().rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _local_roots:
@@ -54,8 +58,23 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, noted for ``forget``."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _noted.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def forget(spark: SparkSession) -> int:
+    """Remove everything this application put under the shared folder; returns the number of paths.
+
+    Call it when no result that reads from there is in use any more.
+    """
+    context = spark.sparkContext
+    paths = _noted.pop(context.applicationId, [])
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

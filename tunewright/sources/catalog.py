@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunewright import session
 from tunewright.functions import scalars
 
 TEXT_COLUMNS = [
@@ -21,11 +22,12 @@ LEGACY_COLUMNS = [
 
 
 def scan_catalog(spark: SparkSession, path: str, columns: list[str] = TEXT_COLUMNS,
-                 quoted_line_breaks: bool = True) -> DataFrame:
+                 quoted_line_breaks: bool = False) -> DataFrame:
     """Header CSV as text columns plus ``song_ord``, the row's place in file order.
 
-    Files with line breaks inside quotes cannot be split, so each is one task;
-    pass ``quoted_line_breaks=False`` for large files that have none.
+    Large files are split. Files with line breaks inside quotes cannot be:
+    ``quoted_line_breaks`` reads each of them in one task. The text is read once
+    and written; the order of the file splits comes from two written columns.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = (
@@ -39,6 +41,7 @@ def scan_catalog(spark: SparkSession, path: str, columns: list[str] = TEXT_COLUM
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
     )
+    rows = session.settle(rows, "catalog-rows")
     # One row per file split; ordering them needs no more than a short list.
     splits = rows.select("_file", "_start").distinct().withColumn(
         "_split", F.row_number().over(Window.orderBy("_file", "_start"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tunewright.functions import vectors
 from tunewright.operators import embeddings, history
 from tunewright.sources import interactions as log
+from tunewright.sources import tables
 
 
 def stream_interactions(rated: DataFrame, path: str, checkpoint: str, at: Column | None = None) -> StreamingQuery:
@@ -23,10 +26,46 @@ def stream_interactions(rated: DataFrame, path: str, checkpoint: str, at: Column
     )
 
 
-def stream_history_counts(interactions: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+# ---- state folders: batch=<n> per micro-batch, base-<n> for everything up to batch n, bases lists the finished bases
+
+#: Micro-batches after which a state folder is compacted.
+COMPACT_EVERY = 100
+
+
+def _newest_base(spark: SparkSession, state: str) -> int:
+    finished = tables.read_if_present(spark, f"{state}/bases")
+    return -1 if finished is None else finished.agg(F.max("base")).first()[0]
+
+
+def _state_rows(spark: SparkSession, state: str) -> DataFrame:
+    """The newest base and the batches after it, each row with its ``batch``."""
+    base = _newest_base(spark, state)
+    newer = spark.read.option("basePath", state).parquet(f"{state}/batch=*").where(F.col("batch") > base)
+    return newer if base < 0 else spark.read.parquet(f"{state}/base-{base}").unionByName(newer)
+
+
+def _compact(spark: SparkSession, state: str, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Fold base and later batches into a new base. A batch repeated afterwards is in the base already and not read."""
+    rows = _state_rows(spark, state)
+    upto = rows.agg(F.max("batch")).first()[0]
+    if upto is None or upto == _newest_base(spark, state):
+        return
+    fold(rows).withColumn("batch", F.lit(upto)).write.mode("overwrite").parquet(f"{state}/base-{upto}")
+    # Only a base that is written in full is listed.
+    spark.createDataFrame([(upto,)], "base int").write.mode("append").parquet(f"{state}/bases")
+
+
+def _due(number: int, every: int) -> bool:
+    return number % every == every - 1
+
+
+def stream_history_counts(interactions: DataFrame, table: str, checkpoint: str,
+                          compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Running likes and skips per user: each batch appends its changed users, see ``latest_counts``."""
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        if _due(number, compact_every):
+            compact_counts(batch.sparkSession, table)
 
     return (
         history.history_counts(interactions).writeStream.outputMode("update").foreachBatch(keep)
@@ -34,19 +73,26 @@ def stream_history_counts(interactions: DataFrame, table: str, checkpoint: str)
     )
 
 
-def latest_counts(spark: SparkSession, table: str) -> DataFrame:
-    rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*")
+def _latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(
         F.max_by("likes", "batch").alias("likes"), F.max_by("skips", "batch").alias("skips"))
 
 
+def latest_counts(spark: SparkSession, table: str) -> DataFrame:
+    return _latest(_state_rows(spark, table))
+
+
+def compact_counts(spark: SparkSession, table: str) -> None:
+    _compact(spark, table, _latest)
+
+
 def stream_user_embedding(interactions: DataFrame, song_vectors: DataFrame, state: str,
-                          checkpoint: str) -> StreamingQuery:
+                          checkpoint: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Running sum of liked vectors and their number per user.
 
     Each batch writes its own sums under its batch number; a repeated batch
     overwrites itself, so nothing is counted twice. ``read_user_embedding``
-    adds the batches up.
+    adds the newest base and the batches after it up.
     """
     dim = vectors.dimension(song_vectors, "embedding")
 
@@ -54,6 +100,8 @@ def stream_user_embedding(interactions: DataFrame, song_vectors: DataFrame, stat
         pairs = embeddings.liked_counts(batch).join(song_vectors.select("song_id", "embedding"), "song_id")
         sums = vectors.sum_vectors(pairs, ["user_id"], "embedding", dim, "likes", n_liked="sum(likes)")
         sums.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        if _due(number, compact_every):
+            compact_user_embedding(batch.sparkSession, state)
 
     return (
         interactions.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
@@ -61,20 +109,19 @@ def stream_user_embedding(interactions: DataFrame, song_vectors: DataFrame, stat
     )
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    dim = vectors.dimension(rows, "vector_sum")
+    return vectors.sum_vectors(rows, ["user_id"], "vector_sum", dim, n_liked="sum(n_liked)")
+
+
 def read_user_embedding(spark: SparkSession, state: str) -> DataFrame:
     """User vectors as the mean over all batches; equal to the batch result without a blend."""
-    rows = spark.read.option("basePath", state).parquet(f"{state}/batch=*")
-    dim = vectors.dimension(rows, "vector_sum")
-    sums = vectors.sum_vectors(rows, ["user_id"], "vector_sum", dim, n_liked="sum(n_liked)")
-    return sums.select("user_id", vectors.divide("vector_sum", F.col("n_liked")).alias("embedding"), "n_liked")
+    return _summed(_state_rows(spark, state)).select(
+        "user_id", vectors.divide("vector_sum", F.col("n_liked")).alias("embedding"), "n_liked")
 
 
-def compact_user_embedding(spark: SparkSession, state: str, target: str) -> None:
-    """Fold all batches of a state folder into one batch of a new folder."""
-    rows = spark.read.option("basePath", state).parquet(f"{state}/batch=*")
-    dim = vectors.dimension(rows, "vector_sum")
-    vectors.sum_vectors(rows, ["user_id"], "vector_sum", dim, n_liked="sum(n_liked)") \
-        .write.mode("overwrite").parquet(f"{target}/batch=-1")
+def compact_user_embedding(spark: SparkSession, state: str) -> None:
+    _compact(spark, state, _summed)
 
 
 def stream_refit_signal(interactions: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
