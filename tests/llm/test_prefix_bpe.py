@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -21,10 +22,14 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
+def decoded(coder, ids):
+    return coder.decode(np.array(ids, dtype=np.int32), np.array([0, len(ids)]))[0]
+
+
 def same(coder, library, text):
     ids = library.encode(text, add_special_tokens=False).ids
-    assert coder.encode(text).tolist() == ids, text[:60]
-    assert coder.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    assert coder.encode([text])[0].tolist() == ids, text[:60]
+    assert decoded(coder, ids) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_random_texts(coder, library):
@@ -33,6 +38,15 @@ def test_random_texts(coder, library):
         same(coder, library, "".join(rng.choice(PARTS) for _ in range(rng.randrange(14))))
 
 
+def test_several_texts_at_once(coder, library):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(14))) for _ in range(500)]
+    ids = coder.encode(texts)
+    assert [i.tolist() for i in ids] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids])))
+    assert coder.decode(np.concatenate(ids), offsets) == texts
+
+
 def test_long_words(coder, library):
     rng = random.Random(2)
     for text in ["a" * 30_001, "".join(rng.choice("abcdefgh") for _ in range(20_000)), "=" * 3_001, " " * 999,
@@ -53,7 +67,7 @@ def test_broken_utf8_decodes_like_the_library(coder, library):
     rng = random.Random(4)
     for _ in range(2_000):
         ids = [rng.randrange(50_257) for _ in range(rng.randrange(6))]
-        assert coder.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert decoded(coder, ids) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_forgetting_words_and_pairs_changes_nothing(library, monkeypatch):

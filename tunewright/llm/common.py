@@ -16,18 +16,18 @@ BLANK_CLASS = "[\\x20\\x09-\\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def beside(docs: DataFrame, **columns: Column) -> DataFrame:
-    """The whole input row in ``_row`` and the named columns next to it.
+def beside(docs: DataFrame, carry: list[str] | None = None, **columns: Column) -> DataFrame:
+    """The input row (or the columns in ``carry``) in ``_row`` and the named columns next to it.
 
     Names of input columns can then never clash with an operator's own.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
     return docs.select(whole.alias("_row"), *[c.alias(n) for n, c in columns.items()])
 
 
-def text_of(name: str = "text") -> Column:
-    """The text, empty where it is null."""
-    return F.coalesce(F.col(f"`{name}`"), F.lit(""))
+def text_of(*names: str) -> Column:
+    """The text (a column, or a field of one), empty where it is null."""
+    return F.coalesce(F.col(".".join(f"`{n}`" for n in names or ("text",))), F.lit(""))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

@@ -12,10 +12,12 @@ the ids of frequent words within a fixed bound.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +27,9 @@ from tunewright.llm.common import beside, text_of, with_results
 # Fixed value: the published pattern that cuts text into words before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker remembers at most, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Pairs of tokens whose stability a worker remembers at most.
-PAIRS = 1_000_000
+PAIRS = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -126,6 +128,10 @@ class PrefixBpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         for content, token in self.special.items():
             self.bytes_of[token] = content.encode("utf-8")
+        most = max(self.bytes_of) + 1
+        self.token_sizes = np.array([len(self.bytes_of.get(t, b"")) for t in range(most)], dtype=np.int64)
+        self.token_starts = np.concatenate(([0], np.cumsum(self.token_sizes)[:-1]))
+        self.token_bytes = np.frombuffer(b"".join(self.bytes_of.get(t, b"") for t in range(most)), dtype=np.uint8)
         single = {vocab[letter] for letter in byte_letters() if letter in vocab}
         usable = [(self.bytes_of[t], t) for t in vocab.values()
                   if t not in self.special.values() and (t in single or t in self.parts)]
@@ -203,37 +209,54 @@ class PrefixBpe:
         ids.reverse()
         return ids
 
-    def _packed(self, word: str) -> bytes:
-        young = self.young
-        known = self.old.get(word)
-        if known is None:
-            known = np.array(self.word_ids(word.encode("utf-8")), dtype="<i4").tobytes()
-        if len(young) >= REMEMBERED:
-            self.old, self.young = young, {}
-            young = self.young
-        young[word] = known
-        return known
-
-    def _plain(self, text: str) -> bytes:
-        out = []
-        for word in self.words.findall(text):
-            known = self.young.get(word)
-            out.append(known if known is not None else self._packed(word))
-        return b"".join(out)
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of the text; the strings of special tokens become their ids."""
-        if not self.special:
-            return np.frombuffer(self._plain(text), dtype="<i4")
-        out, at = [], 0
-        for match in self.cut.finditer(text):
-            out += [self._plain(text[at:match.start()]), np.array([self.special[match[0]]], dtype="<i4").tobytes()]
-            at = match.end()
-        return np.frombuffer(b"".join([*out, self._plain(text[at:])]), dtype="<i4")
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids, specials as their strings; broken UTF-8 as replacement characters."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
+    def _remember(self, words: set[str]) -> None:
+        """Put the ids of words into the young generation."""
+        young, old = self.young, self.old
+        for word in words:
+            known = old.get(word)
+            if known is None:
+                ids = self.word_ids(word.encode("utf-8"))
+                known = struct.pack(f"<{len(ids)}i", *ids)
+            young[word] = known
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts without special tokens; their words are looked up together."""
+        split = [self.words.findall(text) for text in texts]
+        wanted = set().union(*split)
+        missing = wanted.difference(self.young)
+        if missing:
+            if len(self.young) + len(missing) > REMEMBERED:
+                self.old, self.young = self.young, {}
+                missing = wanted
+            self._remember(missing)
+        known = self.young.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the strings of special tokens become their ids."""
+        parts, marks = [], []
+        for text in texts:
+            at, found = 0, []
+            if any(special in text for special in self.special):
+                for match in self.cut.finditer(text):
+                    parts.append(text[at:match.start()])
+                    found.append(struct.pack("<i", self.special[match[0]]))
+                    at = match.end()
+            parts.append(text[at:])
+            marks.append(found)
+        coded = iter(self._plain(parts))
+        return [np.frombuffer(b"".join([next(coded), *(x for mark in found for x in (mark, next(coded)))]), dtype="<i4")
+                for found in marks]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of consecutive id lists, specials as their strings; broken UTF-8 as replacement characters."""
+        sizes = self.token_sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        # Byte k of a token lies k places behind the token's start in the table of all tokens' bytes.
+        places = np.repeat(self.token_starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+        data = self.token_bytes[places].tobytes()
+        cuts = ends[offsets].tolist()
+        return [data[a:b].decode("utf-8", errors="replace") for a, b in zip(cuts, cuts[1:])]
 
 
 _loaded: dict[str, PrefixBpe] = {}
@@ -250,8 +273,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.array([], np.int32)]), pa.int32()))
 
 
-#: Characters of text in one batch of results.
-BATCH_CHARS = 4_000_000
+#: Bytes of text, or ids, that are worked on at once.
+PART = 1_000_000
 
 
 def _cuts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -266,19 +289,22 @@ def _cuts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``_row`` and ids (array of int) of each document; null text: no ids. Rows stay in their partitions."""
-    df = beside(docs, text=text_of())
+def encode(docs: DataFrame, path: str, carry: list[str] | None = None) -> DataFrame:
+    """``_row`` (the columns in ``carry``, or all) and ids (array of int) of each document; null text: no ids.
+
+    Rows stay in their partitions.
+    """
+    df = beside(docs, carry, text=text_of())
     schema = df.select("_row").withColumn("ids", F.array().cast("array<int>")).schema
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for batch in batches:
-            sizes = [len(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for start, end in _cuts(sizes, BATCH_CHARS):
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
+            for start, end in _cuts(sizes, PART):
                 part = batch.slice(start, end - start)
-                ids = [bpe.encode(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], names=["_row", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(bpe.encode(part.column(1).to_pylist()))],
+                                                 names=["_row", "ids"])
 
     return df.mapInArrow(coded, schema)
 
@@ -292,10 +318,12 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for batch in batches:
-            sizes = [len(i) for i in batch.column(at)]
-            for start, end in _cuts(sizes, BATCH_CHARS):
+            for start, end in _cuts(pc.list_value_length(batch.column(at)).to_pylist(), PART):
                 part = batch.slice(start, end - start)
-                found = [bpe.decode(ids.values.to_pylist()) for ids in part.column(at)]
+                lists = part.column(at)
+                offsets = lists.offsets.to_numpy()
+                ids = lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
+                found = bpe.decode(ids, offsets - offsets[0])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*names, "decoded"])
 
     return coded.mapInArrow(texts, schema)
@@ -306,11 +334,11 @@ def ids_text(ids: Column) -> Column:
     return F.array_join(ids.cast("array<string>"), ",")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """The documents' columns with ids and decoded.
+def round_trip(docs: DataFrame, path: str, carry: list[str] | None = None) -> DataFrame:
+    """The documents' columns (those in ``carry``, or all) with ids and decoded.
 
     Null or empty text: no ids, empty decoded. Repeated rows: each alike. Empty table: empty result. An input column
     named like a result is replaced by the result.
     """
-    return decode(encode(docs, path), path).select(
-        *with_results(docs.columns, {"ids": F.col("ids"), "decoded": F.col("decoded")}))
+    return decode(encode(docs, path, carry), path).select(
+        *with_results(docs.columns if carry is None else carry, {"ids": F.col("ids"), "decoded": F.col("decoded")}))

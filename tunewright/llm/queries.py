@@ -93,7 +93,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_prefix_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return prefix_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).select(
+    return prefix_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"]).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), hexed(prefix_bpe.ids_text(F.col("ids"))).alias("ids_sha256"),
         hexed(F.col("decoded")).alias("decoded_sha256"))
 
