@@ -34,20 +34,30 @@ def ngrams_1_2(tokens: Column | str) -> Column:
     return F.concat(t, F.zip_with(leading, following, lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def _terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, term``, one row per occurrence.
+def term_rows(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
+    """``key, term, tf, opens``: a document's terms and their numbers, counted inside its row.
 
-    Texts are exchanged once by key; counting and every later step per document
-    then need no further exchange, and one exchange of the text is smaller than
-    one of its (document, term) rows.
+    Documents are unique by key, so nothing is exchanged: the terms are sorted
+    and each run of equal ones is a count. ``opens`` marks one row per document;
+    a document without terms keeps that row, with a null term.
     """
-    tokens = docs.repartition(F.col(key)).select(key, tokenize(text).alias("tokens"))
-    return tokens.select(key, F.explode(ngrams_1_2("tokens")).alias("term"))
+    terms = docs.select(F.col(key).alias("key"), F.sort_array(ngrams_1_2(tokenize(text))).alias("terms"))
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("terms")),
+        lambda i: (i == 0) | (i == F.size("terms")) | (F.get("terms", i) != F.get("terms", i - 1)))
+    runs = terms.select("key", "terms", starts.alias("starts"))
+    counted = F.transform(
+        F.sequence(F.lit(0), F.size("starts") - 2),
+        lambda j: F.struct(F.get("terms", F.get("starts", j)).alias("term"),
+                           (F.get("starts", j + 1) - F.get("starts", j)).cast("bigint").alias("tf")))
+    entries = runs.select("key", F.when(F.size("starts") > 1, counted).alias("entries"))
+    return entries.select("key", F.posexplode_outer("entries").alias("at", "e")).select(
+        F.col("key").alias(key), "e.term", "e.tf", (F.coalesce("at", F.lit(0)) == 0).alias("opens"))
 
 
 def term_counts(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
     """``key, term, tf``."""
-    return _terms(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return term_rows(docs, key, text).where(F.col("term").isNotNull()).select(key, "term", "tf")
 
 
 def document_count(docs: DataFrame) -> Column:
@@ -55,9 +65,18 @@ def document_count(docs: DataFrame) -> Column:
 
 
 def vocab_stats(counts: DataFrame, max_terms: int = fixed.MAX_TERMS) -> DataFrame:
-    """``term, cf, df`` of the most frequent terms; ties go to the smaller term."""
-    stats = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    return stats.orderBy(F.desc("cf"), "term").limit(max_terms)
+    """``term, cf, df`` of the most frequent terms; ties go to the smaller term.
+
+    The count that the last term must have is found among the distinct counts;
+    only terms that reach it are sorted.
+    """
+    stats = session.settle(
+        counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")), "term-stats")
+    # One row per distinct count: far fewer than terms.
+    sizes = stats.groupBy("cf").agg(F.count(F.lit(1)).alias("terms"))
+    before = F.sum("terms").over(Window.orderBy(F.desc("cf")).rowsBetween(Window.unboundedPreceding, -1))
+    cut = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_terms).agg(F.min("cf"))
+    return stats.where(F.col("cf") >= cut.scalar()).orderBy(F.desc("cf"), "term").limit(max_terms)
 
 
 def with_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
@@ -68,38 +87,53 @@ def with_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
 
 def vocabulary(docs: DataFrame, key: str = "song_id", max_terms: int = fixed.MAX_TERMS) -> DataFrame:
     """``term, cf, df, idf, term_id``: at most ``max_terms`` rows, numbered by term."""
-    chosen = with_idf(vocab_stats(term_counts(docs, key), max_terms), document_count(docs))
+    return vocabulary_of(session.settle(term_rows(docs, key), "term-rows"), max_terms)
+
+
+def vocabulary_of(rows: DataFrame, max_terms: int = fixed.MAX_TERMS) -> DataFrame:
+    """The vocabulary of written ``term_rows``."""
+    n_docs = rows.agg(F.count_if("opens").alias("n")).scalar()
+    chosen = with_idf(vocab_stats(rows.where(F.col("term").isNotNull()), max_terms), n_docs)
     # Bounded by max_terms, so a window without a key is safe here.
     number = F.row_number().over(Window.orderBy("term")) - 1
     return chosen.withColumn("term_id", number)
 
 
-def tfidf_weights(counts: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:
-    """``key, term, term_id, weight``: (1 + ln tf) * idf, scaled to length 1 per document.
+#: Vocabulary rows up to which it is broadcast (some 20 MB); a larger one is joined as Spark sees fit.
+BROADCAST_TERMS = 300_000
 
-    The vocabulary holds at most ``max_terms`` rows, hence the broadcast.
-    """
-    raw = counts.join(F.broadcast(vocab.select("term", "term_id", "idf")), "term").withColumn(
+
+def _beside_terms(vocab: DataFrame, *columns: str) -> DataFrame:
+    """Columns of the vocabulary for a join, broadcast where its size is checked."""
+    chosen = vocab.select(*columns)
+    return F.broadcast(chosen) if vocab.count() <= BROADCAST_TERMS else chosen
+
+
+def tfidf_weights(counts: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:
+    """``key, term, term_id, weight``: (1 + ln tf) * idf, scaled to length 1 per document."""
+    raw = counts.join(_beside_terms(vocab, "term", "term_id", "idf"), "term").withColumn(
         "raw", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "term_id", (F.col("raw") / length).alias("weight"))
 
 
 def weighted_documents(docs: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:
-    """One row per document with parallel ``terms`` and ``weights`` arrays.
+    """One row per document with parallel ``terms`` and ``weights`` arrays."""
+    return weighted_rows(term_rows(docs, key), vocab, key)
+
 
-    Terms are replaced by their numbers before they are counted, and all steps
-    after the one exchange by key are local. A document has at most as many
-    entries as the vocabulary; one without any known term has no row.
+def weighted_rows(rows: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:
+    """The weighted documents of ``term_rows``.
+
+    Terms are replaced by their numbers; a document's entries are gathered
+    before they are exchanged. It has at most as many entries as the vocabulary;
+    one without any known term has no row.
     """
-    numbers = F.broadcast(vocab.select("term", "term_id", "idf"))
-    known = _terms(docs, key).join(numbers, "term")
-    counts = known.groupBy(key, "term_id", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    raw = counts.withColumn("raw", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
-    gathered = raw.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("term_id", "raw"))).alias("entries"),
-        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return gathered.select(
+    known = rows.join(_beside_terms(vocab, "term", "term_id", "idf"), "term")
+    raw = known.select(key, "term_id", ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("raw"))
+    gathered = raw.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term_id", "raw"))).alias("entries"))
+    square = F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["raw"] * e["raw"])
+    return gathered.select(key, "entries", F.sqrt(square).alias("length")).select(
         key,
         F.col("entries.term_id").alias("terms"),
         F.zip_with(F.col("entries.raw"), F.array_repeat("length", F.size("entries")),
@@ -110,16 +144,20 @@ def postings(documents: DataFrame, vocab: DataFrame, key: str = "song_id") -> Da
     """Inverted form ``term, key, weight`` of the weighted documents."""
     rows = documents.select(key, F.explode(F.arrays_zip("terms", "weights")).alias("e")).select(
         key, F.col("e.terms").alias("term_id"), F.col("e.weights").alias("weight"))
-    return rows.join(F.broadcast(vocab.select("term_id", "term")), "term_id").select("term", key, "weight")
+    return rows.join(_beside_terms(vocab, "term_id", "term"), "term_id").select("term", key, "weight")
 
 
 def build_text_index(docs: DataFrame, path: str | None = None, key: str = "song_id",
                      max_terms: int = fixed.MAX_TERMS) -> dict[str, DataFrame]:
-    """Vocabulary, weighted documents and postings, each written before the next one reads it."""
+    """Vocabulary, weighted documents and postings, each written before the next one reads it.
+
+    The texts are read once: their counted terms are written, and all else comes from these.
+    """
     spark = docs.sparkSession
     path = path or session.shared_path(spark, "text-index")
-    vocab = tables.write_through(vocabulary(docs, key, max_terms), f"{path}/vocabulary")
-    documents = tables.write_through(weighted_documents(docs, vocab, key), f"{path}/documents")
+    rows = session.settle(term_rows(docs, key), "term-rows")
+    vocab = tables.write_through(vocabulary_of(rows, max_terms), f"{path}/vocabulary")
+    documents = tables.write_through(weighted_rows(rows, vocab, key), f"{path}/documents")
     tables.write_postings(postings(documents, vocab, key), f"{path}/postings", key)
     return tables.read_text_index(spark, path)
 
@@ -139,16 +177,18 @@ def pooled_query(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     asked = query_vectors(queries, vocab)
     terms = asked.select(F.explode(F.arrays_zip("terms", "weights")).alias("e"))
     summed = terms.groupBy(F.col("e.terms").alias("term_id")).agg(F.sum("e.weights").alias("asked"))
-    return summed.join(F.broadcast(vocab.select("term_id", "term")), "term_id").select("term", "asked")
+    return summed.join(_beside_terms(vocab, "term_id", "term"), "term_id").select("term", "asked")
 
 
 def query_join_postings(pooled: DataFrame, index: DataFrame, key: str = "song_id") -> DataFrame:
     """Contribution of every posting whose term occurs in the pooled query.
 
-    The pooled side is bounded by the vocabulary, so postings are not shuffled
-    and a frequent term never meets each query on its own.
+    The pooled side is bounded by the vocabulary: below ``BROADCAST_TERMS`` rows
+    postings are not shuffled, and a frequent term never meets each query on its
+    own.
     """
-    return index.join(F.broadcast(pooled), "term").select(
+    pooled = session.settle(pooled, "pooled-query")
+    return index.join(_beside_terms(pooled, "term", "asked"), "term").select(
         key, "term", (F.col("weight") * F.col("asked")).alias("contribution"))
 
 
