@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunewright import session
-from tunewright.functions import fixed, scalars, vectors
-from tunewright.operators import artists, candidates, coldstart, embeddings, profiles, ranking, text, training
+from tunewright.functions import scalars
+from tunewright.operators import artists, candidates, coldstart, embeddings, profiles, text
 from tunewright.plans import jobs
-from tunewright.plans.oracle import AS_OF, GENRES, WORDS, check, python_round
+from tunewright.plans.oracle import AS_OF, GENRES, WORDS, check
 from tunewright.plans.register import query
 from tunewright.sources import bindings as b
 from tunewright.sources import catalog, interactions as log, profiles as stored, tables
