@@ -22,16 +22,23 @@ TEXTS = [None, "", " ", "Hello  World\n\n\tit's 2,024!", "é é ΣΑΣ İ  x
 
 def test_ids_are_the_library_s(library):
     words = packing.WordIds(PATH)
+    assert words.ids([]) == [] and words.ids(["a b", "", "a"])[2] == words.ids(["a"])[0]
     for text in TEXTS[1:]:
-        got = np.frombuffer(words.ids(text), dtype="<u4").tolist()
+        got = np.frombuffer(words.ids([text])[0], dtype="<u4").tolist()
         assert got == library.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+def test_letters_that_fall_apart_and_special_words(library):
+    words = packing.WordIds(PATH)
+    for text in ["İstanbul İİ plain Words, W. ... ?! a.b, ÀÉ. ſ ﬁ Å", "<|ENDOFTEXT|> <|endoftext|>. x", "ΑΣ, ΑΣ Σ. ß ẞ", "한국어. 각 각", "ab;cd; 5. v5."]:
+        assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_forgetting_words_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     words = packing.WordIds(PATH)
     for text in ["a b c d e", "e d x y", "a b x q r s", "a b c"] * 3:
-        assert np.frombuffer(words.ids(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def expected(library, rows, capacity=4096):
