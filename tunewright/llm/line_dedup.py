@@ -43,7 +43,8 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     # The range order holds each (hash, document) in one partition: no exchange here, partial sums after.
     firsts = ranged.groupBy("hash", "doc_id").agg(F.min("position").alias("first"))
     common = firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper"))
-    common = common.filter(F.col("docs") >= least_docs).select(F.col("hash").alias("_hash"), "keeper")
+    # Written first: a join of two plain exchanges is one that adaptive execution can split at a hot line.
+    common = settle(common.filter(F.col("docs") >= least_docs).select(F.col("hash").alias("_hash"), "keeper"), "common-lines")
     lost = lines.join(common, F.col("hash") == F.col("_hash")).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("row_key").agg(F.sort_array(F.collect_set("position")).alias("dropped"))
 
@@ -60,9 +61,11 @@ def runs(dropped: Column, n_lines: Column) -> Column:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``_row``, kept text, n_lines, n_dropped and the keep runs of every document."""
-    df = beside(docs, text=text_of(), row_key=row_key(F.col("doc_id"), text_of()))
+    # The text travels once, inside its row.
+    df = beside(docs, row_key=row_key(F.col("doc_id"), text_of()))
     lost = bitmaps.select(F.col("row_key").alias("_key"), "dropped")
-    df = df.join(lost, F.col("row_key") == F.col("_key"), "left")
+    df = df.join(lost, F.col("row_key") == F.col("_key"), "left").select(
+        "_row", text_of("_row", "text").alias("text"), "dropped")
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     df = df.select("_row", "text", n_lines.cast("long").alias("n_lines"),
                    F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
