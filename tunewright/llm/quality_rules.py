@@ -52,9 +52,9 @@ def statistics(text: Column) -> dict[str, Column]:
             "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long")}
 
 
-def annotate(docs: DataFrame) -> DataFrame:
-    """``_row`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of each document."""
-    df = beside(docs, text=text_of(), lang=F.col("lang"), source=F.col("source"))
+def annotate(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``_row`` (the columns in ``carry``, or all) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of each document."""
+    df = beside(docs, carry, text=text_of(), lang=F.col("lang"), source=F.col("source"))
     df = df.select("_row", "lang", "source", *[c.alias(n) for n, c in statistics(F.col("text")).items()])
     df = df.select(
         "_row", "lang", "source", "n_symbols",
@@ -190,9 +190,9 @@ def moments(groups: DataFrame, names: list[str]) -> DataFrame:
                        for (i, j), s in scatter.items()])
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``_row``, the statistics and ``kept``; the written statistics are read again for each step."""
-    noted = settle(annotate(docs), "quality-statistics")
+    noted = settle(annotate(docs, carry), "quality-statistics")
     salt = F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "n_repeat_words"), F.lit(SALTS)).cast("int")
     rows = noted.filter(~F.col("base_failed")).select("lang", "source", *vector(), salt.alias("salt"))
     factors = whitening(start(rows))
