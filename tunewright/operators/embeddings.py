@@ -68,7 +68,12 @@ def artist_embedding(song_vectors: DataFrame) -> DataFrame:
 
 
 def liked_counts(interactions: DataFrame) -> DataFrame:
-    """(user, song) -> number of likes: one row per pair leaves every later join."""
+    """(user, song) -> number of likes: one row per pair leaves every later join.
+
+    A log that is counted already (with a column ``likes``) is taken as it is.
+    """
+    if "likes" in interactions.columns:
+        return interactions.where(F.col("likes") > 0).select("user_id", "song_id", "likes")
     return liked(interactions).groupBy("user_id", "song_id").agg(F.count(F.lit(1)).alias("likes"))
 
 
@@ -147,13 +152,18 @@ def collaborative_loo(rated: DataFrame, interactions: DataFrame, song_vectors: D
         .join(liked_direction(interactions, song_vectors), "user_id", "left")
         .join(liked_counts(interactions), ["user_id", "song_id"], "left")
     )
+    return joined.withColumn("collaborative_score", others_cosine()).drop(
+        "direction", "liked_sum", "n_directions", "likes")
+
+
+def others_cosine() -> Column:
+    """Mean cosine to the liked songs but the row's own, which was liked ``likes`` times."""
     own = F.coalesce("likes", F.lit(0))
     left_over = F.col("n_directions") - own
     itself = vectors.dot("direction", "direction")
     value = (vectors.dot("direction", "liked_sum") - own * itself) / left_over
     score = F.when(left_over > 0, F.coalesce(value, F.lit(0.0))).otherwise(0.0)
-    return joined.withColumn("collaborative_score", F.round(score, vectors.SCORE_DIGITS)).drop(
-        "direction", "liked_sum", "n_directions", "likes")
+    return F.round(score, vectors.SCORE_DIGITS)
 
 
 def content_similarity(pairs: DataFrame, user_vectors: DataFrame, song_vectors: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunewright import session
-from tunewright.functions import fixed, ordering, scalars
+from tunewright.functions import fixed, ordering, scalars, vectors
 from tunewright.operators import embeddings
 
 
@@ -28,23 +28,30 @@ def training_set(interactions: DataFrame, songs: DataFrame, song_vectors: DataFr
     """One row per interaction with a known song: the six features and the label.
 
     User vectors come from all likes without a blend; the collaborative score
-    leaves the row's own song out; the penalty is 0.0. Features depend only on
-    (user, song), so repeated interactions are scored once and joined back.
+    leaves the row's own song out; the penalty is 0.0. The log is read twice:
+    once counted per (user, song), from which come one row per user and the
+    features of each pair, and once for the labels. Vectors meet a pair once, in
+    one row per song and one per user.
     """
-    known = known_songs_only(interactions, song_vectors, songs)
-    pairs = known.select("user_id", "song_id").distinct()
-    catalog = songs.select("song_id", "artist_id", "released", "popularity_norm")
-    rows = pairs.join(catalog, "song_id")
-    rows = embeddings.content_similarity(rows, embeddings.user_embedding(interactions, song_vectors), song_vectors)
-    taste = embeddings.user_artist_vector(interactions, songs, artist_vectors)
-    rows = embeddings.artist_similarity(rows, taste, artist_vectors)
-    rows = embeddings.collaborative_loo(rows, interactions, song_vectors)
+    counted = session.settle(interactions.groupBy("user_id", "song_id").agg(
+        F.count_if(F.col("label") == 1).alias("likes")), "counted-log")
+    by_song = session.settle(
+        songs.select("song_id", "artist_id", "released", "popularity_norm")
+        .join(song_vectors.select("song_id", F.col("embedding").alias("_song"), vectors.unit("embedding").alias("direction")), "song_id")
+        .join(artist_vectors.select("artist_id", F.col("embedding").alias("_artist")), "artist_id", "left"), "song-rows")
+    by_user = session.settle(
+        embeddings.user_embedding(counted, song_vectors).select("user_id", F.col("embedding").alias("_user"))
+        .join(embeddings.liked_direction(counted, song_vectors), "user_id", "full")
+        .join(embeddings.user_artist_vector(counted, songs, artist_vectors).select(
+            "user_id", F.col("artist_vector").alias("_taste")), "user_id", "full"), "user-rows")
+    rows = counted.join(by_song, "song_id").join(by_user, "user_id", "left")
     features = rows.select(
-        "user_id", "song_id", "content_similarity", "artist_similarity",
+        "user_id", "song_id", vectors.cosine("_user", "_song").alias("content_similarity"),
+        vectors.cosine("_taste", "_artist").alias("artist_similarity"),
         scalars.freshness("released", as_of).alias("freshness"),
-        F.col("popularity_norm").alias("popularity"), "collaborative_score",
+        F.col("popularity_norm").alias("popularity"), embeddings.others_cosine().alias("collaborative_score"),
         F.lit(0.0).alias("diversity_penalty"))
-    return known.select("user_id", "song_id", "label", "log_ord").join(features, ["user_id", "song_id"])
+    return interactions.select("user_id", "song_id", "label", "log_ord").join(features, ["user_id", "song_id"])
 
 
 def dataset_profile(interactions: DataFrame) -> DataFrame:
