@@ -175,7 +175,7 @@ def test_search_of_many_texts_equals_single_searches(spark):
                                   "song_id int, title string, artist_name string, song_ord int").withColumn("genre", F.lit(""))
     texts = {1: "E 1", 2: "ann 3", 3: "none", 4: " ", 5: "bob", 6: "BOB"}
     queries = spark.createDataFrame(list(texts.items()), "query_id int, text string")
-    chosen = spark.createDataFrame([(5, 0), (5, 1), (2, 3)], "query_id int, song_id int")
+    chosen = spark.createDataFrame([(5, 0), (5, 1), (2, 3), *[(6, i) for i in range(70)]], "query_id int, song_id int")
     for blocks in ({}, {"item_rows": 16}):
         got = artists.song_search_many(songs, queries, chosen, 5, **blocks).orderBy("query_id", "pos").collect()
         for q, t in texts.items():

@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunewright import session
 from tunewright.functions import fixed, scalars
 from tunewright.operators import similarity
 
@@ -56,24 +57,39 @@ def song_search_many(songs: DataFrame, queries: DataFrame, selected: DataFrame |
     """``song_search`` for many queries: ``query_id, song_id, title, pos``.
 
     Equal texts are searched once, block against block, keeping the first songs
-    of each. With ``selected(query_id, song_id)`` a text keeps enough further
-    songs for the longest list of exclusions.
+    of each. With ``selected(query_id, song_id)`` songs are excluded per query:
+    queries that fall short because their text's songs were cut off, and only
+    those, are searched again with more songs per text.
     """
-    asked = queries.select("query_id", F.lower("text").alias("text")).where(scalars.strip("text") != "")
-    spare = 0
-    if selected is not None:
-        counts = selected.groupBy("query_id").agg(F.count_distinct("song_id").alias("n"))
-        spare = counts.agg(F.max("n").alias("most")).first()["most"] or 0
-    texts = asked.select(F.col("text").alias("query_id"), "text").distinct()
+    asked = session.settle(
+        queries.select("query_id", F.lower("text").alias("text")).where(scalars.strip("text") != ""), "searches")
     offered = songs.select(
         F.col("song_id").alias("item_id"), F.col("song_ord").alias("item_ord"),
         F.lower(F.coalesce("title", F.lit(""))).alias("title"),
         F.lower(F.coalesce("artist_name", F.lit(""))).alias("names"))
-    hits = similarity.paired_topk(texts, offered, substring_scores, limit + spare, **blocks).where("score > 0")
-    found = asked.join(hits.select(F.col("query_id").alias("text"), F.col("item_id").alias("song_id"),
-                                   F.col("item_ord").alias("song_ord")), "text")
-    if selected is not None:
-        found = found.join(selected.select("query_id", "song_id"), ["query_id", "song_id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy("song_ord")
-    first = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
-    return first.join(songs.select("song_id", "title"), "song_id").select("query_id", "song_id", "title", "pos")
+    waiting, done = asked, None
+    depth = limit if selected is None else 2 * limit
+    while True:
+        texts = waiting.select(F.col("text").alias("query_id"), "text").distinct()
+        hits = similarity.paired_topk(texts, offered, substring_scores, depth, **blocks).where("score > 0")
+        hits = session.settle(hits.select(F.col("query_id").alias("text"), F.col("item_id").alias("song_id"),
+                                          F.col("item_ord").alias("song_ord")), "search-hits")
+        found = waiting.join(hits, "text")
+        if selected is not None:
+            found = found.join(selected.select("query_id", "song_id"), ["query_id", "song_id"], "left_anti")
+        first = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+        if selected is None:
+            done = first
+            break
+        first = session.settle(first, "search-results")
+        cut = hits.groupBy("text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= depth)
+        full = first.where(F.col("pos") == limit).select("query_id")
+        short = session.settle(
+            waiting.join(full, "query_id", "left_anti").join(cut.select("text"), "text", "left_semi"), "searches")
+        sure = first.join(short.select("query_id"), "query_id", "left_anti")
+        done = sure if done is None else done.unionByName(sure)
+        if short.isEmpty():
+            break
+        waiting, depth = short, 4 * depth
+    return done.join(songs.select("song_id", "title"), "song_id").select("query_id", "song_id", "title", "pos")
