@@ -67,7 +67,7 @@ def test_perplexity_equals_a_plain_model(documents, spark, monkeypatch):
         p = brute_model([t for i, t, *_ in own if i in trusted])
         for i, text, *_ in own:
             mean = -sum(math.log2(p(g)) for g in grams(text)) / len(grams(text))
-            assert got[i].perplexity == pytest.approx(2 ** mean, rel=1e-9)
+            assert got[i].perplexity == pytest.approx(2 ** mean, rel=1e-5)
             assert got[i].n_grams == len(grams(text))
     assert got[103].perplexity is None and got[103].kept
 

@@ -1,9 +1,12 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of character trigrams, trained on trusted text.
 
-Texts move once, into blocks of bounded size. Each block names its distinct trigrams and counts those of its trusted
-texts; the counts of all blocks are added per trigram (sharded by it), the model's terms are joined to them as tables,
-and the log probabilities go back to the blocks that asked for them, where the texts are scored. Counts cover all
-trusted text; nothing is sampled, and no task or broadcast holds the model.
+Texts move once, packed, into blocks of bounded size. Each block names its distinct trigrams and counts those of its
+trusted texts; the counts of all blocks are added per trigram (sharded by it), the model's terms are worked out per
+(language, middle character) and joined as tables, and the log probabilities go back to the blocks that asked for them,
+where the texts are scored. Counts cover all trusted text; nothing is sampled, and no task or broadcast holds the model.
+
+Counting and scoring are one query, so that both read the same exchange of the texts. It stays one because every reader
+of an exchange takes all its columns.
 
 A document is rejected if its mean log probability lies far above what trusted text of its language shows: as far above
 the upper quantile as that lies above the median.
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +26,14 @@ from tunewright.llm.common import beside, text_of
 from tunewright.session import settle
 
 # Choices of this library.
-BLOCK_BYTES = 16 * 1024 * 1024
+BLOCK_BYTES = 128 * 1024 * 1024
 UPPER = 0.99
 #: Cells of the perplexity grid per bit.
 CELLS = 1_000
 #: Code points that stand for the start and the end of a text; 21 bits hold any code point.
 START, END, BITS = 2, 3, 21
+#: Stands for a null language inside the job, so that languages are joined by plain equality.
+NO_LANG = "\x00"
 #: Characters whose trigrams are written out at once.
 PART = 1_000_000
 
@@ -60,49 +66,82 @@ def counted(texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray]:
     return add(total, waiting) if waiting else total
 
 
-def in_blocks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, text, lang, block, trusted of each row; the only exchange of texts.
-
-    ``trusted`` has the doc_ids of trusted text, each once.
-    """
+def in_blocks(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, doc_id, lang, packed text) of each row, the only exchange of texts; and (block, doc_id) of trusted ids."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    df = beside(docs, doc_id=F.col("doc_id").cast("long"), text=text_of(), lang=F.col("lang").cast("string")).drop("_row")
+    df = beside(docs, doc_id=F.col("doc_id").cast("long"), lang=F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)),
+                text=text_of()).drop("_row")
     # Rows without id are spread by their text; they are never trusted.
     block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(blocks))
-    df = df.withColumn("block", block).repartition(blocks, "block")
-    marked = trusted.select(F.col("doc_id").cast("long").alias("_id"), F.lit(True).alias("_trusted")).filter("_id IS NOT NULL")
-    marked = marked.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks))).repartition(blocks, "_block")
-    on = (F.col("block") == F.col("_block")) & (F.col("doc_id") == F.col("_id"))
-    return df.join(marked.hint("shuffle_hash"), on, "left").select(
-        "block", "doc_id", "lang", "text", F.coalesce("_trusted", F.lit(False)).alias("trusted"))
+    df = df.select(block.alias("block"), "doc_id", "lang", "text")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = pa.array([pack(t) for t in batch.column(3).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], names=["block", "doc_id", "lang", "packed"])
+
+    df = df.mapInArrow(packed, "block long, doc_id long, lang string, packed binary").repartition(blocks, "block")
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+    ids = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id")
+    return df, ids
 
 
-def block_counts(rows: DataFrame) -> DataFrame:
+def block_counts(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(block, lang, code, seen): each block's distinct trigrams; ``seen`` counts them in its trusted texts."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("code", pa.int64()), ("seen", pa.int64())])
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place: dict[tuple, list[int]] = {}
-            keys = zip(batch.column("block").to_pylist(), batch.column("lang").to_pylist(), batch.column("trusted").to_pylist(), strict=True)
-            for at, key in enumerate(keys):
-                place.setdefault(key, []).append(at)
-            texts = batch.column("text")
-            for (block, lang, trusted), rows_at in place.items():
-                codes, n = counted(texts[at].as_py() for at in rows_at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(codes), block)), pa.array([lang] * len(codes), pa.string()), pa.array(codes),
-                     pa.array(n if trusted else np.zeros(len(codes), np.int64))], schema=schema)
-
-    found = rows.mapInArrow(counts, "block long, lang string, code long, seen long")
-    return found.groupBy("block", "lang", "code").agg(F.sum("seen").alias("seen"))
-
-
-def _discounts(table: DataFrame, count: str) -> DataFrame:
-    """Per language the modified discounts d1, d2, d3 from the numbers of entries counted once to four times."""
-    times = [F.sum(F.when(F.col(count) == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in range(1, 5)]
-    df = table.groupBy(F.col("lang").alias("_dlang")).agg(*times)
+    def counts(texts: pa.Table, trusted: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        known = set(trusted.column("doc_id").to_pylist())
+        place: dict[str, tuple[list[int], list[int]]] = {}
+        for at, (doc_id, lang) in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("lang").to_pylist(), strict=True)):
+            place.setdefault(lang, ([], []))[doc_id in known].append(at)
+        packed = texts.column("packed")
+        out = {"block": [], "lang": [], "code": [], "seen": []}
+        for lang, parts in place.items():
+            other, own = (counted(unpack(packed[at].as_py()).decode("utf-8") for at in part) for part in parts)
+            codes = np.union1d(other[0], own[0])
+            seen = np.zeros(len(codes), np.int64)
+            seen[np.searchsorted(codes, own[0])] = own[1]
+            out["block"].append(pa.array(np.full(len(codes), texts.column("block")[0].as_py())))
+            out["lang"].append(pa.array([lang]).take(pa.array(np.zeros(len(codes), np.int32))))
+            out["code"].append(pa.array(codes))
+            out["seen"].append(pa.array(seen))
+        types = {"block": pa.int64(), "lang": pa.string(), "code": pa.int64(), "seen": pa.int64()}
+        return pa.table({name: pa.chunked_array(out[name], kind) for name, kind in types.items()})
+
+    return rows.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
+        counts, "block long, lang string, code long, seen long")
+
+
+def _kinds(codes: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of one (language, middle character): the trigrams seen, their counts, first and last characters, and each
+    distinct last character with its number of different first ones."""
+    own = seen > 0
+    codes, seen = codes[own], seen[own]
+    last, kinds = np.unique(codes & ((1 << BITS) - 1), return_counts=True)
+    return codes, seen, codes >> 2 * BITS, codes & ((1 << BITS) - 1), last, kinds
+
+
+def level_statistics(totals: DataFrame) -> DataFrame:
+    """(lang, level, key, value): for levels 3 and 2 the number of entries counted ``key`` = 1 to 4 times, for level 1
+    the number of different characters before the character ``key``. ``totals`` has lang, middle, code, seen, blocks."""
+
+    def statistics(key: tuple, table: pa.Table) -> pa.Table:
+        _, seen, _, _, last, kinds = _kinds(table.column("code").to_numpy(), table.column("seen").to_numpy())
+        rows = [(3, k, int((seen == k).sum())) for k in range(1, 5)] + [(2, k, int((kinds == k).sum())) for k in range(1, 5)]
+        rows += [(1, c, 1) for c in last.tolist()]
+        level, number, value = zip(*rows, strict=True)
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(rows), pa.string()), "level": pa.array(level, pa.int32()),
+                         "key": pa.array(number, pa.int64()), "value": pa.array(value, pa.int64())})
+
+    found = totals.groupBy("lang", "middle").applyInArrow(statistics, "lang string, level int, key long, value long")
+    return found.groupBy("lang", "level", "key").agg(F.sum("value").alias("value"))
+
+
+def discounts(times: DataFrame) -> list[Column]:
+    """d1, d2, d3 from columns n1 to n4, the numbers of entries counted once to four times."""
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
     def held(k: int) -> Column:
@@ -110,97 +149,132 @@ def _discounts(table: DataFrame, count: str) -> DataFrame:
         value = F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))
         return F.greatest(F.lit(0.1), F.least(F.lit(float(k)), F.coalesce(value, F.lit(0.5 * k))))
 
-    return df.select("_dlang", *[held(k).alias(f"d{k}") for k in (1, 2, 3)])
-
-
-def _discounted(table: DataFrame, count: str, context: str) -> tuple[DataFrame, DataFrame]:
-    """Shares after discounting per entry, and the mass kept back per (lang, context)."""
-    df = table.join(_discounts(table, count), F.col("lang").eqNullSafe(F.col("_dlang"))).drop("_dlang")
-    cut = F.when(F.col(count) == 1, F.col("d1")).when(F.col(count) == 2, F.col("d2")).otherwise(F.col("d3"))
-    df = df.withColumn("cut", F.least(cut, F.col(count).cast("double")))
-    sums = df.groupBy("lang", context).agg(F.sum(count).cast("double").alias("total"), F.sum("cut").alias("freed"))
-    back = sums.select(F.col("lang").alias("_lang"), F.col(context).alias("_context"), "total",
-                       (F.col("freed") / F.col("total")).alias("back"))
-    share = df.join(back, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col(context) == F.col("_context"))).withColumn(
-        "share", (F.col(count) - F.col("cut")) / F.col("total"))
-    return share.drop("_lang", "_context", "total", "back", "d1", "d2", "d3", "cut"), back.drop("total")
+    return [held(k) for k in (1, 2, 3)]
+
+
+def level_discounts(statistics: DataFrame, level: int) -> DataFrame:
+    """(lang, cuts): the three discounts of a level per language."""
+    key = F.col("key") if level > 1 else F.col("value")
+    value = F.col("value") if level > 1 else F.lit(1)
+    own = statistics.filter(F.col("level") == level).groupBy("lang").agg(
+        *[F.sum(F.when(key == k, value).otherwise(0)).cast("double").alias(f"n{k}") for k in range(1, 5)])
+    return own.select("lang", F.array(*discounts(own)).alias("cuts"))
+
+
+def first_level(statistics: DataFrame) -> DataFrame:
+    """(lang, character, share, floor): what a character gets by itself, and what any character gets at least."""
+    one = statistics.filter("level = 1")
+    cuts = level_discounts(statistics, 1)
+    one = one.join(cuts, "lang")
+    cut = F.least(F.get("cuts", F.least(F.col("value"), F.lit(3)).cast("int") - 1), F.col("value").cast("double"))
+    one = one.select("lang", "key", "value", cut.alias("cut"))
+    sums = one.groupBy("lang").agg(F.sum("value").cast("double").alias("total"), F.sum("cut").alias("freed"),
+                                   F.count(F.lit(1)).alias("letters"))
+    return one.join(sums, "lang").select(
+        "lang", F.col("key").alias("character"), ((F.col("value") - F.col("cut")) / F.col("total")).alias("share"),
+        (F.col("freed") / F.col("total") / (F.col("letters") + 1)).alias("floor"))
+
+
+def higher_levels(totals: DataFrame, statistics: DataFrame) -> DataFrame:
+    """(lang, code, own, rest): p(c | a b) = own + rest * p(c), for every trigram in ``totals``, seen or not."""
+    three = level_discounts(statistics, 3).withColumnRenamed("cuts", "cuts3")
+    cuts = three.join(level_discounts(statistics, 2).withColumnRenamed("cuts", "cuts2"), "lang")
+
+    def shares(counts: np.ndarray, cuts: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each entry's share after discounting; per distinct context the mass kept back."""
+        cut = np.minimum(cuts[np.minimum(counts, 3) - 1], counts)
+        names, at = np.unique(context, return_inverse=True)
+        total = np.bincount(at, weights=counts, minlength=len(names))
+        freed = np.bincount(at, weights=cut, minlength=len(names))
+        return (counts - cut) / total[at], names, freed / total
+
+    def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(wanted), default)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], default)
+
+    def terms(key: tuple, table: pa.Table) -> pa.Table:
+        asked = table.column("code").to_numpy()
+        codes, seen, first, _, last, kinds = _kinds(asked, table.column("seen").to_numpy())
+        cuts3, cuts2 = np.array(table.column("cuts3")[0].as_py()), np.array(table.column("cuts2")[0].as_py())
+        share3, contexts, back3 = shares(seen, cuts3, first)
+        share2, _, back2 = shares(kinds, cuts2, np.zeros(len(kinds), np.int64))
+        order = np.argsort(codes)
+        own3 = looked_up(codes[order], share3[order], asked, 0.0)
+        rest3 = looked_up(contexts, back3, asked >> 2 * BITS, 1.0)
+        own2 = looked_up(last, share2, asked & ((1 << BITS) - 1), 0.0)
+        rest2 = float(back2[0]) if len(back2) else 1.0
+        return pa.table({"lang": table.column("lang"), "code": table.column("code"), "own": pa.array(own3 + rest3 * own2),
+                         "rest": pa.array(rest3 * rest2)})
+
+    return totals.join(cuts, "lang").groupBy("lang", "middle").applyInArrow(
+        terms, "lang string, code long, own double, rest double")
 
 
 def log_probabilities(counts: DataFrame) -> DataFrame:
-    """(lang, code, bits): -log2 p(c | a b) of each trigram in ``counts`` (lang, code, seen), seen or not.
+    """(lang, code, bits): -log2 p(c | a b) of each trigram in ``counts`` (block, lang, code, seen), seen or not.
 
     Languages without trusted text get no rows.
     """
-    mask = (1 << BITS) - 1
-    parts = {"ab": F.shiftright("code", BITS), "bc": F.col("code").bitwiseAND(F.lit((1 << 2 * BITS) - 1)),
-             "b": F.shiftright("code", BITS).bitwiseAND(F.lit(mask)), "c": F.col("code").bitwiseAND(F.lit(mask))}
-    asked = counts.select("lang", "code", "seen", *[p.alias(n) for n, p in parts.items()])
-    tri = asked.filter("seen > 0")
-    share3, back3 = _discounted(tri.select("lang", "code", "seen", "ab"), "seen", "ab")
-    two = tri.groupBy("lang", "bc", "b", "c").agg(F.count(F.lit(1)).alias("kinds"))
-    share2, back2 = _discounted(two, "kinds", "b")
-    one = two.groupBy("lang", "c").agg(F.count(F.lit(1)).alias("kinds")).withColumn("none", F.lit(0))
-    share1, back1 = _discounted(one, "kinds", "none")
-    letters = one.groupBy("lang").agg(F.count(F.lit(1)).alias("letters"))
-
-    def look_up(df: DataFrame, found: DataFrame, key: str, value: str, name: str) -> DataFrame:
-        given = found.select(F.col("lang").alias("_l"), F.col(key).alias("_k"), F.col(value).alias(name))
-        own = "ab" if key == "_context" and name == "back3" else "b" if key == "_context" else key
-        return df.join(given, F.col("lang").eqNullSafe(F.col("_l")) & (F.col(own) == F.col("_k")), "left").drop("_l", "_k")
-
-    df = look_up(asked, share3, "code", "share", "s3")
-    df = look_up(df, back3.withColumnRenamed("_lang", "lang"), "_context", "back", "back3")
-    df = look_up(df, share2, "bc", "share", "s2")
-    df = look_up(df, back2.withColumnRenamed("_lang", "lang"), "_context", "back", "back2")
-    df = look_up(df, share1, "c", "share", "s1")
-    base = back1.select(F.col("_lang"), F.col("back").alias("back1")).join(
-        letters.select(F.col("lang").alias("_l"), "letters"), F.col("_lang").eqNullSafe(F.col("_l"))).drop("_l")
-    df = df.join(base, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
-    zero, whole = F.lit(0.0), F.lit(1.0)
-    p1 = F.coalesce("s1", zero) + F.col("back1") / (F.col("letters") + 1)
-    p2 = F.coalesce("s2", zero) + F.coalesce("back2", whole) * p1
-    p3 = F.coalesce("s3", zero) + F.coalesce("back3", whole) * p2
-    return df.select("lang", "code", (-F.log2(p3)).alias("bits"))
+    mask = F.lit((1 << BITS) - 1)
+    totals = counts.groupBy("lang", "code").agg(F.sum("seen").alias("seen"), F.count("block").alias("blocks"))
+    totals = totals.withColumn("middle", F.shiftright("code", BITS).bitwiseAND(mask))
+    statistics = level_statistics(totals)
+    one = first_level(statistics).select(F.col("lang").alias("_lang"), F.col("character").alias("_character"), "share")
+    least = first_level(statistics).groupBy(F.col("lang").alias("_llang")).agg(F.max("floor").alias("floor"))
+    df = higher_levels(totals, statistics).withColumn("last", F.col("code").bitwiseAND(mask))
+    df = df.join(one, (F.col("lang") == F.col("_lang")) & (F.col("last") == F.col("_character")), "left")
+    df = df.join(least, F.col("lang") == F.col("_llang"))
+    p = F.col("own") + F.col("rest") * (F.coalesce("share", F.lit(0.0)) + F.col("floor"))
+    return df.select("lang", "code", (-F.log2(p)).alias("bits"))
 
 
 def scored(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, trusted, n_grams and bits (mean per trigram; null without a model of the language) of each row."""
-    rows = in_blocks(docs, trusted)
-    counts = block_counts(rows)
-    model = log_probabilities(counts.groupBy("lang", "code").agg(F.sum("seen").alias("seen")))
-    wanted = counts.select("block", "lang", "code").join(
-        model.select(F.col("lang").alias("_lang"), F.col("code").alias("_code"), "bits"),
-        F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("code") == F.col("_code"))).select("block", "lang", "code", "bits")
+    """doc_id, lang, n_grams and bits (mean per trigram; null without a model of the language) of each row.
+
+    ``trusted`` has the doc_ids of trusted text, each once.
+    """
+    rows, ids = in_blocks(docs, trusted)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # Joins ask for rows without nulls: asked here, the question is the same for all readers of the exchange.
+    counts = block_counts(rows, ids).filter("block IS NOT NULL AND lang IS NOT NULL AND code IS NOT NULL")
+    counts = counts.repartition(parts, "lang", "code")
+    model = log_probabilities(counts).withColumnsRenamed({"lang": "_lang", "code": "_code"})
+    wanted = counts.join(model, (F.col("lang") == F.col("_lang")) & (F.col("code") == F.col("_code"))).select(
+        "block", "lang", "code", "seen", F.col("bits").cast("float").alias("bits"))
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
         tables = {}
-        langs = np.array(known.column("lang").to_pylist(), dtype=object)
-        codes, bits = known.column("code").to_numpy(), known.column("bits").to_numpy()
-        for lang in set(langs.tolist()):
-            own = np.flatnonzero(langs == lang) if lang is not None else np.flatnonzero([x is None for x in langs])
+        langs = known.column("lang").combine_chunks().dictionary_encode()
+        codes, bits = known.column("code").to_numpy(), known.column("bits").to_numpy().astype(np.float64)
+        names = langs.indices.to_numpy() if len(langs) else np.array([], np.int32)
+        for number, lang in enumerate(langs.dictionary.to_pylist()):
+            own = np.flatnonzero(names == number)
             own = own[np.argsort(codes[own])]
             tables[lang] = (codes[own], bits[own])
         n, means = [], []
-        for lang, text in zip(texts.column("lang").to_pylist(), texts.column("text"), strict=True):
-            total = count = 0.0
+        for lang, packed in zip(texts.column("lang").to_pylist(), texts.column("packed"), strict=True):
             own = tables.get(lang)
-            for found in trigrams(iter([text.as_py()])):
-                count = len(found)
-                if own is not None:
-                    distinct, times = np.unique(found, return_counts=True)
-                    total = float(own[1][np.searchsorted(own[0], distinct)] @ times)
-            n.append(int(count))
-            means.append(total / count if own is not None else None)
-        return pa.table([texts.column("doc_id"), texts.column("lang"), texts.column("trusted"), pa.array(n, pa.int64()),
-                         pa.array(means, pa.float64())], names=["doc_id", "lang", "trusted", "n_grams", "bits"])
+            [found] = trigrams(iter([unpack(packed.as_py()).decode("utf-8")]))
+            n.append(len(found))
+            if own is None:
+                means.append(None)
+            else:
+                distinct, times = np.unique(found, return_counts=True)
+                means.append(float(own[1][np.searchsorted(own[0], distinct)] @ times) / len(found))
+        return pa.table([texts.column("doc_id"), texts.column("lang"), pa.array(n, pa.int64()),
+                         pa.array(means, pa.float64())], names=["doc_id", "lang", "n_grams", "bits"])
 
-    return rows.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
-        score, "doc_id long, lang string, trusted boolean, n_grams long, bits double")
+    out = rows.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
+        score, "doc_id long, lang string, n_grams long, bits double")
+    return out.withColumn("lang", F.when(F.col("lang") != NO_LANG, F.col("lang")))
 
 
 def limits(rows: DataFrame, upper: float = UPPER) -> DataFrame:
     """(lang, most): the bits beyond which a document of the language is rejected, from its trusted rows on a grid."""
-    cells = rows.filter("trusted AND bits IS NOT NULL").groupBy("lang", F.floor(F.col("bits") * CELLS).alias("cell")).agg(
+    cells = rows.filter("coalesce(trusted, false) AND bits IS NOT NULL").groupBy("lang", F.floor(F.col("bits") * CELLS).alias("cell")).agg(
         F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("lang")
     upto = own.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -219,7 +293,10 @@ def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, upper: float = UP
     scored. Null lang: a language like any other. A language without trusted text: perplexity null, kept. Repeated rows:
     each alike, and a trusted one counts as often as it occurs. Empty table: empty result. Further columns are not carried.
     """
-    rows = settle(scored(docs, trusted.select("doc_id").distinct()), "perplexity")
+    ids = settle(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "trusted")
+    rows = settle(scored(docs, ids), "perplexity")
+    named = ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("trusted"))
+    rows = rows.join(named, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     most = settle(limits(rows, upper), "perplexity-limits").withColumnRenamed("lang", "_lang")
     df = rows.join(most, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     inside = F.coalesce(F.col("bits") <= F.col("most"), F.lit(True))
