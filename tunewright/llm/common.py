@@ -51,7 +51,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as ``--py-files`` does."""
+    """Send this package to the executors once per application.
+
+    As with ``--py-files``, the archive lies with the driver, which serves it; no executor reads a local path of its own.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
