@@ -107,7 +107,40 @@ def test_one_of_each_group_stays(documents):
     rows = [(3, "a b c d e f"), (1, "A b c d e f"), (2, "something else in here today"), (None, "only null has this text here"),
             (None, "only null has this text here"), (4, None), (5, ""), (1, "a b c d e f")]
     df = documents(rows, row_key="k", component_id=1)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    got = sorted(((r.doc_id, r.text.lower() if r.text else r.text) for r in kept.collect()), key=str)
-    assert got == sorted([(1, "a b c d e f"), (2, rows[2][1]), (None, rows[3][1]), (4, None)], key=str)
+    for grouped in (simhash.simhash_groups(df), simhash.similar_groups(df)):
+        kept = simhash.keep_one(df, grouped)
+        assert kept.columns == df.columns
+        got = sorted(((r.doc_id, r.text.lower() if r.text else r.text) for r in kept.collect()), key=str)
+        assert got == sorted([(1, "a b c d e f"), (2, rows[2][1]), (None, rows[3][1]), (4, None)], key=str)
+
+
+def test_similar_texts_meet_and_others_stay_apart(documents):
+    """Copies with up to 2 % of the words changed (a similarity of 0.8 and more) meet; half-changed ones do not."""
+    rng = random.Random(9)
+    rows, base_of = [], {}
+    for base in range(60):
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(80, 400))]
+        rows.append((base * 10, " ".join(words)))
+        for copy in range(1, 4):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+                changed[at] = rng.choice(WORDS)
+            rows.append((base * 10 + copy, " ".join(changed)))
+        half = list(words)
+        for at in rng.sample(range(len(words)), len(words) // 5):
+            half[at] = rng.choice(WORDS)
+        rows.append((base * 10 + 9, " ".join(half)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows, cell=1, table="t", node=2)).collect()}
+    copies = [i for i in got if i % 10 in (1, 2, 3)]
+    assert sum(got[i] == i // 10 * 10 for i in copies) >= 0.98 * len(copies)
+    assert all(got[i] == i for i in got if i % 10 in (0, 9))
+
+
+def test_signatures_of_long_texts(documents):
+    text = " ".join(f"w{i % 977}" for i in range(70_000))
+    hashes = simhash.shingle_hashes(text, 5)
+    for table, found in enumerate(simhash.signature(text, tables=2)):
+        mixed = simhash._mixed(np.array(hashes, dtype=np.uint64), table).tolist()
+        bits = [sum(h >> b & 1 for h in mixed) for b in range(64)]
+        assert int(found) == sum(1 << b for b in range(64) if 2 * bits[b] > len(mixed))
+    assert simhash.similar_groups(documents([])).collect() == []

@@ -35,18 +35,23 @@ PER_CELL = 20_000
 BLOCK = 2_000_000
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Majority of the shingles' XXH64 bits, repeats counted; zero without a word."""
+def shingle_hashes(text: str, shingle: int) -> list[int]:
+    """XXH64 of every run of ``shingle`` words, repeats included; of all words where there are fewer."""
     words = text.encode("utf-8").lower().split()  # on bytes both look at ASCII only
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1])).tolist()
     ends = (ends - 1).tolist()
     last = max(len(words) - shingle, 0)
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[:last + 1], ends[min(shingle, len(words)) - 1:])]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[:last + 1], ends[min(shingle, len(words)) - 1:])]
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Majority of the shingles' bits; zero without a word."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         part = np.array(hashes[at:at + 65_536], dtype=">u8")
@@ -88,6 +93,15 @@ class Forest:
             at = parent[at]
         return at
 
+    def roots(self) -> np.ndarray:
+        """The root of every position."""
+        at = np.array(self.parent, dtype=np.int64)
+        while True:
+            up = at[at]
+            if (up == at).all():
+                return at
+            at = up
+
     def join(self, a: int, b: int) -> bool:
         a, b = self.root(a), self.root(b)
         if a != b:
@@ -95,7 +109,7 @@ class Forest:
         return a != b
 
 
-def cell_links(prints: np.ndarray, cell: int, cell_bits: int, radius: int = RADIUS) -> list[tuple[int, int]]:
+def cell_links(prints: np.ndarray, cell: int, cell_bits: int, radius: int = RADIUS, bits: int = BITS) -> list[tuple[int, int]]:
     """A spanning forest of the links that the variants inside one cell show.
 
     The cell is the value of a variant's lowest ``cell_bits`` bits. A fingerprint that differs from it in k of these
@@ -107,11 +121,11 @@ def cell_links(prints: np.ndarray, cell: int, cell_bits: int, radius: int = RADI
     low = np.uint64((1 << cell_bits) - 1)
     moved = (prints & ~low) | np.uint64(cell)
     spent = np.bitwise_count(prints ^ moved)
-    masks = [_masks(BITS, half - k, cell_bits) for k in range(half + 1)]
+    masks = [_masks(bits, half - k, cell_bits) for k in range(half + 1)]
     total = sum(int((spent == k).sum()) * len(masks[k]) for k in range(half + 1))
     # Blocks by the next bits of the variant: each flips with it, so a block filters what is written out.
     parts = max(1, -(-total // BLOCK))
-    part_bits = min((parts - 1).bit_length(), BITS - cell_bits)
+    part_bits = min((parts - 1).bit_length(), bits - cell_bits)
     shift, part_mask = np.uint64(cell_bits), np.uint64((1 << part_bits) - 1)
     forest, links = Forest(len(prints)), []
     for part in range(1 << part_bits):
@@ -128,12 +142,20 @@ def cell_links(prints: np.ndarray, cell: int, cell_bits: int, radius: int = RADI
         if not variants:
             continue
         variants, owners = np.concatenate(variants), np.concatenate(owners)
-        order = np.lexsort((owners, variants))
+        order = np.argsort(variants)
         variants, owners = variants[order], owners[order]
         meet = np.flatnonzero(variants[1:] == variants[:-1])
-        pairs = np.unique(np.stack([owners[meet], owners[meet + 1]], axis=1), axis=0)
-        near = np.bitwise_count(prints[pairs[:, 0]] ^ prints[pairs[:, 1]]) <= radius
-        for a, b in pairs[near].tolist():
+        left, right = owners[meet], owners[meet + 1]
+        pairs = np.unique(np.minimum(left, right) * len(prints) + np.maximum(left, right))
+        left, right = pairs // len(prints), pairs % len(prints)
+        # What earlier blocks have joined already is left out before the loop.
+        roots = forest.roots()
+        new = roots[left] != roots[right]
+        left, right = left[new], right[new]
+        apart = np.bitwise_count(prints[left] ^ prints[right])
+        # The closest first: they are the links that last.
+        order = np.argsort(apart, kind="stable")[:np.count_nonzero(apart <= radius)]
+        for a, b in zip(left[order].tolist(), right[order].tolist(), strict=True):
             if forest.join(a, b):
                 links.append((a, b))
     return [(int(prints[a]), int(prints[b])) for a, b in links]
@@ -183,14 +205,23 @@ def components(edges: DataFrame, salt: str = "components") -> DataFrame:
     return labels
 
 
+def component_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(print, component_id) of all ``nodes`` (print, least doc_id) from the components of those with links."""
+    named = nodes.join(found, F.col("print") == F.col("node"), "left").select(
+        "print", "least", F.coalesce("component", "print").alias("component"))
+    named = settle(named, "simhash-named")
+    # Joins of two plain exchanges are those that adaptive execution can split at a hot component or print.
+    smallest = settle(named.groupBy(F.col("component").alias("_component")).agg(F.min("least").alias("component_id")),
+                      "simhash-smallest")
+    named = named.join(smallest, F.col("component") == F.col("_component")).select("print", "component_id")
+    return settle(named, "simhash-groups")
+
+
 def groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(print, component_id): each distinct print with the smallest doc_id reachable over links."""
     nodes = settle(marked.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     found = components(links(nodes.select("print"), nodes.count(), radius), "simhash-links")
-    named = nodes.join(found, F.col("print") == F.col("node"), "left").select(
-        "print", "least", F.coalesce("component", "print").alias("component"))
-    smallest = named.groupBy(F.col("component").alias("_component")).agg(F.min("least").alias("component_id"))
-    return named.join(smallest, F.col("component") == F.col("_component")).select("print", "component_id")
+    return component_ids(nodes, found)
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -205,16 +236,120 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     return marked.join(ids, F.col("print") == F.col("_print")).drop("_print")
 
 
+# ---- similarity of whole texts: several fingerprints of fewer bits
+
+#: Fingerprints per text, and the bits of each that are searched within the radius.
+TABLES, TABLE_BITS = 16, 48
+WORDS, SIMILARITY = 5, 0.8
+_GOLDEN, _FIRST, _SECOND = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """An independent hash of each hash (the splitmix64 finisher)."""
+    x = hashes + np.uint64(_GOLDEN * (table + 1) % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * _FIRST
+    x = (x ^ (x >> np.uint64(27))) * _SECOND
+    return x ^ (x >> np.uint64(31))
+
+
+def signature(text: str, shingle: int = WORDS, tables: int = TABLES) -> np.ndarray:
+    """One fingerprint per table; zeros without a word."""
+    hashes = np.array(shingle_hashes(text, shingle), dtype=np.uint64)
+    counts = np.zeros((tables, BITS), dtype=np.int64)
+    for at in range(0, len(hashes), 65_536):
+        part = hashes[at:at + 65_536]
+        for table in range(tables):
+            bits = np.unpackbits(_mixed(part, table).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            # Sums of at most 65,536 ones, in runs short enough for one byte.
+            whole = len(bits) // 255 * 255
+            counts[table] += np.add.reduce(bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8), axis=0, dtype=np.int64)
+            counts[table] += bits[whole:].sum(axis=0, dtype=np.int64)
+    packed = np.packbits((2 * counts > len(hashes)).astype(np.uint8), axis=1)
+    return packed.view(">u8").reshape(-1).astype(np.uint64)
+
+
+def signatures(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
+    """(doc_id, row_key, node, signature) of each document row; node stands for its signature."""
+    df = beside(docs, doc_id=F.col("doc_id").cast("long"), text=text_of())
+    df = df.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.concatenate([signature(t.as_py(), shingle) for t in batch.column(2)] or [np.array([], np.uint64)])
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(found.view(np.int64)), TABLES).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "row_key", "signature"])
+
+    out = df.mapInArrow(marked, "doc_id long, row_key binary, signature array<long>")
+    return out.withColumn("node", F.xxhash64("signature"))
+
+
+def most_bits(similarity: float, bits: int = TABLES * BITS) -> int:
+    """Differing bits up to which texts of a Jaccard similarity are expected, and one standard deviation more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * (share + np.sqrt(share * (1 - share) / bits)))
+
+
+def similar_links(nodes: DataFrame, rows: int, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """Distinct links (a, b): nodes within the radius in one table, verified on all bits of their signatures.
+
+    Each table is a ball search of its own over the first bits of its fingerprint. Inside a cell the closest links
+    that connect its prints are kept, so a group of near copies gives about as many links as it has texts.
+    """
+    half = radius // 2
+    cell_bits = min(24, max(3, (-(-rows * 4 // PER_CELL) - 1).bit_length() - 3))
+    spread = [sum(1 << b for b in chosen) for k in range(half + 1) for chosen in combinations(range(cell_bits), k)]
+    cut = F.shiftrightunsigned(F.col("print"), BITS - TABLE_BITS)
+    dealt = nodes.select("node", F.posexplode("signature").alias("table", "print")).select("node", "table", cut.alias("print"))
+    low = F.col("print").bitwiseAND(F.lit((1 << cell_bits) - 1))
+    dealt = dealt.select("table", "node", "print", F.explode(F.transform(
+        F.array(*[F.lit(m) for m in spread]), lambda m: low.bitwiseXOR(m))).alias("cell"))
+
+    def linked(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        prints, owners = frame["print"].to_numpy().view(np.uint64), frame["node"].to_numpy()
+        distinct, first, at = np.unique(prints, return_index=True, return_inverse=True)
+        again = np.setdiff1d(np.arange(len(prints)), first, assume_unique=True)
+        heads = owners[first]
+        pairs = [(owners[again], heads[at[again]])]
+        found = cell_links(distinct, int(key[1]), cell_bits, radius, TABLE_BITS)
+        if found:
+            ends = np.searchsorted(distinct, np.array(found, dtype=np.uint64))
+            pairs.append((heads[ends[:, 0]], heads[ends[:, 1]]))
+        return pd.DataFrame({"a": np.concatenate([p[0] for p in pairs]), "b": np.concatenate([p[1] for p in pairs])})
+
+    found = dealt.groupBy("table", "cell").applyInPandas(linked, "a long, b long")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("_left"))
+    right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("_right"))
+    apart = F.aggregate(F.zip_with("_left", "_right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return found.join(left, "a").join(right, "b").filter(apart <= most_bits(similarity)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, row_key, node, component_id): document rows grouped over links of texts at least ``similarity`` alike.
+
+    Null or blank text: all alike. Null doc_id, repeated rows, empty table: as in ``simhash_groups``. Texts whose
+    signatures have equal 64-bit hashes count as one node.
+    """
+    marked = settle(signatures(docs, shingle), "simhash-signatures")
+    nodes = settle(marked.groupBy("node").agg(F.min("signature").alias("signature"), F.min("doc_id").alias("least")), "simhash-nodes")
+    found = components(similar_links(nodes, nodes.count(), similarity), "simhash-links")
+    ids = component_ids(nodes.withColumnRenamed("node", "print").drop("signature"), found).withColumnRenamed("print", "_node")
+    return marked.drop("signature").join(ids, F.col("node") == F.col("_node")).drop("_node")
+
+
 def hex_of(print_: Column) -> Column:
     return F.lower(F.lpad(F.hex(print_), 16, "0"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component: the smallest doc_id's (of equal ids, the least row), columns unchanged."""
-    grouped = simhash_groups(docs, shingle, radius)
-    # A component of null ids only is named by its print's key, so it keeps a row as well.
+def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One document of each component: the smallest doc_id's (of equal ids, the least row), columns unchanged.
+
+    ``grouped`` comes from ``simhash_groups`` or ``similar_groups`` of the same documents.
+    """
+    # A component of null ids only has no id: each of its prints keeps a row.
+    own = "print" if "print" in grouped.columns else "node"
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
-    name = F.when(F.col("component_id").isNull(), F.col("print"))
+    name = F.when(F.col("component_id").isNull(), F.col(own))
     winners = grouped.groupBy("component_id", name.alias("name")).agg(F.min(first)["row_key"].alias("_winner"))
     df = beside(docs, row_key=row_key(F.col("doc_id"), text_of()))
     df = df.join(winners.select("_winner").distinct(), F.col("row_key") == F.col("_winner"))
