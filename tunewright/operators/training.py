@@ -139,7 +139,7 @@ def train_ranker(train: DataFrame, trees: int = fixed.TREES, validation_share: f
 
     Early stopping watches users held out of the training rows, so the test
     users stay unseen. The loss is read off after every round of a run; the
-    first rounds of a longer run are those of a shorter one, so runs double in
+    first rounds of a longer run are those of a shorter one, so runs triple in
     length until the patience is used up, and the best number of trees is
     fitted at the end.
     """
@@ -167,7 +167,7 @@ def train_ranker(train: DataFrame, trees: int = fixed.TREES, validation_share: f
         best, ended = rounds_kept(model.stages[-1].evaluateEachIteration(held_out), patience)
         if ended or rounds == trees:
             return model if best == rounds else fitted(best)
-        rounds = min(trees, 2 * rounds)
+        rounds = min(trees, 3 * rounds)
 
 
 def feature_importance(model: PipelineModel) -> DataFrame:
