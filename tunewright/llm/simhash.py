@@ -32,7 +32,7 @@ SEED = 42
 #: Fingerprints (with repeats) per cell that the number of cells is chosen for.
 PER_CELL = 20_000
 #: Variants written out at once inside a cell.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def shingle_hashes(text: str, shingle: int) -> list[int]:
