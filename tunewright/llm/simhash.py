@@ -305,6 +305,8 @@ def similar_links(nodes: DataFrame, rows: int, similarity: float, radius: int =
         F.array(*[F.lit(m) for m in spread]), lambda m: low.bitwiseXOR(m))).alias("cell"))
 
     def linked(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        # In a fixed order, so that a task run again finds the same links.
+        frame = frame.sort_values(["print", "node"])
         prints, owners = frame["print"].to_numpy().view(np.uint64), frame["node"].to_numpy()
         distinct, first, at = np.unique(prints, return_index=True, return_inverse=True)
         again = np.setdiff1d(np.arange(len(prints)), first, assume_unique=True)
