@@ -144,3 +144,33 @@ def test_signatures_of_long_texts(documents):
         bits = [sum(h >> b & 1 for h in mixed) for b in range(64)]
         assert int(found) == sum(1 << b for b in range(64) if 2 * bits[b] > len(mixed))
     assert simhash.similar_groups(documents([])).collect() == []
+
+
+def test_copies_inside_a_template_group(documents):
+    """Texts of one template meet in many tables and fail on all bits; the pairs that hold are linked all the same."""
+    rng = random.Random(4)
+    template = [rng.choice(WORDS) for _ in range(200)]
+    rows = []
+    for base in range(300):
+        words = list(template)
+        for at in rng.sample(range(200), 4):
+            words[at] = f"own{base}x{at}"
+        rows.append((base * 10, " ".join(words)))
+        if base % 3 == 0:
+            for at in rng.sample(range(5, 195), 3):
+                words[at] = f"copy{base}x{at}"
+            rows.append((base * 10 + 1, " ".join(words)))
+    signs = np.stack([simhash.signature(t) for _, t in rows])
+    cut = signs >> np.uint64(simhash.BITS - simhash.TABLE_BITS)
+    forest = simhash.Forest(len(rows))
+    failing = 0
+    for i in range(len(rows)):
+        met = (np.bitwise_count(cut[:i] ^ cut[i]) <= simhash.RADIUS).any(axis=1)
+        holds = np.bitwise_count(signs[:i] ^ signs[i]).sum(axis=1, dtype=int) <= simhash.most_bits(simhash.SIMILARITY)
+        failing += int((met & ~holds).sum())
+        for j in np.flatnonzero(met & holds).tolist():
+            forest.join(i, j)
+    # The rows are in the order of their ids, so the least id of a component is its root's.
+    expected = {rows[i][0]: rows[forest.root(i)][0] for i in range(len(rows))}
+    assert failing > len(rows)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows)).collect()} == expected

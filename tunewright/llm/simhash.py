@@ -109,15 +109,14 @@ class Forest:
         return a != b
 
 
-def cell_links(prints: np.ndarray, cell: int, cell_bits: int, radius: int = RADIUS, bits: int = BITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links that the variants inside one cell show.
+def cell_variants(prints: np.ndarray, cell: int, cell_bits: int, radius: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The variants inside one cell and the positions of the prints they belong to, sorted by variant.
 
     The cell is the value of a variant's lowest ``cell_bits`` bits. A fingerprint that differs from it in k of these
     bits has k flips spent already. Variants are written out block by block of their next bits, so memory stays
     bounded whatever the number of fingerprints with a large ball.
     """
     half = radius // 2
-    prints = np.unique(prints)
     low = np.uint64((1 << cell_bits) - 1)
     moved = (prints & ~low) | np.uint64(cell)
     spent = np.bitwise_count(prints ^ moved)
@@ -127,7 +126,6 @@ def cell_links(prints: np.ndarray, cell: int, cell_bits: int, radius: int = RADI
     parts = max(1, -(-total // BLOCK))
     part_bits = min((parts - 1).bit_length(), bits - cell_bits)
     shift, part_mask = np.uint64(cell_bits), np.uint64((1 << part_bits) - 1)
-    forest, links = Forest(len(prints)), []
     for part in range(1 << part_bits):
         variants, owners = [], []
         for k in range(half + 1):
@@ -143,7 +141,17 @@ def cell_links(prints: np.ndarray, cell: int, cell_bits: int, radius: int = RADI
             continue
         variants, owners = np.concatenate(variants), np.concatenate(owners)
         order = np.argsort(variants)
-        variants, owners = variants[order], owners[order]
+        yield variants[order], owners[order]
+
+
+def cell_links(prints: np.ndarray, cell: int, cell_bits: int, radius: int = RADIUS, bits: int = BITS) -> list[tuple[int, int]]:
+    """A spanning forest of the links that the variants inside one cell show.
+
+    Any two owners of a variant are within the radius, so neighbours among the sorted owners connect them all.
+    """
+    prints = np.unique(prints)
+    forest, links = Forest(len(prints)), []
+    for variants, owners in cell_variants(prints, cell, cell_bits, radius, bits):
         meet = np.flatnonzero(variants[1:] == variants[:-1])
         left, right = owners[meet], owners[meet + 1]
         pairs = np.unique(np.minimum(left, right) * len(prints) + np.maximum(left, right))
@@ -289,41 +297,96 @@ def most_bits(similarity: float, bits: int = TABLES * BITS) -> int:
     return int(bits * (share + np.sqrt(share * (1 - share) / bits)))
 
 
-def similar_links(nodes: DataFrame, rows: int, similarity: float, radius: int = RADIUS) -> DataFrame:
-    """Distinct links (a, b): nodes within the radius in one table, verified on all bits of their signatures.
+def verified_links(prints: np.ndarray, signatures: np.ndarray, cell: int, cell_bits: int, most: int, radius: int = RADIUS,
+                   bits: int = BITS) -> list[tuple[int, int]]:
+    """A spanning forest, as positions, of the pairs that share a variant in the cell and differ in at most ``most`` bits of their signatures.
 
-    Each table is a ball search of its own over the first bits of its fingerprint. Inside a cell the closest links
-    that connect its prints are kept, so a group of near copies gives about as many links as it has texts.
+    Every pair of owners of a variant is looked at, unless links that hold connect it already, so a pair that fails
+    never stands in for one that holds. A run of owners that is connected is done; pairs are made one distance
+    between owners at a time, so no more are held than the block has variants.
     """
+    forest, links = Forest(len(prints)), []
+    for variants, owners in cell_variants(prints, cell, cell_bits, radius, bits):
+        begins = np.flatnonzero(np.concatenate(([True], variants[1:] != variants[:-1])))
+        lengths = np.diff(np.append(begins, len(variants)))
+        gap = 0
+        while True:
+            gap += 1
+            longer = lengths > gap
+            begins, lengths = begins[longer], lengths[longer]
+            if not len(begins):
+                break
+            # The runs that are left, end to end; those in one tree by now are dropped.
+            starts = np.cumsum(lengths) - lengths
+            owners = owners[np.repeat(begins - starts, lengths) + np.arange(lengths.sum())]
+            begins = starts
+            roots = forest.roots()
+            trees = roots[owners]
+            apart = np.minimum.reduceat(trees, begins) != np.maximum.reduceat(trees, begins)
+            if not apart.any():
+                break
+            begins, lengths = begins[apart], lengths[apart]
+            counts = lengths - gap
+            left = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            left, right = owners[left], owners[left + gap]
+            new = roots[left] != roots[right]
+            pairs = np.unique(np.minimum(left, right)[new] * len(prints) + np.maximum(left, right)[new])
+            left, right = pairs // len(prints), pairs % len(prints)
+            differ = np.zeros(len(pairs), dtype=np.int64)
+            for word in range(signatures.shape[1]):
+                differ += np.bitwise_count(signatures[left, word] ^ signatures[right, word])
+            order = np.argsort(differ, kind="stable")[:np.count_nonzero(differ <= most)]
+            for a, b in zip(left[order].tolist(), right[order].tolist(), strict=True):
+                if forest.join(a, b):
+                    links.append((a, b))
+    return links
+
+
+def dealt_tables(marked: DataFrame, cell_bits: int, radius: int) -> DataFrame:
+    """The rows (with a ``print``) once for every cell that the ball of their print touches."""
     half = radius // 2
-    cell_bits = min(24, max(3, (-(-rows * 4 // PER_CELL) - 1).bit_length() - 3))
     spread = [sum(1 << b for b in chosen) for k in range(half + 1) for chosen in combinations(range(cell_bits), k)]
-    cut = F.shiftrightunsigned(F.col("print"), BITS - TABLE_BITS)
-    dealt = nodes.select("node", F.posexplode("signature").alias("table", "print")).select("node", "table", cut.alias("print"))
     low = F.col("print").bitwiseAND(F.lit((1 << cell_bits) - 1))
-    dealt = dealt.select("table", "node", "print", F.explode(F.transform(
+    return marked.select("*", F.explode(F.transform(
         F.array(*[F.lit(m) for m in spread]), lambda m: low.bitwiseXOR(m))).alias("cell"))
 
+
+def similar_links(nodes: DataFrame, rows: int, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """Distinct links (a, b): nodes within the radius in one table, verified on all bits of their signatures.
+
+    Each table is a ball search of its own over the first bits of its fingerprint. A first pass over the fingerprints
+    alone names the nodes that have a neighbour in a table. Only they travel again, with their signatures, and a pair
+    is verified before it may join a cell's forest, so a group of near copies gives about as many links as it has texts.
+    """
+    cell_bits = min(24, max(3, (-(-rows * 4 // PER_CELL) - 1).bit_length() - 3))
+    most = most_bits(similarity)
+    cut = F.shiftrightunsigned(F.col("print"), BITS - TABLE_BITS)
+    marked = nodes.select("node", F.posexplode("signature").alias("table", "print")).select("node", "table", cut.alias("print"))
+
+    def met(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        prints, owners = frame["print"].to_numpy().view(np.uint64), frame["node"].to_numpy()
+        distinct, at, count = np.unique(prints, return_inverse=True, return_counts=True)
+        found = cell_links(distinct, int(key[1]), cell_bits, radius, TABLE_BITS)
+        near = count > 1
+        near[np.searchsorted(distinct, np.array(found, dtype=np.uint64).ravel())] = True
+        return pd.DataFrame({"node": owners[near[at]], "table": np.int32(key[0])})
+
     def linked(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         # In a fixed order, so that a task run again finds the same links.
         frame = frame.sort_values(["print", "node"])
-        prints, owners = frame["print"].to_numpy().view(np.uint64), frame["node"].to_numpy()
-        distinct, first, at = np.unique(prints, return_index=True, return_inverse=True)
-        again = np.setdiff1d(np.arange(len(prints)), first, assume_unique=True)
-        heads = owners[first]
-        pairs = [(owners[again], heads[at[again]])]
-        found = cell_links(distinct, int(key[1]), cell_bits, radius, TABLE_BITS)
-        if found:
-            ends = np.searchsorted(distinct, np.array(found, dtype=np.uint64))
-            pairs.append((heads[ends[:, 0]], heads[ends[:, 1]]))
-        return pd.DataFrame({"a": np.concatenate([p[0] for p in pairs]), "b": np.concatenate([p[1] for p in pairs])})
-
-    found = dealt.groupBy("table", "cell").applyInPandas(linked, "a long, b long")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("_left"))
-    right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("_right"))
-    apart = F.aggregate(F.zip_with("_left", "_right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return found.join(left, "a").join(right, "b").filter(apart <= most_bits(similarity)).select("a", "b")
+        whole = np.stack(frame["signature"].to_numpy()).view(np.uint64)
+        owners = frame["node"].to_numpy()
+        found = verified_links(frame["print"].to_numpy().view(np.uint64), whole, int(key[1]), cell_bits, most, radius, TABLE_BITS)
+        ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": owners[ends[:, 0]], "b": owners[ends[:, 1]]})
+
+    near = dealt_tables(marked, cell_bits, radius).groupBy("table", "cell").applyInPandas(met, "node long, table int")
+    near = settle(near.groupBy("node").agg(F.collect_set("table").alias("tables")), "simhash-near")
+    again = near.withColumnRenamed("node", "_node").join(nodes, F.col("_node") == F.col("node"))
+    again = again.select("node", "signature", F.explode("tables").alias("table"))
+    again = again.select("*", F.shiftrightunsigned(F.get("signature", F.col("table")), BITS - TABLE_BITS).alias("print"))
+    found = dealt_tables(again, cell_bits, radius).groupBy("table", "cell").applyInPandas(linked, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
