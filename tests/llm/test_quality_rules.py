@@ -87,3 +87,22 @@ def test_empty_table_clashing_columns_and_repeated_rows(documents):
     assert [r.n_words for r in out] == [50] * 3 and [r.kept for r in out] == [True] * 3
     kept = quality_rules.keep_good(df)
     assert kept.columns == df.columns and kept.count() == 3
+
+
+def test_repeated_lines_or_repeated_words_alone_reject(documents):
+    rng = random.Random(5)
+    text = lambda n: "\n".join(prose(rng, 10) for _ in range(n // 10))
+    rows = [(i, text(rng.randrange(60, 300)), "en", "s") for i in range(300)]
+    # Twenty short lines per hundred words are repeats; no run of eight words is.
+    rows += [(1_000 + i, "\n".join(f"{rng.choice(['of the', 'by that'])}\n{prose(rng, 8)}" for _ in range(20)), "en", "s")
+             for i in range(20)]
+    # A passage of nine words three times in a hundred words: 27 % repeated words on lines that all differ.
+    passage = prose(rng, 9)
+    rows += [(2_000 + i, "\n".join(f"{prose(rng, 24)} {passage}" for _ in range(3)) + " the", "en", "s") for i in range(20)]
+    # One repeated line, one passage found twice.
+    rows += [(3_000 + i, f"{(line := prose(rng, 2))}\n{text(60)}\n{line}", "en", "s") for i in range(20)]
+    rows += [(4_000 + i, f"{(part := prose(rng, 8))} {prose(rng, 60)} {part}", "en", "s") for i in range(20)]
+    got = {r.doc_id: r for r in run(documents(rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[2_000 + i].n_dup_lines == 0 and got[1_000 + i].n_repeat_words == 0 for i in range(20))
+    assert [i for i in got if not got[i].kept] == [i for i in got if 1_000 <= i < 3_000]

@@ -26,8 +26,12 @@ WINDOW = 8
 # Choices of this library.
 VECTOR = ["x0", "x1", "x2", "x3"]
 #: Standard deviations below which a difference counts as noise; added to every scatter estimate, so a statistic
-#: that is zero nearly everywhere (symbols, repeated lines) does not reject a document for a single occurrence.
-NOISE = [0.15, 0.6, 1.0, 1.0]
+#: that is zero nearly everywhere (symbols, repeated lines) does not reject a document for a single occurrence. Where
+#: a group shows no spread, more than 4 repeated lines or 7 repeated words per hundred words, beyond ONCE, reject.
+NOISE = [0.15, 0.6, 0.3, 0.4]
+#: What a single occurrence counts in repeated lines and repeated words (both windows); it is not held against a text
+#: of any length.
+ONCE = {"n_dup_lines": 1, "n_repeat_words": 2 * WINDOW}
 #: Rows' worth of the language's estimate in each group's estimate. A group of few rows leans on its language.
 PRIOR_ROWS = 50.0
 #: Share of the rows that the determinant is minimised over.
@@ -91,10 +95,11 @@ def annotate(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 
 def vector() -> list[Column]:
-    """Log shares: mean word length, symbols, repeated lines and repeated words, each per hundred words."""
+    """Log shares: mean word length, symbols, repeated lines and repeated words beyond ONCE, each per hundred words."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     parts = [F.log(1.0 + F.col("word_chars") / words)]
-    parts += [F.log(1.0 + 100.0 * F.col(c) / words) for c in ("n_symbols", "n_dup_lines", "n_repeat_words")]
+    beyond = {c: F.greatest(F.col(c) - ONCE.get(c, 0), F.lit(0)) for c in ("n_symbols", "n_dup_lines", "n_repeat_words")}
+    parts += [F.log(1.0 + 100.0 * c / words) for c in beyond.values()]
     return [p.alias(n) for p, n in zip(parts, VECTOR, strict=True)]
 
 
