@@ -83,3 +83,15 @@ def test_empty_table_repeated_rows_and_clashing_columns(documents):
     assert run(documents, []) == {}
     out = personal_data.personal_data(documents([(1, "a@b.c"), (1, "a@b.c"), (None, "a@b.c")], n_email=9, text2="x", spans=1))
     assert [(r.n_email, r["all"]) for r in out.collect()] == [(1, "email:0:5")] * 3
+
+
+def test_ibans_before_more_text_and_long_secrets(documents):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = [f"{iban} BIC COBADEFFXXX", "DE89370400440532013000 EUR 250", f"{iban} A note", f"{iban} 7", f"to {iban}, {iban} OK",
+             "DE893704004405320130001", "DE88 3704 0044 0532 0130 00 BIC", "NO93 8601 1117 947 NOK", "token " + "a1" * 100]
+    got = run(documents, texts)
+    spans = [[(s.kind, s.start, s.end) for s in got[i].spans if s.kind in ("iban", "secret")] for i in range(len(texts))]
+    assert spans == [[("iban", 0, 27)], [("iban", 0, 22)], [("iban", 0, 27)], [("iban", 0, 27)], [("iban", 3, 30), ("iban", 32, 59)],
+                     [], [], [("iban", 0, 18)], [("secret", 6, 206)]]
+    masked = personal_data.mask_documents(documents(list(enumerate(texts))))
+    assert {r.doc_id: r.text for r in masked.collect()}[0] == "[IBAN] BIC COBADEFFXXX"

@@ -25,6 +25,22 @@ LEAST_SCORE = 0.6
 KINDS = ["email", "ip", "card", "phone", "iban", "local_phone", "national_id", "secret"]
 BASE = 4
 
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _ibans() -> str:
+    """Numbers of the fixed length of their country, then any other code at up to 34 characters."""
+    fixed = [rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}" for length, codes in IBAN_LENGTHS.items()]
+    known = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    return "|".join([*fixed, rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"])
+
+
 # The base patterns of the contract, with a possessive loop wherever giving back could not help. An email can only
 # match from the start of a run of local-part characters, or from where the match before it ended.
 PATTERNS = {
@@ -32,10 +48,10 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_ibans()})(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9A-Za-z+(.-])(?<![0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|[A-Za-z0-9_-]{16,128}+)(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|[A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])",
 }
 # A text without these characters holds no match; most texts are ruled out so.
 NEEDS = {
