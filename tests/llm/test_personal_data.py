@@ -95,3 +95,15 @@ def test_ibans_before_more_text_and_long_secrets(documents):
                      [], [], [("iban", 0, 18)], [("secret", 6, 206)]]
     masked = personal_data.mask_documents(documents(list(enumerate(texts))))
     assert {r.doc_id: r.text for r in masked.collect()}[0] == "[IBAN] BIC COBADEFFXXX"
+
+
+def test_context_reaches_over_neighbours(documents):
+    far = "x" * personal_data.NEAR
+    texts = ["Phones: 415-555-2671, 415-555-2672", "SSN 078-05-1120, 078-05-1121", "078-05-1121, 078-05-1120 (ssn)",
+             "password Aaaaaaaaaaaaaaaaa1 Bbbbbbbbbbbbbbbbb2", f"ssn {far} 078-05-1120, 078-05-1121",
+             "ssn 078-05-1120, 078-05-1121, 078-05-1122, 078-05-1123, 078-05-1124"]
+    got = run(documents, texts)
+    held = [[texts[i][s.start:s.end] for s in got[i].spans if s.kind in ("local_phone", "national_id", "secret")]
+            for i in range(len(texts))]
+    assert held == [["415-555-2671", "415-555-2672"], ["078-05-1120", "078-05-1121"], ["078-05-1121", "078-05-1120"],
+                    ["Aaaaaaaaaaaaaaaaa1", "Bbbbbbbbbbbbbbbbb2"], [], ["078-05-1120", "078-05-1121", "078-05-1122"]]

@@ -132,6 +132,9 @@ def located(df: DataFrame, kinds: list[str] = KINDS) -> DataFrame:
     def chunk_starts(totals: str) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(totals) - 1), lambda c: total(F.slice(totals, 1, c)))
 
+    # The ends of every part are enough for the words near a match.
+    df = df.select("*", *[F.when(hit[k], F.transform(f"_p_{k}", lambda p: side(p, F.lit(NEAR)))).alias(f"{name}_{k}")
+                          for k in kinds for name, side in (("_t", F.right), ("_h", F.left))])
     df = df.select("*", *[chunk_totals(f"_n_{k}").alias(f"_c_{k}") for k in kinds])
     df = df.select("*", *[chunk_starts(f"_c_{k}").alias(f"_b_{k}") for k in kinds])
 
@@ -143,7 +146,10 @@ def located(df: DataFrame, kinds: list[str] = KINDS) -> DataFrame:
             start = F.get(bases, chunk) + total(F.slice(lengths, chunk * CHUNK + 1, j - chunk * CHUNK))
             match = F.get(parts, j)
             good = confirmed(kind, match)
-            worth = score(kind, match, F.right(F.get(parts, j - 1), F.lit(NEAR)), F.left(F.get(parts, j + 1), F.lit(NEAR)))
+            # Every second part is a match of two characters or more, so NEAR + 1 parts hold NEAR code points.
+            before = F.slice(f"_t_{kind}", F.greatest(j - NEAR - 1, F.lit(0)) + 1, F.least(j, F.lit(NEAR + 1)))
+            after = F.slice(f"_h_{kind}", j + 2, F.lit(NEAR + 1))
+            worth = score(kind, match, F.right(F.array_join(before, ""), F.lit(NEAR)), F.left(F.array_join(after, ""), F.lit(NEAR)))
             return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
                             (start + F.length(match)).alias("end"), F.when(good, worth).alias("score"))
 
