@@ -76,3 +76,19 @@ def test_generated_pages(spark, documents):
         pytest.skip("driver tables are absent")
     out = html_text.extracted(spark.read.parquet(path)).collect()
     assert out and all(r.text == plain(r.html) for r in out)
+
+
+@pytest.mark.parametrize("page", [
+    '<body><div id="top"><a>One</a> <a>Two</a></div><div id="wrap"><div class="text">@@</div></div><footer>(c) me</footer></body>',
+    "<body><div><a>One</a> <a>Two</a></div>@@<div><a>Three</a></div><footer>(c) me</footer></body>",
+])
+def test_short_lead_and_closing_lines_of_pages_without_article(page):
+    body = ["A short lead.", *[" ".join([P] * (4 + i % 2)) for i in range(6)], "Only a few words left.", "That is all, thanks."]
+    text = html_text.main_text(page.replace("@@", "".join(f"<p>{x}</p>" for x in body)))
+    assert text.split("\n") == body
+
+
+def test_trailing_list_of_a_div_page():
+    body = "".join(f"<p>{' '.join([P] * 5)}</p>" for _ in range(6))
+    page = f'<body><div><div class="text">{body}<ul><li>one</li><li>two</li><li>three</li></ul></div></div><footer>(c)</footer></body>'
+    assert html_text.main_text(page).split("\n")[6:] == ["one", "two", "three"]

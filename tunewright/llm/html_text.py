@@ -3,8 +3,9 @@
 One pass of the standard library's parser turns a page into lines, one per block element, each with the number of tags
 it took and the elements it stands in. Smoothed ratios above the page's spread mark the content lines. The region is the
 element that holds them: an article or main element where one holds most of their text, else the smallest element that
-holds nearly all of it, cut at the first and last content line. All its lines are kept in page order, but for those in
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+holds nearly all of it. All its lines are kept in page order, but for those in menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments. Where no element but the page itself holds them, lines before the first and after
+the last content line stay only in the container of that line, and headings in front.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ OUTSIDE = frozenset("nav footer aside form button select textarea label fieldset
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 CONTENT = frozenset(["article", "main"])
+PAGE = frozenset(["", "html", "body"])
 # A start tag on the left ends open elements on the right that stand above the nearest container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
@@ -202,12 +204,22 @@ def main_text(html: str) -> str:
     for number in range(1, len(elements)):
         below[number] = below[number] or below[elements[number][0]]
     chosen = [i for i, (_, _, at) in enumerate(lines) if below[at] and inside[i] and not in_header(at)]
-    if not semantic and content.any():
+    if not semantic and elements[region][1] in PAGE and content.any():
+        # The whole page was chosen: beyond the content lines only what stands in the container of the first or last.
         first, last = np.flatnonzero(content)[[0, -1]]
-        chosen = [i for i in chosen if first <= i <= last or elements[lines[i][2]][1] in HEADINGS and i < first]
+        holder = [_holder(elements, at) for _, _, at in lines]
+        chosen = [i for i in chosen if first <= i <= last or holder[i] == holder[first if i < first else last]
+                  or elements[lines[i][2]][1] in HEADINGS and i < first]
     return "\n".join(lines[i][0] for i in chosen)
 
 
+def _holder(elements: list[tuple[int, str, bool, bool]], at: int) -> int:
+    """The nearest container of an element, itself included."""
+    while at > 0 and elements[at][1] not in HOLDERS:
+        at = elements[at][0]
+    return at
+
+
 def _nearest(elements: list[tuple[int, str, bool, bool]], number: int, region: int) -> int:
     """The parent if ``number`` lies below ``region``, else no element."""
     at = elements[number][0]
