@@ -1,8 +1,9 @@
 """Line dedup: a long line found in many documents stays in one of them only.
 
-Lines become 128-bit hashes, range-partitioned by (hash, document) and sorted by position inside, so the lines of one
-document and hash stand together and a hash with a third of all lines spans many partitions. Streaming over that order
-gives one row per (hash, document), then per hash the number of documents and the one that keeps it. The result is a
+Lines become 128-bit hashes, range-partitioned by (hash, document), so the lines of one document and hash stand
+together and a hash with a third of all lines spans many partitions. Hash aggregates give one row per (hash, document),
+then per hash the number of documents and the one that keeps it; they need no order, so Spark drops the sort by
+position. The result is a
 keep bitmap per document, compressed to runs; texts never travel through the line exchange.
 """
 
