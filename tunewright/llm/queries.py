@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tunewright.llm import (
     html_text, line_dedup, metric_tree, ngram_quality, packing, personal_data, prefix_bpe, quality_rules, simhash, warc,
+    whitening,
 )
 from tunewright.llm.common import ship
 
@@ -143,3 +144,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
     return ngram_quality.quality_by_perplexity(docs, trusted)
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    # A deviation past 64 bits (from some 10^8 rows on) is null here; the operator has it in 38 digits.
+    return whitening.whitened_vectors(vectors).withColumn("deviation", F.col("deviation").try_cast("long"))
