@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunewright.llm import (
-    html_text, line_dedup, metric_tree, ngram_quality, packing, personal_data, prefix_bpe, quality_rules, simhash, warc,
+    html_text, line_dedup, merkle, metric_tree, ngram_quality, packing, personal_data, prefix_bpe, quality_rules, simhash, warc,
     whitening,
 )
 from tunewright.llm.common import ship
@@ -151,3 +151,74 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     # A deviation past 64 bits (from some 10^8 rows on) is null here; the operator has it in 38 digits.
     return whitening.whitened_vectors(vectors).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def merkle_check(levels: int = 6) -> str:
+    """SQL for the manifest, with both trees unrolled to ``levels`` (enough for 16 ** levels documents of a source).
+
+    A level is skipped for groups that are down to one node. crc32 is spelled out bit by bit.
+    """
+    def tree(name: str, group: str, last: int) -> str:
+        """Runs and nodes of each level over ``<name>0 (group, idx, hash)``, and the single nodes left."""
+        parts = []
+        for n in range(last):
+            parts.append(f"""{name}_runs{n} AS (
+  SELECT {group}, idx // 16 AS parent, list(hash ORDER BY idx) AS hashes, any_value(size) AS size FROM (
+    SELECT *, count(*) OVER (PARTITION BY {group}) AS size FROM {name}{n}) GROUP BY {group}, idx // 16
+), {name}{n + 1} AS (
+  SELECT {group}, parent AS idx, CASE WHEN size > 1 THEN sha256(array_to_string(hashes, '')) ELSE hashes[1] END AS hash
+  FROM {name}_runs{n}
+)""")
+        return ", ".join(parts)
+
+    def fold(name: str, group: str, source: str, out: str, idx: str, last: int) -> str:
+        """Each document's siblings and recomputed hash, level by level."""
+        parts, before = [], source
+        for n in range(last):
+            width = 16 ** n
+            slot = f"({idx} // {width}) % 16"
+            parts.append(f"""{out}{n} AS (
+  SELECT d.* REPLACE (
+    CASE WHEN r.size > 1 THEN sha256(array_to_string(r.hashes[1:{slot}], '') || d.node
+      || array_to_string(r.hashes[{slot} + 2:], '')) ELSE d.node END AS node,
+    CASE WHEN r.size > 1 THEN d.proof || array_to_string(r.hashes[1:{slot}], '')
+      || array_to_string(r.hashes[{slot} + 2:], '') ELSE d.proof END AS proof)
+  FROM {before} d JOIN {name}_runs{n} r ON r.{group} = d.{group} AND r.parent = {idx} // {16 * width}
+)""")
+            before = f"{out}{n}"
+        return ", ".join(parts)
+
+    def leaf(text: str) -> str:
+        fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH sums AS (
+  SELECT *, CASE WHEN doc_id IS NULL THEN NULL ELSE xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b)
+      ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END)) END AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, coalesce('+' || source, '') AS src, {leaf("text")} AS leaf,
+    CASE WHEN crc % 5 = 0 AND text IS NOT NULL THEN {leaf(lowered)} ELSE {leaf("text")} END AS node FROM sums
+), docs AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, '' AS proof, 0 AS one FROM leaves
+), d0 AS (SELECT src, idx, leaf AS hash FROM docs), {tree("d", "src", levels)},
+subroots AS (
+  SELECT src, hash AS subroot, 0 AS one, row_number() OVER (ORDER BY src) - 1 AS place FROM d{levels}
+), s0 AS (SELECT one, place AS idx, subroot AS hash FROM subroots), {tree("s", "one", levels)},
+{fold("d", "src", "docs", "u", "d.idx", levels)},
+joined AS (SELECT u.*, subroot, place FROM u{levels - 1} u JOIN subroots USING (src)),
+{fold("s", "one", "joined", "v", "d.place", levels)}
+SELECT doc_id, leaf, subroot, s{levels}.hash AS root, sha256(proof) AS proof_sha256, node AS folded_root,
+  node = s{levels}.hash AS verified
+FROM v{levels - 1}, s{levels}"""
+
+
+@query("op12_merkle_manifest", merkle_check())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    return merkle.tampered_manifest(docs)
