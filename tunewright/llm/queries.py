@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunewright.llm import (
-    html_text, line_dedup, merkle, metric_tree, ngram_quality, packing, personal_data, prefix_bpe, quality_rules, simhash, warc,
-    whitening,
+    html_text, line_dedup, merkle, metric_tree, mixture, ngram_quality, packing, personal_data, prefix_bpe, quality_rules,
+    simhash, warc, whitening,
 )
 from tunewright.llm.common import ship
 
@@ -222,3 +222,9 @@ FROM v{levels - 1}, s{levels}"""
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
     return merkle.tampered_manifest(docs)
+
+
+@query("op13_mixture_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixture.mixed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
