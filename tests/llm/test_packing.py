@@ -3,10 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tunewright.llm import packing
+from tunewright.llm import packing, tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,25 +23,62 @@ TEXTS = [None, "", " ", "Hello  World\n\n\tit's 2,024!", "é é ΣΑΣ İ  x
          "word " * 9_000, "日本語 text", "á ́b", "'S 'll don't", "emoji 👩‍👩‍👧 ok", "\r\n a\rb", "tab\tjoined\x0bwords\x0cpage"]
 
 
+def ids_of(words, texts):
+    """Each text's ids, as a list per text."""
+    flat, lengths = words.ids(pa.array(texts, pa.string()))
+    return [part.tolist() for part in np.split(flat, np.cumsum(lengths)[:-1])] if texts else []
+
+
 def test_ids_are_the_library_s(library):
-    words = packing.WordIds(PATH)
-    assert words.ids([]) == [] and words.ids(["a b", "", "a"])[2] == words.ids(["a"])[0]
+    words = tokens.WordIds(PATH)
+    assert ids_of(words, []) == [] and ids_of(words, ["a b", "", "a"])[2] == ids_of(words, ["a"])[0]
     for text in TEXTS[1:]:
-        got = np.frombuffer(words.ids([text])[0], dtype="<u4").tolist()
-        assert got == library.encode(text, add_special_tokens=False).ids, text[:40]
+        assert ids_of(words, [text])[0] == library.encode(text, add_special_tokens=False).ids, text[:40]
+    assert ids_of(words, TEXTS[1:]) == [library.encode(t, add_special_tokens=False).ids for t in TEXTS[1:]]
 
 
 def test_letters_that_fall_apart_and_special_words(library):
-    words = packing.WordIds(PATH)
-    for text in ["İstanbul İİ plain Words, W. ... ?! a.b, ÀÉ. ſ ﬁ Å", "<|ENDOFTEXT|> <|endoftext|>. x", "ΑΣ, ΑΣ Σ. ß ẞ", "한국어. 각 각", "ab;cd; 5. v5."]:
-        assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    words = tokens.WordIds(PATH)
+    for text in ["İstanbul İİ plain Words, W. ... ?! a.b, ÀÉ. ſ ﬁ Å", "<|ENDOFTEXT|> <|endoftext|>. x", "ΑΣ, ΑΣ Σ. ß ẞ", "한국어. 각 각", "ab;cd; 5. v5.",
+                 "H\u0331 h\u0331. T\u0308 I\u0307. e\u0301. E\u0301.", "dogs' don't. x'** it's!? Été*** (a) [b]. c\\ d` e^ \u00d7. 5,6, 7-", "a.\nb!\n\nc"]:
+        assert ids_of(words, [text])[0] == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_forgetting_words_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
-    words = packing.WordIds(PATH)
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    words = tokens.WordIds(PATH)
     for text in ["a b c d e", "e d x y", "a b x q r s", "a b c"] * 3:
-        assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert ids_of(words, [text])[0] == library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aBzÉéßΣ5. ,'!*-<|\n\t\u0301\u0331\u00d7漢ـHTi\u0307>endoftext", max_size=40))
+def test_any_text(text):
+    if "words" not in _kept:
+        _kept.update(words=tokens.WordIds(PATH), library=Tokenizer.from_file(PATH))
+    assert ids_of(_kept["words"], [text])[0] == _kept["library"].encode(text, add_special_tokens=False).ids
+
+
+_kept = {}
+
+
+def test_runs_of_texts(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CHARS", 20)
+    texts = ["one two", "", "three " * 30, "four.", "", "five six seven eight nine"]
+    got = []
+    for first, ids, lengths in tokens.documents(PATH, pa.array(texts), 7):
+        assert first == len(got)
+        got += [p.tolist() for p in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert got == [[*library.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_another_tokenizer_file(documents):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.laid_out_by_words(PATH) and not tokens.laid_out_by_words(path)
+    rows = list(enumerate(TEXTS))
+    got = packing.packed_documents(documents(rows), path).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == \
+        expected(Tokenizer.from_file(path), rows)
 
 
 def expected(library, rows, capacity=4096):

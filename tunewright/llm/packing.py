@@ -9,156 +9,50 @@ length, however common, meets in one task.
 
 from __future__ import annotations
 
-import os
-import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunewright.llm import tokens
 from tunewright.llm.common import beside, row_key, text_of
 from tunewright.session import settle
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a Python worker remembers at most, in each of two generations.
-REMEMBERED = 400_000
-#: What the vocabulary writes at the end of a piece.
-SUFFIX = "</w>"
-#: Punctuation that ends a word as a piece of its own.
-MARKS = frozenset([".", ",", ";", ":", "!", "?", ""])
-#: Characters of text whose words are looked up together.
-CHARS = 1_000_000
 #: Pieces per salt, and the least number of salts, of the numbering within one length.
 PER_SALT, LEAST_SALTS = 50_000, 64
 
 
-class WordIds:
-    """Ids of white-space separated words by a tokenizer whose pre-tokenizer drops white space.
-
-    Words are cut at spaces and line feeds only; any other white space is left to the library. Frequent words are
-    remembered in two generations, so memory is bounded whatever the vocabulary of the corpus.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[token for text, token in vocab.items() if text.endswith(SUFFIX)]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit words."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        wanted = set().union(*split)
-        missing = wanted.difference(self.young)
-        if missing:
-            if len(self.young) + len(missing) > REMEMBERED:
-                self.old, self.young = self.young, {}
-                missing = wanted
-            self._remember(missing)
-        known = self.young.__getitem__
-        return [b"".join(map(known, words)) for words in split]
-
-    def _remember(self, words: Iterable[str]) -> None:
-        """Put the ids of words into the young generation, asking the library for new cores only."""
-        young, old = self.young, self.old
-        ended, new = [], set()
-        for word in words:
-            known = old.get(word)
-            if known is not None:
-                young[word] = known
-                continue
-            # Letters before one mark of punctuation are a piece of their own, and plain letters ignore case.
-            core = word[:-1] if word[-1:] in MARKS and word[:-1].isalpha() else word
-            mark = word[len(core):]
-            if core.isascii() and core.isalpha():
-                core = core.lower()
-            if core == word:
-                new.add(word)
-                continue
-            ended.append((word, core, mark))
-            for part in (core, mark):
-                if part not in young:
-                    known = old.get(part)
-                    if known is None:
-                        new.add(part)
-                    else:
-                        young[part] = known
-        self._ask([w for w in new if w.isalpha()], together=True)
-        self._ask([w for w in new if not w.isalpha()], together=False)
-        for word, core, mark in ended:
-            young[word] = young[core] + young[mark]
-
-    def _ask(self, words: list[str], together: bool) -> None:
-        """Ids from the library, word by word or as one text whose words are told apart by the tokens that end a piece."""
-        for at in range(0, len(words), 10_000):
-            part = words[at:at + 10_000]
-            if together:
-                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-                ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-                if len(ends) == len(part):
-                    data = ids.tobytes()
-                    self.young.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))
-                    continue
-                # A letter that the normalizer takes apart made two pieces of a word.
-            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids = got.ids
-                self.young[word] = struct.pack(f"<{len(ids)}I", *ids)
-
-
-_tokenizers: dict[str, WordIds] = {}
-
-
-def tokenizer(path: str) -> WordIds:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
                  with_ids: bool = False) -> DataFrame:
     """(doc_id, row_key, piece, start, length, ids_crc32[, ids]): each document's ids and end id, cut at capacity."""
     df = beside(docs, doc_id=F.col("doc_id").cast("long"), text=text_of())
     df = df.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
     schema = "doc_id long, row_key binary, piece int, start long, length long, ids_crc32 long"
-    end = np.array([end_id], dtype="<u4").tobytes()
-
-    def documents(words: WordIds, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, bytes]]:
-        """The batch's documents with their ids, about CHARS of text at a time."""
-        waiting, size = [], 0
-        for doc_id, key, text in zip(*batch.columns, strict=True):
-            waiting.append((doc_id.as_py(), key.as_py(), text.as_py()))
-            size += len(waiting[-1][2])
-            if size >= CHARS:
-                yield from ((d, k, ids) for (d, k, _), ids in zip(waiting, words.ids([t for *_, t in waiting]), strict=True))
-                waiting, size = [], 0
-        yield from ((d, k, ids) for (d, k, _), ids in zip(waiting, words.ids([t for *_, t in waiting]), strict=True))
+    names = ["doc_id", "row_key", "piece", "start", "length", "ids_crc32", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokenizer(tokenizer_path)
         for batch in batches:
-            rows = []
-            for doc_id, key, text_ids in documents(words, batch):
-                ids = memoryview(text_ids + end)
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    row = (doc_id, key, piece, at // 4, len(part) // 4, zlib.crc32(part))
-                    rows.append(row + ((np.frombuffer(part, dtype="<u4").astype(np.int32),) if with_ids else ()))
-            types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            types += [pa.list_(pa.int32())] if with_ids else []
-            names = ["doc_id", "row_key", "piece", "start", "length", "ids_crc32", "ids"][:len(types)]
-            columns = list(zip(*rows, strict=True)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            for first, ids, lengths in tokens.documents(tokenizer_path, batch.column("text"), end_id):
+                pieces = -(-lengths // capacity)
+                whose = np.repeat(np.arange(len(lengths)), pieces)
+                piece = np.arange(len(whose)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, lengths[whose] - start)
+                ends = np.cumsum(length)
+                sums = np.fromiter((zlib.crc32(ids[a:b]) for a, b in zip((ends - length).tolist(), ends.tolist())),
+                                   dtype=np.int64, count=len(ends))
+                rows = pa.array(first + whose)
+                columns = [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(piece, pa.int32()),
+                           pa.array(start), pa.array(length), pa.array(sums)]
+                if with_ids:
+                    places = np.concatenate([[0], ends]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(places, pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=names[:len(columns)])
 
     return df.mapInArrow(cut, schema + (", ids array<int>" if with_ids else ""))
 
