@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunewright import session
 from tunewright.functions import fixed
-from tunewright.operators import similarity
+from tunewright.operators import postings as search_blocks
 from tunewright.sources import tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SCORE_CELLS = 4_000_000
+#: Tokens that are counted together.
+RUN_TOKENS = 1_000_000
 
 
 def tokenize(text: Column | str) -> Column:
@@ -34,25 +38,79 @@ def ngrams_1_2(tokens: Column | str) -> Column:
     return F.concat(t, F.zip_with(leading, following, lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def tokenized(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, tokens``, dealt anew only where the texts lie in fewer pieces than there are cores."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores, key)
+    return docs.select(F.col(key).alias("key"), tokenize(text).alias("tokens"))
+
+
+class Grams(NamedTuple):
+    """Counted words and word pairs of the documents ``start`` to ``stop`` of a batch, sorted by document."""
+
+    start: int
+    stop: int
+    owner: np.ndarray  # document of each entry, from 0
+    gram: np.ndarray  # number of its term in ``names``
+    tf: np.ndarray
+    names: pa.Array
+
+
+def counted_grams(tokens: pa.Array) -> Iterator[Grams]:
+    """Runs of documents of some RUN_TOKENS tokens; words are numbered, pairs are pairs of numbers, strings come last."""
+    lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    runs = (np.cumsum(lengths) - lengths) // RUN_TOKENS
+    firsts = np.flatnonzero(np.diff(runs, prepend=-1)).tolist()
+    for start, stop in zip(firsts, [*firsts[1:], len(lengths)]):
+        words = tokens.slice(start, stop - start).flatten().dictionary_encode()
+        code, n = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+        owner = np.repeat(np.arange(stop - start), lengths[start:stop])
+        inside = owner[1:] == owner[:-1]
+        pairs = n + code[:-1][inside] * n + code[1:][inside]
+        distinct, gram = np.unique(np.concatenate([code, pairs]), return_inverse=True)
+        entries, tf = np.unique(np.concatenate([owner, owner[1:][inside]]) * len(distinct) + gram, return_counts=True)
+        paired = distinct[np.searchsorted(distinct, n):] - n
+        single = words.dictionary.take(pa.array(distinct[:len(distinct) - len(paired)]))
+        double = pc.binary_join_element_wise(
+            words.dictionary.take(pa.array(paired // max(n, 1))), words.dictionary.take(pa.array(paired % max(n, 1))), " ")
+        names = pa.concat_arrays([single, double])
+        yield Grams(start, stop, entries // max(len(distinct), 1), entries % max(len(distinct), 1), tf, names)
+
+
 def term_rows(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
-    """``key, term, tf, opens``: a document's terms and their numbers, counted inside its row.
+    """``key, term, tf, opens``: a document's terms and their numbers, counted where the document is.
 
-    Documents are unique by key, so nothing is exchanged: the terms are sorted
-    and each run of equal ones is a count. ``opens`` marks one row per document;
-    a document without terms keeps that row, with a null term.
+    Documents are unique by key, so nothing is exchanged. ``opens`` marks one row
+    per document; a document without terms keeps that row, with a null term.
     """
-    terms = docs.select(F.col(key).alias("key"), F.sort_array(ngrams_1_2(tokenize(text))).alias("terms"))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("terms")),
-        lambda i: (i == 0) | (i == F.size("terms")) | (F.get("terms", i) != F.get("terms", i - 1)))
-    runs = terms.select("key", "terms", starts.alias("starts"))
-    counted = F.transform(
-        F.sequence(F.lit(0), F.size("starts") - 2),
-        lambda j: F.struct(F.get("terms", F.get("starts", j)).alias("term"),
-                           (F.get("starts", j + 1) - F.get("starts", j)).cast("bigint").alias("tf")))
-    entries = runs.select("key", F.when(F.size("starts") > 1, counted).alias("entries"))
-    return entries.select("key", F.posexplode_outer("entries").alias("at", "e")).select(
-        F.col("key").alias(key), "e.term", "e.tf", (F.coalesce("at", F.lit(0)) == 0).alias("opens"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in counted_grams(batch.column("tokens")):
+                bare = np.setdiff1d(np.arange(run.stop - run.start), run.owner)
+                opens = np.concatenate([np.diff(run.owner, prepend=-1) > 0, np.ones(len(bare), dtype=bool)])
+                owner = pa.array(run.start + np.concatenate([run.owner, bare]))
+                terms = pa.concat_arrays([run.names.take(pa.array(run.gram)), pa.nulls(len(bare), run.names.type)])
+                tf = pa.concat_arrays([pa.array(run.tf, pa.int64()), pa.nulls(len(bare), pa.int64())])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(owner), terms, tf, pa.array(opens)],
+                                                 names=[key, "term", "tf", "opens"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return tokenized(docs, key, text).mapInArrow(rows, f"`{key}` {kind}, term string, tf bigint, opens boolean")
+
+
+def term_stats(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
+    """``term, cf, df``: occurrences and documents per term, added up within a run of documents before they are exchanged."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in counted_grams(batch.column("tokens")):
+                n = len(run.names)
+                yield pa.RecordBatch.from_arrays(
+                    [run.names, pa.array(np.bincount(run.gram, run.tf, n).astype(np.int64)), pa.array(np.bincount(run.gram, minlength=n))],
+                    names=["term", "cf", "df"])
+
+    parts = tokenized(docs, key, text).mapInArrow(sums, "term string, cf bigint, df bigint")
+    return parts.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
 def term_counts(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
@@ -65,13 +123,17 @@ def document_count(docs: DataFrame) -> Column:
 
 
 def vocab_stats(counts: DataFrame, max_terms: int = fixed.MAX_TERMS) -> DataFrame:
-    """``term, cf, df`` of the most frequent terms; ties go to the smaller term.
+    """``term, cf, df`` of the most frequent terms; ties go to the smaller term."""
+    return most_frequent(counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")), max_terms)
+
+
+def most_frequent(stats: DataFrame, max_terms: int = fixed.MAX_TERMS) -> DataFrame:
+    """The ``max_terms`` rows of ``term, cf, df`` with the highest cf, then smallest term.
 
     The count that the last term must have is found among the distinct counts;
     only terms that reach it are sorted.
     """
-    stats = session.settle(
-        counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")), "term-stats")
+    stats = session.settle(stats, "term-stats")
     # One row per distinct count: far fewer than terms.
     sizes = stats.groupBy("cf").agg(F.count(F.lit(1)).alias("terms"))
     before = F.sum("terms").over(Window.orderBy(F.desc("cf")).rowsBetween(Window.unboundedPreceding, -1))
@@ -87,13 +149,8 @@ def with_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
 
 def vocabulary(docs: DataFrame, key: str = "song_id", max_terms: int = fixed.MAX_TERMS) -> DataFrame:
     """``term, cf, df, idf, term_id``: at most ``max_terms`` rows, numbered by term."""
-    return vocabulary_of(session.settle(term_rows(docs, key), "term-rows"), max_terms)
-
-
-def vocabulary_of(rows: DataFrame, max_terms: int = fixed.MAX_TERMS) -> DataFrame:
-    """The vocabulary of written ``term_rows``."""
-    n_docs = rows.agg(F.count_if("opens").alias("n")).scalar()
-    chosen = with_idf(vocab_stats(rows.where(F.col("term").isNotNull()), max_terms), n_docs)
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    chosen = with_idf(most_frequent(term_stats(docs, key), max_terms), n_docs)
     # Bounded by max_terms, so a window without a key is safe here.
     number = F.row_number().over(Window.orderBy("term")) - 1
     return chosen.withColumn("term_id", number)
@@ -118,8 +175,39 @@ def tfidf_weights(counts: DataFrame, vocab: DataFrame, key: str = "song_id") ->
 
 
 def weighted_documents(docs: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:
-    """One row per document with parallel ``terms`` and ``weights`` arrays."""
-    return weighted_rows(term_rows(docs, key), vocab, key)
+    """One row per document with parallel ``terms`` and ``weights`` arrays; none for one without any known term.
+
+    The texts are read where they lie and nothing is exchanged, as long as the
+    vocabulary is small enough to be sent to every worker.
+    """
+    if vocab.count() > BROADCAST_TERMS:
+        return weighted_rows(term_rows(docs, key), vocab, key)
+    known = vocab.select("term", "term_id", "idf").toArrow().combine_chunks()
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = sent.value.column("term").combine_chunks()
+        ids, idf = sent.value.column("term_id").to_numpy(), sent.value.column("idf").to_numpy()
+        for batch in batches:
+            for run in counted_grams(batch.column("tokens")):
+                place = pc.index_in(run.names, value_set=terms).fill_null(-1).to_numpy()[run.gram]
+                found = place >= 0
+                owner, place = run.owner[found], place[found]
+                raw = (1.0 + np.log(run.tf[found])) * idf[place]
+                term = ids[place]
+                order = np.lexsort((term, owner))
+                owner, term, raw = owner[order], term[order], raw[order]
+                squares = np.bincount(owner, raw * raw, run.stop - run.start)
+                weights = raw / np.sqrt(squares)[owner]
+                at = np.flatnonzero(np.diff(owner, prepend=-1))
+                offsets = pa.array(np.append(at, len(owner)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(pa.array(run.start + owner[at])),
+                     pa.ListArray.from_arrays(offsets, pa.array(term, pa.int32())),
+                     pa.ListArray.from_arrays(offsets, pa.array(weights))], names=[key, "terms", "weights"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return tokenized(docs, key, "text").mapInArrow(weigh, f"`{key}` {kind}, terms array<int>, weights array<double>")
 
 
 def weighted_rows(rows: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:
@@ -149,15 +237,16 @@ def postings(documents: DataFrame, vocab: DataFrame, key: str = "song_id") -> Da
 
 def build_text_index(docs: DataFrame, path: str | None = None, key: str = "song_id",
                      max_terms: int = fixed.MAX_TERMS) -> dict[str, DataFrame]:
-    """Vocabulary, weighted documents and postings, each written before the next one reads it.
+    """Vocabulary, weighted documents, search blocks and postings, each written before the next one reads it.
 
-    The texts are read once: their counted terms are written, and all else comes from these.
+    The texts are read twice, once for the vocabulary and once for the weights;
+    what lies between is smaller than they are.
     """
     spark = docs.sparkSession
     path = path or session.shared_path(spark, "text-index")
-    rows = session.settle(term_rows(docs, key), "term-rows")
-    vocab = tables.write_through(vocabulary_of(rows, max_terms), f"{path}/vocabulary")
-    documents = tables.write_through(weighted_rows(rows, vocab, key), f"{path}/documents")
+    vocab = tables.write_through(vocabulary(docs, key, max_terms), f"{path}/vocabulary")
+    documents = tables.write_through(weighted_documents(docs, vocab, key), f"{path}/documents")
+    tables.write_through(search_blocks.build_blocks(documents, key), f"{path}/blocks")
     tables.write_postings(postings(documents, vocab, key), f"{path}/postings", key)
     return tables.read_text_index(spark, path)
 
@@ -196,48 +285,42 @@ def score_docs(contributions: DataFrame, key: str = "song_id") -> DataFrame:
     return contributions.groupBy(key).agg(F.sum("contribution").alias("score"))
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    values = column.combine_chunks()
-    lengths = values.value_lengths().to_numpy(zero_copy_only=False)
-    return lengths, values.flatten().to_numpy(zero_copy_only=False)
-
-
-def sparse_scores(queries: pa.Table, items: pa.Table):
-    """Dot products of sparse rows: each query touches only the postings of its own terms."""
-    lengths, terms = _flat(items.column("terms"))
-    _, weights = _flat(items.column("weights"))
-    by_term = np.argsort(terms, kind="stable")
-    owner = np.repeat(np.arange(len(lengths)), lengths)[by_term]
-    terms, weights = terms[by_term], weights[by_term]
-    asked_lengths, asked_terms = _flat(queries.column("terms"))
-    _, asked_weights = _flat(queries.column("weights"))
-    low = np.searchsorted(terms, asked_terms, "left")
-    high = np.searchsorted(terms, asked_terms, "right")
-    ends = np.cumsum(asked_lengths)
-    step = max(1, SCORE_CELLS // len(lengths))
-    for at in range(0, len(ends), step):
-        run = range(at, min(at + step, len(ends)))
-        scores = np.zeros((len(run), len(lengths)))
-        for row, q in enumerate(run):
-            for j in range(ends[q] - asked_lengths[q], ends[q]):
-                span = slice(low[j], high[j])
-                scores[row, owner[span]] += weights[span] * asked_weights[j]
-        yield scores
+def text_search(queries: DataFrame, vocab: DataFrame, documents: DataFrame, orders: DataFrame,
+                hits: int = fixed.SEARCH_HITS, pad: bool = True, item_rows: int | None = None) -> DataFrame:
+    """``indexed_search`` over weighted documents whose blocks are built here, ``item_rows`` documents to a shard."""
+    documents = session.settle(documents, "weighted-documents")
+    blocks = session.settle(search_blocks.build_blocks(documents, shard_docs=item_rows), "blocks")
+    return indexed_search(queries, {"vocabulary": vocab, "blocks": blocks}, orders, hits, pad)
 
 
-def text_search(queries: DataFrame, vocab: DataFrame, documents: DataFrame, orders: DataFrame,
-                hits: int = fixed.SEARCH_HITS, pad: bool = True, **blocks) -> DataFrame:
+def indexed_search(queries: DataFrame, index: dict[str, DataFrame], orders: DataFrame, hits: int = fixed.SEARCH_HITS,
+                   pad: bool = True) -> DataFrame:
     """``query_id, song_id, score, pos``: the best documents per query, ties by ``song_ord``.
 
-    ``orders`` gives ``song_id, song_ord``. With ``pad`` a query always gets
-    ``min(hits, documents)`` rows, those without a common term scoring 0.0.
+    ``orders`` gives ``song_id, song_ord`` of the documents offered. With ``pad``
+    a query always gets ``min(hits, documents)`` rows, those without a common
+    term scoring 0.0.
     """
-    asked = query_vectors(queries, vocab)
-    offered = orders.select("song_id", "song_ord").join(documents, "song_id", "left").select(
-        F.col("song_id").alias("item_id"), F.col("song_ord").alias("item_ord"),
-        F.coalesce("terms", F.array().cast("array<int>")).alias("terms"),
-        F.coalesce("weights", F.array().cast("array<double>")).alias("weights"))
-    blocks.setdefault("item_rows", 8_192)
-    found = similarity.paired_topk(asked, offered, sparse_scores, hits, **blocks)
-    found = found.select("query_id", F.col("item_id").alias("song_id"), "score", F.col("rank").alias("pos"))
-    return found if pad else found.where(F.col("score") > 0)
+    asked = session.settle(query_vectors(queries, index["vocabulary"]), "query-vectors")
+    found, _ = search_blocks.search(asked, index["blocks"], orders, hits)
+    found = found.select("query_id", "song_id", "score", "pos")
+    if not pad:
+        return found
+    found = session.settle(found, "found")
+    # What is missing comes from the first documents by order: as many as there are hits hold enough without a score.
+    first = orders.select(F.struct(F.col("song_ord"), F.col("song_id")).alias("s")).orderBy("s.song_ord").limit(hits)
+    filler = first.agg(F.sort_array(F.collect_list("s")).alias("first"))
+    have = found.groupBy("query_id").agg(F.max("pos").alias("have"))
+    short = asked.select("query_id").join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < hits)
+    offered = short.select("query_id", F.coalesce("have", F.lit(0)).alias("have"), F.explode(filler.scalar()).alias("s")).select(
+        "query_id", "have", "s.song_id", "s.song_ord")
+    free = offered.join(found.select("query_id", "song_id"), ["query_id", "song_id"], "left_anti")
+    place = F.col("have") + F.row_number().over(Window.partitionBy("query_id").orderBy("song_ord"))
+    padded = free.withColumn("pos", place).where(F.col("pos") <= hits)
+    return found.unionByName(padded.select("query_id", "song_id", F.lit(0.0).alias("score"), "pos"))
+
+
+def search_cost(queries: DataFrame, index: dict[str, DataFrame], orders: DataFrame, hits: int = fixed.SEARCH_HITS) -> DataFrame:
+    """Per query with a known term: shards that hold one, shards met, blocks in those, and blocks read."""
+    asked = session.settle(query_vectors(queries, index["vocabulary"]), "query-vectors")
+    return search_blocks.search(asked, index["blocks"], orders, hits)[1]

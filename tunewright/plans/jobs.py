@@ -80,7 +80,7 @@ def recommend(songs: DataFrame, users: DataFrame, as_of: Column, interactions: D
     if index is not None and not index["documents"].isEmpty():
         asking = wanted.where(F.col("intent") != "")
         distinct = asking.select(F.col("intent").alias("query_id"), F.col("intent").alias("text")).distinct()
-        hits = text.text_search(distinct, index["vocabulary"], index["documents"], songs)
+        hits = text.indexed_search(distinct, index, songs)
         searched = session.settle(asking.join(hits, F.col("intent") == F.col("query_id")).select(
             "user_id", "song_id", F.col("pos").alias("cand_pos")), "searched")
         quiet = users.join(searched.select("user_id").distinct(), "user_id", "left_anti")

@@ -44,7 +44,7 @@ def term_counts(spark, sf):
 
 @query("vocab_stats", check("SELECT term, cf, df FROM doc_vocab", "doc_vocab"))
 def vocab_stats(spark, sf):
-    return text.vocab_stats(text.term_counts(b.documents(spark, sf)))
+    return text.most_frequent(text.term_stats(b.documents(spark, sf)))
 
 
 @query("idf", check("SELECT term, idf FROM doc_vocab", "doc_vocab"), doubles=("idf",))
@@ -121,6 +121,14 @@ def text_search_topk(spark, sf):
     return _search(spark, sf, hits=25, pad=False, item_rows=256)
 
 
+@query("text_search_cost")
+def text_search_cost(spark, sf):
+    """What a search over the written index meets and reads, per query."""
+    docs = b.documents(spark, sf)
+    index = text.build_text_index(docs)
+    return text.search_cost(b.intents(spark, sf), index, docs)
+
+
 # ---- history
 
 @query("history_join_genre", check("""

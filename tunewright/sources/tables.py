@@ -47,7 +47,7 @@ def write_postings(postings: DataFrame, path: str, key: str = "song_id") -> None
 
 
 def read_text_index(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
-    parts = {n: read_if_present(spark, f"{path}/{n}") for n in ("vocabulary", "documents", "postings")}
+    parts = {n: read_if_present(spark, f"{path}/{n}") for n in ("vocabulary", "documents", "blocks", "postings")}
     return None if any(p is None for p in parts.values()) else parts
 
 
