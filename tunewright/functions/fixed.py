@@ -78,6 +78,7 @@ SUMMARY_GENRES = 3
 
 # Ranker training.
 TREES = 200
+LEAVES = 31
 LEARNING_RATE = 0.05
 PATIENCE = 20
 SEED = 42

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunewright.functions import fixed, scalars, vectors
-from tunewright.operators import embeddings
+from tunewright.operators import boosting, embeddings
 from tunewright.sources.catalog import catalog_latest
 
 
@@ -70,8 +70,10 @@ def feature_matrix(features: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=fixed.FEATURES, outputCol="features").transform(features)
 
 
-def score_model(features: DataFrame, model: PipelineModel) -> DataFrame:
-    """Probability of a like."""
+def score_model(features: DataFrame, model: boosting.Ranker | PipelineModel) -> DataFrame:
+    """Probability of a like, by the ranker or by a fitted Spark pipeline."""
+    if isinstance(model, boosting.Ranker):
+        return features.withColumn("score", model.probability())
     out = model.transform(features)
     return out.select(*features.columns, vector_to_array("probability")[1].alias("score"))
 
@@ -82,7 +84,7 @@ def rank_topn(scored: DataFrame, top_n: int = fixed.RANKED_ROWS) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
 
 
-def rank(features: DataFrame, model: PipelineModel | None = None,
+def rank(features: DataFrame, model: boosting.Ranker | PipelineModel | None = None,
          top_n: int = fixed.RANKED_ROWS) -> DataFrame:
     """Score by the model when there is one, else by fixed weights, and keep the best."""
     if model is None:

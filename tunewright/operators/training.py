@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunewright import session
 from tunewright.functions import fixed, ordering, scalars, vectors
-from tunewright.operators import embeddings
-
-
-# This library's choice: Spark grows trees to a depth, not to a number of leaves.
-TREE_DEPTH = 5
+from tunewright.operators import boosting, embeddings
 
 
 def known_songs_only(interactions: DataFrame, song_vectors: DataFrame, songs: DataFrame) -> DataFrame:
@@ -118,63 +111,24 @@ def class_weights(rows: DataFrame) -> DataFrame:
     return counts.select("label", (total / (F.lit(2.0) * F.col("n"))).alias("weight"))
 
 
-def rounds_kept(losses: list[float], patience: int = fixed.PATIENCE) -> tuple[int, bool]:
-    """(best round, whether boosting ends) for the held-out loss after each round.
-
-    Boosting ends once ``patience`` rounds in a row brought no new minimum; the
-    round of the last minimum is kept. Shorter plateaus do not end it.
-    """
-    best = 0
-    for at, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = at
-        elif at - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
 def train_ranker(train: DataFrame, trees: int = fixed.TREES, validation_share: float = fixed.TEST_SHARE,
-                 seed: int = fixed.SEED, patience: int = fixed.PATIENCE) -> PipelineModel:
-    """Gradient-boosted trees on balanced classes.
+                 seed: int = fixed.SEED, patience: int = fixed.PATIENCE, leaves: int = fixed.LEAVES) -> boosting.Ranker:
+    """Gradient-boosted trees on balanced classes, grown leaf by leaf.
 
     Early stopping watches users held out of the training rows, so the test
-    users stay unseen. The loss is read off after every round of a run; the
-    first rounds of a longer run are those of a shorter one, so runs triple in
-    length until the patience is used up, and the best number of trees is
-    fitted at the end.
+    users stay unseen. One run: it ends once ``patience`` trees brought no new
+    least loss, and keeps the trees up to that least loss.
     """
     split = group_split(train, validation_share, seed + 1)
     # One row per class: the broadcast is bounded.
     weighted = split.join(F.broadcast(class_weights(train)), "label").select(
         *fixed.FEATURES, F.col("label").cast("double").alias("label"), "weight",
         F.col("is_test").alias("held_out"))
-    # Boosting reads its input many times.
-    weighted = session.settle(weighted, "boosting-rows")
-    columns = VectorAssembler(inputCols=fixed.FEATURES, outputCol="features")
-    held_out = columns.transform(weighted.where("held_out"))
-
-    def fitted(rounds: int) -> PipelineModel:
-        booster = GBTClassifier(
-            featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds,
-            stepSize=fixed.LEARNING_RATE, maxDepth=TREE_DEPTH, seed=seed, checkpointInterval=10)
-        return Pipeline(stages=[columns, booster]).fit(weighted.where("NOT held_out"))
-
-    if held_out.limit(1).count() == 0:
-        return fitted(trees)
-    rounds = min(trees, 2 * patience)
-    while True:
-        model = fitted(rounds)
-        best, ended = rounds_kept(model.stages[-1].evaluateEachIteration(held_out), patience)
-        if ended or rounds == trees:
-            return model if best == rounds else fitted(best)
-        rounds = min(trees, 3 * rounds)
-
-
-def feature_importance(model: PipelineModel) -> DataFrame:
-    """``feature, importance``, most important first."""
-    from pyspark.sql import SparkSession
+    return boosting.fit(weighted, fixed.FEATURES, trees, leaves, fixed.LEARNING_RATE, patience)
 
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(name, float(v)) for name, v in zip(fixed.FEATURES, values)]
+
+def feature_importance(model: boosting.Ranker) -> DataFrame:
+    """``feature, importance``, most important first."""
+    rows = list(zip(model.features, model.importance(), strict=True))
     table = SparkSession.active().createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature")

@@ -11,6 +11,7 @@ from tunewright.functions import fixed, scalars
 from tunewright.operators import (
     candidates, coldstart, embeddings, evaluation, explain, history, profiles, ranking, text, training,
 )
+from tunewright.operators.boosting import Ranker
 from tunewright.sources import catalog, interactions as log, tables
 
 
@@ -43,7 +44,7 @@ def build_text_index(songs: DataFrame, path: str | None = None,
 
 def rank_users(songs: DataFrame, users: DataFrame, as_of: Column, interactions: DataFrame,
                song_vectors: DataFrame, user_vectors: DataFrame | None = None,
-               model: PipelineModel | None = None, top_n: int = fixed.RANKED_ROWS,
+               model: Ranker | PipelineModel | None = None, top_n: int = fixed.RANKED_ROWS,
                **artist_inputs) -> DataFrame:
     """Candidate pool, features and ranked list for every user."""
     if user_vectors is None:
@@ -55,7 +56,7 @@ def rank_users(songs: DataFrame, users: DataFrame, as_of: Column, interactions:
 
 def recommend(songs: DataFrame, users: DataFrame, as_of: Column, interactions: DataFrame,
               song_vectors: DataFrame, intents: DataFrame, index: dict[str, DataFrame] | None,
-              model: PipelineModel | None = None, responses: DataFrame | None = None,
+              model: Ranker | PipelineModel | None = None, responses: DataFrame | None = None,
               k: int = fixed.FINAL_ROWS, artist_vectors: DataFrame | None = None,
               user_artist_vectors: DataFrame | None = None, blend_below: int = fixed.BLEND_BELOW) -> DataFrame:
     """Final lists for all users: ``user_id, rank, song_id, title, artist, score, explanation``.

@@ -112,7 +112,7 @@ def _fitted(spark, sf):
        wholes=("label",))
 def train_ranker(spark, sf):
     rows, model = _fitted(spark, sf)
-    fits = 1 <= model.stages[-1].getNumTrees <= fixed.TREES
+    fits = 1 <= len(model.trees) <= fixed.TREES and all(t.leaves() <= fixed.LEAVES for t in model.trees)
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("trees_fit", F.lit(fits))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from tunewright.functions import fixed
+from tunewright.operators import boosting
+from tunewright.operators.boosting import Ranker
 
 
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
@@ -51,19 +52,18 @@ def read_text_index(spark: SparkSession, path: str) -> dict[str, DataFrame] | No
     return None if any(p is None for p in parts.values()) else parts
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Fitted ranker plus the feature order it expects."""
-    spark = SparkSession.active()
-    model.write().overwrite().save(f"{path}/model")
-    meta = json.dumps({"feature_columns": fixed.FEATURES, "n_components": fixed.MAX_COMPONENTS})
-    spark.createDataFrame([(meta,)], "value string").write.mode("overwrite").text(f"{path}/meta")
+def save_model(model: Ranker, path: str) -> None:
+    """Fitted ranker, one row per node, plus the feature order it expects."""
+    boosting.to_table(model).write.mode("overwrite").parquet(f"{path}/model")
+    meta = json.dumps({"feature_columns": model.features, "n_components": fixed.MAX_COMPONENTS})
+    SparkSession.active().createDataFrame([(meta,)], "value string").write.mode("overwrite").text(f"{path}/meta")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict] | None:
+def load_model(spark: SparkSession, path: str) -> tuple[Ranker, dict] | None:
     try:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    return PipelineModel.load(f"{path}/model"), meta
+    return boosting.from_table(spark.read.schema(boosting.NODES).parquet(f"{path}/model"), meta["feature_columns"]), meta
