@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunewright.functions import fixed, scalars, vectors
-from tunewright.operators import boosting, embeddings
+from tunewright.operators import boosting, embeddings, pair_dots
 from tunewright.sources.catalog import catalog_latest
 
 
@@ -31,36 +31,40 @@ def rank_features(candidates: DataFrame, songs: DataFrame, as_of: Column,
     """The six ranking features per (user, candidate).
 
     Absent inputs leave their feature at 0.0; a song without a vector keeps its
-    row. Candidates meet songs and vectors once by ``song_id``; user vectors and
-    the summed directions of liked songs arrive as one row per user.
+    row. Candidates meet the catalog by ``song_id`` and their vectors in blocks:
+    no vector lies beside a candidate.
     """
-    zero = F.lit(0.0)
     catalog = songs.select("song_id", "song_ord", F.col("artist_id").cast("string").alias("artist_id"),
                            "released", "popularity_norm")
-    rows = candidates_join_catalog(candidates, catalog).withColumn(
-        "freshness", scalars.freshness("released", as_of)).withColumnRenamed("popularity_norm", "popularity")
-    content = collaborative = artist = zero
+    rows = candidates_join_catalog(candidates, catalog).select(
+        *candidates.columns, "artist_id", scalars.freshness("released", as_of).alias("freshness"),
+        F.col("popularity_norm").alias("popularity"))
+    by_user, by_song, wanted = {}, {}, {}
     if song_vectors is not None:
-        rows = rows.join(song_vectors.select(
-            "song_id", vectors.unit("embedding").alias("direction")), "song_id", "left")
+        by_song["song"] = song_vectors.select("song_id", vectors.unit("embedding").alias("vector"))
         if user_vectors is not None:
-            rows = rows.join(user_vectors.select(
-                "user_id", vectors.unit("embedding").alias("_user")), "user_id", "left")
-            content = F.round(F.coalesce(vectors.dot("_user", "direction"), zero), vectors.SCORE_DIGITS)
+            by_user["user"] = user_vectors.select("user_id", vectors.unit("embedding").alias("vector"))
+            wanted["_content"] = ("user", "song")
         if interactions is not None:
-            rows = rows.join(embeddings.liked_direction(interactions, song_vectors), "user_id", "left")
-            collaborative = embeddings.mean_cosine()
+            # The mean cosine to the liked songs is one dot product with the mean of their directions.
+            by_user["liked"] = embeddings.liked_direction(interactions, song_vectors).select(
+                "user_id", vectors.divide("liked_sum", F.col("n_directions")).alias("vector"))
+            wanted["_collaborative"] = ("liked", "song")
     if artist_vectors is not None and user_artist_vectors is not None:
-        rows = rows.join(artist_vectors.select(
-            F.col("artist_id").cast("string").alias("artist_id"),
-            vectors.unit("embedding").alias("_artist")), "artist_id", "left")
-        rows = rows.join(user_artist_vectors.select(
-            "user_id", vectors.unit("artist_vector").alias("_taste")), "user_id", "left")
-        artist = F.round(F.coalesce(vectors.dot("_taste", "_artist"), zero), vectors.SCORE_DIGITS)
+        named = artist_vectors.select(F.col("artist_id").cast("string").alias("artist_id"), vectors.unit("embedding").alias("vector"))
+        by_song["artist"] = catalog_latest(catalog).join(named, "artist_id").select("song_id", "vector")
+        by_user["taste"] = user_artist_vectors.select("user_id", vectors.unit("artist_vector").alias("vector"))
+        wanted["_artist"] = ("taste", "artist")
+    if wanted:
+        rows = pair_dots.pair_dots(rows, by_user, by_song, wanted)
+
+    def similarity(name: str) -> Column:
+        return F.round(F.coalesce(name, F.lit(0.0)), vectors.SCORE_DIGITS) if name in wanted else F.lit(0.0)
+
     scored = rows.select(
         "user_id", "song_id", "cand_pos", "artist_id",
-        content.alias("content_similarity"), artist.alias("artist_similarity"),
-        "freshness", "popularity", collaborative.alias("collaborative_score"),
+        similarity("_content").alias("content_similarity"), similarity("_artist").alias("artist_similarity"),
+        "freshness", "popularity", similarity("_collaborative").alias("collaborative_score"),
     )
     return diversity_penalty(scored).select("user_id", "song_id", "cand_pos", *fixed.FEATURES)
 
