@@ -107,3 +107,41 @@ def test_context_reaches_over_neighbours(documents):
             for i in range(len(texts))]
     assert held == [["415-555-2671", "415-555-2672"], ["078-05-1120", "078-05-1121"], ["078-05-1121", "078-05-1120"],
                     ["Aaaaaaaaaaaaaaaaa1", "Bbbbbbbbbbbbbbbbb2"], [], ["078-05-1120", "078-05-1121", "078-05-1122"]]
+
+
+def test_masking_many_spans(documents, monkeypatch):
+    import time
+
+    texts = [" ".join(f"é user{i}@mail{i}.org," for i in range(n)) + " end" for n in (1, 255, 256, 257, 512, 1_000)]
+    masked = personal_data.mask_documents(documents(list(enumerate(texts)))).collect()
+    for r in masked:
+        n = texts[r.doc_id].count("@")
+        assert r.text == " ".join(["é [EMAIL],"] * n) + " end" and r.n_chars == len(r.text)
+    long = documents([(0, " ".join(f"user{i}@mail.org" for i in range(50_000)))])
+    began = time.time()
+    assert personal_data.mask_documents(long).first().text == " ".join(["[EMAIL]"] * 50_000)
+    # The square of the spans took over three minutes.
+    assert time.time() - began < 90
+
+
+def test_overlapping_spans_become_one(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        spans = sorted((s, rng.randrange(3), s + rng.randrange(1, 9)) for s in (rng.randrange(200) for _ in range(rng.randrange(40))))
+        rows.append((i, "x" * 220, [(s, k, e, 1.0) for s, k, e in spans]))
+    table = spark.createDataFrame(rows, "_row int, text string, spans array<struct<start:int,kind:int,end:int,score:double>>")
+    for chunk in (256, 4, 1):
+        monkeypatch.setattr(personal_data, "CHUNK", chunk)
+        for r in personal_data.merged(table.repartition(2)).select("_row", F.col("_cut")).collect():
+            want = []
+            for s, k, e, _ in rows[r["_row"]][2]:
+                if want and s < want[-1][1]:
+                    want[-1][1] = max(want[-1][1], e)
+                else:
+                    want.append([s, e, k])
+            assert [list(c) for c in r["_cut"]] == want

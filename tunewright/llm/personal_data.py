@@ -169,32 +169,53 @@ def joined(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def merged(spans: Column) -> Column:
-    """Overlapping spans become one (start, end, kind), named by the first."""
-    kind = "struct<start:int,end:int,kind:int>"
-    return F.aggregate(
-        spans, F.array().cast(f"array<{kind}>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.get(acc, F.size(acc) - 1)["end"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(
-                F.get(acc, F.size(acc) - 1)["start"].alias("start"),
-                F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"),
-                F.get(acc, F.size(acc) - 1)["kind"].alias("kind")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))))
+def merged(df: DataFrame) -> DataFrame:
+    """``_row``, text and ``_cut``: overlapping spans as one (start, end, kind), named by the first.
+
+    A span opens a new one if it starts at or after the end of all spans before it; that end comes from the largest ends
+    of whole chunks and of the rest of its own chunk, so the work does not grow with the square of the spans.
+    """
+    none = F.size("spans") == 0
+    largest = lambda ends: F.coalesce(F.array_max(ends), F.lit(0))
+    df = df.select("_row", "text", "spans", F.transform("spans", lambda s: s["end"]).alias("_ends"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size("_ends") - 1) / CHUNK).cast("int"))
+    df = df.select("*", F.when(~none, F.transform(chunks, lambda c: largest(F.slice("_ends", c * CHUNK + 1, CHUNK)))).alias("_c"))
+    df = df.select("*", F.when(~none, F.transform(
+        F.sequence(F.lit(0), F.size("_c")), lambda c: largest(F.slice("_c", F.lit(1), c)))).alias("_b"))
+
+    def reach(j: Column) -> Column:
+        chunk = F.floor(j / CHUNK).cast("int")
+        return F.greatest(F.get("_b", chunk), largest(F.slice("_ends", chunk * CHUNK + 1, j - chunk * CHUNK)))
+
+    places = F.sequence(F.lit(0), F.size("spans") - 1)
+    df = df.select("*", F.when(~none, F.filter(places, lambda j: F.get("spans", j)["start"] >= reach(j))).alias("_first"))
+    cut = F.transform("_first", lambda j, i: F.struct(
+        F.get("spans", j)["start"].alias("start"),
+        reach(F.coalesce(F.get("_first", i + 1), F.size("spans"))).alias("end"), F.get("spans", j)["kind"].alias("kind")))
+    empty = F.array().cast("array<struct<start:int,end:int,kind:int>>")
+    return df.select("_row", "text", F.coalesce(cut, empty).alias("_cut"))
 
 
 def mask(df: DataFrame) -> DataFrame:
-    """``_row`` and ``masked`` from ``_row``, text and spans."""
+    """``_row`` and ``masked`` from ``_row``, text and spans.
+
+    The text is taken apart chunk of cuts by chunk, and each chunk's part cut by cut.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    df = df.select("_row", "text", merged(F.col("spans")).alias("_cut"))
+    df = merged(df)
+    none = F.size("_cut") == 0
     before = lambda j: F.when(j == 0, 0).otherwise(F.get("_cut", j - 1)["end"])
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size("_cut") - 1),
-        lambda j: F.concat(F.substring("text", before(j) + 1, F.get("_cut", j)["start"] - before(j)),
-                           F.get(names, F.get("_cut", j)["kind"])))
+    after = lambda c: F.least((c + 1) * CHUNK, F.size("_cut")) - 1
+    chunks = F.sequence(F.lit(0), F.floor((F.size("_cut") - 1) / CHUNK).cast("int"))
+    parts = F.transform(chunks, lambda c: F.substring(
+        "text", before(c * CHUNK) + 1, F.get("_cut", after(c))["end"] - before(c * CHUNK)))
+    df = df.select("_row", "text", "_cut", F.when(~none, parts).alias("_parts"))
+    pieces = F.transform("_parts", lambda part, c: F.array_join(F.transform(
+        F.sequence(c * CHUNK, after(c)),
+        lambda j: F.concat(F.substring(part, before(j) - before(c * CHUNK) + 1, F.get("_cut", j)["start"] - before(j)),
+                           F.get(names, F.get("_cut", j)["kind"]))), ""))
     tail = F.substring(F.col("text"), F.get("_cut", F.size("_cut") - 1)["end"] + 1, F.length("text"))
-    return df.select("_row", F.when(F.size("_cut") == 0, F.col("text")).otherwise(
+    return df.select("_row", F.when(none, F.col("text")).otherwise(
         F.concat(F.array_join(pieces, ""), tail)).alias("masked"))
 
 
