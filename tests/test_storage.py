@@ -104,27 +104,49 @@ def test_streams_equal_batch(spark, tmp_path):
 
     feedback.stream_interactions(stream(), str(tmp_path / "out"), str(tmp_path / "c0")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+
+
+def test_running_results_live_in_the_state_store(spark, tmp_path):
+    """Three runs of the same streams, the last without new rows: every one continues from the state of the run before."""
     from tunewright.operators import history
-    for every, state in ((100, "n"), (2, "n2")):  # the second is compacted after its second batch
-        path = str(tmp_path / state)
-        feedback.stream_history_counts(stream(), path, str(tmp_path / f"c1{state}"), every).awaitTermination()
-        for _ in range(2):
-            assert sorted(map(tuple, feedback.latest_counts(spark, path).collect())) == sorted(
-                map(tuple, history.history_counts(log).collect()))
-            feedback.compact_counts(spark, path)
-    assert (tmp_path / "n2" / "base-1").is_dir() and (tmp_path / "n2" / "base-2").is_dir()
-    feedback.stream_user_embedding(stream(), songs, str(tmp_path / "v"), str(tmp_path / "c2")).awaitTermination()
-    want = {r["user_id"]: (r["n_liked"], r["embedding"]) for r in embeddings.user_embedding(log, songs).collect()}
-    for round_ in range(3):  # as written, compacted, and with the last batch repeated after that
-        got = {r["user_id"]: (r["n_liked"], r["embedding"]) for r in feedback.read_user_embedding(spark, str(tmp_path / "v")).collect()}
+
+    rng = np.random.default_rng(8)
+    log = spark.createDataFrame(
+        [(int(u), int(s), int(x)) for u, s, x in zip(rng.integers(0, 6, 200), rng.integers(0, 9, 200), rng.integers(0, 2, 200))]
+        + [(7, 1, None), (8, None, 1), (None, 2, 1)], "user_id int, song_id int, label int")
+    songs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "song_id int, embedding array<double>")
+    arriving = str(tmp_path / "in")
+    marks = {name: str(tmp_path / name) for name in ("counts", "vectors", "signal")}
+    seen = None
+    for part in [*log.randomSplit([1.0, 1.0], 1), None]:
+        if part is not None:
+            part.repartition(2).write.mode("append").parquet(arriving)
+            seen = part if seen is None else seen.unionByName(part)
+        stream = lambda: spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+        feedback.stream_history_counts(stream(), marks["counts"]).awaitTermination()
+        feedback.stream_user_embedding(stream(), songs, marks["vectors"]).awaitTermination()
+        feedback.stream_refit_signal(stream(), marks["signal"]).awaitTermination()
+        assert set(map(tuple, feedback.latest_counts(spark, marks["counts"]).collect())) == set(
+            map(tuple, history.history_counts(seen).collect()))
+        want = {r["user_id"]: (r["n_liked"], r["embedding"]) for r in embeddings.user_embedding(seen, songs).collect()}
+        got = {r["user_id"]: (r["n_liked"], r["embedding"]) for r in feedback.read_user_embedding(spark, marks["vectors"], 2).collect()}
         assert got == {u: (n, pytest.approx(e)) for u, (n, e) in want.items()}
-        feedback.compact_user_embedding(spark, str(tmp_path / "v"))
-        if round_ == 1:
-            spark.read.parquet(str(tmp_path / "v" / "batch=0")).write.mode("overwrite").parquet(str(tmp_path / "v" / "batch=2"))
-    assert (tmp_path / "v" / "base-2").is_dir()
-    feedback.stream_refit_signal(stream(), str(tmp_path / "r"), str(tmp_path / "c3")).awaitTermination()
-    assert tuple(feedback.refit_due(spark, str(tmp_path / "r"), 200).first()) == (200, True)
-    assert not feedback.refit_due(spark, str(tmp_path / "r"), 201).first()["due"]
+        total = seen.count()
+        assert tuple(feedback.refit_due(spark, marks["signal"], total).first()) == (total, True)
+        assert tuple(feedback.refit_due(spark, marks["signal"], total, fitted_rows=3).first()) == (total - 3, False)
+    # Nothing but the checkpoints, and no folder of rows inside them.
+    assert {p.name for p in tmp_path.iterdir()} == {"in", *marks}
+    assert not list(tmp_path.glob("*/batch=*")) and not list(tmp_path.glob("counts/**/*.parquet"))
+
+
+def test_streams_before_their_first_batch(spark, tmp_path):
+    arriving, marks = tmp_path / "in", str(tmp_path / "marks")
+    arriving.mkdir()
+    stream = spark.readStream.schema("user_id int, song_id int, label int").parquet(str(arriving))
+    feedback.stream_history_counts(stream, marks).awaitTermination()
+    assert feedback.latest_counts(spark, marks) is None
+    feedback.stream_refit_signal(stream, marks + "2").awaitTermination()
+    assert tuple(feedback.refit_due(spark, marks + "2", 1).first()) == (0, False)
 
 
 def test_index_round_trip(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunewright import session
-from tunewright.functions import fixed
+from tunewright.functions import fixed, vectors
 from tunewright.operators import embeddings, evaluation, ranking, training
 from tunewright.plans import jobs
 from tunewright.plans.catalog_queries import brand_vectors, users
@@ -296,22 +296,22 @@ def stream_interactions(spark, sf):
 
 @query("stream_history_counts", check("SELECT user_id, likes, skips FROM history", "history"))
 def stream_history_counts(spark, sf):
-    path = session.shared_path(spark, "counts")
-    feedback.stream_history_counts(_arriving(spark, sf), path, session.shared_path(spark, "marks")).awaitTermination()
-    return feedback.latest_counts(spark, path)
+    marks = session.shared_path(spark, "marks")
+    feedback.stream_history_counts(_arriving(spark, sf), marks).awaitTermination()
+    return feedback.latest_counts(spark, marks)
 
 
 @query("stream_user_embedding", check("SELECT user_id, n_liked, pos, x FROM user_vec_long", "user_vec_long"),
        doubles=("x",), wholes=("pos",))
 def stream_user_embedding(spark, sf):
-    path = session.shared_path(spark, "sums")
-    feedback.stream_user_embedding(_arriving(spark, sf), b.song_vectors(spark, sf), path,
-                                   session.shared_path(spark, "marks")).awaitTermination()
-    return feedback.read_user_embedding(spark, path).select("user_id", "n_liked", F.posexplode("embedding").alias("pos", "x"))
+    marks, songs = session.shared_path(spark, "marks"), b.song_vectors(spark, sf)
+    feedback.stream_user_embedding(_arriving(spark, sf), songs, marks).awaitTermination()
+    rows = feedback.read_user_embedding(spark, marks, vectors.dimension(songs, "embedding"))
+    return rows.select("user_id", "n_liked", F.posexplode("embedding").alias("pos", "x"))
 
 
 @query("retrain_trigger", check("SELECT count(*) AS n_new, count(*) >= 1000 AS due FROM log", "log"))
 def retrain_trigger(spark, sf):
-    path = session.shared_path(spark, "arrived")
-    feedback.stream_refit_signal(_arriving(spark, sf), path, session.shared_path(spark, "marks")).awaitTermination()
-    return feedback.refit_due(spark, path, 1000)
+    marks = session.shared_path(spark, "marks")
+    feedback.stream_refit_signal(_arriving(spark, sf), marks).awaitTermination()
+    return feedback.refit_due(spark, marks, 1000)

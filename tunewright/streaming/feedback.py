@@ -1,17 +1,20 @@
-"""The interaction log as a stream: append, running counts, running user vectors, refit signal."""
+"""The interaction log as a stream: append, running counts, running user vectors, refit signal.
 
-from __future__ import annotations
+Running results live in Spark's state store and nowhere else: a stream keeps one row per user there, each micro-batch
+is committed with its offsets (a repeated batch counts once), and readers take the last committed version of
+the store from the stream's checkpoint. Nothing is written per batch that a reader would have to list or fold.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tunewright.functions import vectors
-from tunewright.operators import embeddings, history
+from tunewright.operators import history
 from tunewright.sources import interactions as log
-from tunewright.sources import tables
 
 
 def stream_interactions(rated: DataFrame, path: str, checkpoint: str, at: Column | None = None) -> StreamingQuery:
@@ -26,117 +29,92 @@ def stream_interactions(rated: DataFrame, path: str, checkpoint: str, at: Column
     )
 
 
-# ---- state folders: batch=<n> per micro-batch, base-<n> for everything up to batch n, bases lists the finished bases
-
-#: Micro-batches after which a state folder is compacted.
-COMPACT_EVERY = 100
-
-
-def _newest_base(spark: SparkSession, state: str) -> int:
-    finished = tables.read_if_present(spark, f"{state}/bases")
-    return -1 if finished is None else finished.agg(F.max("base")).first()[0]
-
-
-def _state_rows(spark: SparkSession, state: str) -> DataFrame:
-    """The newest base and the batches after it, each row with its ``batch``."""
-    base = _newest_base(spark, state)
-    newer = spark.read.option("basePath", state).parquet(f"{state}/batch=*").where(F.col("batch") > base)
-    return newer if base < 0 else spark.read.parquet(f"{state}/base-{base}").unionByName(newer)
+# ---- running results
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _compact(spark: SparkSession, state: str, fold: Callable[[DataFrame], DataFrame]) -> None:
-    """Fold base and later batches into a new base. A batch repeated afterwards is in the base already and not read."""
-    rows = _state_rows(spark, state)
-    upto = rows.agg(F.max("batch")).first()[0]
-    if upto is None or upto == _newest_base(spark, state):
-        return
-    fold(rows).withColumn("batch", F.lit(upto)).write.mode("overwrite").parquet(f"{state}/base-{upto}")
-    # Only a base that is written in full is listed.
-    spark.createDataFrame([(upto,)], "base int").write.mode("append").parquet(f"{state}/bases")
-
-
-def _due(number: int, every: int) -> bool:
-    return number % every == every - 1
-
-
-def stream_history_counts(interactions: DataFrame, table: str, checkpoint: str,
-                          compact_every: int = COMPACT_EVERY) -> StreamingQuery:
-    """Running likes and skips per user: each batch appends its changed users, see ``latest_counts``."""
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        if _due(number, compact_every):
-            compact_counts(batch.sparkSession, table)
-
-    return (
-        history.history_counts(interactions).writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
 
+def _keep(totals: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Run a streaming aggregate for its state only.
 
-def _latest(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("user_id").agg(
-        F.max_by("likes", "batch").alias("likes"), F.max_by("skips", "batch").alias("skips"))
+    The state is held by RocksDB, so it may outgrow an executor's heap. A query takes the session's setting
+    when it starts, so the setting is put back at once. The number of state partitions is that of
+    ``spark.sql.shuffle.partitions`` at the first start.
+    """
+    conf = totals.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        return (
+            totals.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        if before is None:
+            conf.unset(PROVIDER)
+        else:
+            conf.set(PROVIDER, before)
+
+
+def _kept(spark: SparkSession, checkpoint: str, keys: list[str], sums: list[str]) -> DataFrame | None:
+    """Keys and running sums of the last committed batch, None before the first.
+
+    ``sums`` names the aggregates in the order in which the stream computes them.
+    """
+    try:
+        state = spark.read.format("statestore").load(checkpoint)
+    except PySparkException as missing:
+        if "STDS_" not in (missing.getCondition() or "") or "COMMITTED" not in missing.getCondition():
+            raise
+        return None
+    # Sums carry the same few names in the state; a cast of the whole row goes by place.
+    types = [field.dataType.simpleString() for field in state.schema["value"].dataType.fields]
+    row = ", ".join(f"`{name}`: {kind}" for name, kind in zip(sums, types, strict=True))
+    return state.select(*[f"key.{k}" for k in keys], F.col("value").cast(f"struct<{row}>").alias("sums")).select(*keys, "sums.*")
 
 
-def latest_counts(spark: SparkSession, table: str) -> DataFrame:
-    return _latest(_state_rows(spark, table))
+def stream_history_counts(interactions: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Running likes and skips per user, see ``latest_counts``."""
+    return _keep(history.history_counts(interactions), checkpoint)
 
 
-def compact_counts(spark: SparkSession, table: str) -> None:
-    _compact(spark, table, _latest)
+def latest_counts(spark: SparkSession, checkpoint: str) -> DataFrame | None:
+    """``user_id, likes, skips`` after the last finished batch; None before the first."""
+    return _kept(spark, checkpoint, ["user_id"], ["likes", "skips"])
 
 
-def stream_user_embedding(interactions: DataFrame, song_vectors: DataFrame, state: str,
-                          checkpoint: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
-    """Running sum of liked vectors and their number per user.
+def stream_user_embedding(interactions: DataFrame, song_vectors: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Running sum of liked vectors and their number per user, see ``read_user_embedding``.
 
-    Each batch writes its own sums under its batch number; a repeated batch
-    overwrites itself, so nothing is counted twice. ``read_user_embedding``
-    adds the newest base and the batches after it up.
+    One scalar sum per dimension: likes are summed before they are exchanged, so a very active user sends one row per task.
+    Vectors must keep their length over the life of the stream.
     """
     dim = vectors.dimension(song_vectors, "embedding")
-
-    def add(batch: DataFrame, number: int) -> None:
-        pairs = embeddings.liked_counts(batch).join(song_vectors.select("song_id", "embedding"), "song_id")
-        sums = vectors.sum_vectors(pairs, ["user_id"], "embedding", dim, "likes", n_liked="sum(likes)")
-        sums.write.mode("overwrite").parquet(f"{state}/batch={number}")
-        if _due(number, compact_every):
-            compact_user_embedding(batch.sparkSession, state)
-
-    return (
-        interactions.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    pairs = log.liked(interactions).select("user_id", "song_id").join(song_vectors.select("song_id", "embedding"), "song_id")
+    sums = [F.sum(F.get("embedding", F.lit(i))).alias(f"sum_{i}") for i in range(dim)]
+    return _keep(pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_liked"), *sums), checkpoint)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    dim = vectors.dimension(rows, "vector_sum")
-    return vectors.sum_vectors(rows, ["user_id"], "vector_sum", dim, n_liked="sum(n_liked)")
+def read_user_embedding(spark: SparkSession, checkpoint: str, dim: int) -> DataFrame | None:
+    """User vectors of length ``dim`` over all finished batches; equal to the batch result without a blend."""
+    sums = [f"sum_{i}" for i in range(dim)]
+    state = _kept(spark, checkpoint, ["user_id"], ["n_liked", *sums])
+    if state is None:
+        return None
+    mean = F.array(*[F.col(c) / F.col("n_liked") for c in sums]) if sums else F.array().cast("array<double>")
+    return state.select("user_id", vectors.tagged(mean, "embedding", dim), "n_liked")
 
 
-def read_user_embedding(spark: SparkSession, state: str) -> DataFrame:
-    """User vectors as the mean over all batches; equal to the batch result without a blend."""
-    return _summed(_state_rows(spark, state)).select(
-        "user_id", vectors.divide("vector_sum", F.col("n_liked")).alias("embedding"), "n_liked")
-
-
-def compact_user_embedding(spark: SparkSession, state: str) -> None:
-    _compact(spark, state, _summed)
-
-
-def stream_refit_signal(interactions: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Count arriving interactions per batch, for ``refit_due``."""
-    def count(batch: DataFrame, number: int) -> None:
-        batch.agg(F.count(F.lit(1)).alias("n_new")).write.mode("overwrite").parquet(f"{state}/batch={number}")
-
-    return (
-        interactions.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+def stream_refit_signal(interactions: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Running number of interactions, for ``refit_due``."""
+    return _keep(interactions.groupBy().agg(F.count(F.lit(1)).alias("n_seen")), checkpoint)
 
 
-def refit_due(spark: SparkSession, state: str, threshold: int, fitted_batch: int = -1) -> DataFrame:
-    """``n_new, due``: interactions after the last fitted batch, and whether they reach the threshold."""
-    rows = spark.read.option("basePath", state).parquet(f"{state}/batch=*")
-    new = rows.where(F.col("batch") > fitted_batch).agg(F.coalesce(F.sum("n_new"), F.lit(0)).alias("n_new"))
+def refit_due(spark: SparkSession, checkpoint: str, threshold: int, fitted_rows: int = 0) -> DataFrame:
+    """``n_new, due``: interactions beyond the ``fitted_rows`` of the last fit, and whether they reach the threshold."""
+    state = _kept(spark, checkpoint, [], ["n_seen"])
+    if state is None:
+        state = spark.range(0).select(F.col("id").alias("n_seen"))
+    new = state.agg((F.coalesce(F.sum("n_seen"), F.lit(0)) - F.lit(fitted_rows)).alias("n_new"))
     return new.withColumn("due", F.col("n_new") >= threshold)
