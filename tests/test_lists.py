@@ -176,11 +176,37 @@ def test_search_of_many_texts_equals_single_searches(spark):
     texts = {1: "E 1", 2: "ann 3", 3: "none", 4: " ", 5: "bob", 6: "BOB"}
     queries = spark.createDataFrame(list(texts.items()), "query_id int, text string")
     chosen = spark.createDataFrame([(5, 0), (5, 1), (2, 3), *[(6, i) for i in range(70)]], "query_id int, song_id int")
-    for blocks in ({}, {"item_rows": 16}):
-        got = artists.song_search_many(songs, queries, chosen, 5, **blocks).orderBy("query_id", "pos").collect()
+    for run in ({}, {"first_run": 3}):
+        got = artists.song_search_many(songs, queries, chosen, 5, **run).orderBy("query_id", "pos").collect()
         for q, t in texts.items():
             want = artists.song_search(songs, t, chosen.where(F.col("query_id") == q), 5).collect()
             assert [r["song_id"] for r in got if r["query_id"] == q] == [r["song_id"] for r in want]
+            assert [r["pos"] for r in got if r["query_id"] == q] == list(range(1, len(want) + 1))
+
+
+def test_search_of_many_texts_with_odd_texts(spark):
+    """Nulls, blanks, texts of any length, characters outside the basic plane, line breaks, patterns, repeated titles."""
+    titles = ["", None, "a", "ab", "abc", "abcd", "ABCABC", "a\nb\nc", "\U0001f3b5\U0001f3b6 song", "x" * 3000 + "yz", "(.*)", "abcd"]
+    songs = spark.createDataFrame([(i, t, "b;c" if i % 2 else None, i) for i, t in enumerate(titles)],
+                                  "song_id int, title string, artist_name string, song_ord int").withColumn("genre", F.lit(""))
+    texts = ["a", "bc", "abc", "bcab", "a\nb", "\U0001f3b5", "\U0001f3b5\U0001f3b6 ", "xyz", "x" * 2000, ".*", "(.*)", "b;c", "cd", None, "  ",
+             "d;b", "abcdb"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    got = artists.song_search_many(songs, queries, limit=3, first_run=1).orderBy("query_id", "pos").collect()
+    for q, t in enumerate(texts):
+        holds = [i for i, title in enumerate(titles) if t and t.strip()
+                 and (t in (title or "").lower() or t in ("b;c" if i % 2 else ""))]
+        assert [r["song_id"] for r in got if r["query_id"] == q] == holds[:3], t
+    assert artists.song_search_many(songs.limit(0), queries).count() == 0
+    assert artists.song_search_many(songs, queries.limit(0)).count() == 0
+
+
+def test_texts_meet_only_songs_with_their_rarest_piece(spark):
+    songs = spark.createDataFrame([(i, f"common tune {'zebra' if i == 7 else 'horse'}", "", i) for i in range(50)],
+                                  "song_id int, title string, artist_name string, song_ord int")
+    texts = spark.createDataFrame([("tune zebra",), ("tune",), ("mon tunes",)], "text string")
+    rarest = {r["text"]: r["n_songs"] for r in artists.rarest_grams(texts, artists.song_grams(songs)).collect()}
+    assert rarest == {"tune zebra": 1, "tune": 50}
 
 
 def test_quantiles(spark):

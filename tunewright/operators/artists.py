@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import sys
+from functools import reduce
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunewright import session
-from tunewright.functions import fixed, scalars
-from tunewright.operators import similarity
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tunewright.functions import fixed, ordering, scalars
 
 
 def top_artists(songs: DataFrame, limit: int = fixed.TOP_ARTISTS) -> DataFrame:
@@ -44,52 +38,105 @@ def song_search(songs: DataFrame, query: str, selected: DataFrame | None = None,
     return found.orderBy("song_ord").limit(limit).select("song_id", "title", "artist_name", "genre", "song_ord")
 
 
-def substring_scores(queries: pa.Table, items: pa.Table):
-    """1.0 where the title or the artists hold the query text, one query at a time."""
-    titles, names = items.column("title"), items.column("names")
-    for text in queries.column("text").to_pylist():
-        hit = pc.or_(pc.match_substring(titles, text), pc.match_substring(names, text))
-        yield hit.combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False)[None, :]
+#: Characters of a gram, and the postings of a gram that a text meets in its first round.
+GRAM = 3
+FIRST_RUN = 4_096
+
+
+def _grams(text: str | Column, size: int) -> Column:
+    """All pieces of ``size`` characters, also overlapping ones, by one pass of a look-ahead."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _searchable(songs: DataFrame) -> DataFrame:
+    return songs.select(
+        "song_id", "song_ord", F.lower(F.coalesce("title", F.lit(""))).alias("low_title"),
+        F.lower(F.coalesce("artist_name", F.lit(""))).alias("low_names"))
+
+
+def song_grams(songs: DataFrame) -> DataFrame:
+    """``gram, song_id, song_ord``: every piece of one to three characters of title and artists, once per song."""
+    both = F.concat_ws("\0", "low_title", "low_names")
+    pieces = F.array_distinct(F.concat(*[_grams(both, size) for size in range(1, GRAM + 1)]))
+    return _searchable(songs).select(F.explode(pieces).alias("gram"), "song_id", "song_ord")
+
+
+def rarest_grams(texts: DataFrame, grams: DataFrame) -> DataFrame:
+    """``text, gram, n_songs``: per distinct text the gram that the fewest songs hold.
+
+    Texts of up to three characters are a gram themselves. A text with a gram that no song holds finds nothing and is left out.
+    """
+    asked = texts.select("text").distinct().select(
+        "text", F.explode(F.array_distinct(
+            F.when(F.length("text") <= GRAM, F.array("text")).otherwise(_grams("text", GRAM)))).alias("gram"))
+    held = grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n_songs"))
+    # Ties go to the smaller gram: the smallest pair of count and gram.
+    return asked.join(held, "gram", "left").groupBy("text").agg(
+        F.min(F.struct(F.coalesce("n_songs", F.lit(0)).alias("n_songs"), F.col("gram"))).alias("best")).where(
+        "best.n_songs > 0").select("text", "best.gram", "best.n_songs")
+
+
+def gram_postings(grams: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``gram, song_id, place``: songs of the wanted grams, numbered per gram from 1 in catalog order.
+
+    A gram held by a third of all songs is numbered in ranges of the catalog, never in one task.
+    """
+    rows = session.settle(grams.join(wanted.select("gram").distinct(), "gram", "left_semi"), "gram-songs")
+    bucket = ordering.bucket_of(F.col("song_ord"), ordering.cut_points(rows, F.col("song_ord")))
+    return ordering.rank_in_buckets(rows, ["gram"], bucket, [F.col("song_ord"), F.col("song_id")], "place").select(
+        "gram", "song_id", "place")
 
 
 def song_search_many(songs: DataFrame, queries: DataFrame, selected: DataFrame | None = None,
-                     limit: int = fixed.SONG_MATCHES, **blocks) -> DataFrame:
+                     limit: int = fixed.SONG_MATCHES, first_run: int = FIRST_RUN) -> DataFrame:
     """``song_search`` for many queries: ``query_id, song_id, title, pos``.
 
-    Equal texts are searched once, block against block, keeping the first songs
-    of each. With ``selected(query_id, song_id)`` songs are excluded per query:
-    queries that fall short because their text's songs were cut off, and only
-    those, are searched again with more songs per text.
+    Each distinct text looks only at the songs that hold its rarest three characters, in catalog order and in runs that
+    grow fourfold; a query that has its ``limit`` songs reads no further run. ``selected(query_id, song_id)`` are left
+    out per query. Null and blank texts find nothing.
     """
     asked = session.settle(
         queries.select("query_id", F.lower("text").alias("text")).where(scalars.strip("text") != ""), "searches")
-    offered = songs.select(
-        F.col("song_id").alias("item_id"), F.col("song_ord").alias("item_ord"),
-        F.lower(F.coalesce("title", F.lit(""))).alias("title"),
-        F.lower(F.coalesce("artist_name", F.lit(""))).alias("names"))
-    order = Window.partitionBy("query_id").orderBy("song_ord")
-    waiting, done = asked, None
-    depth = limit if selected is None else 2 * limit
+    grams = song_grams(songs)
+    rarest = session.settle(rarest_grams(asked, grams), "rarest-grams")
+    postings = session.settle(gram_postings(grams, rarest), "gram-postings")
+    offered = _searchable(songs)
+    order = Window.partitionBy("query_id").orderBy("song_ord", "song_id")
+    waiting = asked.join(rarest, "text").withColumn("need", F.lit(limit).cast("long"))
+    if selected is None:
+        waiting = waiting.withColumn("n_selected", F.lit(0).cast("long"))
+    else:
+        chosen = selected.select("query_id", "song_id").distinct()
+        sizes = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_selected"))
+        waiting = waiting.join(sizes, "query_id", "left").withColumn("n_selected", F.coalesce("n_selected", F.lit(0)))
+    waiting = session.settle(waiting, "searches")
+    last, most = waiting.agg(F.max("n_songs"), F.max("n_selected")).first()
+    last, most = last or 0, most or 0
+    runs, start, end = [], 0, first_run
     while True:
-        texts = waiting.select(F.col("text").alias("query_id"), "text").distinct()
-        hits = similarity.paired_topk(texts, offered, substring_scores, depth, **blocks).where("score > 0")
-        hits = session.settle(hits.select(F.col("query_id").alias("text"), F.col("item_id").alias("song_id"),
-                                          F.col("item_ord").alias("song_ord")), "search-hits")
-        found = waiting.join(hits, "text")
+        texts = waiting.select("text", "gram").distinct()
+        run = postings.where((F.col("place") > start) & (F.col("place") <= end))
+        hit = F.col("low_title").contains(F.col("text")) | F.col("low_names").contains(F.col("text"))
+        hits = texts.join(run, "gram").join(offered, "song_id").where(hit).select("text", "song_id", "song_ord")
+        # A query uses at most the songs it needs and as many as are left out for it.
+        best = Window.partitionBy("text").orderBy("song_ord", "song_id")
+        hits = hits.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= limit + most)
+        found = waiting.join(hits, "text").where(F.col("nth") <= F.col("need") + F.col("n_selected"))
         if selected is not None:
-            found = found.join(selected.select("query_id", "song_id"), ["query_id", "song_id"], "left_anti")
-        first = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
-        if selected is None:
-            done = first
+            found = found.join(chosen, ["query_id", "song_id"], "left_anti")
+        found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("need")).withColumn(
+            "pos", F.lit(limit) - F.col("need") + F.col("nth"))
+        runs.append(session.settle(found.select("query_id", "song_id", F.col("pos").cast("int").alias("pos")), "search-hits"))
+        if end >= last:
             break
-        first = session.settle(first, "search-results")
-        cut = hits.groupBy("text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= depth)
-        full = first.where(F.col("pos") == limit).select("query_id")
-        short = session.settle(
-            waiting.join(full, "query_id", "left_anti").join(cut.select("text"), "text", "left_semi"), "searches")
-        sure = first.join(short.select("query_id"), "query_id", "left_anti")
-        done = sure if done is None else done.unionByName(sure)
-        if short.isEmpty():
+        more = runs[-1].groupBy("query_id").agg(F.count(F.lit(1)).alias("more"))
+        waiting = session.settle(
+            waiting.where(F.col("n_songs") > end).join(more, "query_id", "left")
+            .withColumn("need", F.col("need") - F.coalesce("more", F.lit(0))).drop("more").where(F.col("need") > 0),
+            "searches")
+        if waiting.isEmpty():
             break
-        waiting, depth = short, 4 * depth
+        start, end = end, 4 * end
+    done = reduce(DataFrame.unionByName, runs)
     return done.join(songs.select("song_id", "title"), "song_id").select("query_id", "song_id", "title", "pos")

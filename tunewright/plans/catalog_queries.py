@@ -390,6 +390,17 @@ def song_search_many(spark, sf):
     return artists.song_search_many(b.songs(spark, sf), asked, chosen)
 
 
+@query("song_search_words", check(f"""
+  SELECT query_id, song_id, title, pos FROM (SELECT c_custkey AS query_id, songs.song_id, title,
+      row_number() OVER (PARTITION BY c_custkey ORDER BY song_ord) AS pos
+    FROM customer JOIN songs ON contains(lower(title), {WORDS}[c_custkey % 16 + 1])
+      OR contains(lower(artist_name), {WORDS}[c_custkey % 16 + 1])) WHERE pos <= 20""", "songs"))
+def song_search_words(spark, sf):
+    """Whole words, which are longer than the pieces of the index."""
+    asked = b.answers(spark, sf).select(F.col("user_id").alias("query_id"), F.col("favorite_artists")[0].alias("text"))
+    return artists.song_search_many(b.songs(spark, sf), asked)
+
+
 @query("drop_blank_ids", check("SELECT CAST(song_id AS VARCHAR) AS song_id, title FROM songs WHERE song_id % 10 <> 0", "songs"))
 def drop_blank_ids(spark, sf):
     rows = b.raw_catalog(spark, sf).select(
