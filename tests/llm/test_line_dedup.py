@@ -70,3 +70,21 @@ def test_runs_rebuild_the_text(documents):
 def test_very_long_text(documents):
     rows = [(i, "\n".join([LONG, "x" * 50, "y"] * 2_000 + [str(i)])) for i in range(5)]
     assert run(documents, rows) == brute(rows)
+
+
+def test_first_occurrences_are_streamed_in_range_order(documents, spark, monkeypatch):
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, label)
+
+    settle = line_dedup.settle
+    monkeypatch.setattr(line_dedup, "settle", noted)
+    line = "a line of more than forty code points, again and again"
+    got = line_dedup.keep_bitmaps(documents([(i, f"{line}\n{i}\n{line}") for i in range(6)])).collect()
+    assert len(got) == 5 and all(r.dropped == [0, 2] for r in got)
+    [common] = [plan for plan in plans if "rangepartitioning" in plan]
+    # One exchange of lines, by range; the order by position is used above it.
+    below = common[:common.index("rangepartitioning")]
+    assert "Window" in below and "Sort" in below and "hashpartitioning(hash" in below and below.count("Exchange") == 2

@@ -1,15 +1,15 @@
 """Line dedup: a long line found in many documents stays in one of them only.
 
 Lines become 128-bit hashes, range-partitioned by (hash, document), so the lines of one document and hash stand
-together and a hash with a third of all lines spans many partitions. Hash aggregates give one row per (hash, document),
-then per hash the number of documents and the one that keeps it; they need no order, so Spark drops the sort by
-position. The result is a
-keep bitmap per document, compressed to runs; texts never travel through the line exchange.
+together and a hash with a third of all lines spans many partitions. Each partition is sorted by document and position
+and read once in that order: of every (hash, document) only its first line goes on. Their sums per hash give
+the number of documents and the one that keeps it. The result is a keep bitmap per document, compressed to runs; texts
+never travel through the line exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunewright.llm.common import BLANKS, ascii_lower, beside, row_key, text_of, with_results
@@ -39,10 +39,10 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     own, smaller than any other. ``apply_bitmaps`` turns the places into runs of kept lines.
     """
     lines = settle(long_lines(docs, least_chars), "line-hashes")
-    ranged = lines.repartitionByRange("hash", F.col("doc_id").desc()).sortWithinPartitions(
-        "hash", F.col("doc_id").desc(), "position")
-    # The range order holds each (hash, document) in one partition: no exchange here, partial sums after.
-    firsts = ranged.groupBy("hash", "doc_id").agg(F.min("position").alias("first"))
+    ranged = lines.select("hash", "doc_id", "position").repartitionByRange("hash", "doc_id")
+    # The ranges hold each (hash, document) in one partition: the window sorts there, without an exchange.
+    in_order = Window.partitionBy("hash", "doc_id").orderBy("position")
+    firsts = ranged.withColumn("nth", F.row_number().over(in_order)).filter("nth = 1")
     common = firsts.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper"))
     # Written first: a join of two plain exchanges is one that adaptive execution can split at a hot line.
     common = settle(common.filter(F.col("docs") >= least_docs).select(F.col("hash").alias("_hash"), "keeper"), "common-lines")
