@@ -219,6 +219,24 @@ def test_quantiles(spark):
         assert [r["q_0"], r["q_1"], r["q_2"]] == pytest.approx(list(np.quantile(data[r["k"]], [0.25, 0.5, 0.9])))
 
 
+def test_ranks_by_narrowing_equal_a_sort(spark, monkeypatch):
+    """Ties, long tails, extremes, nulls and few cuts, so that several passes are needed."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(ordering, "CUTS", 16)
+    monkeypatch.setattr(ordering, "ACCURACY", 256)
+    data = {"tied": [0.0] * 900 + [1.0] * 50 + list(rng.random(550)), "tail": [float(x) for x in np.exp(rng.normal(0, 40, 1500))],
+            "one": [5.0] * 700, "few": [2.0, -1.0, float("inf")]}
+    rows = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs] + [("few", None), ("none", None)],
+                                 "k string, v double")
+    ranks = {"tied": [0, 899, 900, 1449, 1450, 1499], "tail": [0, 1, 700, 750, 1498, 1499], "one": [0, 350, 699], "few": [0, 1, 2]}
+    wanted = spark.createDataFrame([(k, i, r) for k, rs in ranks.items() for i, r in enumerate(rs)], "k string, id int, rank long")
+    got = {(r["k"], r["id"]): r["value"] for r in ordering.at_ranks(rows, "k", "v", wanted, fit=20).collect()}
+    assert got == {(k, i): sorted(data[k])[r] for k, rs in ranks.items() for i, r in enumerate(rs)}
+    assert ordering.at_ranks(rows.limit(0), "k", "v", wanted, fit=20).count() == 0
+
+
 def test_a_burst_is_cut_by_the_tie(spark):
     rows = [(1, 5, i) for i in range(1_000)] + [(1 + i % 3, i % 11, 1_000 + i) for i in range(200)]
     df = spark.createDataFrame(rows, "k int, v bigint, tie bigint")

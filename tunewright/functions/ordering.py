@@ -7,6 +7,8 @@ its own, and the totals of the earlier buckets are added as an offset.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,11 @@ def bucket_count(rows: int) -> int:
 
 
 def _quantile_grid(df: DataFrame, value: Column, buckets: int | None) -> list:
-    """Rising, possibly repeated values at equal shares of the rows, from one pass."""
-    most = buckets or MOST
-    shares = [i / most for i in range(1, most)]
-    row = df.select(F.count(value).alias("rows"), F.percentile_approx(value, shares, max(1000, 10 * most)).alias("cuts")).first()
-    cuts = row["cuts"] or []
-    step = most // (buckets or bucket_count(row["rows"]))
-    return cuts[step - 1::step] if step > 1 else cuts
+    """Rising, possibly repeated values at equal shares of the rows; without a number, one for the rows there are."""
+    # A count of a written table reads its footers only.
+    buckets = buckets or bucket_count(df.count())
+    shares = [i / buckets for i in range(1, buckets)]
+    return df.select(F.percentile_approx(value, shares, max(1000, 10 * buckets))).first()[0] or []
 
 
 def cut_points(df: DataFrame, value: Column, buckets: int | None = None) -> list:
@@ -126,39 +126,77 @@ def running_totals(df: DataFrame, value: str, amounts: list[str], buckets: int |
     return joined.drop(*drop)
 
 
-def quantiles(df: DataFrame, key: str, value: str, shares: list[float], buckets: int | None = None) -> DataFrame:
-    """Exact, linearly interpolated quantiles ``q_0, q_1, ...`` of ``value`` per key.
+#: Rows of one key that are sorted together to read off a rank; cuts per narrowing pass; their accuracy (ranks err by 1 / ACCURACY).
+FIT = 1_000_000
+CUTS = 1_024
+ACCURACY = 16 * CUTS
+
+
+def at_ranks(df: DataFrame, key: str, value: str, wanted: DataFrame, fit: int = FIT) -> DataFrame:
+    """``key, id, value``: the values at the 0-based ``rank`` asked for by ``wanted(key, id, rank)``.
 
-    For few keys with very many rows each: rows are counted per distinct value,
-    and positions come from bucket totals, never from one sort of a whole key.
+    Distributed selection: a pass puts CUTS approximate quantiles on the rows of a key, which name two values around each wanted
+    rank; exact counts of the rows below, at and between the two say where the rank lies; only rows between go on, about
+    2 / CUTS of them. What a row meets is a pair of values, never a list of cuts. Rows are sorted once ``fit`` or
+    fewer are left for a rank. Null values are no rows; NaN is larger than any number.
     """
-    counts = session.settle(df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_rows")), "value-counts")
-    buckets = buckets or bucket_count(counts.count())
-    at = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(key).agg(F.percentile_approx(value, at, max(1000, 10 * buckets)).alias("_cuts"))
-    marked = counts.join(cuts, key).withColumn(
-        "_bucket", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col(value)))).drop("_cuts")
-    by_key = Window.partitionBy(key)
-    earlier = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = marked.groupBy(key, "_bucket").agg(F.sum("_rows").alias("_size"))
-    offsets = sizes.select(
-        key, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_size").over(by_key).alias("_total"))
-    upto = Window.partitionBy(key, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        marked.withColumn("_upto", F.sum("_rows").over(upto)).join(offsets, [key, "_bucket"])
-        .withColumn("_last", F.col("_before") + F.col("_upto") - 1)
-        .withColumn("_first", F.col("_last") - F.col("_rows") + 1)
-    )
-    aggregates = []
-    for i, share in enumerate(shares):
-        place = F.lit(float(share)) * (F.col("_total") - 1)
-        for side, position in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            here = (F.col("_first") <= position) & (position <= F.col("_last"))
-            aggregates.append(F.max(F.when(here, F.col(value))).alias(f"_{side}{i}"))
-        aggregates.append(F.max(place - F.floor(place)).alias(f"_part{i}"))
-    ends = placed.groupBy(key).agg(*aggregates)
-    return ends.select(key, *[
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).alias(f"q_{i}")
-        for i in range(len(shares))
-    ])
+    rows = df.select(key, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    asked = session.settle(wanted.select(key, "id", F.col("rank").cast("long").alias("rank")), "ranks-asked")
+    done, by, slack = [], [key], 2
+    while True:
+        sizes = session.settle(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "rank-sizes")
+        if (sizes.agg(F.max("_n")).first()[0] or 0) <= fit:
+            order = Window.partitionBy(*by).orderBy("_v")
+            placed = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(asked, [*by, "rank"])
+            done.append(placed.select(key, "id", F.col("_v").alias("value")))
+            break
+        cuts = rows.groupBy(*by).agg(
+            F.min("_v").alias("_least"), F.max("_v").alias("_most"),
+            F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], ACCURACY).alias("_cuts"))
+        cuts = cuts.join(sizes, by).join(asked, by)
+        cell = F.floor(F.col("rank") * CUTS / F.col("_n")).cast("int")
+        # Cut i (from 1) stands at place i - 1; beyond the first and the last cut lie the extremes.
+        low = F.when(cell - slack >= 1, F.get("_cuts", cell - slack - 1)).otherwise(F.col("_least"))
+        high = F.when(cell + 1 + slack < CUTS, F.get("_cuts", cell + slack)).otherwise(F.col("_most"))
+        around = session.settle(cuts.select(key, "id", "rank", low.alias("_low"), high.alias("_high")), "rank-cells")
+        met, v = rows.join(around, by), F.col("_v")
+        sums = met.groupBy(key, "id", "rank", "_low", "_high").agg(
+            F.count_if(v < F.col("_low")).alias("_below"), F.count_if(v == F.col("_low")).alias("_at_low"),
+            F.count_if((v > F.col("_low")) & (v < F.col("_high"))).alias("_inside"),
+            F.count_if(v <= F.col("_high")).alias("_upto"))
+        after_low = F.col("_below") + F.col("_at_low")
+        sums = session.settle(sums.withColumn("_place", F.when(F.col("rank") < F.col("_below"), "missed")
+                                              .when(F.col("rank") < after_low, "low")
+                                              .when(F.col("rank") < after_low + F.col("_inside"), "inside")
+                                              .when(F.col("rank") < F.col("_upto"), "high").otherwise("missed")), "rank-places")
+        places = {r["_place"]: r["n"] for r in sums.groupBy("_place").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if "missed" in places:
+            # The quantiles are approximate: look in a wider pair; at last between the extremes, which cannot miss.
+            slack *= 4
+            continue
+        done.append(sums.where("_place IN ('low', 'high')").select(
+            key, "id", F.when(F.col("_place") == "low", F.col("_low")).otherwise(F.col("_high")).alias("value")))
+        if "inside" not in places:
+            break
+        open_ = sums.where("_place = 'inside'")
+        asked = session.settle(open_.select(key, "id", (F.col("rank") - after_low).alias("rank")), "ranks-asked")
+        inside = rows.join(open_.select(key, "id", "_low", "_high"), by).where((v > F.col("_low")) & (v < F.col("_high")))
+        rows, by, slack = session.settle(inside.select(key, "id", "_v"), "rank-rows"), [key, "id"], 2
+    return reduce(DataFrame.unionByName, done)
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float], fit: int = FIT) -> DataFrame:
+    """Exact, linearly interpolated quantiles ``q_0, q_1, ...`` of ``value`` per key, for keys with very many rows too."""
+    df = session.settle(df.select(key, value).where(F.col(value).isNotNull()), "quantile-rows")
+    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("_total"))
+    place = {i: F.lit(float(share)) * (F.col("_total") - 1) for i, share in enumerate(shares)}
+    ends = [F.struct(F.lit(2 * i + side).alias("id"), end(at).cast("long").alias("rank"))
+            for i, at in place.items() for side, end in enumerate((F.floor, F.ceil))]
+    found = at_ranks(df, key, value, totals.select(key, F.inline(F.array(*ends))), fit)
+    wide = found.groupBy(key).agg(*[F.max(F.when(F.col("id") == i, F.col("value"))).alias(f"_{i}") for i in range(2 * len(shares))])
+
+    def between(i: int) -> Column:
+        low, high = F.col(f"_{2 * i}"), F.col(f"_{2 * i + 1}")
+        return low + (high - low) * (place[i] - F.floor(place[i]))
+
+    return wide.join(totals, key).select(key, *[between(i).alias(f"q_{i}") for i in place])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunewright import session
 from tunewright.functions import fixed, ordering
 
 
@@ -92,7 +93,7 @@ def auc(scored: DataFrame) -> DataFrame:
     counts = scored.groupBy("score").agg(
         F.sum(F.col("label").cast("double")).alias("pos"),
         F.sum(F.lit(1.0) - F.col("label")).alias("neg"))
-    running = ordering.running_totals(counts, "score", ["neg"])
+    running = ordering.running_totals(session.settle(counts, "score-counts"), "score", ["neg"])
     below = F.col("neg_upto") - F.col("neg")
     totals = running.agg(
         F.sum(F.col("pos") * (below + F.col("neg") / 2)).alias("wins"),
