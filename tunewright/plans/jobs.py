@@ -154,11 +154,13 @@ def evaluate_all_users(interactions: DataFrame, songs: DataFrame, song_vectors:
 
 def onboard_users(answers: DataFrame, songs: DataFrame, picks: DataFrame, song_vectors: DataFrame,
                   vocabulary: list[str] = fixed.GENRES, top_n: int = fixed.FINAL_ROWS,
-                  at: Column | None = None) -> dict[str, DataFrame]:
+                  at: Column | None = None, user_artist_vectors: DataFrame | None = None,
+                  artist_vectors: DataFrame | None = None) -> dict[str, DataFrame]:
     """Survey answers to profiles, first lists, log rows and user vectors.
 
     ``picks(user_id, song_id, label)`` are the ratings of the first lists, or
-    seed songs chosen by search.
+    seed songs chosen by search. With artist vectors, familiar songs of accepted
+    users who have a vector of their own are scored by its cosine.
     """
     checked = profiles.validate_profiles(answers)
     accepted = profiles.build_profile(checked.where("valid"), vocabulary, keep_ids=True, at=at)
@@ -166,7 +168,8 @@ def onboard_users(answers: DataFrame, songs: DataFrame, picks: DataFrame, song_v
     return {
         "rejected": checked.where(~F.col("valid")).select("user_id", "problems"),
         "profiles": accepted,
-        "first_lists": coldstart.cold_start_recommend(songs, accepted, top_n, vocabulary),
+        "first_lists": coldstart.cold_start_recommend(
+            songs, accepted, top_n, vocabulary, user_artist_vectors=user_artist_vectors, artist_vectors=artist_vectors),
         "log_rows": log.interaction_rows(rated, at),
         "user_vectors": embeddings.user_embedding(rated, song_vectors),
     }

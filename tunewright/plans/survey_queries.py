@@ -81,6 +81,22 @@ def cold_start_short_lists(spark, sf):
     return coldstart.cold_start_recommend(b.songs(spark, sf), users(spark, sf), 10, b.ITEM_GENRES, list_rows=2).drop("song_ord")
 
 
+def _answers(spark, sf):
+    """The survey answers, some of them without the artists that a profile needs."""
+    return b.answers(spark, sf).withColumn(
+        "favorite_artists", F.when(F.col("user_id") % 50 == 7, F.array().cast("array<string>")).otherwise(F.col("favorite_artists")))
+
+
+@query("onboarding_with_artist_vectors", check(
+    "SELECT user_id, song_id, score, familiar, rank FROM vector_cold_list SEMI JOIN accepted USING (user_id)",
+    "vector_cold_list", "accepted"), doubles=("score",))
+def onboarding_with_artist_vectors(spark, sf):
+    by_brand, wanted = brands(spark, sf)
+    picks = b.interactions(spark, sf).select("user_id", "song_id", "label")
+    return jobs.onboard_users(_answers(spark, sf), b.songs(spark, sf), picks, b.song_vectors(spark, sf), b.ITEM_GENRES, 10,
+                              user_artist_vectors=wanted, artist_vectors=by_brand)["first_lists"].drop("song_ord")
+
+
 # All five outputs as rows (output, user_id, item, text, value, place).
 @query("user_onboarding_batch", check("""
   SELECT 'rejected' AS output, user_id, CAST(NULL AS BIGINT) AS item, 'favorite_artists needs 3 to 5' AS text, 0.0 AS value, 0 AS place
@@ -94,8 +110,7 @@ def cold_start_short_lists(spark, sf):
   UNION ALL SELECT 'user_vectors', user_id, n_liked, '', x, pos FROM user_vec_long SEMI JOIN accepted USING (user_id)""",
     "accepted", "cold_list", "log", "user_vec_long"), doubles=("value",), wholes=("user_id", "item", "place"))
 def user_onboarding_batch(spark, sf):
-    answers = b.answers(spark, sf).withColumn(
-        "favorite_artists", F.when(F.col("user_id") % 50 == 7, F.array().cast("array<string>")).otherwise(F.col("favorite_artists")))
+    answers = _answers(spark, sf)
     picks = b.interactions(spark, sf).select("user_id", "song_id", "label")
     done = jobs.onboard_users(answers, b.songs(spark, sf), picks, b.song_vectors(spark, sf), b.ITEM_GENRES,
                               at=F.lit("2024-03-01 09:00:00"))
