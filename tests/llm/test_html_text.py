@@ -92,3 +92,37 @@ def test_trailing_list_of_a_div_page():
     body = "".join(f"<p>{' '.join([P] * 5)}</p>" for _ in range(6))
     page = f'<body><div><div class="text">{body}<ul><li>one</li><li>two</li><li>three</li></ul></div></div><footer>(c)</footer></body>'
     assert html_text.main_text(page).split("\n")[6:] == ["one", "two", "three"]
+
+
+@pytest.mark.parametrize("junk", [
+    "<span hidden>no</span>", '<span class="ad">buy</span>', '<span class="shareCount">12</span>', '<em style="display: none">x</em>',
+    '<a class="share-button" href="#">Share</a>', "<button>Go</button>", '<span aria-hidden="true">*</span>',
+])
+def test_junk_inside_a_line_goes(junk):
+    assert html_text.main_text(PAGE.replace("@@", f"<p>{P} text{junk} tail</p><p>Last.</p>", 1)) == f"{P} text tail\nLast."
+
+
+@pytest.mark.parametrize("name", [
+    'class="share-price"', 'id="search-results"', 'class="form-and-function"', 'class="side-effects"', 'id="social-history"',
+    'class="review-discussion-of-methods"',
+])
+def test_a_word_in_a_name_is_no_name(name):
+    assert html_text.main_text(PAGE.replace("@@", f"<p>{P}</p><div {name}><p>Stays.</p></div>", 1)) == f"{P}\nStays."
+
+
+def test_ratios_choose_on_pages_without_article_and_names(monkeypatch):
+    menu = "".join(f'<li><a href="/{i}">Topic number {i}</a></li>' for i in range(8))
+    body = "".join(f"<p>{' '.join([P] * (3 + i % 2))}</p>" for i in range(6))
+    end = "".join(f"<span><a href=/{i}>Other {i}</a></span> " for i in range(4))
+    page = f"<body><div><ul>{menu}</ul></div><div><div>{body}</div><div>{end}</div></div><div><i>(c)</i> <b>us</b></div></body>"
+    wanted = "\n".join(" ".join([P] * (3 + i % 2)) for i in range(6))
+    assert html_text.main_text(page) == wanted
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios * 0 + 1)
+    assert html_text.main_text(page) != wanted
+
+
+def test_links_in_an_article_and_in_prose_stay():
+    refs = "<ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ul>"
+    assert html_text.main_text(PAGE.replace("@@", f"<p>{P}</p>{refs}", 1)).endswith("First source\nSecond source")
+    linked = "".join(f"<p>{P} <a href=/x>{P}</a> {P}</p>" for _ in range(4))
+    assert html_text.main_text(f"<body><div>{linked}</div></body>").count("\n") == 3

@@ -4,8 +4,10 @@ One pass of the standard library's parser turns a page into lines, one per block
 it took and the elements it stands in. Smoothed ratios above the page's spread mark the content lines. The region is the
 element that holds them: an article or main element where one holds most of their text, else the smallest element that
 holds nearly all of it. All its lines are kept in page order, but for those in menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments. Where no element but the page itself holds them, lines before the first and after
-the last content line stay only in the container of that line, and headings in front.
+adverts, forms and reader comments, be they elements of their own or words inside a line. Outside of article elements,
+containers without a content line whose text stands mostly in links are menus. Where no element but the page itself holds
+the content lines, lines before the first and after the last of them stay only in the container of that line, and headings
+in front.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ SMOOTH = 1.0
 ARTICLE_SHARE, REGION_SHARE = 0.5, 0.95
 #: An element hinted at by its class alone is not left out if it holds more than this share of the page's text.
 WHOLE_SHARE = 0.6
+#: A container without content lines is a menu if links hold more than this share of its text.
+LINK_SHARE = 0.6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript iframe svg math canvas object audio video map datalist".split())
@@ -44,35 +48,51 @@ PAGE = frozenset(["", "html", "body"])
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 HOLDERS = frozenset("ul ol dl table select article section div body main aside nav footer header form".split())
-# Words of a class or id that name what is not the article.
+# Words of a class or id that name what is not the article. A name counts if it is made of them and of words for a shape
+# or a place alone: "share-bar" does, "share-price" does not.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices notification newsletter subscribe subscription paywall popup modal overlay sidebar side rail menu nav "
     "navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer related recommended "
     "recommendations share sharing social widget widgets login signup search form skip".split())
-COMMENTS = frozenset("comment comments commentlist disqus respond replies reviews discussion".split())
-_words = re.compile(r"[A-Za-z]+")
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+REPLIES = frozenset("respond replies reviews discussion".split())
+SHAPES = frozenset(
+    "a area articles bar block body bottom box btn button buttons center col column container content count counter cta "
+    "desktop element global group holder icon icons icn inner item items left level line link links list main mobile module "
+    "outer page panel posts primary right row secondary section site slot small stories sticky tab text the title toggle "
+    "top unit view wrap wrapper zone".split())
+_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def named_for(names: str, words: frozenset[str]) -> bool:
+    """Whether one of the names holds one of the words, and otherwise only words for a shape or a place."""
+    for name in names.split():
+        parts = {w.lower() for w in _words.findall(name)}
+        if parts & words and parts <= words | HINTS | SHAPES:
+            return True
+    return False
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, element number) per line and (parent, tag, left out, hinted) per element."""
+    """Collects (pieces of text with their element, tags, block element) per line and (parent, tag, left out, hinted) per
+    element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[list[tuple[str, int]], int, int]] = []
         self.elements: list[tuple[int, str, bool, bool]] = [(-1, "", False, False)]
         self.stack: list[tuple[str, int]] = [("", 0)]
-        self.text: list[str] = []
+        self.text: list[tuple[str, int]] = []
         self.tags = 0
         self.hidden = 0
 
     def _end_line(self) -> None:
-        if self.text:
-            text = " ".join("".join(self.text).split())
-            self.text = []
-            if text:
-                self.lines.append((text, self.tags, self.stack[-1][1]))
-                self.tags = 0
+        pieces, self.text = self.text, []
+        if any(text and not text.isspace() for text, _ in pieces):
+            block = next(number for tag, number in reversed(self.stack) if tag in BLOCKS or not number)
+            self.lines.append((pieces, self.tags, block))
+            self.tags = 0
 
     def _close(self, depth: int) -> None:
         """Close open elements from ``depth`` on."""
@@ -85,7 +105,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", self.stack[-1][1]))
             return
         if tag in BLOCKS:
             ended = ENDS.get(tag, frozenset())
@@ -101,13 +121,15 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         named = dict(attrs)
-        words = {w.lower() for name in ("class", "id") for w in _words.findall(named.get(name) or "")}
+        names = f"{named.get('class') or ''} {named.get('id') or ''}"
+        words = {w.lower() for w in _words.findall(names)}
         invisible = "hidden" in named or (named.get("aria-hidden") or "").lower() == "true" \
             or "display:none" in (named.get("style") or "").replace(" ", "").lower()
         role = (named.get("role") or "").lower()
         whole = tag in CONTENT or tag in ("html", "body")
-        out = tag in OUTSIDE or invisible or role in ROLES or (bool(words & COMMENTS) and tag not in ("html", "body"))
-        hinted = not whole and bool(words & HINTS)
+        talk = bool(words & COMMENTS) or named_for(names, REPLIES)
+        out = tag in OUTSIDE or invisible or role in ROLES or (talk and tag not in ("html", "body"))
+        hinted = not whole and named_for(names, HINTS)
         kind = "main" if role in ("main", "article") else tag
         self.elements.append((self.stack[-1][1], kind, out, hinted))
         self.stack.append((tag, len(self.elements) - 1))
@@ -133,7 +155,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self.text.append(data)
+            self.text.append((data, self.stack[-1][1]))
 
     def close(self) -> None:
         super().close()
@@ -155,13 +177,16 @@ def main_text(html: str) -> str:
     lines, elements = parser.lines, parser.elements
     if not lines:
         return ""
-    sizes = np.array([len(text) for text, _, _ in lines])
-    # Text below each element, over all its lines.
-    mass = np.zeros(len(elements))
-    for (_, _, at), size in zip(lines, sizes, strict=True):
-        mass[at] += size
+    # Text below each element, and what of it stands in links.
+    mass, linked = np.zeros(len(elements)), np.zeros(len(elements))
+    for pieces, _, _ in lines:
+        for text, at in pieces:
+            mass[at] += len(text.strip())
     for number in range(len(elements) - 1, 0, -1):
+        if elements[number][1] == "a":
+            linked[number] = mass[number]
         mass[elements[number][0]] += mass[number]
+        linked[elements[number][0]] += linked[number]
     out = [False] * len(elements)
     article = [False] * len(elements)
     for number in range(1, len(elements)):
@@ -181,9 +206,12 @@ def main_text(html: str) -> str:
             at = elements[at][0]
         return False
 
-    inside = np.array([not out[at] for _, _, at in lines])
+    texts = [" ".join("".join(text for text, at in pieces if not out[at]).split()) for pieces, _, _ in lines]
+    inside = np.array([bool(text) and not out[at] for text, (_, _, at) in zip(texts, lines, strict=True)])
     if not inside.any():
         return ""
+    # What is left out weighs with its text too: it is part of the page that the clusters are taken from.
+    sizes = np.array([len(text) or sum(len(t.strip()) for t, _ in pieces) for text, (pieces, _, _) in zip(texts, lines, strict=True)])
     ratios = smoothed(sizes / np.maximum([tags for _, tags, _ in lines], 1))
     content = inside & (ratios >= min(ratios.std(), ratios[inside].max()))
     # Text of the content lines below each element.
@@ -203,14 +231,19 @@ def main_text(html: str) -> str:
     below = [n == region for n in range(len(elements))]
     for number in range(1, len(elements)):
         below[number] = below[number] or below[elements[number][0]]
-    chosen = [i for i, (_, _, at) in enumerate(lines) if below[at] and inside[i] and not in_header(at)]
+    menu = [False] * len(elements)
+    if not semantic:
+        for number in range(region + 1, len(elements)):
+            own = elements[number][1] in HOLDERS and not held[number] and linked[number] > LINK_SHARE * mass[number]
+            menu[number] = menu[elements[number][0]] or own
+    chosen = [i for i, (_, _, at) in enumerate(lines) if below[at] and inside[i] and not menu[at] and not in_header(at)]
     if not semantic and elements[region][1] in PAGE and content.any():
         # The whole page was chosen: beyond the content lines only what stands in the container of the first or last.
         first, last = np.flatnonzero(content)[[0, -1]]
         holder = [_holder(elements, at) for _, _, at in lines]
         chosen = [i for i in chosen if first <= i <= last or holder[i] == holder[first if i < first else last]
                   or elements[lines[i][2]][1] in HEADINGS and i < first]
-    return "\n".join(lines[i][0] for i in chosen)
+    return "\n".join(texts[i] for i in chosen)
 
 
 def _holder(elements: list[tuple[int, str, bool, bool]], at: int) -> int:
