@@ -4,6 +4,10 @@ Queries and items are hashed into blocks of bounded size. One task meets one
 query block and one item block, scores them with a matrix product and keeps k
 items per query; a rank over those survivors gives the answer. What is shuffled
 is each block once per opposite block, plus k rows per query and item block.
+
+Large cosine searches place the items by direction instead: a first pass over the
+nearest blocks gives each query a floor, and only blocks whose bound reaches it
+are asked again (``operators/near_blocks.py``).
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from tunewright import session
 from tunewright.functions import vectors
 from tunewright.functions.vectors import SCORE_DIGITS
+from tunewright.operators import near_blocks
 
 # Block scorers travel with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,6 +34,8 @@ QUERY_ROWS = 65_536
 ITEM_ROWS = 16_384
 SCORE_CELLS = 4_000_000
 LEAST_ROWS = 256
+#: Pairs from which on two passes with bounds cost less than scoring every pair.
+WORTH_PAIRS = 4_000_000_000
 
 
 def block_plan(n_queries: int, n_items: int, spread: int = 1, query_rows: int = QUERY_ROWS,
@@ -82,11 +89,16 @@ def paired_topk(queries: DataFrame, items: DataFrame, scorer: Callable, k: int,
     score matrices for consecutive runs of query rows; item rows arrive in
     ``item_ord`` order.
     """
-    spark = queries.sparkSession
     # Both sides are computed once; counting a written table reads file footers only.
     queries, items = session.settle(queries, "topk-queries"), session.settle(items, "topk-items")
-    query_blocks, item_blocks = block_plan(
-        queries.count(), items.count(), spark.sparkContext.defaultParallelism, query_rows, item_rows)
+    return _whole_topk(queries, items, queries.count(), items.count(), scorer, k, query_rows, item_rows)
+
+
+def _whole_topk(queries: DataFrame, items: DataFrame, n_queries: int, n_items: int, scorer: Callable, k: int,
+                query_rows: int, item_rows: int) -> DataFrame:
+    """Every query block meets every item block."""
+    spread = queries.sparkSession.sparkContext.defaultParallelism
+    query_blocks, item_blocks = block_plan(n_queries, n_items, spread, query_rows, item_rows)
 
     def side(df: DataFrame, key: str, own: str, blocks: int, other: str, copies: int) -> DataFrame:
         placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
@@ -94,6 +106,18 @@ def paired_topk(queries: DataFrame, items: DataFrame, scorer: Callable, k: int,
 
     left = side(queries, "query_id", "_qb", query_blocks, "_ib", item_blocks)
     right = side(items, "item_id", "_ib", item_blocks, "_qb", query_blocks)
+    survivors = _scored(left, right, scorer, k)
+    return survivors if item_blocks == 1 else _best(survivors, k)
+
+
+def _best(survivors: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_ord")
+    return survivors.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _scored(left: DataFrame, right: DataFrame, scorer: Callable, k: int) -> DataFrame:
+    """The k best items per query of each (``_qb``, ``_ib``) that both sides name."""
+    queries, items = left, right
     fields = {**{f.name: f.dataType.simpleString() for f in queries.select("query_id").schema},
               **{f.name: f.dataType.simpleString() for f in items.select("item_id", "item_ord").schema}}
     schema = ", ".join(f"{n} {t}" for n, t in fields.items()) + ", score double, rank int"
@@ -125,14 +149,39 @@ def paired_topk(queries: DataFrame, items: DataFrame, scorer: Callable, k: int,
             "rank": pa.array(np.concatenate(taken_r).astype(np.int32)),
         })
 
-    survivors = (
-        left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib"))
-        .applyInArrow(score_blocks, schema)
-    )
-    if item_blocks == 1:
-        return survivors
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_ord")
-    return survivors.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib")).applyInArrow(score_blocks, schema)
+
+
+def bounded_topk(queries: DataFrame, items: DataFrame, n_queries: int, n_items: int, k: int,
+                 query_rows: int = QUERY_ROWS, item_rows: int = ITEM_ROWS) -> tuple[DataFrame, DataFrame] | None:
+    """The k best items per query by cosine, and (``query_id``, ``_ib``) of every block that was asked.
+
+    ``queries`` and ``items`` are written tables with vectors of length 1 or 0. None where no item has a direction.
+    """
+    spread = queries.sparkSession.sparkContext.defaultParallelism
+    placed = near_blocks.item_blocks(items, n_items, item_rows)
+    if placed is None:
+        return None
+    offered, bands = session.settle(placed[0], "topk-items-by-direction"), placed[1]
+    n_blocks, _ = block_plan(n_queries, n_items, spread, query_rows, item_rows)
+    asking = near_blocks.query_blocks(queries, n_queries, n_blocks, query_rows)
+    asking = session.settle(near_blocks.first_bands(asking, bands, k), "topk-first-bands")
+
+    def searched(asked: DataFrame) -> DataFrame:
+        # An item block goes to the query blocks that ask it, each once.
+        pairs = asked.select(F.col("_qb").alias("_asking"), F.col("_ib").alias("_wanted")).distinct()
+        right = offered.join(pairs, F.col("_ib") == F.col("_wanted")).drop("_wanted").withColumnRenamed("_asking", "_qb")
+        return _scored(asked, right, cosine_scores, k)
+
+    once = session.settle(near_blocks.asked_blocks(asking, bands, again=False), "topk-asked-first")
+    found = session.settle(_best(searched(once), k), "topk-found-first")
+    floors = found.groupBy(F.col("query_id").alias("_id")).agg(
+        F.when(F.count(F.lit(1)) == k, F.min("score")).alias("_least"))
+    asking = asking.join(floors, F.col("query_id") == F.col("_id"), "left").withColumn(
+        "_floor", F.coalesce("_least", F.lit(-2.0))).drop("_id", "_least")
+    more = session.settle(near_blocks.asked_blocks(asking, bands, again=True), "topk-asked-again")
+    everything = found.unionByName(searched(more))
+    return _best(everything, k), once.unionByName(more).select("query_id", "_ib")
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -151,14 +200,25 @@ def cosine_scores(queries: pa.Table, items: pa.Table):
 
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, query_id: str = "user_id",
                 query_vector: str = "embedding", item_id: str = "song_id", item_ord: str = "song_ord",
-                item_vector: str = "embedding", out: str = "similarity", **blocks) -> DataFrame:
-    """The k items with the highest cosine per query; rows without a vector take no part."""
+                item_vector: str = "embedding", out: str = "similarity", query_rows: int = QUERY_ROWS,
+                item_rows: int = ITEM_ROWS, worth_pairs: int = WORTH_PAIRS) -> DataFrame:
+    """The k items with the highest cosine per query; rows without a vector take no part.
+
+    From ``worth_pairs`` pairs on, blocks of items that cannot enter a query's list are left out. Same rows either way.
+    """
     asked = queries.where(F.col(query_vector).isNotNull()).select(
         F.col(query_id).alias("query_id"), vectors.unit(query_vector).alias("vector"))
     offered = items.where(F.col(item_vector).isNotNull()).select(
         F.col(item_id).alias("item_id"), F.col(item_ord).alias("item_ord"),
         vectors.unit(item_vector).alias("vector"))
-    return paired_topk(asked, offered, cosine_scores, k, **blocks).select(
+    asked, offered = session.settle(asked, "topk-queries"), session.settle(offered, "topk-items")
+    n_queries, n_items = asked.count(), offered.count()
+    found = bounded_topk(asked, offered, n_queries, n_items, k, query_rows, item_rows) if n_queries * n_items >= worth_pairs else None
+    if found is None:
+        best = _whole_topk(asked, offered, n_queries, n_items, cosine_scores, k, query_rows, item_rows)
+    else:
+        best = found[0]
+    return best.select(
         F.col("query_id").alias(query_id), F.col("item_id").alias(item_id),
         F.col("item_ord").alias("item_ord"), F.col("score").alias(out), "rank")
 
