@@ -92,6 +92,11 @@ def user_x_song(spark, sf):
     return _nearest(spark, sf, 10)
 
 
+@query("user_x_song_by_angle", check(_NEAREST.format(k=5), "user_vec", "vec"), doubles=("similarity",))
+def user_x_song_by_angle(spark, sf):
+    return _nearest(spark, sf, 5, item_rows=128, worth_pairs=0)
+
+
 @query("cosine_batch", check(_NEAREST.format(k=1), "user_vec", "vec"), doubles=("similarity",))
 def cosine_batch(spark, sf):
     return _nearest(spark, sf, 1, item_rows=128)
