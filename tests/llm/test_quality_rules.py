@@ -50,7 +50,7 @@ def test_outliers_go_and_ordinary_documents_stay(documents):
 
 
 def test_distances_match_plain_concentration_steps(documents, spark):
-    """One group: the same steps in numpy, on the same grid."""
+    """One group: both starts, the same steps and the choice by determinant in numpy, on the same grid."""
     rng = random.Random(3)
     rows = [(i, prose(rng, rng.randrange(40, 200)) + " #" * rng.randrange(3) + "\nq" * rng.randrange(3)) for i in range(200)]
     out = quality_rules.judge(documents(rows)).filter("NOT base_failed").collect()
@@ -64,18 +64,45 @@ def test_distances_match_plain_concentration_steps(documents, spark):
     mean = np.array([grid(c, 0.5) for c in x.T])
     scatter = np.diag([((grid(c, 0.75) - grid(c, 0.25)) / 1.349) ** 2 for c in x.T])
 
-    def distance():
+    def distance(mean, scatter):
         return np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(scatter + noise), x - mean)
 
-    for _ in range(quality_rules.STEPS):
-        cells = np.floor(quality_rules.CELLS * np.log2(distance() + 2.0 ** -10))
+    def step(mean, scatter):
+        cells = np.floor(quality_rules.CELLS * np.log2(distance(mean, scatter) + 2.0 ** -10))
         order = np.sort(cells)
         last = max(c for c in set(cells) if (order < c).sum() < quality_rules.CORE * len(cells))
         core = x[cells <= last]
         # The language's mean sums are those of this only group: the prior changes nothing.
-        mean, scatter = core.mean(0), quality_rules.CONSISTENCY * np.cov(core.T, bias=True)
-    np.testing.assert_allclose([r.d2 for r in out], distance(), rtol=1e-6, atol=1e-9)
-    assert [r.kept for r in out] == list(distance() <= quality_rules.CUT)
+        return core.mean(0), quality_rules.CONSISTENCY * np.cov(core.T, bias=True)
+
+    def lower(now, other):
+        one, two = (np.linalg.slogdet(e[1] + noise)[1] for e in (now, other))
+        return other if two < one - quality_rules.LEAST_FALL else now
+
+    def follow(estimate):
+        estimate = step(*estimate)
+        for _ in range(quality_rules.STEPS - 1):
+            estimate = lower(estimate, step(*estimate))
+        return estimate
+
+    weight = 1 / (1 + distance(mean, scatter))
+    second = np.average(x, axis=0, weights=weight), quality_rules.CONSISTENCY * np.cov(x.T, bias=True, aweights=weight)
+    best = distance(*lower(follow((mean, scatter)), follow(second)))
+    np.testing.assert_allclose([r.d2 for r in out], best, rtol=1e-6, atol=1e-9)
+    assert [r.kept for r in out] == list(best <= quality_rules.CUT)
+
+
+def test_each_group_keeps_the_smaller_determinant(spark):
+    names = [*[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)]]
+    columns = ", ".join(f"{n} double" for n in names)
+
+    def estimates(*dets):
+        rows = [("en" if g else None, f"s{g}", *[float(d)] * len(names), float(d), salt) for g, d in enumerate(dets) for salt in range(2)]
+        return spark.createDataFrame(rows, f"lang string, source string, {columns}, logdet double, salt int")
+
+    got, fell = quality_rules.smaller(estimates(3, 1, 2), estimates(1, 2, 2))
+    assert fell and {(r.source, r.m0, r.logdet) for r in got.collect()} == {("s0", 1.0, 1.0), ("s1", 1.0, 1.0), ("s2", 2.0, 2.0)}
+    assert not quality_rules.smaller(estimates(1, 2), estimates(1, 2))[1]
 
 
 def test_empty_table_clashing_columns_and_repeated_rows(documents):

@@ -2,8 +2,9 @@
 
 Word, symbol and repetition statistics of each document are turned into a short vector. For each (lang, source) a
 minimum-covariance-determinant estimate of centre and scatter is found by concentration steps: the three quarters of
-the rows closest to the present estimate give the next one. Documents whose Mahalanobis distance from the final
-estimate exceeds the cut are rejected.
+the rows closest to the present estimate give the next one, as long as the determinant falls. Two starts are followed
+(medians with quartile spreads, and a scatter in which far rows weigh little); each group keeps the estimate of the
+smaller determinant. Documents whose Mahalanobis distance from it exceeds the cut are rejected.
 
 All of it is DataFrame work. A group's rows never meet in one task: a concentration step sums rows per (group,
 distance cell) with map-side partial sums, and the cells of a group (a fixed grid, at most a few hundred) are then
@@ -36,7 +37,9 @@ ONCE = {"n_dup_lines": 1, "n_repeat_words": 2 * WINDOW}
 PRIOR_ROWS = 50.0
 #: Share of the rows that the determinant is minimised over.
 CORE = 0.75
-STEPS = 3
+#: Concentration steps of a start at most, and the fall of the log determinant that counts as one.
+STEPS = 4
+LEAST_FALL = 1e-6
 #: Squared Mahalanobis distance beyond which a document is an outlier: the 1 - 1e-5 quantile of chi-square with
 #: four degrees of freedom. Statistics of text have heavier tails than the normal law.
 CUT = 28.5
@@ -132,7 +135,8 @@ def start(rows: DataFrame) -> DataFrame:
 
 
 def whitening(estimate: DataFrame) -> DataFrame:
-    """Cholesky factor ``l<i><j>`` of scatter plus noise, one row per (group, salt), written so its size is known."""
+    """Cholesky factor ``l<i><j>`` and ``logdet`` of scatter plus noise, one row per (group, salt), written so its size is
+    known."""
     df = estimate
     for i in range(len(VECTOR)):
         for j in range(i + 1):
@@ -140,8 +144,9 @@ def whitening(estimate: DataFrame) -> DataFrame:
             for k in range(j):
                 left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", F.sqrt(left) if i == j else left / F.col(f"l{j}{j}"))
+    logdet = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, len(VECTOR))), 2 * F.log(F.col("l00")))
     df = df.select("lang", "source", *[f"m{i}" for i in range(len(VECTOR))], *[f"l{i}{j}" for i, j in _pairs()],
-                   F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+                   logdet.alias("logdet"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return settle(df, "quality-estimate")
 
 
@@ -195,14 +200,48 @@ def moments(groups: DataFrame, names: list[str]) -> DataFrame:
                        for (i, j), s in scatter.items()])
 
 
+def weighted(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """A second start: centre and scatter of all rows of a group, each with the weight 1 / (1 + squared distance)."""
+    near = with_distance(rows, factors).withColumn("w", 1.0 / (1.0 + F.col("d2")))
+    sums = {"n": F.col("w")}
+    sums |= {f"t{i}": F.col("w") * F.col(x) for i, x in enumerate(VECTOR)}
+    sums |= {f"q{i}{j}": F.col("w") * F.col(VECTOR[i]) * F.col(VECTOR[j]) for i, j in _pairs()}
+    groups = near.groupBy("lang", "source").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return moments(groups, list(sums))
+
+
+def smaller(factors: DataFrame, others: DataFrame) -> tuple[DataFrame, bool]:
+    """Per group the estimate of the smaller determinant, ``factors`` where they are equal; whether any is of ``others``."""
+    given = others.withColumnsRenamed({c: f"_{c}" for c in others.columns})
+    on = (F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+          & (F.col("salt") == F.col("_salt")))
+    fell = F.coalesce(F.col("_logdet") < F.col("logdet") - LEAST_FALL, F.lit(False))
+    named = {"lang", "source", "salt"}
+    both = factors.join(given, on, "left").select(
+        *[(F.col(c) if c in named else F.when(fell, F.col(f"_{c}")).otherwise(F.col(c))).alias(c) for c in factors.columns],
+        fell.alias("_fell"))
+    both = settle(both, "quality-smaller")
+    return both.drop("_fell"), not both.filter("_fell").isEmpty()
+
+
+def converged(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """Concentration steps from a start until no group's determinant falls, ``STEPS`` at most."""
+    factors = whitening(concentrate(rows, factors))
+    for _ in range(STEPS - 1):
+        factors, fell = smaller(factors, whitening(concentrate(rows, factors)))
+        if not fell:
+            break
+    return factors
+
+
 def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``_row``, the statistics and ``kept``; the written statistics are read again for each step."""
     noted = settle(annotate(docs, carry), "quality-statistics")
     salt = F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "n_repeat_words"), F.lit(SALTS)).cast("int")
     rows = noted.filter(~F.col("base_failed")).select("lang", "source", *vector(), salt.alias("salt"))
-    factors = whitening(start(rows))
-    for _ in range(STEPS):
-        factors = whitening(concentrate(rows, factors))
+    first = whitening(start(rows))
+    second = whitening(weighted(rows, first))
+    factors, _ = smaller(converged(rows, first), converged(rows, second))
     judged = with_distance(noted.select("*", *vector(), salt.alias("salt")), factors)
     inside = F.coalesce(F.col("d2") <= CUT, F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & inside)
