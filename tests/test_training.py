@@ -130,3 +130,25 @@ def test_nulls_few_rows_and_no_rows(spark):
     few = boosting.fit(spark.createDataFrame(rows[:15], schema), ["a", "b"], 2, 31, 0.5, 3)
     assert [t.leaves() for t in few.trees] == [1, 1]
     assert boosting.fit(spark.createDataFrame([], schema), ["a", "b"], 2, 31, 0.5, 3).trees == []
+
+
+def test_a_pass_is_one_job_and_comes_to_the_trees_of_one_task(spark, monkeypatch):
+    table = learning_table(spark).withColumn("weight", F.lit(1.0)).withColumn("held_out", F.col("user_id") < 6)
+    whole = boosting.fit(table, fixed.FEATURES, 4, 8, 0.2, 50)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 0)
+    monkeypatch.setattr(boosting, "DEALT_ROWS", 200)
+    seen, measure = [], boosting.InPasses.measure
+    tracker = spark.sparkContext.statusTracker()
+
+    def counted(self, growing, waiting):
+        spark.sparkContext.setJobGroup(f"pass-{len(seen)}", "pass")
+        found = measure(self, growing, waiting)
+        seen.append(len(tracker.getJobIdsForGroup(f"pass-{len(seen)}")))
+        return found
+
+    monkeypatch.setattr(boosting.InPasses, "measure", counted)
+    dealt = boosting.fit(table, fixed.FEATURES, 4, 8, 0.2, 50)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # The first pass also packs the rows.
+    assert len(seen) > 8 and set(seen[1:]) == {1}
+    assert whole.trees == dealt.trees and whole.losses == dealt.losses

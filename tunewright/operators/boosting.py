@@ -7,18 +7,22 @@ split are among the best known ones, one pass measures the children of all of th
 is deep, and grows as if leaves had been split one after the other. Sums are whole numbers of a fixed unit: their order,
 and a task that runs again, change nothing. The pass for the root of a tree also gives the held-out loss of the trees
 before, so boosting ends in one run, and the model is cut to its best number of trees.
+
+The rows of passes are packed into arrays that executors keep (a persisted RDD), so a pass is one short job of one stage:
+no file is read, nothing is shuffled, and a tree's margins are added once.
 """
 
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +30,12 @@ from tunewright import session
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Bins per feature, rows and second derivatives that each side of a split needs, trees between written margins.
+#: Bins per feature, rows and second derivatives that each side of a split needs, trees between checkpoints of the margins.
 BINS, LEAST_ROWS, LEAST_HESSIAN, MARGIN_TREES = 255, 20, 1e-3, 20
 #: Rows that one task boosts by itself (some 10 MB); a pass over all tasks costs more than they do.
 TASK_ROWS = 200_000
+#: Rows that pay for a task of their own in a pass, and rows of a task at most (some 100 bytes each).
+DEALT_ROWS, HELD_ROWS = 50_000, 2_000_000
 #: Bits of a sum, and of the part of one row at most.
 SUM_BITS, ROW_BITS = 61, 40
 #: The cell that holds the held-out loss.
@@ -250,31 +256,45 @@ def binned_rows(rows: DataFrame, features: list[str], cuts: list[np.ndarray]) ->
     return session.settle(chosen.mapInArrow(place, ", ".join(map(" ".join, zip(names, kinds, strict=True)))), "boosting-rows")
 
 
-def add_up(bins: np.ndarray, margin: np.ndarray, label: np.ndarray, weight: np.ndarray, held_out: np.ndarray, growing: Tree,
-           waiting: list[int], unit: float) -> tuple[np.ndarray, int]:
-    """Whole sums of some rows per (waiting node, feature, bin) as (gradients, second derivatives, rows), and the
+def halves_of(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, held_out: np.ndarray,
+              unit: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Whole gradients and second derivatives of the rows, each as two halves that doubles add exactly, and the
     held-out rows' loss."""
-    features, width = len(bins), BINS + 1
-    total = np.zeros((3, len(waiting) * features * width), dtype=np.int64)
-    place = np.full(len(growing.feature), -1)
-    place[waiting] = np.arange(len(waiting))
     chance = 1.0 / (1.0 + np.exp(-margin))
     right = np.where(label[held_out] > 0, chance[held_out], 1.0 - chance[held_out])
     loss = int(np.rint(-weight[held_out] * np.log(np.maximum(right, FLOOR)) * unit).astype(np.int64).sum())
-    leaf = place[growing.leaf_of(bins)]
-    used = ~held_out & (leaf >= 0)
-    leaf, chance, label, weight = leaf[used], chance[used], label[used], weight[used]
     halves = []
     for part in (weight * (chance - label), weight * chance * (1.0 - chance)):
         whole = np.rint(part * unit).astype(np.int64)
-        # Halves that doubles add exactly.
-        halves.append((whole >> 26, whole & ((1 << 26) - 1)))
+        halves.append(((whole >> 26).astype(float), (whole & ((1 << 26) - 1)).astype(float)))
+    return halves, loss
+
+
+def cell_sums(bins: np.ndarray, halves: list[tuple[np.ndarray, np.ndarray]], leaf: np.ndarray, used: np.ndarray,
+              waiting: int) -> np.ndarray:
+    """Whole sums of the ``used`` rows per (leaf, feature, bin) as (gradients, second derivatives, rows)."""
+    features, width = len(bins), BINS + 1
+    total = np.zeros((3, waiting, features, width), dtype=np.int64)
+    leaf = leaf[used] * width
+    halves = [(high[used], low[used]) for high, low in halves]
     for f in range(features):
-        cell = (leaf * features + f) * width + bins[f][used]
+        cell = leaf + bins[f][used]
+        count = lambda values: np.bincount(cell, values, waiting * width).astype(np.int64).reshape(waiting, width)
         for i, (high, low) in enumerate(halves):
-            total[i] += (np.bincount(cell, high, total.shape[1]).astype(np.int64) << 26) + np.bincount(cell, low, total.shape[1]).astype(np.int64)
-        total[2] += np.bincount(cell, minlength=total.shape[1])
-    return total, loss
+            total[i, :, f] = (count(high) << 26) + count(low)
+        total[2, :, f] = count(None)
+    return total.reshape(3, -1)
+
+
+def add_up(bins: np.ndarray, margin: np.ndarray, label: np.ndarray, weight: np.ndarray, held_out: np.ndarray, growing: Tree,
+           waiting: list[int], unit: float) -> tuple[np.ndarray, int]:
+    """Whole sums of some rows per (waiting node, feature, bin) as (gradients, second derivatives, rows), and the
+    held-out rows' loss."""
+    place = np.full(len(growing.feature), -1)
+    place[waiting] = np.arange(len(waiting))
+    halves, loss = halves_of(margin, label, weight, held_out, unit)
+    leaf = place[growing.leaf_of(bins)]
+    return cell_sums(bins, halves, leaf, np.flatnonzero(~held_out & (leaf >= 0)), len(waiting)), loss
 
 
 def sums_by_node(total: np.ndarray, features: int, waiting: list[int], unit: float) -> dict[int, Sums]:
@@ -307,42 +327,66 @@ class InTask:
 
 
 class InPasses:
-    """Rows of any number: each measurement is a pass in which every task adds up its own."""
+    """Rows of any number, packed into arrays: each measurement is a pass in which every task adds up its own."""
 
     def __init__(self, rows: DataFrame, features: int, unit: float):
-        self.rows, self.features, self.unit = rows, features, unit
-        self.pending: list[Tree] = []
+        self.features, self.unit, self.taken = features, unit, 0
+        session.shared_root(rows.sparkSession)
+        # Counting a written table reads file footers only.
+        n = rows.count()
+        tasks = max(min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // DEALT_ROWS)), -(-n // HELD_ROWS), 1)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if held:
+                bins, margin, label, weight, held_out = columns_of(pa.Table.from_batches(held), features)
+                packed = bins.astype(np.uint8), margin, label, weight, held_out
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in packed], names=names)
+
+        def arrays(row) -> tuple[np.ndarray, ...]:
+            kinds = np.uint8, float, float, float, bool
+            bins, *rest = (np.frombuffer(part, dtype=kind) for part, kind in zip(row, kinds, strict=True))
+            return bins.reshape(features, -1), *rest
+
+        names = ["bins", "margin", "label", "weight", "held_out"]
+        # Dealt row by row, so that the tasks hold equally many.
+        packed = rows.repartition(tasks).mapInArrow(pack, ", ".join(f"{c} binary" for c in names))
+        self.rows = packed.rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
+        self.before = None
 
     def measure(self, growing: Tree, waiting: list[int]) -> tuple[dict[int, Sums], float]:
-        features, unit, pending = self.features, self.unit, list(self.pending)
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, loss = np.zeros((3, len(waiting) * features * (BINS + 1)), dtype=np.int64), 0
-            for batch in batches:
-                if batch.num_rows:
-                    bins, margin, *rest = columns_of(batch, features)
-                    for tree in pending:
-                        margin += np.array(tree.value)[tree.leaf_of(bins)]
-                    more, lost = add_up(bins, margin, *rest, growing, waiting, unit)
-                    total, loss = total + more, loss + lost
-            full = np.flatnonzero(total[2])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(full, LOSS)), *[pa.array(np.append(total[i][full], loss if i == 0 else 0)) for i in range(3)]],
-                names=["cell", "g", "h", "n"])
-
-        parts = self.rows.mapInArrow(add, "cell bigint, g bigint, h bigint, n bigint")
-        # At most one row per (leaf, feature, bin).
-        sums = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
-        cell = sums.column("cell").to_numpy()
-        total = np.zeros((3, len(waiting) * features * (BINS + 1)), dtype=np.int64)
-        for i, name in enumerate("ghn"):
-            total[i][cell[cell >= 0]] = sums.column(name).to_numpy()[cell >= 0]
-        return sums_by_node(total, features, waiting, unit), float(sums.column("g").to_numpy()[cell < 0].sum()) / unit
+        features, unit = self.features, self.unit
+
+        def add(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[bytes]:
+            for part in parts:
+                total, loss = add_up(*part, growing, waiting, unit)
+                yield zlib.compress(np.append(total.ravel(), loss).tobytes(), 1)
+
+        everything = np.zeros(3 * len(waiting) * features * (BINS + 1) + 1, dtype=np.int64)
+        # Sums only, of one chunk per task.
+        for found in self.rows.mapPartitions(add).collect():
+            everything += np.frombuffer(zlib.decompress(found), dtype=np.int64)
+        return sums_by_node(everything[:-1].reshape(3, -1), features, waiting, unit), float(everything[-1]) / unit
 
     def take(self, tree: Tree) -> None:
-        self.pending.append(tree)
-        if len(self.pending) == MARGIN_TREES:
-            self.rows, self.pending = with_margins(self.rows, self.features, self.pending), []
+        def update(part: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+            bins, margin, *rest = part
+            return bins, margin + np.array(tree.value)[tree.leaf_of(bins)], *rest
+
+        self._drop()
+        self.before, self.rows = self.rows, self.rows.map(update).persist(StorageLevel.MEMORY_AND_DISK)
+        self.taken += 1
+        if self.taken % MARGIN_TREES == 0:
+            self.rows.checkpoint()
+
+    def _drop(self) -> None:
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
+
+    def close(self) -> None:
+        self._drop()
+        self.rows.unpersist()
 
 
 def boosted(rows: InTask | InPasses, cuts: list[np.ndarray], trees: int, leaves: int, rate: float, patience: int,
@@ -372,18 +416,6 @@ def boosted(rows: InTask | InPasses, cuts: list[np.ndarray], trees: int, leaves:
     return (grown[:best + 1] if losses else grown), losses
 
 
-def with_margins(rows: DataFrame, features: int, pending: list[Tree]) -> DataFrame:
-    def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                bins, margin, *_ = columns_of(batch, features)
-                for tree in pending:
-                    margin += np.array(tree.value)[tree.leaf_of(bins)]
-                yield batch.set_column(batch.num_columns - 1, "margin", pa.array(margin))
-
-    return session.settle(rows.mapInArrow(update, rows.schema), "boosting-rows")
-
-
 def fit(rows: DataFrame, features: list[str], trees: int, leaves: int, rate: float, patience: int) -> Ranker:
     """Boost on rows with the features, ``label`` 0 or 1, ``weight`` and ``held_out``.
 
@@ -403,7 +435,11 @@ def fit(rows: DataFrame, features: list[str], trees: int, leaves: int, rate: flo
     binned = binned_rows(rows, features, cuts)
     settings = (cuts, trees, leaves, rate, patience, bool(size["held_out"]))
     if size["n"] > TASK_ROWS:
-        return Ranker(features, *boosted(InPasses(binned, len(features), unit), *settings))
+        passes = InPasses(binned, len(features), unit)
+        try:
+            return Ranker(features, *boosted(passes, *settings))
+        finally:
+            passes.close()
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, losses = boosted(InTask(pa.Table.from_batches(batches), len(features), unit), *settings)
