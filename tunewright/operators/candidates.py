@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tunewright import session
 from tunewright.functions import fixed
 from tunewright.operators import similarity
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SECOND_LIST = 1 << 60
+#: (user, artist) rows per block of users, on average.
+ASKED_ROWS = 16_384
 
 
 def _days(count: int) -> Column:
@@ -50,11 +62,60 @@ def _leading(songs: DataFrame, key: str, limit: int) -> DataFrame:
     return songs.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
 
 
-def _leading_per_user(matches: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` distinct songs per user in catalog order, numbered ``pos``."""
-    distinct = matches.select("user_id", "song_id", "song_ord").distinct()
-    first = Window.partitionBy("user_id").orderBy("song_ord")
-    return distinct.withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= limit)
+def dense_rank(values: pa.Array) -> np.ndarray:
+    """Place of each value among the distinct ones, from 0; a null is the smallest."""
+    return pc.rank(values, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64) - 1
+
+
+def merged(asked: pa.Table, lists: pa.Table, limit: int) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
+    """(user, song_id, song_ord, pos): per user the first songs in catalog order of all lists asked for, each song once."""
+    users = asked.column("user_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    held = lists.column("songs").combine_chunks()
+    songs = held.flatten()
+    ords, ids = songs.field("song_ord"), songs.field("song_id")
+    if not len(songs):
+        return users.dictionary.slice(0, 0), ids, ords, np.zeros(0, dtype=np.int32)
+    by_id = dense_rank(ids)
+    entry, place = np.unique(dense_rank(ords) * (by_id.max() + 1) + by_id, return_index=True, return_inverse=True)[1:]
+    at = pc.index_in(asked.column("artist"), value_set=lists.column("named").combine_chunks(), skip_nulls=True)
+    known = at.combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+    at = at.drop_null().to_numpy()
+    lengths = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    begins = np.cumsum(lengths) - lengths
+    user = users.indices.to_numpy(zero_copy_only=False)[known].astype(np.int64)
+    # Every asked list end to end, as places in the order of songs; one number orders users and songs.
+    n = lengths[at]
+    where = np.repeat(begins[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    key = np.unique(np.repeat(user, n) * len(entry) + place[where])
+    user, place = np.divmod(key, len(entry))
+    pos = np.arange(len(user)) - np.searchsorted(user, user) + 1
+    kept = pos <= limit
+    taken = pa.array(entry[place[kept]])
+    return users.dictionary.take(pa.array(user[kept])), ids.take(taken), ords.take(taken), pos[kept].astype(np.int32)
+
+
+def _leading_per_user(asked: DataFrame, offered: DataFrame, limit: int) -> DataFrame:
+    """First ``limit`` distinct songs per user in catalog order, numbered ``pos``.
+
+    ``asked`` has ``user_id, artist``, ``offered`` each artist's leading songs. Users are hashed into blocks of bounded
+    size; an artist's songs go once, as one list, to each block that asks for them, so no row per user and offered song
+    is made but those that are kept.
+    """
+    asked = session.settle(asked, "asked-artists")
+    parallel = asked.sparkSession.sparkContext.defaultParallelism
+    # Counting a written table reads file footers only.
+    blocks = max(parallel, -(-asked.count() // ASKED_ROWS))
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int"))
+    lists = offered.groupBy(F.col("artist").alias("named")).agg(F.collect_list(F.struct("song_ord", "song_id")).alias("songs"))
+    wanted = asked.select(F.col("_block").alias("_to"), F.col("artist").alias("named")).distinct().join(lists, "named")
+
+    def first(some: pa.Table, theirs: pa.Table) -> pa.Table:
+        user, song, ords, pos = merged(some, theirs, limit)
+        return pa.table({"user_id": user, "song_id": song, "song_ord": ords, "pos": pa.array(pos)})
+
+    kinds = [asked.schema["user_id"], offered.schema["song_id"], offered.schema["song_ord"]]
+    schema = T.StructType([*[T.StructField(k.name, k.dataType) for k in kinds], T.StructField("pos", T.IntegerType())])
+    return asked.groupBy("_block").cogroup(wanted.groupBy("_to")).applyInArrow(first, schema)
 
 
 def similar_artist_songs(songs: DataFrame, top_artists: DataFrame,
@@ -64,19 +125,14 @@ def similar_artist_songs(songs: DataFrame, top_artists: DataFrame,
     A user's first ``limit`` songs can only come from the first ``limit`` songs
     of each artist, so artists are cut before the join.
     """
-    offered = _leading(songs.select("artist_id", "song_id", "song_ord"), "artist_id", limit)
-    asked = top_artists.select("user_id", "artist_id").repartition("user_id")
-    return _leading_per_user(asked.join(offered, "artist_id"), limit)
+    offered = _leading(songs.select(F.col("artist_id").alias("artist"), "song_id", "song_ord"), "artist", limit)
+    return _leading_per_user(top_artists.select("user_id", F.col("artist_id").alias("artist")), offered, limit)
 
 
 def known_artist_songs(songs: DataFrame, users: DataFrame, limit: int = fixed.POOL_SIZE) -> DataFrame:
     """Songs any of whose artists the user knows, the first ``limit`` in catalog order."""
     credits = songs.select(F.explode("artists").alias("artist"), "song_id", "song_ord")
-    offered = _leading(credits, "artist", limit)
-    # Placing the few (user, artist) rows by user first spares an exchange of the
-    # many matches whenever the offered songs are broadcast.
-    asked = known_artists(users).repartition("user_id")
-    return _leading_per_user(asked.join(offered, "artist"), limit)
+    return _leading_per_user(known_artists(users), _leading(credits, "artist", limit), limit)
 
 
 def ordered_union(first: DataFrame, second: DataFrame, limit: int = fixed.POOL_SIZE) -> DataFrame:
