@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tunewright.operators import pair_dots
+from tunewright.operators import pair_dots, ranking
 
 
 @pytest.mark.parametrize("user_rows, song_rows", [(1_000, 1_000), (7, 5), (100, 1)])
@@ -39,3 +40,29 @@ def test_nothing_to_score(spark):
     assert pair_dots.pair_dots(pairs, {"u": vectors}, {"s": songs}, {"d": ("u", "s")}).collect() == []
     one = spark.createDataFrame([(1, 2)], "user_id int, song_id int")
     assert [tuple(r) for r in pair_dots.pair_dots(one, {"u": vectors}, {"s": songs}, {"d": ("u", "s")}).collect()] == [(1, 2, None)]
+
+
+@pytest.mark.parametrize("user_rows, song_rows", [(1_000, 1_000), (3, 2)])
+def test_columns_of_the_songs_travel_with_the_vectors(spark, user_rows, song_rows):
+    pairs = [(u, s, u * 10 + s) for u in range(8) for s in range(6)] + [(1, None, 7), (None, 2, 8), (1, 2, 12)]
+    table = spark.createDataFrame(pairs, "user_id int, song_id int, cand_pos int")
+    left = spark.createDataFrame([(u, [float(u)]) for u in range(7)], "user_id int, vector array<double>")
+    right = spark.createDataFrame([(s, [2.0]) for s in range(1, 9)], "song_id int, vector array<double>")
+    beside = spark.createDataFrame([(s, f"a{s}" if s else None, s / 4) for s in range(5)], "song_id int, artist_id string, fresh double")
+    got = pair_dots.pair_dots(table, {"u": left}, {"s": right}, {"d": ("u", "s")}, user_rows, song_rows, beside)
+    assert got.columns == ["user_id", "song_id", "cand_pos", "artist_id", "fresh", "d"]
+    want = [(u, s, c, f"a{s}" if s else None, s / 4, 2.0 * u if s and u is not None and u < 7 else None)
+            for u, s, c in pairs if s is not None and s < 5]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_ranking_features_need_no_exchange_by_song(spark):
+    songs = spark.sql("SELECT id AS song_id, id AS song_ord, 'a' AS artist_id, TIMESTAMP'2001-01-01' AS released, 0.5D AS popularity_norm FROM range(20)")
+    found = spark.sql("SELECT id AS user_id, 3L AS song_id, 1 AS cand_pos FROM range(5)")
+    both = spark.sql("SELECT id AS song_id, array(1.0D, 2.0D) AS embedding FROM range(20)")
+    users = spark.sql("SELECT id AS user_id, array(1.0D, 2.0D) AS embedding FROM range(5)")
+    features = ranking.rank_features(found, songs, F.lit("2001-12-31").cast("timestamp"),
+                                     song_vectors=both, user_vectors=users)
+    plan = features._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "cand_pos" in line for line in plan.splitlines()) and "Join Inner, (song_id" not in plan
+    assert [r.content_similarity for r in features.collect()] == [1.0] * 5

@@ -1,7 +1,8 @@
 """Dot products of given (user, song) pairs; vectors travel beside blocks of pairs, never beside a pair.
 
 Users and songs are hashed into blocks of bounded size. Pairs are grouped by (user block, song block), a user's vectors
-are sent to each song block and a song's to each user block once, and one task scores the pairs of two blocks.
+are sent to each song block and a song's to each user block once, and one task scores the pairs of two blocks. Columns of
+the songs travel the same way, so the pairs are exchanged once and never sorted by song.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Users and songs per block at most, and pairs multiplied at a time.
 USER_ROWS, SONG_ROWS, PAIR_ROWS = 32_768, 32_768, 65_536
+#: The role of a song's columns.
+BESIDE = "beside"
 
 
 def matrix(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,11 +37,13 @@ def matrix(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_dots(pairs: DataFrame, by_user: dict[str, DataFrame], by_song: dict[str, DataFrame],
-              wanted: dict[str, tuple[str, str]], user_rows: int | None = None, song_rows: int | None = None) -> DataFrame:
+              wanted: dict[str, tuple[str, str]], user_rows: int | None = None, song_rows: int | None = None,
+              beside: DataFrame | None = None) -> DataFrame:
     """``pairs`` with one more column per entry of ``wanted``: the dot product of a vector of the user and one of the song.
 
     ``by_user`` has tables ``user_id, vector`` by role, ``by_song`` tables ``song_id, vector``; ids are unique in each.
     The product is null where a vector is missing, holds a null, or has another length than the song's side.
+    ``beside`` has one row per ``song_id`` and further columns: they are added to the pairs, and pairs without it drop out.
     """
     spark = pairs.sparkSession
 
@@ -68,11 +73,25 @@ def pair_dots(pairs: DataFrame, by_user: dict[str, DataFrame], by_song: dict[str
     sent = sent.unionByName(songs.select(
         every(user_blocks).alias("ub"), block("song_id", song_blocks).alias("sb"), "role",
         F.lit(None).cast(user_kind).alias("of_user"), F.col("song_id").cast(song_kind).alias("of_song"), "vector"))
-    names = pairs.columns
+    names, added = pairs.columns, []
+    if beside is not None:
+        added = [f for f in beside.schema.fields if f.name != "song_id"]
+        sent = sent.unionByName(beside.select(
+            every(user_blocks).alias("ub"), block("song_id", song_blocks).alias("sb"), F.lit(BESIDE).alias("role"),
+            F.col("song_id").cast(song_kind).alias("of_song"), F.struct(*[f.name for f in added]).alias("columns")),
+            allowMissingColumns=True)
 
     def score(some: pa.Table, vectors: pa.Table) -> pa.Table:
         some = some.select(names)
         held = {}
+        if added:
+            table = vectors.filter(pc.equal(vectors.column("role"), BESIDE)).combine_chunks()
+            at = pc.index_in(some.column("song_id"), value_set=table.column("of_song").combine_chunks(), skip_nulls=True)
+            known = at.is_valid()
+            some, at = some.filter(known), at.filter(known).combine_chunks()
+            columns = table.column("columns").combine_chunks()
+            for f in added:
+                some = some.append_column(f.name, columns.field(f.name).take(at))
         for name, (user_role, song_role) in wanted.items():
             ids = {}
             for role, key, column in ((user_role, "user_id", "of_user"), (song_role, "song_id", "of_song")):
@@ -95,5 +114,5 @@ def pair_dots(pairs: DataFrame, by_user: dict[str, DataFrame], by_song: dict[str
             some = some.append_column(name, pa.array(out, mask=~both))
         return some
 
-    schema = T.StructType([*pairs.schema.fields, *[T.StructField(name, T.DoubleType()) for name in wanted]])
+    schema = T.StructType([*pairs.schema.fields, *[T.StructField(f.name, f.dataType) for f in added], *[T.StructField(name, T.DoubleType()) for name in wanted]])
     return left.groupBy("_ub", "_sb").cogroup(sent.groupBy("ub", "sb")).applyInArrow(score, schema)

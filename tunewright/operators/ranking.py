@@ -31,14 +31,13 @@ def rank_features(candidates: DataFrame, songs: DataFrame, as_of: Column,
     """The six ranking features per (user, candidate).
 
     Absent inputs leave their feature at 0.0; a song without a vector keeps its
-    row. Candidates meet the catalog by ``song_id`` and their vectors in blocks:
-    no vector lies beside a candidate.
+    row. Candidates meet the catalog and their vectors in blocks: no vector lies
+    beside a candidate. They are exchanged once for the blocks and once by user,
+    which also serves a ranking per user.
     """
     catalog = songs.select("song_id", "song_ord", F.col("artist_id").cast("string").alias("artist_id"),
                            "released", "popularity_norm")
-    rows = candidates_join_catalog(candidates, catalog).select(
-        *candidates.columns, "artist_id", scalars.freshness("released", as_of).alias("freshness"),
-        F.col("popularity_norm").alias("popularity"))
+    described = ["artist_id", scalars.freshness("released", as_of).alias("freshness"), F.col("popularity_norm").alias("popularity")]
     by_user, by_song, wanted = {}, {}, {}
     if song_vectors is not None:
         by_song["song"] = song_vectors.select("song_id", vectors.unit("embedding").alias("vector"))
@@ -56,7 +55,9 @@ def rank_features(candidates: DataFrame, songs: DataFrame, as_of: Column,
         by_user["taste"] = user_artist_vectors.select("user_id", vectors.unit("artist_vector").alias("vector"))
         wanted["_artist"] = ("taste", "artist")
     if wanted:
-        rows = pair_dots.pair_dots(rows, by_user, by_song, wanted)
+        rows = pair_dots.pair_dots(candidates, by_user, by_song, wanted, beside=catalog_latest(catalog).select("song_id", *described))
+    else:
+        rows = candidates_join_catalog(candidates, catalog).select(*candidates.columns, *described)
 
     def similarity(name: str) -> Column:
         return F.round(F.coalesce(name, F.lit(0.0)), vectors.SCORE_DIGITS) if name in wanted else F.lit(0.0)
@@ -66,7 +67,7 @@ def rank_features(candidates: DataFrame, songs: DataFrame, as_of: Column,
         similarity("_content").alias("content_similarity"), similarity("_artist").alias("artist_similarity"),
         "freshness", "popularity", similarity("_collaborative").alias("collaborative_score"),
     )
-    return diversity_penalty(scored).select("user_id", "song_id", "cand_pos", *fixed.FEATURES)
+    return diversity_penalty(scored.repartition("user_id")).select("user_id", "song_id", "cand_pos", *fixed.FEATURES)
 
 
 def feature_matrix(features: DataFrame) -> DataFrame:
