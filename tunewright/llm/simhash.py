@@ -389,15 +389,31 @@ def similar_links(nodes: DataFrame, rows: int, similarity: float, radius: int =
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def group_links(marked: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) from the least node of each group of ``known`` (from ``simhash_groups``) to its other nodes."""
+    group = [F.col("component_id").alias("_group"), F.when(F.col("component_id").isNull(), F.col("print")).alias("_name")]
+    member = known.select(F.col("row_key").alias("_key"), *group).distinct()
+    nodes = settle(marked.select("row_key", "node").distinct().join(member, F.col("row_key") == F.col("_key")).select(
+        "_group", "_name", "node").distinct(), "simhash-group-nodes")
+    least = nodes.groupBy(F.col("_group").alias("_g"), F.col("_name").alias("_n")).agg(F.min("node").alias("a"))
+    same = F.col("_group").eqNullSafe(F.col("_g")) & F.col("_name").eqNullSafe(F.col("_n"))
+    return nodes.join(least, same).where("a != node").select("a", F.col("node").alias("b"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY,
+                   known: DataFrame | None = None) -> DataFrame:
     """(doc_id, row_key, node, component_id): document rows grouped over links of texts at least ``similarity`` alike.
 
     Null or blank text: all alike. Null doc_id, repeated rows, empty table: as in ``simhash_groups``. Texts whose
-    signatures have equal 64-bit hashes count as one node.
+    signatures have equal 64-bit hashes count as one node. Documents that ``simhash_groups`` of the same documents, given
+    as ``known``, put into one group stay in one, and links of either kind go on from there.
     """
     marked = settle(signatures(docs, shingle), "simhash-signatures")
     nodes = settle(marked.groupBy("node").agg(F.min("signature").alias("signature"), F.min("doc_id").alias("least")), "simhash-nodes")
-    found = components(similar_links(nodes, nodes.count(), similarity), "simhash-links")
+    edges = similar_links(nodes, nodes.count(), similarity)
+    if known is not None:
+        edges = edges.unionByName(group_links(marked, known)).distinct()
+    found = components(edges, "simhash-links")
     ids = component_ids(nodes.withColumnRenamed("node", "print").drop("signature"), found).withColumnRenamed("print", "_node")
     return marked.drop("signature").join(ids, F.col("node") == F.col("_node")).drop("_node")
 
