@@ -74,3 +74,28 @@ def test_few_and_no_items(spark):
     assert none.count() == 0
     zero = similarity.similar_songs_topk(users, frame(spark, np.zeros((3, 3)), "song_id"), 2, worth_pairs=0)
     assert zero.count() == 4
+
+
+def test_small_item_blocks_do_not_multiply_the_queries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    items, queries = np.round(rng.normal(size=(300, 3)), 1), np.round(rng.normal(size=(40, 3)), 1)
+    # Equal items make ties across runs.
+    items[150:] = items[:150]
+    i = spark.createDataFrame([(n, n, v.tolist()) for n, v in enumerate(items)], "song_id int, song_ord int, embedding array<double>")
+    q = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(queries)], "user_id int, embedding array<double>")
+    sent, scored = [], similarity._scored
+
+    def seen(left, *rest):
+        sent.append(left.count())
+        return scored(left, *rest)
+
+    monkeypatch.setattr(similarity, "_scored", seen)
+    expected = similarity.cosine_topk(q, i, 7).orderBy("user_id", "rank").collect()
+    del sent[:]
+    assert similarity.cosine_topk(q, i, 7, item_rows=4).orderBy("user_id", "rank").collect() == expected
+    assert sent == [40]
+    # Bounds that leave nothing out give way to scoring every pair.
+    del sent[:]
+    monkeypatch.setattr(similarity.near_blocks, "SLACK", 2.0)
+    assert similarity.cosine_topk(q, i, 7, item_rows=4, worth_pairs=1).orderBy("user_id", "rank").collect() == expected
+    assert sent[-1] == 40
