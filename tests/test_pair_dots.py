@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tunewright.operators import pair_dots, ranking
+from tunewright.operators import embeddings, pair_dots, ranking
 
 
 @pytest.mark.parametrize("user_rows, song_rows", [(1_000, 1_000), (7, 5), (100, 1)])
@@ -66,3 +66,20 @@ def test_ranking_features_need_no_exchange_by_song(spark):
     plan = features._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "Join" not in plan
     assert [r.content_similarity for r in features.collect()] == [1.0] * 5
+
+
+def test_collaborative_scores_come_from_blocks(spark):
+    rng = np.random.default_rng(3)
+    songs = {s: rng.normal(size=3) for s in range(12)}
+    unit = {s: v / np.linalg.norm(v) for s, v in songs.items()}
+    log = [(int(u), int(s), int(rng.random() < 0.6)) for u, s in rng.integers(0, 12, size=(80, 2))]
+    pairs = [(u, s, u + s) for u in range(14) for s in range(14)]
+    got = embeddings.collaborative_score(
+        spark.createDataFrame(pairs, "user_id int, song_id int, bought int"), spark.createDataFrame(log, "user_id int, song_id int, label int"),
+        spark.createDataFrame([(s, v.tolist()) for s, v in songs.items()], "song_id int, embedding array<double>"))
+    # A join would lay a vector beside each pair.
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    liked = {u: [unit[s] for v, s, label in log if v == u and label] for u in range(14)}
+    want = [(u, s, b, pytest.approx(float(np.mean([unit[s] @ v for v in liked[u]])) if s in unit and liked[u] else 0.0, abs=1e-8)) for u, s, b in pairs]
+    assert got.columns == ["user_id", "song_id", "bought", "collaborative_score"]
+    assert sorted(tuple(r) for r in got.collect()) == want
