@@ -83,3 +83,14 @@ def test_collaborative_scores_come_from_blocks(spark):
     want = [(u, s, b, pytest.approx(float(np.mean([unit[s] @ v for v in liked[u]])) if s in unit and liked[u] else 0.0, abs=1e-8)) for u, s, b in pairs]
     assert got.columns == ["user_id", "song_id", "bought", "collaborative_score"]
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_vector_sums_are_not_exchanged(spark):
+    log = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 1, 1)], "user_id int, song_id int, label int")
+    songs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 3.0])], "song_id int, embedding array<double>")
+    sums = embeddings.user_embedding(log, F.broadcast(songs))
+    assert sorted((r["user_id"], r["embedding"], r["n_liked"]) for r in sums.collect()) == [(1, [0.5, 1.5], 2), (2, [1.0, 0.0], 1)]
+    # One exchange counts the likes, one brings them to their user; the vectors come by broadcast.
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("== Initial Plan ==")[-1]
+    assert initial.count("Exchange hashpartitioning") == 2
