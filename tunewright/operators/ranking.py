@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunewright.functions import fixed, scalars, vectors
 from tunewright.operators import boosting, embeddings, pair_dots
 from tunewright.sources.catalog import catalog_latest
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def candidates_join_catalog(candidates: DataFrame, songs: DataFrame) -> DataFrame:
     """Candidates with their catalog row; unknown ids drop out, ``cand_pos`` is kept."""
@@ -34,6 +43,9 @@ def rank_features(candidates: DataFrame, songs: DataFrame, as_of: Column,
     row. Candidates meet the catalog and their vectors in blocks: no vector lies
     beside a candidate. They are exchanged once for the blocks and once by user,
     which also serves a ranking per user.
+
+    Candidates packed as one list ``songs`` per user are exchanged once, as lists,
+    and give lists: ``user_id`` and an array per column, see ``feature_rows``.
     """
     catalog = songs.select("song_id", "song_ord", F.col("artist_id").cast("string").alias("artist_id"),
                            "released", "popularity_norm")
@@ -54,6 +66,15 @@ def rank_features(candidates: DataFrame, songs: DataFrame, as_of: Column,
         by_song["artist"] = catalog_latest(catalog).join(named, "artist_id").select("song_id", "vector")
         by_user["taste"] = user_artist_vectors.select("user_id", vectors.unit("artist_vector").alias("vector"))
         wanted["_artist"] = ("taste", "artist")
+    if "songs" in candidates.columns:
+        beside = catalog_latest(catalog).select("song_id", *described)
+        lists = pair_dots.list_dots(candidates, by_user, by_song, wanted, beside, ("artist_id", "diversity_penalty"), vectors.SCORE_DIGITS)
+
+        def listed(feature: str, name: str) -> Column:
+            return (F.col(name) if name in wanted else F.array_repeat(F.lit(0.0), F.size("song_id"))).alias(feature)
+
+        return lists.select("user_id", "song_id", "cand_pos", listed("content_similarity", "_content"), listed("artist_similarity", "_artist"),
+                            "freshness", "popularity", listed("collaborative_score", "_collaborative"), "diversity_penalty")
     if wanted:
         rows = pair_dots.pair_dots(candidates, by_user, by_song, wanted, beside=catalog_latest(catalog).select("song_id", *described))
     else:
@@ -70,8 +91,21 @@ def rank_features(candidates: DataFrame, songs: DataFrame, as_of: Column,
     return diversity_penalty(scored.repartition("user_id")).select("user_id", "song_id", "cand_pos", *fixed.FEATURES)
 
 
+def packed(df: DataFrame) -> bool:
+    """Whether each user's rows lie in arrays of one row."""
+    return isinstance(df.schema["cand_pos"].dataType, T.ArrayType)
+
+
+def feature_rows(features: DataFrame) -> DataFrame:
+    """One row per (user, candidate) of packed features; others are taken as they are."""
+    if not packed(features):
+        return features
+    return features.select("user_id", F.inline(F.arrays_zip(*[c for c in features.columns if c != "user_id"])))
+
+
 def feature_matrix(features: DataFrame) -> DataFrame:
     """The six features as one vector column, in their fixed order."""
+    features = feature_rows(features)
     return VectorAssembler(inputCols=fixed.FEATURES, outputCol="features").transform(features)
 
 
@@ -89,11 +123,37 @@ def rank_topn(scored: DataFrame, top_n: int = fixed.RANKED_ROWS) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
 
 
+def fallback_ranked(features: DataFrame, top_n: int = fixed.RANKED_ROWS) -> DataFrame:
+    """Score by fixed weights and the best ``top_n`` rows per user; lists are scored and cut where they lie."""
+    if not packed(features):
+        return rank_topn(features.withColumn("score", scalars.fallback_score()), top_n)
+    names = [c for c in features.columns if c != "user_id"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("song_id").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            flat = {name: batch.column(name).flatten() for name in names}
+            # The terms of scalars.fallback_score in their order, so that sums are the same to the bit.
+            score = sum(weight * flat[name].fill_null(0.0).to_numpy(zero_copy_only=False) for name, weight in fixed.FALLBACK_WEIGHTS.items())
+            # As Spark orders falling scores, NaN counts as the largest value.
+            odd = np.isnan(score)
+            order = np.lexsort((flat["cand_pos"].to_numpy(zero_copy_only=False), np.where(odd, 0.0, -score), ~odd, owner))
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+            kept = rank <= top_n
+            chosen = pa.array(order[kept])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("user_id").take(pa.array(owner[kept])), *[flat[name].take(chosen) for name in names],
+                 pa.array(score).take(chosen), pa.array(rank[kept], pa.int32())], names=["user_id", *names, "score", "rank"])
+
+    fields = [T.StructField(name, features.schema[name].dataType.elementType) for name in names]
+    return features.mapInArrow(cut, T.StructType([
+        features.schema["user_id"], *fields, T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
+
+
 def rank(features: DataFrame, model: boosting.Ranker | PipelineModel | None = None,
          top_n: int = fixed.RANKED_ROWS) -> DataFrame:
     """Score by the model when there is one, else by fixed weights, and keep the best."""
     if model is None:
-        scored = features.withColumn("score", scalars.fallback_score())
-    else:
-        scored = score_model(features, model)
-    return rank_topn(scored, top_n)
+        return fallback_ranked(features, top_n)
+    return rank_topn(score_model(feature_rows(features), model), top_n)

@@ -49,7 +49,7 @@ def rank_users(songs: DataFrame, users: DataFrame, as_of: Column, interactions:
     """Candidate pool, features and ranked list for every user."""
     if user_vectors is None:
         user_vectors = session.settle(embeddings.user_embedding(interactions, song_vectors), "user-vectors")
-    pool = candidates.candidate_pool(songs, users, as_of, user_vectors, song_vectors, **artist_inputs)
+    pool = candidates.candidate_pool(songs, users, as_of, user_vectors, song_vectors, packed=True, **artist_inputs)
     features = ranking.rank_features(pool, songs, as_of, interactions, song_vectors, user_vectors, **artist_inputs)
     return ranking.rank(features, model, top_n)
 
@@ -85,11 +85,11 @@ def recommend(songs: DataFrame, users: DataFrame, as_of: Column, interactions: D
         searched = session.settle(asking.join(hits, F.col("intent") == F.col("query_id")).select(
             "user_id", "song_id", F.col("pos").alias("cand_pos")), "searched")
         quiet = users.join(searched.select("user_id").distinct(), "user_id", "left_anti")
-    found = candidates.candidate_pool(songs, quiet, as_of, user_vectors, song_vectors, **artists)
+    found = candidates.candidate_pool(songs, quiet, as_of, user_vectors, song_vectors, packed=True, **artists)
     if searched is not None:
-        found = found.unionByName(searched)
+        found = found.unionByName(candidates.listed(searched, "cand_pos"))
     features = ranking.rank_features(found, songs, as_of, interactions, song_vectors, user_vectors, **artists)
-    top = explain.final_topk(ranking.rank(features, model), k)
+    top = explain.final_topk(ranking.rank(features, model, min(k, fixed.RANKED_ROWS)), k)
     listed = explain.ranked_join_meta(top, catalog.catalog_meta(songs))
     explanations = None
     if responses is not None and searched is not None:
