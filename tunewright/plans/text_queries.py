@@ -197,7 +197,8 @@ def explanation_gate(spark, sf):
   SELECT user_id, song_id, rank, CASE WHEN rank % 2 = 0 THEN '' ELSE 'Pick ' || song_id END AS explanation
   FROM pool_ranked WHERE rank <= 10""", "pool_ranked"))
 def ranked_join_explanations(spark, sf):
-    top = explain.final_topk(rank(spark, sf))
+    # Read twice: once for the texts, once for the lists that get them.
+    top = session.settle(explain.final_topk(rank(spark, sf)).select("user_id", "song_id", "rank"), "listed")
     texts = top.where(F.col("rank") % 2 == 1).select(
         "user_id", F.col("song_id").cast("string").alias("song_id"),
         F.concat(F.lit("Pick "), F.col("song_id").cast("string")).alias("explanation"))
