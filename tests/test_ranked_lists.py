@@ -1,11 +1,15 @@
 """Features and ranks of packed candidate lists against those of single rows."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  # registers the queries
 from tunewright.functions import fixed
 from tunewright.operators import candidates, pair_dots, ranking
+from tunewright.plans import text_queries
 
 
 def as_of():
@@ -82,3 +86,16 @@ def test_blocks_follow_the_users_and_rows_are_not_sorted(tables, monkeypatch):
     assert "pmod(xxhash64(user_id" in block and ", 13)" in block
     known = found.where("song_id < 44").groupBy("user_id").count()
     assert ranked.count() == sum(min(2, r["count"]) for r in known.collect())
+
+
+def test_a_model_scores_the_rows_of_lists(tables, monkeypatch):
+    monkeypatch.setattr(ranking, "score_model", lambda rows, model: rows.withColumn("score", F.col("content_similarity") - F.col("diversity_penalty")))
+    lists, rows = (features(tables, found) for found in (candidates.listed(tables["found"], "cand_pos"), tables["found"]))
+    assert ordered(ranking.rank(lists, model=object(), top_n=3)) == ordered(ranking.rank(rows, model=object(), top_n=3))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are absent")
+def test_explained_lists_are_ranked_once(spark):
+    joined = text_queries.ranked_join_explanations(spark, "/root/testdata/sf0.001")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" not in plan
