@@ -99,3 +99,13 @@ def test_explained_lists_are_ranked_once(spark):
     joined = text_queries.ranked_join_explanations(spark, "/root/testdata/sf0.001")
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" not in plan and "MapInArrow" not in plan
+
+
+def test_workers_need_no_copy_of_the_package(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    sent = []
+    packed = spark.createDataFrame([], "user_id long, song_id array<long>, cand_pos array<int>, content_similarity array<double>")
+    monkeypatch.setattr(type(packed), "mapInArrow", lambda self, rows, schema: sent.append(rows))
+    ranking.fallback_ranked(packed)
+    assert b"tunewright.functions" not in cloudpickle.dumps(sent[0])

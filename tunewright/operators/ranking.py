@@ -21,6 +21,9 @@ from tunewright.sources.catalog import catalog_latest
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Held here as well, since executors need no copy of this package.
+FALLBACK = fixed.FALLBACK_WEIGHTS
+
 
 def candidates_join_catalog(candidates: DataFrame, songs: DataFrame) -> DataFrame:
     """Candidates with their catalog row; unknown ids drop out, ``cand_pos`` is kept."""
@@ -135,7 +138,7 @@ def fallback_ranked(features: DataFrame, top_n: int = fixed.RANKED_ROWS) -> Data
             owner = np.repeat(np.arange(len(lengths)), lengths)
             flat = {name: batch.column(name).flatten() for name in names}
             # The terms of scalars.fallback_score in their order, so that sums are the same to the bit.
-            score = sum(weight * flat[name].fill_null(0.0).to_numpy(zero_copy_only=False) for name, weight in fixed.FALLBACK_WEIGHTS.items())
+            score = sum(weight * flat[name].fill_null(0.0).to_numpy(zero_copy_only=False) for name, weight in FALLBACK.items())
             # As Spark orders falling scores, NaN counts as the largest value.
             odd = np.isnan(score)
             order = np.lexsort((flat["cand_pos"].to_numpy(zero_copy_only=False), np.where(odd, 0.0, -score), ~odd, owner))
