@@ -92,3 +92,37 @@ def test_pooled_scores_are_sums_over_queries(spark, docs):
     for r in hits.collect():
         want[r["song_id"]] = want.get(r["song_id"], 0) + r["score"]
     assert got == {d: pytest.approx(s, abs=1e-8) for d, s in want.items()}
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    words = ["ab", "cd", "Éf", "x", "12", "_q", "zz", "𝒳𝒴", "𝒳"]
+    rows = [(i, " ".join(words[(i * j + j * j) % (3 + i % 7)] for j in range(i % 40)) + ("-rare%d" % i) * (i % 3)) for i in range(300)]
+    return spark.createDataFrame([*rows, (300, None), (301, " ,"), (302, "tail")], "song_id long, text string").repartition(5)
+
+
+def test_spaced_words_are_the_tokens(many):
+    import pyarrow as pa
+
+    found = text.spaced(many, "song_id", "text").join(many.select("song_id", text.tokenize("text").alias("t")).withColumnRenamed(
+        "song_id", "key"), "key").orderBy("key").collect()
+    tokens, lengths = text.word_lists(pa.array([r["words"] for r in found], pa.string()))
+    assert lengths.tolist() == [len(r["t"] or []) for r in found]
+    assert tokens.to_pylist() == [w for r in found for w in r["t"] or []]
+
+
+@pytest.mark.parametrize("max_terms", [5, 20])
+def test_rough_counts_leave_out_rare_terms_only(many, max_terms):
+    rough = text.term_stats(many, max_terms=max_terms, rough_docs=0)
+    every = text.term_stats(many)
+    assert text.most_frequent(rough, max_terms).collect() == text.most_frequent(every, max_terms).collect()
+    assert rough.count() < every.count()
+
+
+def test_known_terms_are_weighed_without_an_exchange(many):
+    vocab = text.session.settle(text.vocabulary(many, max_terms=30), "vocabulary")
+    lists = text.tfidf_weights(text.term_counts(many, vocab=vocab), vocab)
+    rows = text.tfidf_weights(text.term_counts(many), vocab)
+    keyed = lambda df: {(r["song_id"], r["term"]): round(r["weight"], 12) for r in df.collect()}
+    assert keyed(lists) == keyed(rows) and keyed(rows)
+    assert "hashpartitioning" not in lists._jdf.queryExecution().executedPlan().toString()

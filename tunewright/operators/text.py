@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Tokens that are counted together.
 RUN_TOKENS = 1_000_000
+#: Documents from which terms are counted roughly first; counts by the leading bits of a term's hash, in chunks.
+ROUGH_DOCS, BUCKET_BITS, CHUNKS = 20_000, 22, 64
 
 
 def tokenize(text: Column | str) -> Column:
@@ -38,12 +41,25 @@ def ngrams_1_2(tokens: Column | str) -> Column:
     return F.concat(t, F.zip_with(leading, following, lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-def tokenized(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, tokens``, dealt anew only where the texts lie in fewer pieces than there are cores."""
+def spaced(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, words``: the lower-cased text with one blank for all between words, as ``word_lists`` cuts it.
+
+    Texts are dealt anew only where they lie in fewer pieces than there are cores.
+    """
     cores = docs.sparkSession.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:
         docs = docs.repartition(cores, key)
-    return docs.select(F.col(key).alias("key"), tokenize(text).alias("tokens"))
+    return docs.select(F.col(key).alias("key"), F.regexp_replace(F.lower(text), fixed.TOKEN_GAP, " ").alias("words"))
+
+
+def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens (see ``tokenize``) of spaced texts, one after the other, and their number per text."""
+    lists = pc.split_pattern(texts, " ")
+    words = lists.flatten()
+    kept = pc.greater_equal(pc.utf8_length(words), 2)
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    upto = np.append(0, np.cumsum(kept.to_numpy(zero_copy_only=False)))[np.append(0, ends)]
+    return words.filter(kept), np.diff(upto)
 
 
 class Grams(NamedTuple):
@@ -57,25 +73,59 @@ class Grams(NamedTuple):
     names: pa.Array
 
 
-def counted_grams(tokens: pa.Array) -> Iterator[Grams]:
-    """Runs of documents of some RUN_TOKENS tokens; words are numbered, pairs are pairs of numbers, strings come last."""
-    lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    runs = (np.cumsum(lengths) - lengths) // RUN_TOKENS
-    firsts = np.flatnonzero(np.diff(runs, prepend=-1)).tolist()
+class Words(NamedTuple):
+    """The tokens of the documents ``start`` to ``stop`` of a batch as numbers of ``names``."""
+
+    start: int
+    stop: int
+    owner: np.ndarray  # document of each token, from 0
+    code: np.ndarray
+    inside: np.ndarray  # whether the next token is of the same document
+    names: pa.Array
+
+
+def numbered_words(texts: pa.Array) -> Iterator[Words]:
+    """Runs of spaced documents of some RUN_TOKENS tokens."""
+    tokens, lengths = word_lists(texts)
+    before = np.cumsum(lengths) - lengths
+    firsts = np.flatnonzero(np.diff(before // RUN_TOKENS, prepend=-1)).tolist()
     for start, stop in zip(firsts, [*firsts[1:], len(lengths)]):
-        words = tokens.slice(start, stop - start).flatten().dictionary_encode()
-        code, n = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+        words = tokens.slice(before[start], lengths[start:stop].sum()).dictionary_encode()
         owner = np.repeat(np.arange(stop - start), lengths[start:stop])
-        inside = owner[1:] == owner[:-1]
-        pairs = n + code[:-1][inside] * n + code[1:][inside]
+        yield Words(start, stop, owner, words.indices.to_numpy().astype(np.int64), owner[1:] == owner[:-1], words.dictionary)
+
+
+def gram_buckets(run: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each token and of each pair: the same for the same term in every task."""
+    odd, other, last = (np.uint64(n) for n in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+    def leading(x: np.ndarray) -> np.ndarray:
+        return (((x ^ (x >> np.uint64(29))) * last) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+    word = np.fromiter((zlib.crc32(w.encode()) for w in run.names.to_pylist()), np.uint64, len(run.names))
+    first, second = (word * odd)[run.code[:-1][run.inside]], (word * other)[run.code[1:][run.inside]]
+    return leading(word * odd)[run.code], leading(first ^ second)
+
+
+def counted_grams(texts: pa.Array, heavy: np.ndarray | None = None) -> Iterator[Grams]:
+    """Terms per document; words are numbered, pairs are pairs of numbers, strings come last.
+
+    With ``heavy``, one flag per bucket, terms of other buckets are left out.
+    """
+    for run in numbered_words(texts):
+        n, code, inside = len(run.names), run.code, run.inside
+        owner, pairs, pair_owner = run.owner, n + code[:-1][inside] * n + code[1:][inside], run.owner[1:][inside]
+        if heavy is not None:
+            single, double = (heavy[at] for at in gram_buckets(run))
+            owner, code, pairs, pair_owner = owner[single], code[single], pairs[double], pair_owner[double]
         distinct, gram = np.unique(np.concatenate([code, pairs]), return_inverse=True)
-        entries, tf = np.unique(np.concatenate([owner, owner[1:][inside]]) * len(distinct) + gram, return_counts=True)
+        entries, tf = np.unique(np.concatenate([owner, pair_owner]) * len(distinct) + gram, return_counts=True)
         paired = distinct[np.searchsorted(distinct, n):] - n
-        single = words.dictionary.take(pa.array(distinct[:len(distinct) - len(paired)]))
+        single = run.names.take(pa.array(distinct[:len(distinct) - len(paired)]))
         double = pc.binary_join_element_wise(
-            words.dictionary.take(pa.array(paired // max(n, 1))), words.dictionary.take(pa.array(paired % max(n, 1))), " ")
+            run.names.take(pa.array(paired // max(n, 1))), run.names.take(pa.array(paired % max(n, 1))), " ")
         names = pa.concat_arrays([single, double])
-        yield Grams(start, stop, entries // max(len(distinct), 1), entries % max(len(distinct), 1), tf, names)
+        yield Grams(run.start, run.stop, entries // max(len(distinct), 1), entries % max(len(distinct), 1), tf, names)
 
 
 def term_rows(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
@@ -86,7 +136,7 @@ def term_rows(docs: DataFrame, key: str = "song_id", text: str = "text") -> Data
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in counted_grams(batch.column("tokens")):
+            for run in counted_grams(batch.column("words")):
                 bare = np.setdiff1d(np.arange(run.stop - run.start), run.owner)
                 opens = np.concatenate([np.diff(run.owner, prepend=-1) > 0, np.ones(len(bare), dtype=bool)])
                 owner = pa.array(run.start + np.concatenate([run.owner, bare]))
@@ -96,25 +146,96 @@ def term_rows(docs: DataFrame, key: str = "song_id", text: str = "text") -> Data
                                                  names=[key, "term", "tf", "opens"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return tokenized(docs, key, text).mapInArrow(rows, f"`{key}` {kind}, term string, tf bigint, opens boolean")
+    return spaced(docs, key, text).mapInArrow(rows, f"`{key}` {kind}, term string, tf bigint, opens boolean")
+
 
+def term_stats(docs: DataFrame, key: str = "song_id", text: str = "text", max_terms: int | None = None,
+               rough_docs: int | None = None) -> DataFrame:
+    """``term, cf, df``: occurrences and documents per term, added up within a run of documents before they are exchanged.
 
-def term_stats(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
-    """``term, cf, df``: occurrences and documents per term, added up within a run of documents before they are exchanged."""
+    With ``max_terms``, terms that are not among so many most frequent ones may be missing. Most terms are rare: a first
+    pass over many documents counts buckets of terms, and no term occurs more often than its bucket. The second one
+    counts the terms of the fullest buckets. As many as are wanted must reach the count of the least of these buckets,
+    else more buckets are taken.
+    """
+    if max_terms is None or docs.count() < (ROUGH_DOCS if rough_docs is None else rough_docs):
+        return _bucket_stats(docs, key, text)
+    spark = docs.sparkSession
+    rough = session.settle(rough_counts(docs, key, text), "rough-counts")
+    sizes = session.settle(_count_sizes(rough), "rough-sizes")
+    buckets = 2 * max_terms
+    while 4 * buckets <= 1 << BUCKET_BITS:
+        least = _least_count(sizes, buckets).first()[0]
+        if least is None or sizes.where(F.col("cf") >= least).agg(F.sum("terms")).first()[0] * 4 > 1 << BUCKET_BITS:
+            break
+        stats = session.settle(_bucket_stats(docs, key, text, spark.sparkContext.broadcast(_full_buckets(rough, least))), "term-stats")
+        if stats.where(F.col("cf") >= least).count() >= max_terms:
+            return stats
+        buckets *= 4
+    return _bucket_stats(docs, key, text)
+
+
+def _bucket_stats(docs: DataFrame, key: str, text: str, heavy=None) -> DataFrame:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = None if heavy is None else np.unpackbits(np.frombuffer(heavy.value, np.uint8)).astype(bool)
         for batch in batches:
-            for run in counted_grams(batch.column("tokens")):
+            for run in counted_grams(batch.column("words"), flags):
                 n = len(run.names)
                 yield pa.RecordBatch.from_arrays(
                     [run.names, pa.array(np.bincount(run.gram, run.tf, n).astype(np.int64)), pa.array(np.bincount(run.gram, minlength=n))],
                     names=["term", "cf", "df"])
 
-    parts = tokenized(docs, key, text).mapInArrow(sums, "term string, cf bigint, df bigint")
+    parts = spaced(docs, key, text).mapInArrow(sums, "term string, cf bigint, df bigint")
     return parts.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
-def term_counts(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
-    """``key, term, tf``."""
+def rough_counts(docs: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
+    """``chunk, counts``: occurrences of all terms of a bucket, for the buckets of each chunk; one row per task and chunk is exchanged."""
+    buckets = 1 << BUCKET_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, dtype=np.int64)
+        for batch in batches:
+            for run in numbered_words(batch.column("words")):
+                for at in gram_buckets(run):
+                    counts += np.bincount(at, minlength=buckets)
+        if counts.any():
+            for chunk, part in enumerate(counts.reshape(CHUNKS, -1)):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.list_(pa.int64()))], names=["chunk", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(part.flatten().to_numpy().reshape(-1, buckets // CHUNKS).sum(axis=0) for part in table.column("counts").chunks)
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total], pa.list_(pa.int64()))})
+
+    kind = "chunk int, counts array<bigint>"
+    return spaced(docs, key, text).mapInArrow(count, kind).groupBy("chunk").applyInArrow(add, kind)
+
+
+def _count_sizes(rough: DataFrame) -> DataFrame:
+    """``cf, terms``: how many buckets have each count."""
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a) for a in np.unique(batch.column("counts").flatten().to_numpy(), return_counts=True)], names=["cf", "terms"])
+
+    return rough.mapInArrow(sizes, "cf bigint, terms bigint").where("cf > 0").groupBy("cf").agg(F.sum("terms").alias("terms"))
+
+
+def _full_buckets(rough: DataFrame, least: int) -> bytes:
+    """One bit per bucket, set from ``least`` occurrences on: half a megabyte, however much text there is."""
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = batch.column("counts").flatten().to_numpy().reshape(batch.num_rows, -1) >= least
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk"), pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())], names=["chunk", "bits"])
+
+    return b"".join(bytes(row["bits"]) for row in sorted(rough.mapInArrow(bits, "chunk int, bits binary").collect()))
+
+
+def term_counts(docs: DataFrame, key: str = "song_id", text: str = "text", vocab: DataFrame | None = None) -> DataFrame:
+    """``key, term, tf``; with a vocabulary that can be sent to every worker only its terms, as the lists of ``known_counts``."""
+    if vocab is not None and vocab.count() <= BROADCAST_TERMS:
+        return known_counts(docs, vocab, key, text)
     return term_rows(docs, key, text).where(F.col("term").isNotNull()).select(key, "term", "tf")
 
 
@@ -136,9 +257,13 @@ def most_frequent(stats: DataFrame, max_terms: int = fixed.MAX_TERMS) -> DataFra
     stats = session.settle(stats, "term-stats")
     # One row per distinct count: far fewer than terms.
     sizes = stats.groupBy("cf").agg(F.count(F.lit(1)).alias("terms"))
+    return stats.where(F.col("cf") >= _least_count(sizes, max_terms).scalar()).orderBy(F.desc("cf"), "term").limit(max_terms)
+
+
+def _least_count(sizes: DataFrame, rows: int) -> DataFrame:
+    """The count that the last of the ``rows`` most frequent has, from ``cf, terms``."""
     before = F.sum("terms").over(Window.orderBy(F.desc("cf")).rowsBetween(Window.unboundedPreceding, -1))
-    cut = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_terms).agg(F.min("cf"))
-    return stats.where(F.col("cf") >= cut.scalar()).orderBy(F.desc("cf"), "term").limit(max_terms)
+    return sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < rows).agg(F.min("cf"))
 
 
 def with_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
@@ -150,7 +275,7 @@ def with_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
 def vocabulary(docs: DataFrame, key: str = "song_id", max_terms: int = fixed.MAX_TERMS) -> DataFrame:
     """``term, cf, df, idf, term_id``: at most ``max_terms`` rows, numbered by term."""
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    chosen = with_idf(most_frequent(term_stats(docs, key), max_terms), n_docs)
+    chosen = with_idf(most_frequent(term_stats(docs, key, max_terms=max_terms), max_terms), n_docs)
     # Bounded by max_terms, so a window without a key is safe here.
     number = F.row_number().over(Window.orderBy("term")) - 1
     return chosen.withColumn("term_id", number)
@@ -167,47 +292,104 @@ def _beside_terms(vocab: DataFrame, *columns: str) -> DataFrame:
 
 
 def tfidf_weights(counts: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:
-    """``key, term, term_id, weight``: (1 + ln tf) * idf, scaled to length 1 per document."""
+    """``key, term, term_id, weight``: (1 + ln tf) * idf, scaled to length 1 per document.
+
+    Counts that lie in lists per document are weighed where they lie.
+    """
+    if "tfs" in counts.columns:
+        rows = _list_weights(counts, vocab, key).select(key, F.explode(F.arrays_zip("terms", "weights")).alias("e"))
+        rows = rows.select(key, F.col("e.terms").alias("term_id"), F.col("e.weights").alias("weight"))
+        return rows.join(_beside_terms(vocab, "term_id", "term"), "term_id").select(key, "term", "term_id", "weight")
     raw = counts.join(_beside_terms(vocab, "term", "term_id", "idf"), "term").withColumn(
         "raw", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "term_id", (F.col("raw") / length).alias("weight"))
 
 
-def weighted_documents(docs: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:
-    """One row per document with parallel ``terms`` and ``weights`` arrays; none for one without any known term.
+def _list_weights(lists: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """The lists of ``known_counts`` with ``weights`` in place of ``tfs``."""
+    known = vocab.select("term_id", "idf").toArrow().combine_chunks()
+    sent = lists.sparkSession.sparkContext.broadcast(known)
 
-    The texts are read where they lie and nothing is exchanged, as long as the
-    vocabulary is small enough to be sent to every worker.
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, idf = (sent.value.column(c).to_numpy() for c in ("term_id", "idf"))
+        idf_of = np.zeros(int(ids.max(initial=-1)) + 1)
+        idf_of[ids] = idf
+        for batch in batches:
+            terms, tf = batch.column("terms"), batch.column("tfs").flatten().to_numpy()
+            lengths = terms.value_lengths().to_numpy()
+            owner, flat = np.repeat(np.arange(len(terms)), lengths), terms.flatten()
+            raw = (1.0 + np.log(tf)) * idf_of[flat.to_numpy()]
+            weights = raw / np.sqrt(np.bincount(owner, raw * raw, len(terms)))[owner]
+            offsets = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.ListArray.from_arrays(offsets, flat), pa.ListArray.from_arrays(offsets, pa.array(weights))],
+                names=[key, "terms", "weights"])
+
+    kind = lists.schema[key].dataType.simpleString()
+    return lists.mapInArrow(weigh, f"`{key}` {kind}, terms array<int>, weights array<double>")
+
+
+def known_terms(terms: list[str], ids: list[int]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a vocabulary, each one's term id as a term of its own (else -1), and its pairs, rising, with their ids."""
+    split = [t.split(" ") for t in terms]
+    names = list(dict.fromkeys(w for words in split for w in words))
+    at = {w: i for i, w in enumerate(names)}
+    single = np.full(len(names), -1, dtype=np.int64)
+    pairs = []
+    for words, number in zip(split, ids):
+        if len(words) == 1:
+            single[at[words[0]]] = number
+        elif len(words) == 2:
+            pairs.append((at[words[0]] * len(names) + at[words[1]], number))
+    pairs = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+    return pa.array(names, pa.string()), single, pairs[:, 0], pairs[:, 1]
+
+
+def known_counts(docs: DataFrame, vocab: DataFrame, key: str = "song_id", text: str = "text") -> DataFrame:
+    """``key, terms, tfs``: per document the numbers of its terms in the vocabulary, rising, and how often each occurs.
+
+    The texts are read where they lie, other terms are never written out, and
+    nothing is exchanged; a document without any known term has no row.
     """
-    if vocab.count() > BROADCAST_TERMS:
-        return weighted_rows(term_rows(docs, key), vocab, key)
-    known = vocab.select("term", "term_id", "idf").toArrow().combine_chunks()
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    known = vocab.select("term", "term_id").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(known_terms(known.column("term").to_pylist(), known.column("term_id").to_pylist()))
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = sent.value.column("term").combine_chunks()
-        ids, idf = sent.value.column("term_id").to_numpy(), sent.value.column("idf").to_numpy()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, single, pairs, pair_ids = sent.value
+        most = int(max(single.max(initial=-1), pair_ids.max(initial=-1))) + 1
         for batch in batches:
-            for run in counted_grams(batch.column("tokens")):
-                place = pc.index_in(run.names, value_set=terms).fill_null(-1).to_numpy()[run.gram]
-                found = place >= 0
-                owner, place = run.owner[found], place[found]
-                raw = (1.0 + np.log(run.tf[found])) * idf[place]
-                term = ids[place]
-                order = np.lexsort((term, owner))
-                owner, term, raw = owner[order], term[order], raw[order]
-                squares = np.bincount(owner, raw * raw, run.stop - run.start)
-                weights = raw / np.sqrt(squares)[owner]
-                at = np.flatnonzero(np.diff(owner, prepend=-1))
-                offsets = pa.array(np.append(at, len(owner)), pa.int32())
+            for run in numbered_words(batch.column("words")):
+                word = pc.index_in(run.names, value_set=names).fill_null(-1).to_numpy().astype(np.int64)[run.code]
+                alone = np.append(single, -1)[word]
+                both = run.inside & (word[:-1] >= 0) & (word[1:] >= 0)
+                pair = word[:-1][both] * len(names) + word[1:][both]
+                at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
+                met = pairs[at] == pair if len(pairs) else np.zeros(len(pair), dtype=bool)
+                owner = np.concatenate([run.owner[alone >= 0], run.owner[1:][both][met]])
+                term = np.concatenate([alone[alone >= 0], pair_ids[at[met]]])
+                entries, tf = np.unique(owner * max(most, 1) + term, return_counts=True)
+                owner, term = entries // max(most, 1), entries % max(most, 1)
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                offsets = pa.array(np.append(first, len(owner)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(pa.array(run.start + owner[at])),
+                    [batch.column("key").take(pa.array(run.start + owner[first])),
                      pa.ListArray.from_arrays(offsets, pa.array(term, pa.int32())),
-                     pa.ListArray.from_arrays(offsets, pa.array(weights))], names=[key, "terms", "weights"])
+                     pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int64()))], names=[key, "terms", "tfs"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return tokenized(docs, key, "text").mapInArrow(weigh, f"`{key}` {kind}, terms array<int>, weights array<double>")
+    return spaced(docs, key, text).mapInArrow(count, f"`{key}` {kind}, terms array<int>, tfs array<bigint>")
+
+
+def weighted_documents(docs: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:
+    """One row per document with parallel ``terms`` and ``weights`` arrays; none for one without any known term.
+
+    The texts are read where they lie and nothing is exchanged, as long as the
+    vocabulary is small enough to be sent to every worker.
+    """
+    if vocab.count() > BROADCAST_TERMS:
+        return weighted_rows(term_rows(docs, key), vocab, key)
+    return _list_weights(term_counts(docs, key, "text", vocab), vocab, key)
 
 
 def weighted_rows(rows: DataFrame, vocab: DataFrame, key: str = "song_id") -> DataFrame:

@@ -44,7 +44,7 @@ def term_counts(spark, sf):
 
 @query("vocab_stats", check("SELECT term, cf, df FROM doc_vocab", "doc_vocab"))
 def vocab_stats(spark, sf):
-    return text.most_frequent(text.term_stats(b.documents(spark, sf)))
+    return text.most_frequent(text.term_stats(b.documents(spark, sf), max_terms=text.fixed.MAX_TERMS))
 
 
 @query("idf", check("SELECT term, idf FROM doc_vocab", "doc_vocab"), doubles=("idf",))
@@ -54,8 +54,9 @@ def idf(spark, sf):
 
 @query("tfidf_weights", check("SELECT id AS song_id, term, weight FROM doc_w", "doc_w"), doubles=("weight",))
 def tfidf_weights(spark, sf):
-    counts = text.term_counts(b.documents(spark, sf))
-    return text.tfidf_weights(counts, doc_vocab(spark, sf)).select("song_id", "term", "weight")
+    vocab = doc_vocab(spark, sf)
+    counts = text.term_counts(b.documents(spark, sf), vocab=vocab)
+    return text.tfidf_weights(counts, vocab).select("song_id", "term", "weight")
 
 
 @query("l2_norm", check("""
@@ -89,7 +90,7 @@ _POOLED = """(SELECT d.id AS song_id, d.term, d.weight * q.asked AS contribution
 
 def _contributions(spark, sf):
     docs, vocab = b.documents(spark, sf), doc_vocab(spark, sf)
-    index = text.tfidf_weights(text.term_counts(docs), vocab)
+    index = text.tfidf_weights(text.term_counts(docs, vocab=vocab), vocab)
     return text.query_join_postings(text.pooled_query(b.intents(spark, sf), vocab), index)
 
 
