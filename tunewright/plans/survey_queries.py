@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tunewright import session
 from tunewright.operators import coldstart
 from tunewright.plans import jobs
 from tunewright.plans.catalog_queries import users
@@ -17,9 +18,15 @@ def _pairs(spark, sf):
     return coldstart.pair_scores(b.purchases(spark, sf), b.songs(spark, sf), users(spark, sf), b.ITEM_GENRES)
 
 
-def _pool(spark, sf, familiar):
+def _written_pairs(spark, sf):
+    """Read several times: the scores, and what a pool needs beside them."""
+    return session.settle(_pairs(spark, sf).select(
+        "user_id", "song_id", "song_ord", "artists", "familiar", "familiar_score", "discovery_score"), "scored-pairs")
+
+
+def _pool(pairs, familiar):
     score = "familiar_score" if familiar else "discovery_score"
-    return _pairs(spark, sf).where(F.col("familiar") == F.lit(familiar)).select(
+    return pairs.where(F.col("familiar") == F.lit(familiar)).select(
         "user_id", "song_id", "song_ord", "artists", F.col(score).alias("score"))
 
 
@@ -38,25 +45,27 @@ def pool_sort(spark, sf):
        doubles=("score",))
 def artist_cap_pick(spark, sf):
     quotas = coldstart.slot_counts(users(spark, sf), 10).select("user_id", F.col("familiar_slots").alias("quota"))
-    return coldstart.artist_cap_pick(_pool(spark, sf, True), quotas, 10, True).drop("song_ord")
+    return coldstart.artist_cap_pick(_pool(_written_pairs(spark, sf), True), quotas, 10, True).drop("song_ord")
 
 
 @query("pad_remaining", check("SELECT user_id, song_id, score, pos FROM bought_disc", "bought_disc"), doubles=("score",))
 def pad_remaining(spark, sf):
+    pairs = _written_pairs(spark, sf)
     found = coldstart.artist_cap_pick(
-        _pool(spark, sf, True),
+        _pool(pairs, True),
         coldstart.slot_counts(users(spark, sf), 10).select("user_id", F.col("familiar_slots").alias("quota")), 10, True)
     counts = found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     quotas = users(spark, sf).select("user_id").join(counts, "user_id", "left").select(
         "user_id", (F.lit(10) - F.coalesce("n", F.lit(0))).cast("int").alias("quota"))
-    return coldstart.artist_cap_pick(_pool(spark, sf, False), quotas, 10, False, prefix=8).drop("song_ord")
+    return coldstart.artist_cap_pick(_pool(pairs, False), quotas, 10, False, prefix=8).drop("song_ord")
 
 
 @query("slot_reservation", check("SELECT user_id, song_id, score, familiar, rank FROM bought_list", "bought_list"),
        doubles=("score",))
 def slot_reservation(spark, sf):
+    pairs = _written_pairs(spark, sf)
     return coldstart.slot_reservation(
-        _pool(spark, sf, True), _pool(spark, sf, False), users(spark, sf), 10).drop("song_ord")
+        _pool(pairs, True), _pool(pairs, False), users(spark, sf), 10).drop("song_ord")
 
 
 @query("cold_start_recommend", check("SELECT user_id, song_id, score, familiar, rank FROM cold_list", "cold_list"),
