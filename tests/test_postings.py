@@ -86,3 +86,9 @@ def test_lists_too_many_to_broadcast_and_query_runs(spark, monkeypatch):
     monkeypatch.setattr(postings, "QUERY_ROWS", 6)
     assert sorted(map(tuple, postings.search(queries, blocks, offered, 7)[0].collect())) == want
     blocks.unpersist()
+
+
+def test_small_shards_share_a_task(spark):
+    docs = spark.createDataFrame([(i, [i % 3], [1.0]) for i in range(40)], "song_id long, terms array<int>, weights array<double>")
+    shards = {r["shard"] for r in postings.build_blocks(docs, shard_docs=4).select("shard").collect()}
+    assert len(shards) == 10 and {s // postings.SUBSHARDS for s in shards} == {0}

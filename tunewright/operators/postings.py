@@ -60,7 +60,8 @@ def build_blocks(documents: DataFrame, key: str = "song_id", shard_docs: int | N
     shard_docs = shard_docs or SHARD_DOCS
     n = documents.count()
     cores = spark.sparkContext.defaultParallelism
-    parts = max(-(-n // shard_docs), min(cores, n // LEAST_DOCS), 1)
+    # A task makes as many small shards as hold the documents of a large one.
+    parts = max(-(-n // max(shard_docs, SHARD_DOCS)), min(cores, n // LEAST_DOCS), 1)
     heaviest = F.element_at("terms", F.array_position("weights", F.array_max("weights")).cast("int"))
     laid = documents.select(F.col(key).alias("key"), "terms", "weights", heaviest.alias("heaviest"))
     laid = laid.repartitionByRange(parts, "heaviest", "key").sortWithinPartitions("heaviest", "key")
