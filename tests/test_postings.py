@@ -1,8 +1,11 @@
 """Search over blocks with largest weights against scores of all documents."""
 
+import os
+
 import numpy as np
 import pytest
 
+from tunewright.functions import fixed
 from tunewright.operators import postings
 
 
@@ -92,3 +95,20 @@ def test_small_shards_share_a_task(spark):
     docs = spark.createDataFrame([(i, [i % 3], [1.0]) for i in range(40)], "song_id long, terms array<int>, weights array<double>")
     shards = {r["shard"] for r in postings.build_blocks(docs, shard_docs=4).select("shard").collect()}
     assert len(shards) == 10 and {s // postings.SUBSHARDS for s in shards} == {0}
+
+
+def test_text_search_topk_lists_the_published_number_of_hits(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables are absent")
+    from tunewright.plans import text_queries
+    from tunewright.sources import bindings as b
+
+    documents, asked = b.documents(spark, sf).count(), {r["query_id"] for r in b.intents(spark, sf).collect()}
+    rows = {}
+    for r in text_queries.text_search_topk(spark, sf).collect():
+        rows.setdefault(r["query_id"], []).append((r["pos"], r["song_id"]))
+    wanted = min(fixed.SEARCH_HITS, documents)
+    assert wanted > 25 and rows.keys() == asked
+    for listed in rows.values():
+        assert sorted(pos for pos, _ in listed) == list(range(1, wanted + 1)) and len({song for _, song in listed}) == wanted
