@@ -152,3 +152,39 @@ def test_a_pass_is_one_job_and_comes_to_the_trees_of_one_task(spark, monkeypatch
     # The first pass also packs the rows.
     assert len(seen) > 8 and set(seen[1:]) == {1}
     assert whole.trees == dealt.trees and whole.losses == dealt.losses
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_tasks_that_run_together_come_to_the_trees_of_one_task(spark, monkeypatch, tasks):
+    table = learning_table(spark).withColumn("weight", F.when(F.col("label") == 1, 1.7).otherwise(0.6)).withColumn(
+        "held_out", F.col("user_id") < 6)
+    whole = boosting.fit(table, fixed.FEATURES, 6, 8, 0.2, 50)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 0)
+    monkeypatch.setattr(boosting, "GANG_ROWS", 0)
+    monkeypatch.setattr(boosting, "DEALT_ROWS", 600 // tasks)
+    together = []
+    answer = boosting.gang_of
+    monkeypatch.setattr(boosting, "gang_of", lambda *a: together.append(answer(*a)) or together[-1])
+    dealt = boosting.fit(table, fixed.FEATURES, 6, 8, 0.2, 50)
+    assert together[0][1] == tasks
+    assert whole.trees == dealt.trees and whole.losses == dealt.losses and len(whole.losses) == 6
+
+
+def test_only_the_smaller_child_is_measured():
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, 20, (2, 500)).astype(np.uint8)
+    label = (rng.random(500) < bins[0] / 20).astype(float)
+    part = boosting.Part(bins, np.zeros(500), label, np.ones(500), np.zeros(500, dtype=bool), (2.0 ** 30, 2.0 ** 30))
+    rows, growing, asked = boosting.InTask(part), boosting.Growing(), []
+    while growing.waiting:
+        asked.append(list(growing.waiting))
+        growing.measured(rows.measure(growing.tree, growing.waiting)[0])
+        for node in asked[-1]:
+            if node:
+                parent = next(p for p in range(node) if node in (growing.tree.left[p], growing.tree.right[p]))
+                other = growing.tree.left[parent] + growing.tree.right[parent] - node
+                assert part.rows[node].size <= part.rows[other].size and other not in asked[-1]
+                assert np.array_equal(part.sums(other)[2], growing.sums[other].rows)
+                assert np.array_equal(part.sums(other)[0] / 2.0 ** 30, growing.sums[other].gradient)
+        growing.chosen(6)
+    assert len(asked) > 2

@@ -1,20 +1,26 @@
 """Gradient-boosted trees grown leaf by leaf from histograms.
 
-Features are cut into at most BINS bins once, and rows keep their bins, label, weight and margin. A pass over the rows
-adds up gradients, second derivatives and counts per (leaf, feature, bin) in each task; the driver sees these sums only,
-finds the best split of each leaf, and always splits the leaf that gains most, up to LEAVES leaves. As the next leaves to
-split are among the best known ones, one pass measures the children of all of those, so a tree takes as many passes as it
-is deep, and grows as if leaves had been split one after the other. Sums are whole numbers of a fixed unit: their order,
-and a task that runs again, change nothing. The pass for the root of a tree also gives the held-out loss of the trees
-before, so boosting ends in one run, and the model is cut to its best number of trees.
-
-The rows of passes are packed into arrays that executors keep (a persisted RDD), so a pass is one short job of one stage:
-no file is read, nothing is shuffled, and a tree's margins are added once.
+Features are cut into at most BINS bins once, and rows keep their bins, label, weight and margin. A measurement adds up
+gradients, second derivatives and counts per (leaf, feature, bin) in each task; one place sees these sums only, finds the
+best split of each leaf, and always splits the leaf that gains most, up to LEAVES leaves. As the next leaves to split are
+among the best known ones, one measurement covers the children of all of those, so a tree takes as many as it is deep, and
+grows as if leaves had been split one after the other. Of two children only the one with fewer rows is measured, the other
+is what its parent has beyond that. Sums are whole numbers of a fixed unit that doubles add exactly: their order, and a task
+that runs again, change nothing. The measurement of the root of a tree also gives the held-out loss of the trees before, so
+boosting ends in one run, and the model is cut to its best number of trees.
+
+Few rows are boosted by one task. More are dealt to tasks that run together (a barrier stage): each holds its rows and which
+leaf they are in, the first one grows the trees, and they pass requests and sums through files in the shared folder. Where
+that cannot be, a measurement is a pass: the rows are packed into arrays that executors keep (a persisted RDD), and a pass is
+one short job of one stage.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
+import time
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +28,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, cloudpickle
+from pyarrow import fs
+from pyspark import BarrierTaskContext, StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +43,10 @@ BINS, LEAST_ROWS, LEAST_HESSIAN, MARGIN_TREES = 255, 20, 1e-3, 20
 TASK_ROWS = 200_000
 #: Rows that pay for a task of their own in a pass, and rows of a task at most (some 100 bytes each).
 DEALT_ROWS, HELD_ROWS = 50_000, 2_000_000
-#: Bits of a sum, and of the part of one row at most.
-SUM_BITS, ROW_BITS = 61, 40
+#: Rows from which tasks run together, and seconds without news after which one of them gives up.
+GANG_ROWS, SILENCE = 200_000, 900.0
+#: Bits of a sum that doubles hold, of the part of one row at most, and of the held-out loss.
+SUM_BITS, ROW_BITS, LOSS_BITS = 52, 40, 61
 #: The cell that holds the held-out loss.
 LOSS = -1
 FLOOR = 1e-15
@@ -162,6 +171,9 @@ class Sums:
     hessian: np.ndarray
     rows: np.ndarray
 
+    def without(self, part: Sums) -> Sums:
+        return Sums(self.gradient - part.gradient, self.hessian - part.hessian, self.rows - part.rows)
+
     def value(self, rate: float) -> float:
         return float(-rate * self.gradient[0].sum() / max(self.hessian[0].sum(), FLOOR))
 
@@ -186,11 +198,17 @@ class Growing:
         self.sums: dict[int, Sums] = {}
         self.split: dict[int, tuple[float, int, int] | None] = {}
         self.waiting = [self.tree.add(0.0)]
+        #: Per waiting child its sibling and parent.
+        self.beside: dict[int, tuple[int, int]] = {}
 
     def measured(self, found: dict[int, Sums]) -> None:
         for node in self.waiting:
             self.sums[node] = found[node]
             self.split[node] = found[node].best_split()
+            if node in self.beside:
+                other, parent = self.beside.pop(node)
+                self.sums[other] = self.sums[parent].without(found[node])
+                self.split[other] = self.sums[other].best_split()
         self.waiting = []
 
     def chosen(self, leaves: int) -> list[int]:
@@ -217,16 +235,21 @@ class Growing:
     def _open(self, node: int) -> None:
         _, feature, at = self.split[node]
         self.tree.feature[node], self.tree.threshold[node] = feature, float(at)
-        self.tree.left[node], self.tree.right[node] = self.tree.add(0.0), self.tree.add(0.0)
-        self.waiting += [self.tree.left[node], self.tree.right[node]]
+        left, right = self.tree.left[node], self.tree.right[node] = self.tree.add(0.0), self.tree.add(0.0)
+        rows = self.sums[node].rows[feature]
+        fewer, other = (left, right) if 2 * rows[:at + 1].sum() <= rows.sum() else (right, left)
+        self.waiting.append(fewer)
+        self.beside[fewer] = other, node
 
-    def finished(self, kept: list[int], cuts: list[np.ndarray], rate: float) -> tuple[Tree, Tree]:
-        """The tree of the kept splits, on bins and on values."""
-        binned = Tree()
+    def finished(self, kept: list[int], cuts: list[np.ndarray], rate: float) -> tuple[Tree, Tree, dict[int, float]]:
+        """The tree of the kept splits, on bins and on values, and the value of each node that it ends in."""
+        binned, ends = Tree(), {}
 
         def copy(node: int) -> int:
             at = binned.add(self.sums[node].value(rate))
-            if node in kept:
+            if node not in kept:
+                ends[node] = binned.value[at]
+            else:
                 gain, feature, end = self.split[node]
                 binned.feature[at], binned.threshold[at], binned.gain[at], binned.value[at] = feature, float(end), gain, 0.0
                 binned.left[at] = copy(self.tree.left[node])
@@ -238,7 +261,7 @@ class Growing:
         for at, f in enumerate(real.feature):
             if f >= 0:
                 real.threshold[at] = float(cuts[f][int(real.threshold[at])])
-        return binned, real
+        return binned, real, ends
 
 
 def binned_rows(rows: DataFrame, features: list[str], cuts: list[np.ndarray]) -> DataFrame:
@@ -256,55 +279,90 @@ def binned_rows(rows: DataFrame, features: list[str], cuts: list[np.ndarray]) ->
     return session.settle(chosen.mapInArrow(place, ", ".join(map(" ".join, zip(names, kinds, strict=True)))), "boosting-rows")
 
 
-def halves_of(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, held_out: np.ndarray,
-              unit: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """Whole gradients and second derivatives of the rows, each as two halves that doubles add exactly, and the
-    held-out rows' loss."""
+def whole_parts(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whole gradients and second derivatives of the rows, as doubles that add exactly."""
     chance = 1.0 / (1.0 + np.exp(-margin))
-    right = np.where(label[held_out] > 0, chance[held_out], 1.0 - chance[held_out])
-    loss = int(np.rint(-weight[held_out] * np.log(np.maximum(right, FLOOR)) * unit).astype(np.int64).sum())
-    halves = []
-    for part in (weight * (chance - label), weight * chance * (1.0 - chance)):
-        whole = np.rint(part * unit).astype(np.int64)
-        halves.append(((whole >> 26).astype(float), (whole & ((1 << 26) - 1)).astype(float)))
-    return halves, loss
-
-
-def cell_sums(bins: np.ndarray, halves: list[tuple[np.ndarray, np.ndarray]], leaf: np.ndarray, used: np.ndarray,
-              waiting: int) -> np.ndarray:
-    """Whole sums of the ``used`` rows per (leaf, feature, bin) as (gradients, second derivatives, rows)."""
-    features, width = len(bins), BINS + 1
-    total = np.zeros((3, waiting, features, width), dtype=np.int64)
-    leaf = leaf[used] * width
-    halves = [(high[used], low[used]) for high, low in halves]
-    for f in range(features):
-        cell = leaf + bins[f][used]
-        count = lambda values: np.bincount(cell, values, waiting * width).astype(np.int64).reshape(waiting, width)
-        for i, (high, low) in enumerate(halves):
-            total[i, :, f] = (count(high) << 26) + count(low)
-        total[2, :, f] = count(None)
-    return total.reshape(3, -1)
-
-
-def add_up(bins: np.ndarray, margin: np.ndarray, label: np.ndarray, weight: np.ndarray, held_out: np.ndarray, growing: Tree,
-           waiting: list[int], unit: float) -> tuple[np.ndarray, int]:
-    """Whole sums of some rows per (waiting node, feature, bin) as (gradients, second derivatives, rows), and the
-    held-out rows' loss."""
-    place = np.full(len(growing.feature), -1)
-    place[waiting] = np.arange(len(waiting))
-    halves, loss = halves_of(margin, label, weight, held_out, unit)
-    leaf = place[growing.leaf_of(bins)]
-    return cell_sums(bins, halves, leaf, np.flatnonzero(~held_out & (leaf >= 0)), len(waiting)), loss
-
-
-def sums_by_node(total: np.ndarray, features: int, waiting: list[int], unit: float) -> dict[int, Sums]:
-    shaped = (total / np.array([[unit], [unit], [1.0]])).reshape(3, len(waiting), features, BINS + 1)
-    return {node: Sums(*shaped[:, i]) for i, node in enumerate(waiting)}
+    return np.rint(weight * (chance - label) * unit), np.rint(weight * chance * (1.0 - chance) * unit)
+
+
+def whole_loss(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, unit: float) -> int:
+    chance = 1.0 / (1.0 + np.exp(-margin))
+    right = np.where(label > 0, chance, 1.0 - chance)
+    return int(np.rint(-weight * np.log(np.maximum(right, FLOOR)) * unit).astype(np.int64).sum())
+
+
+class Part:
+    """Some of the rows, those that are learned from first, and the rows of each node of the tree that grows."""
+
+    def __init__(self, bins: np.ndarray, margin: np.ndarray, label: np.ndarray, weight: np.ndarray, held_out: np.ndarray,
+                 units: tuple[float, float]):
+        order = np.argsort(held_out, kind="stable")
+        self.bins = bins.astype(np.uint8)[:, order]
+        self.margin, self.label, self.weight = margin[order], label[order], weight[order]
+        self.learned, self.units = int(np.count_nonzero(~held_out)), units
+        learned = self.bins[:, :self.learned]
+        #: The bin of a feature that has only one.
+        self.single = [int(b[0]) if len(b) and b.min() == b.max() else None for b in learned]
+        self.rows: dict[int, np.ndarray] = {}
+        self.loss = 0
+
+    def begin(self) -> None:
+        """A new tree: all rows are in its root."""
+        n, (unit, loss_unit) = self.learned, self.units
+        self.parts = whole_parts(self.margin[:n], self.label[:n], self.weight[:n], unit)
+        self.loss = whole_loss(self.margin[n:], self.label[n:], self.weight[n:], loss_unit)
+        self.rows = {0: np.arange(len(self.margin))}
+
+    def split(self, growing: Tree) -> None:
+        """Rows of nodes that were split go on to the children."""
+        for node in range(len(growing.feature)):
+            if growing.feature[node] >= 0 and node in self.rows:
+                rows = self.rows.pop(node)
+                left = self.bins[growing.feature[node]].take(rows) <= int(growing.threshold[node])
+                self.rows[growing.left[node]] = rows.take(np.flatnonzero(left))
+                self.rows[growing.right[node]] = rows.take(np.flatnonzero(~left))
+
+    def sums(self, node: int) -> np.ndarray:
+        """(gradients, second derivatives, rows) of a node per (feature, bin)."""
+        rows = self.rows[node]
+        rows = rows[:np.searchsorted(rows, self.learned)]
+        gradient, hessian = (p if len(rows) == self.learned else p.take(rows) for p in self.parts)
+        total = np.zeros((3, len(self.bins), BINS + 1))
+        for f, bins in enumerate(self.bins):
+            if self.single[f] is not None:
+                total[:, f, self.single[f]] = gradient.sum(), hessian.sum(), len(rows)
+            elif len(rows):
+                cell = (bins[:self.learned] if len(rows) == self.learned else bins.take(rows)).astype(np.intp)
+                total[0, f] = np.bincount(cell, gradient, BINS + 1)
+                total[1, f] = np.bincount(cell, hessian, BINS + 1)
+                total[2, f] = np.bincount(cell, minlength=BINS + 1)
+        return total
+
+    def measure(self, growing: Tree, waiting: list[int]) -> np.ndarray:
+        """Whole sums per (waiting node, gradients or second derivatives or rows, feature, bin)."""
+        if len(growing.feature) == 1 or not self.rows:
+            self.begin()
+        self.split(growing)
+        return np.stack([self.sums(node) for node in waiting])
+
+    def take(self, growing: Tree, ends: dict[int, float]) -> None:
+        for node, value in ends.items():
+            below = [node]
+            for at in below:
+                # Nodes below an end were measured but not kept.
+                if at in self.rows:
+                    self.margin[self.rows[at]] += value
+                else:
+                    below += [growing.left[at], growing.right[at]]
+
+
+def sums_by_node(total: np.ndarray, waiting: list[int], unit: float) -> dict[int, Sums]:
+    return {node: Sums(gradient / unit, hessian / unit, rows) for node, (gradient, hessian, rows) in zip(waiting, total, strict=True)}
 
 
 def columns_of(batch: pa.RecordBatch | pa.Table, features: int) -> tuple[np.ndarray, ...]:
     """Bins (one row per feature), margin, label, weight, held_out."""
-    bins = np.array([batch.column(i).to_numpy() for i in range(features)])
+    bins = np.array([batch.column(i).to_numpy() for i in range(features)], dtype=np.uint8)
     margin, label, weight = (batch.column(c).to_numpy() for c in ("margin", "label", "weight"))
     held_out = batch.column("held_out")
     held_out = held_out.to_numpy() if isinstance(held_out, pa.ChunkedArray) else held_out.to_numpy(zero_copy_only=False)
@@ -314,27 +372,94 @@ def columns_of(batch: pa.RecordBatch | pa.Table, features: int) -> tuple[np.ndar
 class InTask:
     """Rows that one task holds."""
 
-    def __init__(self, table: pa.Table, features: int, unit: float):
-        self.features, self.unit = features, unit
-        self.bins, self.margin, self.label, self.weight, self.held_out = columns_of(table, features)
+    def __init__(self, part: Part):
+        self.part = part
 
     def measure(self, growing: Tree, waiting: list[int]) -> tuple[dict[int, Sums], float]:
-        total, loss = add_up(self.bins, self.margin, self.label, self.weight, self.held_out, growing, waiting, self.unit)
-        return sums_by_node(total, self.features, waiting, self.unit), loss / self.unit
+        total = self.part.measure(growing, waiting)
+        return sums_by_node(total, waiting, self.part.units[0]), self.part.loss / self.part.units[1]
+
+    def take(self, growing: Tree, ends: dict[int, float], tree: Tree) -> None:
+        self.part.take(growing, ends)
+
+
+class Post:
+    """Messages between tasks as files: each appears whole, under its name."""
+
+    def __init__(self, folder: str):
+        self.store, self.folder = fs.FileSystem.from_uri(folder)
+        self.store.create_dir(self.folder)
+
+    def send(self, name: str, message: bytes) -> None:
+        with self.store.open_output_stream(f"{self.folder}/_{name}") as out:
+            out.write(message)
+        self.store.move(f"{self.folder}/_{name}", f"{self.folder}/{name}")
+
+    def receive(self, name: str) -> bytes:
+        path, pause, since = f"{self.folder}/{name}", 0.0005, time.monotonic()
+        while self.store.get_file_info(path).type == fs.FileType.NotFound:
+            if time.monotonic() - since > SILENCE:
+                raise TimeoutError(f"no {name} after {SILENCE} s")
+            time.sleep(pause)
+            pause = min(1.2 * pause, 0.02)
+        with self.store.open_input_stream(path) as found:
+            return found.read()
+
+    def drop(self, name: str) -> None:
+        self.store.delete_file(f"{self.folder}/{name}")
+
+
+class InGang(InTask):
+    """The first of several tasks that run together, each with a part of the rows: it asks, all add up."""
 
-    def take(self, tree: Tree) -> None:
-        self.margin += np.array(tree.value)[tree.leaf_of(self.bins)]
+    def __init__(self, part: Part, post: Post, tasks: int):
+        super().__init__(part)
+        self.post, self.tasks, self.asked = post, tasks, 0
+
+    def ask(self, kind: str, growing: Tree | None = None, what: list[int] | dict[int, float] | None = None) -> None:
+        self.asked += 1
+        # Plain lists: the other tasks need no copy of this package.
+        self.post.send(f"{self.asked}", pickle.dumps((kind, vars(growing) if growing else None, what)))
+
+    def measure(self, growing: Tree, waiting: list[int]) -> tuple[dict[int, Sums], float]:
+        self.ask("measure", growing, waiting)
+        total, loss = self.part.measure(growing, waiting), self.part.loss
+        for task in range(1, self.tasks):
+            found = self.post.receive(f"{self.asked}-{task}")
+            self.post.drop(f"{self.asked}-{task}")
+            loss += int(np.frombuffer(found, np.int64, 1)[0])
+            total += np.frombuffer(found, offset=8).reshape(total.shape)
+        # All have answered, so all have read this and any earlier request.
+        self.post.drop(f"{self.asked}")
+        return sums_by_node(total, waiting, self.part.units[0]), loss / self.part.units[1]
+
+    def take(self, growing: Tree, ends: dict[int, float], tree: Tree) -> None:
+        self.ask("take", growing, ends)
+        self.part.take(growing, ends)
+
+    @staticmethod
+    def answer(part: Part, post: Post, task: int) -> None:
+        """What the other tasks do until they are told to stop."""
+        asked = 0
+        while True:
+            asked += 1
+            kind, columns, what = pickle.loads(post.receive(f"{asked}"))
+            if kind == "stop":
+                return
+            if kind == "take":
+                part.take(Tree(**columns), what)
+            else:
+                total = part.measure(Tree(**columns), what)
+                post.send(f"{asked}-{task}", np.int64(part.loss).tobytes() + total.tobytes())
 
 
 class InPasses:
     """Rows of any number, packed into arrays: each measurement is a pass in which every task adds up its own."""
 
-    def __init__(self, rows: DataFrame, features: int, unit: float):
-        self.features, self.unit, self.taken = features, unit, 0
+    def __init__(self, rows: DataFrame, features: int, units: tuple[float, float], n: int):
+        self.features, self.units, self.taken = features, units, 0
         session.shared_root(rows.sparkSession)
-        # Counting a written table reads file footers only.
-        n = rows.count()
-        tasks = max(min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // DEALT_ROWS)), -(-n // HELD_ROWS), 1)
+        tasks = max(tasks_of(rows.sparkSession, n), -(-n // HELD_ROWS))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [b for b in batches if b.num_rows]
@@ -355,20 +480,22 @@ class InPasses:
         self.before = None
 
     def measure(self, growing: Tree, waiting: list[int]) -> tuple[dict[int, Sums], float]:
-        features, unit = self.features, self.unit
+        units = self.units
 
-        def add(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[bytes]:
-            for part in parts:
-                total, loss = add_up(*part, growing, waiting, unit)
-                yield zlib.compress(np.append(total.ravel(), loss).tobytes(), 1)
+        def add(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes]]:
+            for arrays in parts:
+                part = Part(*arrays, units)
+                total = part.measure(growing, waiting)
+                yield part.loss, zlib.compress(total.astype(np.int64).tobytes(), 1)
 
-        everything = np.zeros(3 * len(waiting) * features * (BINS + 1) + 1, dtype=np.int64)
+        total, loss = np.zeros((len(waiting), 3, self.features, BINS + 1)), 0
         # Sums only, of one chunk per task.
-        for found in self.rows.mapPartitions(add).collect():
-            everything += np.frombuffer(zlib.decompress(found), dtype=np.int64)
-        return sums_by_node(everything[:-1].reshape(3, -1), features, waiting, unit), float(everything[-1]) / unit
+        for lost, found in self.rows.mapPartitions(add).collect():
+            loss += lost
+            total += np.frombuffer(zlib.decompress(found), dtype=np.int64).reshape(total.shape)
+        return sums_by_node(total, waiting, units[0]), loss / units[1]
 
-    def take(self, tree: Tree) -> None:
+    def take(self, growing: Tree, ends: dict[int, float], tree: Tree) -> None:
         def update(part: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
             bins, margin, *rest = part
             return bins, margin + np.array(tree.value)[tree.leaf_of(bins)], *rest
@@ -389,6 +516,28 @@ class InPasses:
         self.rows.unpersist()
 
 
+def tasks_of(spark: SparkSession, n: int) -> int:
+    return max(min(spark.sparkContext.defaultParallelism, -(-n // DEALT_ROWS)), 1)
+
+
+def gang_of(spark: SparkSession, n: int) -> tuple[str, int] | None:
+    """A shared folder and a number of tasks that can run together; none where they cannot, or would hold too many rows."""
+    if n <= GANG_ROWS or spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return None
+    context = spark.sparkContext._jsc.sc()
+    # What the scheduler holds against a barrier stage before it starts.
+    tasks = min(tasks_of(spark, n), context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+    if n > tasks * HELD_ROWS:
+        return None
+    folder = session.shared_path(spark, "boosting")
+    try:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path)
+    except (OSError, pa.ArrowInvalid, NotImplementedError, ImportError):
+        return None
+    return folder, tasks
+
+
 def boosted(rows: InTask | InPasses, cuts: list[np.ndarray], trees: int, leaves: int, rate: float, patience: int,
             judged: bool) -> tuple[list[Tree], list[float]]:
     """The trees up to the least held-out loss (all of them if none is ``judged``), and the losses of the run."""
@@ -410,9 +559,9 @@ def boosted(rows: InTask | InPasses, cuts: list[np.ndarray], trees: int, leaves:
         while growing.waiting:
             growing.measured(rows.measure(growing.tree, growing.waiting)[0])
             kept = growing.chosen(leaves)
-        on_bins, real = growing.finished(kept, cuts, rate)
+        on_bins, real, ends = growing.finished(kept, cuts, rate)
         grown.append(real)
-        rows.take(on_bins)
+        rows.take(growing.tree, ends, on_bins)
     return (grown[:best + 1] if losses else grown), losses
 
 
@@ -421,7 +570,7 @@ def fit(rows: DataFrame, features: list[str], trees: int, leaves: int, rate: flo
 
     Nulls and NaNs count as larger than any value. Without held-out rows all trees are kept, otherwise as many as
     gave the least loss, and boosting ends ``patience`` trees after that. Up to TASK_ROWS rows are boosted by one task;
-    beyond, by passes over all tasks. Both come to the same trees.
+    beyond, by tasks that run together, or by passes over all tasks. All come to the same trees.
     """
     # Boosting reads its rows many times.
     rows = session.settle(rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in features],
@@ -429,26 +578,55 @@ def fit(rows: DataFrame, features: list[str], trees: int, leaves: int, rate: flo
     size = rows.agg(F.sum("weight").alias("w"), F.count_if("held_out").alias("held_out"), F.count(F.lit(1)).alias("n")).first()
     if not size["w"]:
         return Ranker(features, [])
+    bits = int(np.ceil(np.log2(size["w"] + 1)))
     # The loss of a row is at most some 35 times its weight.
-    unit = 2.0 ** min(ROW_BITS, SUM_BITS - 6 - int(np.ceil(np.log2(size["w"] + 1))))
+    units = 2.0 ** min(ROW_BITS, SUM_BITS - bits), 2.0 ** min(ROW_BITS, LOSS_BITS - 6 - bits)
     cuts = cut_values(rows.where("NOT held_out"), features)
     binned = binned_rows(rows, features, cuts)
     settings = (cuts, trees, leaves, rate, patience, bool(size["held_out"]))
-    if size["n"] > TASK_ROWS:
-        passes = InPasses(binned, len(features), unit)
+    names = [c.split()[0] for c in NODES.split(", ")]
+    kinds = [pa.int32()] * 3 + [pa.float64()] + [pa.int32()] * 2 + [pa.float64()] * 2
+
+    def part_of(batches: Iterator[pa.RecordBatch]) -> Part:
+        held = list(batches)
+        if held:
+            return Part(*columns_of(pa.Table.from_batches(held), len(features)), units)
+        return Part(np.zeros((len(features), 0)), *[np.zeros(0)] * 3, np.zeros(0, dtype=bool), units)
+
+    def model_rows(rows: InTask) -> pa.RecordBatch:
+        found, losses = boosted(rows, *settings)
+        nodes = [*Ranker(features, found).rows(), *[(LOSS, i, 0, 0.0, 0, 0, loss, 0.0) for i, loss in enumerate(losses)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*nodes, strict=True), kinds, strict=True)], names=names)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield model_rows(InTask(part_of(batches)))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, context = part_of(batches), BarrierTaskContext.get()
+        # A folder of its own for each attempt of the stage, named by the first task.
+        run = context.allGather(uuid.uuid4().hex)[0]
+        task, post = context.partitionId(), Post(f"{folder}/{run}")
+        if task:
+            InGang.answer(part, post, task)
+            return
+        first = InGang(part, post, tasks)
+        yield model_rows(first)
+        first.ask("stop")
+
+    spark, n = rows.sparkSession, size["n"]
+    if n <= TASK_ROWS:
+        held = binned.coalesce(1).mapInArrow(alone, NODES)
+    elif gang := gang_of(spark, n):
+        folder, tasks = gang
+        # Dealt row by row, so that the tasks hold equally many.
+        held = binned.repartition(tasks).mapInArrow(together, NODES, barrier=True)
+    else:
+        passes = InPasses(binned, len(features), units, n)
         try:
             return Ranker(features, *boosted(passes, *settings))
         finally:
             passes.close()
-
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, losses = boosted(InTask(pa.Table.from_batches(batches), len(features), unit), *settings)
-        nodes = [*Ranker(features, found).rows(), *[(LOSS, i, 0, 0.0, 0, 0, loss, 0.0) for i, loss in enumerate(losses)]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*nodes, strict=True), [pa.int32()] * 3 + [pa.float64()] + [pa.int32()] * 2 + [pa.float64()] * 2)],
-            names=[c.split()[0] for c in NODES.split(", ")])
-
-    nodes = session.settle(binned.coalesce(1).mapInArrow(alone, NODES), "boosted-nodes")
+    nodes = session.settle(held, "boosted-nodes")
     model = from_table(nodes.where(F.col("tree") >= 0), features)
     model.losses = [r["value"] for r in nodes.where(F.col("tree") == LOSS).orderBy("node").collect()]
     return model
