@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  # registers the queries
 from tunewright.functions import fixed
-from tunewright.operators import candidates, pair_dots, ranking
+from tunewright.operators import boosting, candidates, pair_dots, ranking
 from tunewright.plans import text_queries
 
 
@@ -109,3 +109,43 @@ def test_workers_need_no_copy_of_the_package(spark, monkeypatch):
     monkeypatch.setattr(type(packed), "mapInArrow", lambda self, rows, schema: sent.append(rows))
     ranking.fallback_ranked(packed)
     assert b"tunewright.functions" not in cloudpickle.dumps(sent[0])
+
+
+def random_trees(rng, count, splits, cuts=40):
+    trees = []
+    for _ in range(count):
+        tree = boosting.Tree()
+        ends = [tree.add(float(rng.normal()))]
+        for _ in range(splits):
+            node = ends.pop(int(rng.integers(len(ends))))
+            tree.feature[node], tree.threshold[node] = int(rng.integers(len(fixed.FEATURES))), float(rng.integers(cuts) / cuts)
+            tree.left[node], tree.right[node] = tree.add(float(rng.normal())), tree.add(float(rng.normal()))
+            ends += [tree.left[node], tree.right[node]]
+        trees.append(tree)
+    return trees
+
+
+@pytest.mark.parametrize("splits", [0, 1, 5, 30, 31, 40, 63, 70])
+def test_tables_find_the_leaves_of_a_walk(monkeypatch, splits):
+    monkeypatch.setattr(boosting, "SCORED_ROWS", 300)
+    rng = np.random.default_rng(splits)
+    trees = random_trees(rng, 7, splits)
+    columns = np.where(rng.random((6, 1_000)) < 0.5, rng.integers(0, 41, (6, 1_000)) / 40, rng.random((6, 1_000)) * 1.4 - 0.2)
+    columns[rng.random((6, 1_000)) < 0.05] = np.nan
+    columns[rng.random((6, 1_000)) < 0.02] = -np.inf
+    want = np.zeros(1_000)
+    for tree in trees:
+        want += np.array(tree.value)[tree.leaf_of(columns)]
+    scorer = boosting.Scorer(trees, 6)
+    assert np.array_equal(scorer.margin(columns), want)
+    assert (scorer.words is None) == (splits > 63)
+
+
+def test_a_ranker_ranks_lists_where_they_lie(tables):
+    model = boosting.Ranker(list(fixed.FEATURES), random_trees(np.random.default_rng(2), 9, 12))
+    lists, rows = (features(tables, found) for found in (candidates.listed(tables["found"], "cand_pos"), tables["found"]))
+    for top_n in (3, 50):
+        best = ranking.rank(lists, model, top_n)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Generate" not in plan.split("FlatMapCoGroupsInArrow")[0]
+        assert ordered(best) == ordered(ranking.rank(rows, model, top_n))

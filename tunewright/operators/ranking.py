@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +130,16 @@ def fallback_ranked(features: DataFrame, top_n: int = fixed.RANKED_ROWS) -> Data
     """Score by fixed weights and the best ``top_n`` rows per user; lists are scored and cut where they lie."""
     if not packed(features):
         return rank_topn(features.withColumn("score", scalars.fallback_score()), top_n)
+
+    def score(flat: dict[str, pa.Array]) -> np.ndarray:
+        # The terms of scalars.fallback_score in their order, so that sums are the same to the bit.
+        return sum(weight * flat[name].fill_null(0.0).to_numpy(zero_copy_only=False) for name, weight in FALLBACK.items())
+
+    return ranked_lists(features, score, top_n)
+
+
+def ranked_lists(features: DataFrame, score_of: Callable[[dict[str, pa.Array]], np.ndarray], top_n: int) -> DataFrame:
+    """The best ``top_n`` rows of each list by the score of its columns, as ``rank_topn``."""
     names = [c for c in features.columns if c != "user_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +147,7 @@ def fallback_ranked(features: DataFrame, top_n: int = fixed.RANKED_ROWS) -> Data
             lengths = batch.column("song_id").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(len(lengths)), lengths)
             flat = {name: batch.column(name).flatten() for name in names}
-            # The terms of scalars.fallback_score in their order, so that sums are the same to the bit.
-            score = sum(weight * flat[name].fill_null(0.0).to_numpy(zero_copy_only=False) for name, weight in FALLBACK.items())
+            score = score_of(flat)
             # As Spark orders falling scores, NaN counts as the largest value.
             odd = np.isnan(score)
             order = np.lexsort((flat["cand_pos"].to_numpy(zero_copy_only=False), np.where(odd, 0.0, -score), ~odd, owner))
@@ -154,9 +163,23 @@ def fallback_ranked(features: DataFrame, top_n: int = fixed.RANKED_ROWS) -> Data
         features.schema["user_id"], *fields, T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
 
 
+def model_ranked(features: DataFrame, model: boosting.Ranker, top_n: int = fixed.RANKED_ROWS) -> DataFrame:
+    """Score lists by the ranker and cut them where they lie: no list is spread to rows, and none is exchanged."""
+    scorer, needed = model.scorer(), model.features
+
+    def score(flat: dict[str, pa.Array]) -> np.ndarray:
+        # What is null is not known, as NaN.
+        columns = [flat[name].cast(pa.float64()).to_numpy(zero_copy_only=False) for name in needed]
+        return scorer.probability(np.array(columns))
+
+    return ranked_lists(features, score, top_n)
+
+
 def rank(features: DataFrame, model: boosting.Ranker | PipelineModel | None = None,
          top_n: int = fixed.RANKED_ROWS) -> DataFrame:
     """Score by the model when there is one, else by fixed weights, and keep the best."""
     if model is None:
         return fallback_ranked(features, top_n)
+    if isinstance(model, boosting.Ranker) and packed(features):
+        return model_ranked(features, model, top_n)
     return rank_topn(score_model(feature_rows(features), model), top_n)
