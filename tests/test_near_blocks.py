@@ -99,3 +99,30 @@ def test_small_item_blocks_do_not_multiply_the_queries(spark, monkeypatch):
     monkeypatch.setattr(similarity.near_blocks, "SLACK", 2.0)
     assert similarity.cosine_topk(q, i, 7, item_rows=4, worth_pairs=1).orderBy("user_id", "rank").collect() == expected
     assert sent[-1] == 40
+
+
+@pytest.mark.parametrize("held", [10, 2_000_000])
+def test_a_query_travels_once_per_group_of_small_blocks(spark, monkeypatch, held):
+    monkeypatch.setattr(similarity, "HELD_CELLS", held)
+    rng = np.random.default_rng(6)
+    songs, users = np.round(rng.normal(size=(600, 4)), 1), np.round(rng.normal(size=(50, 4)), 1)
+    # Equal songs make ties across blocks; the order is not that of the ids.
+    songs[300:] = songs[:300]
+    items = frame(spark, unit(songs), "item_id").withColumnsRenamed({"song_ord": "item_ord", "embedding": "vector"})
+    asked = frame(spark, unit(users), "query_id").withColumnRenamed("embedding", "vector").drop("song_ord")
+    sent, scored = [], similarity._scored_groups
+
+    def seen(left, *rest):
+        sent.append(left.count())
+        return scored(left, *rest)
+
+    monkeypatch.setattr(similarity, "_scored_groups", seen)
+    monkeypatch.setattr(similarity.near_blocks, "SLACK", 2.0)
+    best, met = similarity.bounded_topk(asked, items, 50, 600, 7, item_rows=8)
+    rows = {}
+    for r in best.collect():
+        rows.setdefault(r["query_id"], {})[r["rank"]] = r["item_id"]
+    want, _ = brute(users, songs, 7)
+    assert {u: [v[i] for i in range(1, 8)] for u, v in rows.items()} == want
+    # Nothing is left out, and still a query is sent to one group each time, not to some 75 blocks.
+    assert met.count() > 50 * 60 and all(n <= 50 * 4 for n in sent)
