@@ -126,3 +126,30 @@ def test_known_terms_are_weighed_without_an_exchange(many):
     keyed = lambda df: {(r["song_id"], r["term"]): round(r["weight"], 12) for r in df.collect()}
     assert keyed(lists) == keyed(rows) and keyed(rows)
     assert "hashpartitioning" not in lists._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_terms_are_counted_once(many, monkeypatch):
+    counted, count = [], text._bucket_stats
+    monkeypatch.setattr(text, "_bucket_stats", lambda *a: counted.append(a) or count(*a))
+    rough = text.term_stats(many, max_terms=30_000, rough_docs=0)
+    assert len(counted) == 1
+    every = count(many, "song_id", "text")
+    assert sorted(map(tuple, rough.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_descriptions_are_made_once_by_all_cores(spark, monkeypatch):
+    from tunewright.plans import jobs
+    from tunewright.sources import bindings as b
+
+    rows = [(i, f"red item{i % 7}", "B#1", "PROMO", i % 50, 900.0 + i % 90) for i in range(300)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    monkeypatch.setattr(b, "table", lambda *a: part.coalesce(1))
+    seen, build = [], text.build_text_index
+    monkeypatch.setattr(text, "build_text_index", lambda docs, *a: seen.append(docs) or build(docs, *a))
+    index = jobs.build_text_index(b.songs(spark, ""))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "descriptions-" in "".join(seen[0].inputFiles()) and "Project" not in plan
+    assert len(seen[0].inputFiles()) == spark.sparkContext.defaultParallelism
+    want = build(jobs.describe_songs(b.songs(spark, "")))
+    listed = lambda i: sorted((r["song_id"], r["term"], round(r["weight"], 9)) for r in i["postings"].collect())
+    assert listed(index) == listed(want)

@@ -169,7 +169,8 @@ def term_stats(docs: DataFrame, key: str = "song_id", text: str = "text", max_te
         if least is None or sizes.where(F.col("cf") >= least).agg(F.sum("terms")).first()[0] * 4 > 1 << BUCKET_BITS:
             break
         stats = session.settle(_bucket_stats(docs, key, text, spark.sparkContext.broadcast(_full_buckets(rough, least))), "term-stats")
-        if stats.where(F.col("cf") >= least).count() >= max_terms:
+        # Where no bucket holds less, all terms are counted, however few they are.
+        if least == sizes.agg(F.min("cf")).first()[0] or stats.where(F.col("cf") >= least).count() >= max_terms:
             return stats
         buckets *= 4
     return _bucket_stats(docs, key, text)

@@ -38,8 +38,16 @@ def describe_songs(songs: DataFrame) -> DataFrame:
 
 def build_text_index(songs: DataFrame, path: str | None = None,
                      max_terms: int = fixed.MAX_TERMS) -> dict[str, DataFrame]:
-    """Text index over song descriptions, written under ``path``."""
-    return text.build_text_index(describe_songs(songs), path, "song_id", max_terms)
+    """Text index over song descriptions, written under ``path``.
+
+    Descriptions are made once, by as many tasks as there are cores however few files the catalog lies in, and written:
+    the index reads its texts several times.
+    """
+    cores = songs.sparkSession.sparkContext.defaultParallelism
+    if songs.rdd.getNumPartitions() < cores:
+        # Before the texts are made: the catalog's own columns cost less to deal than to describe.
+        songs = songs.repartition(cores, "song_id")
+    return text.build_text_index(session.settle(describe_songs(songs), "descriptions"), path, "song_id", max_terms)
 
 
 def rank_users(songs: DataFrame, users: DataFrame, as_of: Column, interactions: DataFrame,
