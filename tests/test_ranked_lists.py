@@ -149,3 +149,18 @@ def test_a_ranker_ranks_lists_where_they_lie(tables):
         plan = best._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "Generate" not in plan.split("FlatMapCoGroupsInArrow")[0]
         assert ordered(best) == ordered(ranking.rank(rows, model, top_n))
+
+
+def test_hits_reach_their_users_as_lists(spark):
+    from tunewright.plans import jobs
+
+    hits = spark.createDataFrame([(f"q{q}", 10 * q + (p * 7) % 5, p) for q in range(4) for p in range(1, 6)], "query_id string, song_id long, pos int")
+    asking = spark.createDataFrame([(u, f"q{u % 5}") for u in range(40)] + [(7, "q0"), (None, "q1")], "user_id long, intent string")
+    lists = jobs.listed_hits(asking, hits)
+    rows = asking.join(hits, F.col("intent") == F.col("query_id")).select("user_id", "song_id", "pos")
+    want = candidates.listed(rows, "pos")
+    assert lists.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, lists.collect())) == sorted(map(str, want.collect()))
+    # No row per user and hit is made.
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "collect_list(hits" in plan

@@ -62,6 +62,18 @@ def rank_users(songs: DataFrame, users: DataFrame, as_of: Column, interactions:
     return ranking.rank(features, model, top_n)
 
 
+def listed_hits(asking: DataFrame, hits: DataFrame) -> DataFrame:
+    """``user_id, songs``: the hits of each user's intent, best first; users are dealt before they meet lists, not rows."""
+    lists = hits.groupBy(F.col("query_id").alias("_asked")).agg(F.collect_list(F.struct("pos", "song_id")).alias("hits"))
+    spark = asking.sparkSession
+    # Few bytes until the lists are joined: without a number they would be put into one task.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = asking.select("user_id", "intent").repartition(tasks, "user_id").join(lists, F.col("intent") == F.col("_asked"))
+    # A user with several intents gets the hits of all, as one list.
+    merged = met.groupBy("user_id").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return merged.select("user_id", F.col("hits.song_id").alias("songs"))
+
+
 def recommend(songs: DataFrame, users: DataFrame, as_of: Column, interactions: DataFrame,
               song_vectors: DataFrame, intents: DataFrame, index: dict[str, DataFrame] | None,
               model: Ranker | PipelineModel | None = None, responses: DataFrame | None = None,
@@ -90,18 +102,17 @@ def recommend(songs: DataFrame, users: DataFrame, as_of: Column, interactions: D
         asking = wanted.where(F.col("intent") != "")
         distinct = asking.select(F.col("intent").alias("query_id"), F.col("intent").alias("text")).distinct()
         hits = text.indexed_search(distinct, index, songs)
-        searched = session.settle(asking.join(hits, F.col("intent") == F.col("query_id")).select(
-            "user_id", "song_id", F.col("pos").alias("cand_pos")), "searched")
-        quiet = users.join(searched.select("user_id").distinct(), "user_id", "left_anti")
+        searched = session.settle(listed_hits(asking, hits), "searched")
+        quiet = users.join(searched.select("user_id"), "user_id", "left_anti")
     found = candidates.candidate_pool(songs, quiet, as_of, user_vectors, song_vectors, packed=True, **artists)
     if searched is not None:
-        found = found.unionByName(candidates.listed(searched, "cand_pos"))
+        found = found.unionByName(searched)
     features = ranking.rank_features(found, songs, as_of, interactions, song_vectors, user_vectors, **artists)
     top = explain.final_topk(ranking.rank(features, model, min(k, fixed.RANKED_ROWS)), k)
     listed = explain.ranked_join_meta(top, catalog.catalog_meta(songs))
     explanations = None
     if responses is not None and searched is not None:
-        answered = responses.join(searched.select("user_id").distinct(), "user_id", "left_semi")
+        answered = responses.join(searched.select("user_id"), "user_id", "left_semi")
         explanations = explain.parse_explanations(answered)
     return explain.ranked_join_explanations(listed, explanations).select(
         "user_id", "rank", "song_id", "title", "artist", "score", "explanation")
